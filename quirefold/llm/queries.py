@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import decontamination, fingerprints, jaccard, licenses, mixing, pii, quality, toxicity, warc
+from quirefold.llm import decontamination, fingerprints, jaccard, licenses, mixing, pii, quality, suffixes, toxicity, warc
 from quirefold.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality, op4_pii, op5_warc, op6_mixing, op7_toxicity, op8_jaccard, op9_licenses, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_suffixes, op4_pii, op5_warc, op6_mixing, op7_toxicity, op8_jaccard, op9_licenses, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

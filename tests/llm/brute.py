@@ -63,3 +63,21 @@ def jaccard(docs):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return [(d, len(s), find(d)) for d, s in sets]
+
+
+def repeats(docs, length=400):
+    texts = [(d, (t or "").encode()) for d, t in docs]
+    count = defaultdict(int)
+    for _, t in texts:
+        for i in range(len(t) - length + 1):
+            count[hash(t[i : i + length])] += 1
+    out = []
+    for d, t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if count[hash(t[i : i + length])] > 1:
+                gone[i : i + length] = b"\x01" * length
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        spans = bytes(gone).split(b"\x00")
+        out.append((d, len(t), sum(gone), sum(1 for s in spans if s), sha(kept)))
+    return out
