@@ -72,7 +72,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of work items: jobs are users, items are events."""
     e = table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "cancelled").otherwise("done")
-    return e.select(F.col("user_id").alias("job"), F.col("event_id").alias("item"), status.alias("status"), F.concat(F.lit("failed at "), F.col("event_id").cast("string")).alias("message"), F.concat(F.lit("text "), F.col("event_id").cast("string")).alias("text"), F.date_trunc("day", "ts").alias("day"), F.unix_micros("ts").alias("us"), F.col("event_type"))
+    return e.select(F.col("user_id").alias("job"), F.col("event_id").alias("item"), status.alias("status"), F.concat(F.lit("failed at "), F.col("event_id").cast("string")).alias("message"), F.concat(F.lit("text "), F.col("event_id").cast("string")).alias("text"), F.date_trunc("day", "ts").alias("day"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_type"))
 
 
 V_OUTCOMES = """v_outcomes as (
