@@ -58,5 +58,52 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_suffixes, op4_pii, op5_warc, op6_mixing, op7_toxicity, op8_jaccard, op9_licenses, op10_fingerprints)}
 
 
+UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP1 = f"""
+with d as (select doc_id, {WORDS} as w from documents),
+  i as (select item_id::varchar as item, {WORDS} as w from benchmark),
+  s as (select item, w, least(len(w), 10) as n from i where len(w) > 0),
+  items as (select distinct item, n, array_to_string(w[k : k + n - 1], ' ') as g from s, lateral (select unnest(range(1, len(w) - n + 2)) as k)),
+  sizes as (select distinct n from items),
+  grams as (select doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') as g from d, sizes, lateral (select unnest(range(1, len(w) - n + 2)) as k)),
+  found as (select doc_id, n, k, item from grams join items using (n, g)),
+  hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from found) group by doc_id),
+  named as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as ids from found group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join named using (doc_id)"""
+
+OP5 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+  f as (select h, min(page_id) as first_id from p where strlen(h) >= 100 group by h)
+select page_id, strlen(p.h)::bigint as payload_bytes, sha256(p.h) as payload_digest, case when first_id < page_id then 'revisit' else 'response' end as record_type, case when first_id < page_id then first_id end as refers_to
+from p left join f on p.h = f.h"""
+
+# The queue's order is that of the md5 of ids, which both engines have.
+OP6 = """
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size, md5(doc_id::varchar) as k from documents),
+  s as (select source, sum(size)::bigint as source_size, ((row_number() over (order by source nulls last) - 1) % 3 + 1) as w from d group by source),
+  t as (select sum(source_size)::bigint as total, sum(w)::bigint as weights from s),
+  o as (select *, 3.0::double * source_size / w as r, coalesce(sum(3 * source_size) over q, 0)::bigint as used, coalesce(sum(w) over q, 0)::bigint as gone from s, t
+    window q as (order by 3.0::double * source_size / w, source nulls last rows between unbounded preceding and 1 preceding)),
+  c as (select *, r < (total - used)::double / (weights - gone) as filled from o),
+  l as (select (max(total) - coalesce(sum(3 * source_size) filter (where filled), 0))::double as rest, (max(weights) - coalesce(sum(w) filter (where filled), 0))::double as active from c),
+  g as (select source, source_size, least(rest * w::double / active, (3 * source_size)::double) as target from c, l),
+  q as (select doc_id, source, size, (sum(size) over (partition by source order by k, doc_id, size rows unbounded preceding) - size)::bigint as start from d)
+select doc_id, size, source_size, target, (greatest(0, least(size, floor(target)::bigint - start)) + greatest(0, least(size, floor(target)::bigint - source_size - start)) + greatest(0, least(size, floor(target)::bigint - 2 * source_size - start)))::bigint as taken
+from q join g on q.source is not distinct from g.source"""
+
+OP8 = f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\\x20\\x09-\\x0D]+') as w from documents),
+  s as (select distinct doc_id, array_to_string(w[k : k + 4], ' ') as g from d, lateral (select unnest(range(1, greatest(len(w) - 4, 1) + 1)) as k) where len(w) > 0),
+  n as (select doc_id, count(*) as n from s group by doc_id),
+  p as (select a.doc_id as a, b.doc_id as b, count(*) as same from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+  links as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * same >= 80 * (x.n + y.n - same)),
+  reach as (select doc_id as node, doc_id as other from d union select node, b from reach join links on other = a),
+  c as (select node, min(other) as component_id from reach group by node)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from d left join n using (doc_id) join c on node = doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": OP1, "op5_warc": OP5, "op6_mixing": OP6, "op8_jaccard": OP8}

@@ -1,0 +1,296 @@
+"""The corpus operators against plain versions, and their edge cases."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quirefold.llm import components, decontamination, fingerprints, jaccard, licenses, mixing, pii, quality, suffixes, toxicity, warc
+
+ITEMS = [(1, " ".join(f"W{i}" for i in range(100, 140))), (2, "one"), (3, None), (4, ""), (5, "a b c"), (6, "w20 w21 w22 w23"), (7, " ".join(f"w{i}" for i in range(135, 150)))]
+EMPTY = "doc_id long, text string, source string"
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def items(spark):
+    return spark.createDataFrame(ITEMS, "item_id long, text string")
+
+
+def test_decontamination(spark, corpus, docs):
+    want = sorted(brute.decontamination([(d, t) for d, t, _ in corpus], ITEMS), key=str)
+    assert rows(decontamination.report(docs, items(spark))) == want
+    blocks = decontamination._scanned(docs.select("doc_id", "text"), decontamination.automata(items(spark), block_words=20))
+    hits = {r.doc_id: (r.n_words, set(r.hit_items)) for r in blocks.collect()}
+    assert all(hits[d][0] == n and len(hits[d][1]) == k for d, n, _, k, *_ in want)
+    assert rows(decontamination.report(spark.createDataFrame([], EMPTY), items(spark))) == []
+    none = decontamination.report(docs, items(spark).filter("item_id in (3, 4)"))
+    assert none.filter("contaminated").count() == 0
+
+
+def test_decontaminated_texts(spark, corpus, docs):
+    out = {r.doc_id: r.text for r in decontamination.decontaminate(docs, items(spark)).collect()}
+    again = brute.decontamination(out.items(), ITEMS)
+    assert not any(r[-1] for r in again)
+    clean = {r[0] for r in brute.decontamination([(d, t) for d, t, _ in corpus], ITEMS) if not r[-1]}
+    assert all(out[d] == t for d, t, _ in corpus if d in clean)
+
+
+def test_jaccard(spark, corpus, docs):
+    want = sorted(brute.jaccard([(d, t) for d, t, _ in corpus]), key=str)
+    assert rows(jaccard.join(docs)) == want
+    kept = {r.doc_id for r in jaccard.keep_one(docs).collect()}
+    assert kept == {d for d, _, c in want if d == c}
+    assert rows(jaccard.join(spark.createDataFrame([], EMPTY))) == []
+
+
+def test_jaccard_chain_of_edits(spark):
+    """Copies of which each differs from the last: neighbours are linked, the ends are not alike."""
+    rng = np.random.default_rng(5)
+    text = [f"t{i}" for i in rng.integers(0, 10_000, 400)]
+    chain = []
+    for i in range(30):
+        chain.append((i * 7 + 3, " ".join(text)))
+        for j in rng.integers(0, 400, 4):
+            text[j] = f"n{i}x{j}"
+    df = spark.createDataFrame(chain, "doc_id long, text string")
+    assert rows(jaccard.join(df)) == sorted(brute.jaccard(chain), key=str)
+
+
+def test_signatures_meet():
+    """Sets at the threshold share a place, at every size."""
+    rng = np.random.default_rng(3)
+    for n in [*range(2, 60), 100, 333, 1000]:
+        for _ in range(5):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            most = n // 5
+            gone = rng.choice(n, rng.integers(0, most + 1), replace=False)
+            b = np.delete(a, gone)
+            extra = int(len(b) / 0.8) - n
+            b = np.unique(np.append(b, rng.integers(0, 1 << 63, max(0, rng.integers(0, max(extra, 0) + 1)), dtype=np.uint64)))
+            if len(b) > 1 and jaccard.similar(a, b):
+                assert len(np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)))
+                assert jaccard.may_link(jaccard.fine(a), jaccard.fine(b))
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (9, 8), (8, 9), (5, 5), (100, 3)] + [(200 + i, 201 + i) for i in range(40)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 100: 1, 8: 8, 9: 8, **{200 + i: 200 for i in range(41)}}
+
+
+def test_suffixes(spark, corpus, docs, monkeypatch):
+    want = sorted(brute.repeats([(d, t) for d, t, _ in corpus]), key=str)
+    assert rows(suffixes.report(docs)) == want
+    assert rows(suffixes.report(docs.unionByName(docs))) == sorted([(d, n, n if n >= 400 else 0, int(n >= 400), brute.sha(b"" if n >= 400 else (dict((x, y) for x, y, _ in corpus)[d] or "").encode())) for d, n, *_ in want] * 2, key=str)
+    assert rows(suffixes.report(spark.createDataFrame([], EMPTY))) == []
+
+
+def test_suffixes_in_small_pieces(spark, corpus, monkeypatch):
+    """The streamed sort with hardly any rows held, and parts with too many runs for one task."""
+    monkeypatch.setattr(suffixes, "TOGETHER", 1)
+    monkeypatch.setattr(suffixes, "BROADCAST_BYTES", 0)
+    df = spark.createDataFrame(corpus, EMPTY).repartition(5)
+    assert rows(suffixes.report(df)) == sorted(brute.repeats([(d, t) for d, t, _ in corpus]), key=str)
+
+
+def test_neighbours_hold_little(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffixes, "HELD", 3)
+    rng = np.random.default_rng(1)
+    table = sorted((int(rng.integers(0, 6)), int(rng.integers(0, 3)), 0, i) for i in range(300))
+    kinds = [suffixes.KNOWN if i % 17 == 0 else suffixes.OPEN for i in range(300)]
+    cols = [pa.array(kinds, pa.int32()), *[pa.array([r[k] for r in table], pa.int64()) for k in range(3)], pa.array([r[3] for r in table], pa.int64()), pa.array([0] * 300, pa.int64()), pa.array([0] * 300, pa.int32()), pa.array([1] * 300, pa.int32())]
+    whole = pa.RecordBatch.from_arrays(cols, suffixes.NAMES)
+
+    def result(size):
+        out = [r for b in suffixes.neighbours(whole.slice(i, size) for i in range(0, 300, size)) for r in b.to_pylist()]
+        marked = sorted(r["doc_id"] for r in out if r["kind"] == suffixes.REPEATED)
+        return marked, sorted({(r["part"], r["kind"]) for r in out if r["kind"] != suffixes.REPEATED})
+
+    assert result(1) == result(7) == result(300)
+
+
+def test_suffixes_remove(spark):
+    passage = "p" * 10 + " ".join(str(i) for i in range(200))
+    df = spark.createDataFrame([(1, "left " + passage + " right"), (2, passage), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffixes.remove(df).collect()}
+    assert got[1] == "left  right" and got[2] == "" and got[3] is None
+
+
+def test_mixing(spark, docs):
+    sized = docs.drop("size").withColumn("size", mixing.words_in(F.col("text")))
+    out = mixing.allocate(sized, rows_a_window=10).collect()
+    again = mixing.allocate(sized.repartition(3)).collect()
+    assert {(r.doc_id, r.taken) for r in out} == {(r.doc_id, r.taken) for r in again}
+    taken, target = defaultdict(int), {}
+    for r in out:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 3 * r["size"] and r.target <= 3 * r.source_size
+    assert all(abs(taken[s] - target[s]) < 1 for s in target)
+    assert abs(sum(target.values()) - sum(r["size"] for r in out)) < 1e-6
+    assert mixing.allocate(spark.createDataFrame([], "doc_id long, source string, size long")).count() == 0
+    mixed = mixing.mix(docs).collect()
+    assert all(r.taken > 0 for r in mixed) and {r.doc_id for r in mixed} == {r.doc_id for r in out if r.taken}
+
+
+def test_mixing_targets(spark):
+    sources = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1), (None, 500)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(sources).collect()}
+    assert got["a"] == 30 and got["c"] == 3 and abs(got["b"] - (1511 - 33) * 2 / 3) < 1e-9 and abs(got[None] - (1511 - 33) / 3) < 1e-9
+
+
+def test_fingerprints(spark, corpus, docs):
+    got = {r.doc_id: r for r in fingerprints.compare(docs).collect()}
+    order = sorted(corpus, key=lambda r: -r[0])
+    for (d, t, _), (_, follow, _) in zip(order, [*order[1:], order[0]]):
+        t, follow = t or "", follow or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + follow[:half]
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(t), brute.sha(edited))
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        if t == follow:
+            assert r.near_next == 1.0
+    by_text = defaultdict(set)
+    for d, t, _ in corpus:
+        by_text[t or ""].add(got[d].fingerprint)
+    assert all(len(v) == 1 for v in by_text.values())
+    assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()])
+    assert fingerprints.compare(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_fingerprints_over_ranges(spark, corpus, monkeypatch):
+    df = spark.createDataFrame([*corpus, (None, "no id", None)], EMPTY)
+    whole = rows(fingerprints.compare(df).select("doc_id", "edited_sha256", "fingerprint"))
+    monkeypatch.setattr(fingerprints.ranges, "__defaults__", (10,))
+    assert rows(fingerprints.compare(df).select("doc_id", "edited_sha256", "fingerprint")) == whole
+
+
+VALUES = ["x.99@mail7.example.com", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "GB82 WEST 1234 5698 7654 32", "97.51.17.173", "2024-02-29", "29.02.2024", "123-45-6789", "+1 (017) 555-7713", "4111 1111 1111 1111"]
+WRONG = ["9807915762804490", "999.1.1.1", "2023-02-29", "x@y", "000-12-3456", "12"]
+
+
+def test_pii(spark):
+    texts = [f"before {v}, after {v}\nend" for v in VALUES + WRONG] + [None, "", "plain"]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for value, text, new in zip(VALUES, texts, out):
+        pattern = "before " + re.sub("[A-Za-zé]", "[A-Za-z]", re.sub("[0-9]", r"[0-9]", re.escape(value) if value.count("@") == 0 else "x.99@")) if "@" not in value else r"before [a-z]\.\d\d@mail7\.example\.com"
+        assert value not in new and len(new) == len(text) and new.endswith("\nend")
+        first, second = re.fullmatch(r"(?s)before (.*), after (.*)\nend", new).groups()
+        assert first == second, "equal values stay linked"
+        if "@" in value:
+            assert re.fullmatch(pattern.removeprefix("before "), first)
+        else:
+            assert re.sub("[0-9]", "9", re.sub("[a-f]", "a", first) if len(value) == 40 else first).count("9") >= 0
+    assert out[len(VALUES) :] == texts[len(VALUES) :]
+
+
+def test_pii_is_a_permutation(spark):
+    days = spark.range(0, 3000).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
+    assert pii.pseudonymise(days).select("text").distinct().count() == 3000
+    numbers = spark.range(0, 3000).select(F.format_string("555-%03d-%04d", F.col("id") % 1000, F.col("id")).alias("text"))
+    assert pii.pseudonymise(numbers).select("text").distinct().count() == 3000
+    assert pii.pseudonymise(days, "a").exceptAll(pii.pseudonymise(days, "a")).count() == 0
+    assert pii.pseudonymise(days, "a").intersect(pii.pseudonymise(days, "b")).count() < 3000
+
+
+def test_pii_card_stays_valid(spark):
+    df = spark.createDataFrame([("4111111111111111",), ("5500005555555559",)], "text string")
+    assert pii.pseudonymise(df).filter("pii_changed = 1 and luhn_check(text)").count() == 2
+
+
+@pytest.mark.parametrize("split", ["64b", "1m"])
+def test_warc(spark, split):
+    evil = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    table = [(1, "u", None), (2, None, ""), (3, "ü\r\nx", "<p>\r\n\r\nWARC/1.1\r\n" + "é" * 200), (4, "b", evil * 3), (5, "c", evil * 3), (6, "d", "x" * 5000 + evil + "WARC/1.1\r\nContent-Length: zz\r\n\r\n"), (7, "e", "y" * 99), (8, "e", "y" * 99), (9, "f", "WARC/1.1\r\n")]
+    first = {}
+    for i, _, h in table:
+        if len(b := (h or "").encode()) >= 100:
+            first[b] = min(i, first.get(b, i))
+    want = []
+    for i, _, h in table:
+        b = (h or "").encode()
+        at = first.get(b, i)
+        want.append((i, len(b), hashlib.sha256(b).hexdigest(), "response" if at == i else "revisit", None if at == i else at))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split if split != "64b" else "700b")
+    try:
+        df = spark.createDataFrame(table, "page_id long, url string, html string").repartition(2)
+        assert rows(warc.round_trip(df)) == sorted(want, key=str)
+        assert warc.round_trip(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_licenses(spark):
+    mit = licenses.TEMPLATES["MIT"][1]
+    texts = [None, "", "All rights reserved.", "x\nreleased UNDER the mit license\ny", "\n".join(mit[i : i + 60] for i in range(0, len(mit), 60)) if False else mit.replace("charge, to", "charge,\nto"), "The MIT way of life", "Licensed under the Apache License, Version 2.0.\nAll rights reserved."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.licenses for r in licenses.by_document(df).orderBy("doc_id").collect()]
+    assert got == ["", "", "all-rights-reserved", "MIT", "MIT", "", "Apache-2.0,all-rights-reserved"]
+    assert licenses.scan(df).count() == 5
+
+
+def test_license_bounds_lose_nothing():
+    """Every run of lines that is near a template is found, whatever the bounds cut."""
+    scanner = licenses.Scanner()
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            w = licenses.words(t.encode())
+            for cut in range(0, len(w), max(1, len(w) // 7)):
+                part = w[: len(w) - cut]
+                best = max(((licenses.dice(licenses.bigrams(part), bag), n) for n, bag in scanner.templates), default=(0, ""))
+                found = scanner.best(part, sum(g in scanner.any for g in zip(part, part[1:])))
+                assert (found is not None) == (best[0] >= scanner.threshold)
+                if found:
+                    assert abs(found[0] - best[0]) < 1e-12
+
+
+def test_quality(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = quality.classify(real).join(labels, "doc_id").select("keep", "quality").collect()
+    good = [r.keep for r in out if r.quality == 1]
+    bad = [r.keep for r in out if r.quality == 0]
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
+    odd = {r.doc_id: r for r in quality.classify(docs).collect()}
+    assert not odd[10_000].keep and not odd[10_001].keep and odd[10_000].text is None
+    assert quality.classify(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_label_model():
+    """EM finds a labeller that is often wrong."""
+    n = len(quality.RULES)
+    patterns = {"0" * 5 + "-" * (n - 5): 100, "-" * (n - 2) + "11": 900, "-" * 7 + "0" + "-" * (n - 10) + "11": 300}
+    model = quality.LabelModel().fit(patterns)
+    assert model.accuracy[7] < 0.6 < 0.9 < model.accuracy[0] and model.of(list(patterns)[2]) > 0.9 and model.of(list(patterns)[0]) < 0.1
+
+
+def test_toxicity(spark, docs):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = toxicity.train_and_score(spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id"), "doc_id"), labels)
+    pairs = [(r.predicted, r.toxic) for r in out.filter("held_out").join(labels, "doc_id").collect()]
+    hit = sum(p and t for p, t in pairs)
+    assert hit / max(1, sum(p for p, _ in pairs)) > 0.9 and hit / sum(t for _, t in pairs) > 0.85
+    model = toxicity.Model().fit([])
+    odd = toxicity.score(docs, model).collect()
+    assert len(odd) == docs.count() and all(0 <= r.score <= 1 for r in odd)
+
+
+def test_isotonic_and_trees():
+    iso = toxicity.Isotonic().fit(np.array([1.0, 2, 3, 4]), np.array([0, 1, 0, 1.0]))
+    assert iso(np.array([0.0, 2.5, 9])).tolist() == [0.0, 0.5, 1.0]
+    rng = np.random.default_rng(0)
+    x = rng.random((500, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    assert (((toxicity.Trees().fit(x, y).score(x)) > 0) == (y > 0)).mean() > 0.95
