@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,30 @@ def columns_in(df: DataFrame, schema: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in schema])
 
 
+Batches = Iterator[pa.RecordBatch]
+#: Rows of a batch that are Python objects at once.
+SLICE = 256
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, giving the memory that it has freed back to the machine at its end: workers live on for later stages."""
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # no such call in other C libraries
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def slices(column: pa.Array) -> Iterator[list]:
+    """The bytes of a text column, SLICE rows at a time; the column itself isn't copied."""
+    raw = column.cast(pa.binary())
+    for i in range(0, len(raw), SLICE):
+        yield raw.slice(i, SLICE).to_pylist()
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

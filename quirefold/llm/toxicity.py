@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.llm.common import SLICE, lean
+
 #: Labelled rows that are fitted at most, those of least hash.
-SAMPLE = 8_000
+SAMPLE = 6_000
 #: Word beginnings in the learned lexicon at most.
 LEARNED = 2_000
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
@@ -51,28 +53,41 @@ def beginnings(word: str) -> list[str]:
 
 
 class Lexicon:
-    """Word beginnings that mark label 1, with their log odds: those that tell the labels apart best, in four rows or more."""
-
-    def __init__(self, bags: list[tuple[set[str], int]], most: int = LEARNED):
-        held = (Counter(), Counter())
-        n = [0, 0]
-        for bag, label in bags:
-            n[label] += 1
-            held[label].update(bag)
-        odds = {}
-        for g, pos in held[1].items():
-            if pos + held[0][g] >= 4:
-                odds[g] = float(np.log((pos + 0.5) / (n[1] + 1)) - np.log((held[0][g] + 0.5) / (n[0] + 1)))
-        strong = [g for g, o in odds.items() if o > 2.0]
-        self.odds = {g: odds[g] for g in sorted(strong, key=lambda g: (-odds[g] * np.sqrt(held[1][g]), g))[:most]}
+    """Word beginnings that mark label 1, with their log odds: those that tell the labels apart best, in four rows or more.
+
+    Rows are (hashed beginnings, text, label); hashes are counted, and only strong ones are looked up in the texts.
+    """
+
+    def __init__(self, rows: list[tuple[np.ndarray, str, int]], most: int = LEARNED):
+        counts = []
+        for y in (0, 1):
+            held = [h for h, _, label in rows if label == y]
+            counts.append(np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint32), np.empty(0, np.int64)))
+        (seen, often), (marked, pos) = counts
+        at = np.minimum(np.searchsorted(seen, marked), max(len(seen) - 1, 0))
+        neg = np.where(seen[at] == marked, often[at], 0) if len(seen) else np.zeros(len(marked), np.int64)
+        n = [sum(1 for _, _, label in rows if label == y) for y in (0, 1)]
+        odds = np.log((pos + 0.5) / (n[1] + 1)) - np.log((neg + 0.5) / (n[0] + 1))
+        strong = (odds > 2.0) & (pos + neg >= 4)
+        order = np.lexsort((marked[strong], -odds[strong] * np.sqrt(pos[strong])))[:most]
+        best = dict(zip(marked[strong][order].tolist(), odds[strong][order].tolist()))
+        self.odds: dict[str, float] = {}
+        for _, text, label in rows:
+            if label and best:
+                for w in set(_LETTERS.findall(text.lower())):
+                    for g in beginnings(w):
+                        if (h := zlib.crc32(g.encode())) in best:
+                            self.odds[g] = best[h]
         self.first = {g[:3] for g in self.odds}
 
     def __call__(self, word: str) -> float:
         return max((self.odds.get(b, 0.0) for b in beginnings(word)), default=0.0) if word[:3] in self.first else 0.0
 
 
-def bag(text: str) -> set[str]:
-    return {b for w in set(_LETTERS.findall(text.lower())) for b in beginnings(w)}
+def bag(text: str) -> np.ndarray:
+    """Sorted distinct hashes of the beginnings of a text's words."""
+    found = {zlib.crc32(g.encode()) for w in set(_LETTERS.findall(text.lower())) for g in beginnings(w)}
+    return np.sort(np.fromiter(found, np.uint32, len(found)))
 
 
 def features(text: str | None, marks: Lexicon) -> list[float]:
@@ -209,7 +224,7 @@ class Model:
     def fit(self, rows: list[tuple[str, str, int]]) -> Model:
         fold = np.array([zlib.crc32(f"fold {key}".encode()) % self.FOLDS for key, _, _ in rows], np.int64)
         y = np.array([label for _, _, label in rows], np.float64)
-        bags = [(bag(t or ""), label) for _, t, label in rows]
+        bags = [(bag(t or ""), t or "", label) for _, t, label in rows]
         x, out = np.zeros((len(rows), len(FEATURES))), np.zeros(len(rows))
         for k in range(self.FOLDS):
             marks = Lexicon([b for b, f in zip(bags, fold) if f != k])
@@ -246,10 +261,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = shared.value.predict(batch.column("text").to_pylist())
+            texts = batch.column("text")
+            p = np.concatenate([shared.value.predict(texts.slice(i, SLICE).to_pylist()) for i in range(0, len(texts), SLICE)] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
