@@ -189,27 +189,22 @@ class Trees:
 
 
 class Isotonic:
-    """A non-decreasing step function from scores to shares of label 1, by pooling adjacent violators."""
+    """A non-decreasing function from scores to shares of label 1: pooled adjacent violators, straight lines between pools."""
 
     def fit(self, score: np.ndarray, y: np.ndarray) -> Isotonic:
-        pools: list[list[float]] = []
+        pools: list[tuple[float, float, float, float]] = []  # lowest and highest score, sum of labels, rows
         for s, v in sorted(zip(score.tolist(), y.tolist())):
-            if pools and pools[-1][0] == s:
-                pools[-1][1] += v
-                pools[-1][2] += 1
-            else:
-                pools.append([s, v, 1.0])
-            while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-                s1, v1, n1 = pools.pop()
-                pools[-1] = [s1, pools[-1][1] + v1, pools[-1][2] + n1]
-        self.top = np.array([p[0] for p in pools])
-        self.share = np.array([p[1] / p[2] for p in pools])
+            pool = (s, s, v, 1.0)
+            while pools and (pools[-1][1] == pool[0] or pools[-1][2] * pool[3] >= pool[2] * pools[-1][3]):
+                low, _, labels, n = pools.pop()
+                pool = (low, pool[1], labels + pool[2], n + pool[3])
+            pools.append(pool)
+        self.at = np.array([x for p in pools for x in p[:2]])
+        self.share = np.array([p[2] / p[3] for p in pools for _ in range(2)])
         return self
 
     def __call__(self, score: np.ndarray) -> np.ndarray:
-        if not len(self.top):
-            return 1 / (1 + np.exp(-score))
-        return np.interp(score, self.top, self.share)
+        return np.interp(score, self.at, self.share) if len(self.at) else 1 / (1 + np.exp(-score))
 
 
 class Model:
