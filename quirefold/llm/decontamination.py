@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.llm.common import lean, slices
+
 WINDOW = 10
 #: Words of one automaton, about; an item is never split, so an automaton has as many words as the longest item at least.
 BLOCK_WORDS = 500_000
@@ -212,28 +214,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     return _scanned(docs, automata(benchmark, window, block_words))
 
 
-def _scanned(docs: DataFrame, models: list) -> DataFrame:
-    new = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("hit_items", T.ArrayType(T.StringType()))]
-    names = [f.name for f in new]
+def _scanned(docs: DataFrame, models: list, names: tuple[str, str, str] = ("n_words", "hit_words", "hit_items")) -> DataFrame:
+    new = [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType())), T.StructField(names[2], T.ArrayType(T.StringType()))]
     kept = docs.drop(*names)
     fields = kept.schema.fields
 
     def block(model, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = model.value.scan(batch.column("_dc_text").to_pylist())
+                found = [row for texts in slices(batch.column("text")) for row in model.value.scan(texts)]
                 ranges, items = [r for _, r, _ in found], [s for _, _, s in found]
                 if not first:
-                    ranges = [joined(a, b) for a, b in zip(ranges, batch.column("hit_words").to_pylist())]
-                    items = [a.union(b) for a, b in zip(items, batch.column("hit_items").to_pylist())]
+                    ranges = [joined(a, b) for a, b in zip(ranges, batch.column(names[1]).to_pylist())]
+                    items = [a.union(b) for a, b in zip(items, batch.column(names[2]).to_pylist())]
                 added = [pa.array([n for n, _, _ in found], pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array([sorted(s) for s in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in fields] + added, [f.name for f in fields] + names)
+                yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in fields] + added, [*[f.name for f in fields], *names])
 
         return run
 
     schema = T.StructType([*fields, *new])
     for k, model in enumerate(models):
-        kept = kept.withColumn("_dc_text", F.col("text").cast("binary")).mapInArrow(block(model, k == 0), schema)
+        kept = kept.mapInArrow(lean(block(model, k == 0)), schema)
     return kept
 
 
@@ -260,7 +261,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     they are. The columns are those of docs.
     """
     models = automata(benchmark, window, block_words)
-    scanned = _scanned(docs, models).withColumn("n_hit", n_hit(F.col("hit_words"))).filter(F.col("n_hit") <= F.col("n_words") * max_coverage)
+    scanned = _scanned(docs, models, ("_dc_words", "_dc_hit", "_dc_items")).filter(n_hit(F.col("_dc_hit")) <= F.col("_dc_words") * max_coverage)
     fields = docs.schema.fields
     at = [f.name for f in fields].index("text")
 
@@ -274,14 +275,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = batch.column("hit_words").to_pylist()
+            hits = batch.column("_dc_hit").to_pylist()
             arrays = [batch.column(f.name) for f in fields]
             if any(hits):
-                texts = batch.column("text").to_pylist()
-                arrays[at] = pa.array([clean(t.encode(), r) if r else t for t, r in zip(texts, hits)], batch.column("text").type)
+                arrays[at] = pa.array((clean(t.as_py().encode(), r) if r else t.as_py() for t, r in zip(batch.column("text"), hits)), batch.column("text").type)
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
-    return scanned.select(*docs.columns, "hit_words").mapInArrow(run, docs.schema)
+    return scanned.select(*docs.columns, "_dc_hit").mapInArrow(lean(run), docs.schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.llm.common import lean
+
 THRESHOLD = 0.85
 
 #: Licence notices, fixed texts by their SPDX-like names.
@@ -118,7 +120,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64()))], ["doc_id", "first_line", "last_line", "license", "dice"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, first_line int, last_line int, license string, dice double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, first_line int, last_line int, license string, dice double")
 
 
 def by_document(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -134,4 +136,4 @@ def by_document(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, th
                 ["doc_id", "n_notices", "licenses", "best_license", "best_dice"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_notices long, licenses string, best_license string, best_dice double")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, n_notices long, licenses string, best_license string, best_dice double")

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.llm.common import lean, slices
+
 #: Documents that train the scorer at most, those of least hash.
 SAMPLE = 6_000
 SLOTS = 1 << 12
@@ -187,10 +189,10 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, most: int = SAMPLE) -> tuple[LabelModel, Scorer]:
     """The label model from the vote patterns of all documents, at most 3 ** labellers, and the scorer from a sample."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    counted = texts.mapInArrow(_patterns, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    counted = texts.mapInArrow(lean(_patterns), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     labels = LabelModel().fit({r[0]: r[1] for r in counted})
     chosen = texts.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_examples, "doc_id long, pattern string, slots array<long>, values array<double>").collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(lean(_examples), "doc_id long, pattern string, slots array<long>, values array<double>").collect()
     rows = sorted(map(tuple, rows))[: 2 * most]  # of repeated ids, twice as many rows at most
     return labels, Scorer().fit([(np.array(s, np.int64), np.array(v), labels.of(p)) for _, p, s, v in rows])
 
@@ -211,8 +213,8 @@ def classify(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
         posterior, good, model = shared.value
         for batch in batches:
             rows = []
-            for t in batch.column("_q_text"):
-                got, shapes, n = traits(t.as_py())
+            for t in (t for texts in slices(batch.column("text")) for t in texts):
+                got, shapes, n = traits(t)
                 p = votes(got, n)
                 rows.append((p, posterior.get(p, good), model.score(*hashed(got, shapes, n)) if n else 0.0))
             s = np.array([r[2] for r in rows], np.float64)
@@ -220,4 +222,4 @@ def classify(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in fields] + added, [f.name for f in fields] + new)
 
     schema = T.StructType([*fields, T.StructField("votes", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("quality_score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
-    return kept.withColumn("_q_text", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)

@@ -179,18 +179,23 @@ VALUES = ["x.99@mail7.example.com", "04dbebab91ab85687d33eeaaf9ac699e1188f962",
 WRONG = ["9807915762804490", "999.1.1.1", "2023-02-29", "x@y", "000-12-3456", "12"]
 
 
+def form(value):
+    """A value with its digits and letters made equal; the numbers of an address may get other lengths."""
+    if re.fullmatch("[0-9.]+", value) and value.count(".") == 3:
+        return re.sub("[0-9]+", "9", value)
+    return re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", value)))
+
+
 def test_pii(spark):
     texts = [f"before {v}, after {v}\nend" for v in VALUES + WRONG] + [None, "", "plain"]
     out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
-    for value, text, new in zip(VALUES, texts, out):
-        pattern = "before " + re.sub("[A-Za-zé]", "[A-Za-z]", re.sub("[0-9]", r"[0-9]", re.escape(value) if value.count("@") == 0 else "x.99@")) if "@" not in value else r"before [a-z]\.\d\d@mail7\.example\.com"
-        assert value not in new and len(new) == len(text) and new.endswith("\nend")
+    for value, new in zip(VALUES, out):
         first, second = re.fullmatch(r"(?s)before (.*), after (.*)\nend", new).groups()
-        assert first == second, "equal values stay linked"
-        if "@" in value:
-            assert re.fullmatch(pattern.removeprefix("before "), first)
-        else:
-            assert re.sub("[0-9]", "9", re.sub("[a-f]", "a", first) if len(value) == 40 else first).count("9") >= 0
+        assert first == second != value
+        if len(value) == 40:
+            assert re.fullmatch("[0-9a-f]{40}", first)
+        elif "GB" not in value:
+            assert form(first) == form(value)
     assert out[len(VALUES) :] == texts[len(VALUES) :]
 
 
