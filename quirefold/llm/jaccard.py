@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import store
+from quirefold.llm.common import lean, store
 from quirefold.llm.components import components
 
 WORDS, SHARE = 5, (4, 5)  # words of a shingle; Jaccard threshold as a fraction
@@ -103,6 +103,22 @@ def counts(s: np.ndarray) -> np.ndarray:
     return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def fine(s: np.ndarray) -> bytes:
+    """Counts, 255 at most, of as many groups as the set has shingles or more, a power of two."""
+    size = max(256, 1 << (len(s) - 1).bit_length())
+    return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def may_link(x: bytes, y: bytes) -> bool:
+    """Whether the summed minima of fine counts leave room for a link; the finer vector is folded to the coarser."""
+    a, b = SHARE
+    u, v = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    if u.max() == 255 or v.max() == 255:
+        return True
+    v = v.reshape(-1, len(u)).sum(axis=0, dtype=np.int64)
+    return int(np.minimum(u, v).sum()) * (a + b) >= a * (int(u.sum(dtype=np.int64)) + int(v.sum()))
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     a, b = SHARE
     small, large = (x, y) if len(x) <= len(y) else (y, x)
@@ -155,7 +171,7 @@ def linked(sets: list[np.ndarray], group: list[int] | None = None) -> list[tuple
     out = []
     for i in range(len(sets)):
         near = tree.near(i)
-        for j in near[near < i].tolist():
+        for j in np.sort(near[near < i]).tolist():
             if find(i) != find(j) and similar(sets[i], sets[j]):
                 root[find(i)] = find(j)
                 out.append((i, j))
@@ -319,6 +335,18 @@ def vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(v, pa.binary())], ["node", "vector"])
 
 
+def fine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        v = [fine(np.frombuffer(x.as_py(), np.uint64)) for x in batch.column("shingles")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(v, pa.binary())], ["node", "fine"])
+
+
+def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [may_link(x.as_py(), y.as_py()) for x, y in zip(batch.column("fa"), batch.column("fb"))]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("sa"), batch.column("sb"))]
@@ -332,22 +360,26 @@ def join(docs: DataFrame) -> DataFrame:
     linked with nothing. Rows of equal id are one document whose links unite. Repeated rows each give a row.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sets = store(texts.mapInArrow(set_rows, "doc_id long, n long, key binary"), "sets")
+    sets = store(texts.mapInArrow(lean(set_rows), "doc_id long, n long, key binary"), "sets")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    places = texts.mapInArrow(place_rows, "place long, node long").repartition(parts, "place").sortWithinPartitions("place", "node")
-    met = store(places.mapInArrow(meeting_rows, "place long, node long, hub long"), "met")
+    places = texts.mapInArrow(lean(place_rows), "place long, node long").repartition(parts, "place").sortWithinPartitions("place", "node")
+    met = store(places.mapInArrow(lean(meeting_rows), "place long, node long, hub long"), "met")
     known = met.select("node").distinct()
     known = F.broadcast(known) if known.count() <= NODES_TO_BROADCAST else known
-    profiles = store(texts.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(profile_rows, "node long, shingles binary"), "profiles")
-
-    # First round: every node with those that share its most frequent hub.
-    hubs = met.filter("node <> hub").groupBy("node", "hub").count().groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
+    profiles = store(texts.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(lean(profile_rows), "node long, shingles binary"), "profiles")
+
+    # First round: every node with those that share its most frequent hub. A place's hub is its most central node, the
+    # one that meets most others anywhere: of an original and its edited copies that is the original.
+    sizes = met.groupBy("place").agg(F.count("*").alias("size"))
+    central = met.join(sizes, "place").groupBy("node").agg(F.sum("size").alias("meets"))
+    heads = met.select("place", "node").join(central, "node").groupBy("place").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("hub"))
+    hubs = met.select("place", "node").join(heads, "place").filter("node <> hub").groupBy("node", "hub").count().groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
     hubs = store(hubs, "hubs")
     tiles = hubs.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     members = hubs.join(tiles, "hub").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).select("hub", "tile", "node")
     heads = tiles.select("hub", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("hub").alias("node"))
-    blocks = members.unionByName(heads).join(profiles, "node").repartition(parts, "hub", "tile").sortWithinPartitions("hub", "tile", "node")
-    first = store(blocks.mapInArrow(link_rows(["hub", "tile"]), "a long, b long"), "links")
+    blocks = members.unionByName(heads).join(profiles, "node").repartition(parts, "hub", "tile").sortWithinPartitions("hub", "tile", F.col("node") != F.col("hub"), "node")
+    first = store(blocks.mapInArrow(lean(link_rows(["hub", "tile"])), "a long, b long"), "links")
     same = sets.filter("key is not null and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("b"))
     equal = sets.join(same, ["key", "n"]).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     links = store(first.unionByName(equal), "links")
@@ -360,13 +392,16 @@ def join(docs: DataFrame) -> DataFrame:
     mixed_places = apart.groupBy("place").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("code")).filter("lo <> hi")
     mixed_places = mixed_places.groupBy("n", "code").agg(F.min("place").alias("place")).select("place", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     left = apart.join(mixed_places, "place").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    vectors = profiles.mapInArrow(vector_rows, "node long, vector binary").dropDuplicates(["node"])
+    vectors = profiles.mapInArrow(lean(vector_rows), "node long, vector binary").dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")
     squares = left.select("place", "node", "component", "tile", other).select("place", "node", "component", "tile", F.least("tile", "o").alias("x"), F.greatest("tile", "o").alias("y"))
     squares = squares.join(vectors, "node").repartition(parts, "place", "x", "y").sortWithinPartitions("place", "x", "y", "node")
-    pairs = squares.mapInArrow(near_pairs, "a long, b long").distinct()
+    pairs = squares.mapInArrow(lean(near_pairs), "a long, b long").distinct()
+    finer = store(profiles.mapInArrow(lean(fine_rows), "node long, fine binary"), "fine")
+    a, b = (finer.select(F.col("node").alias(k), F.col("fine").alias(f"f{k}")) for k in "ab")
+    pairs = store(pairs.join(a, "a").join(b, "b").select("a", "b", "fa", "fb").mapInArrow(lean(possible), "a long, b long"), "pairs")
     a, b = (profiles.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    second = store(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(verified, "a long, b long"), "links")
+    second = store(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(lean(verified), "a long, b long"), "links")
     final = components(links.unionByName(second)) if second.head(1) else found
     named = sets.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
