@@ -27,7 +27,7 @@ from quirefold.llm.common import lean, store
 from quirefold.llm.components import components
 
 WORDS, SHARE = 5, (4, 5)  # words of a shingle; Jaccard threshold as a fraction
-GROUPS = 64  # coordinates of a count vector
+GROUPS = 512  # coordinates of a count vector, a power of two
 LEAF = 16
 TILE = 1024  # documents compared in one task at once
 NODES_TO_BROADCAST = 2_000_000  # 8 bytes each
@@ -103,6 +103,21 @@ def counts(s: np.ndarray) -> np.ndarray:
     return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def packed(v: np.ndarray) -> bytes:
+    """Counts as planes of bytes, the lowest first, as many as are needed."""
+    out = [(v & 255).astype(np.uint8).tobytes()]
+    while (v := v >> 8).any():
+        out.append((v & 255).astype(np.uint8).tobytes())
+    return b"".join(out)
+
+
+def unpacked(planes: bytes) -> np.ndarray:
+    out = np.zeros(GROUPS, np.int32)
+    for k in range(0, len(planes), GROUPS):
+        out += np.frombuffer(planes, np.uint8, GROUPS, k).astype(np.int32) << (8 * (k // GROUPS))
+    return out
+
+
 def fine(s: np.ndarray) -> bytes:
     """Counts, 255 at most, of as many groups as the set has shingles or more, a power of two."""
     size = max(256, 1 << (len(s) - 1).bit_length())
@@ -315,7 +330,7 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = rows.column("component").to_numpy()
         cross = rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
         tile = rows.column("tile").to_numpy()
-        points = np.stack([np.frombuffer(x.as_py(), np.int32) for x in rows.column("vector")])
+        points = np.stack([unpacked(x.as_py()) for x in rows.column("vector")])
         tree = CountTree(points)
         a, b = [], []
         for i in range(len(nodes)):
@@ -331,7 +346,7 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        v = [counts(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in batch.column("shingles")]
+        v = [packed(counts(np.frombuffer(x.as_py(), np.uint64))) for x in batch.column("shingles")]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(v, pa.binary())], ["node", "vector"])
 
 
