@@ -7,7 +7,7 @@ equal strings are sampled at equal places:
 1. sample: in each string of 400 bytes, the part of 256 bytes of least hash. Starts of strings with the same sampled
    part stand together in a run; a run is named by a hash of all bytes that its strings cover.
 2. sort runs by the sampled part and then by name, and compare neighbours: strings of a run that has an equal
-   neighbour are repeated. A sampled part that occurs once is dropped: no string around it is repeated.
+   neighbour are repeated. Equal runs that one task sees are compared there, before the sort. A sampled part that occurs once is dropped: no string around it is repeated.
 3. remaining: where a sampled part occurs in runs of different names, one run of each name is read again, its strings
    of 400 are named and sorted, and neighbours compared.
 
@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import store
+from quirefold.llm.common import lean, store
 
 LENGTH, SAMPLED = 400, 256
-#: Ids and names that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes that are broadcast at most, about; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Bytes of a document that are hashed at once; places in it take 24 bits.
 CHUNK = 4 << 20
 #: Rows of one run or part that are held at once; runs of one part that are compared in one task.
@@ -90,16 +90,28 @@ def runs(text: bytes, length: int = LENGTH, sampled: int = SAMPLED) -> Iterator[
             yield part, at + lo, n, xxhash.xxh3_128_digest(piece[lo : lo + n - 1 + length], seed=place - lo)
 
 
-RUN = "part long, name1 long, name2 long, doc_id long, tag long, lo int, n int"
-NAMES = ["part", "name1", "name2", "doc_id", "tag", "lo", "n"]
+#: What is known of a run: all its strings are repeated; nothing yet; that it is repeated, and it stands for its equals.
+REPEATED, OPEN, KNOWN = 0, 1, 2
+RUN = "kind int, part long, name1 long, name2 long, doc_id long, tag long, lo int, n int"
+NAMES = ["kind", "part", "name1", "name2", "doc_id", "tag", "lo", "n"]
 
 
 def run_rows(length: int, sampled: int):
+    """Runs; of equal runs that a task sees together only one goes on as KNOWN, and all are passed on as REPEATED."""
+
     def emit(rows: list, parts: list, names: list) -> pa.RecordBatch:
         ids, tags, los, ns = zip(*rows)
         name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-        arrays = [pa.array(np.array(parts, np.uint64).view(np.int64)), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(los, pa.int32()), pa.array(ns, pa.int32())]
-        return pa.RecordBatch.from_arrays(arrays, NAMES)
+        part = np.array(parts, np.uint64).view(np.int64)
+        order = np.lexsort((name[:, 1], name[:, 0], part))
+        p, a, b = part[order], name[order, 0], name[order, 1]
+        same = (p[1:] == p[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        again = np.append(same, False) | np.append(False, same)
+        first = again & ~np.append(False, same)
+        at = np.concatenate([order[~again], order[again], order[first]])
+        kind = np.repeat(np.array([OPEN, REPEATED, KNOWN], np.int32), [(~again).sum(), again.sum(), first.sum()])
+        whole = [part, name[:, 0], name[:, 1], np.array(ids, np.int64), np.array(tags, np.int64), np.array(los, np.int32), np.array(ns, np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(kind), *[pa.array(np.ascontiguousarray(c[at])) for c in whole]], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,77 +132,59 @@ def run_rows(length: int, sampled: int):
     return run
 
 
-#: What becomes of a run: all its strings are repeated; it is to be read again; it is to be read again for others' sake.
-REPEATED, OPEN, KNOWN = 0, 1, 2
-
-
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, part, doc_id, tag, lo, n) of runs sorted by part and name."""
-    names = ["part", "name1", "name2", "tag", "lo", "n"]
+    """(kind, part, doc_id, tag, lo, n) of OPEN and KNOWN runs sorted by part and name.
+
+    REPEATED rows for OPEN runs with an equal neighbour; one OPEN or KNOWN row for each name of a part that has several.
+    """
+    names = ["kind", "part", "name1", "name2", "doc_id", "tag", "lo", "n"]
     held: dict[str, np.ndarray] | None = None
-    ids = pa.array([], pa.int64())
-    many = False  # the held rows' part has other names that were passed on
-    marked = False  # the held rows' first is the only one kept of a long run, which was passed on as repeated
+    many = False  # other names of the held rows' part were passed on
 
-    def out(c: dict[str, np.ndarray], ids: pa.Array, several: bool, was_marked: bool) -> Iterator[pa.RecordBatch]:
-        """Pass on whole runs of whole parts, or of one part of which it is known whether it has several names."""
+    def out(c: dict[str, np.ndarray], several: bool = False) -> Iterator[pa.RecordBatch]:
+        """Pass on whole runs of whole parts, or of one part that is known to have several names."""
         if not len(c["part"]):
             return
         new_part = np.append(True, c["part"][1:] != c["part"][:-1])
         new_run = new_part | np.append(True, (c["name1"][1:] != c["name1"][:-1]) | (c["name2"][1:] != c["name2"][:-1]))
         of_run = np.cumsum(new_run) - 1
-        size = np.bincount(of_run)
-        part_of_run = np.cumsum(new_part)[new_run] - 1
-        kinds = np.bincount(part_of_run)[part_of_run]
-        again = size > 1
-        again[0] |= was_marked
-        reread = (kinds > 1) | several
+        known = c["kind"] == KNOWN
+        again = (np.bincount(of_run) > 1) | (np.bincount(of_run, known) > 0)
+        of_part = (np.cumsum(new_part) - 1)[new_run]
+        reread = (np.bincount(of_part)[of_part] > 1) | several
         first = np.flatnonzero(new_run)
-        repeated = np.repeat(again, size)
-        if was_marked:
-            repeated[0] = False
-        picks = [(REPEATED, np.flatnonzero(repeated)), (OPEN, first[reread & ~again]), (KNOWN, first[reread & again])]
-        for kind, at in picks:
+        for kind, at in ((REPEATED, np.flatnonzero(again[of_run] & ~known)), (OPEN, first[reread & ~again]), (KNOWN, first[reread & again])):
             if len(at):
-                arrays = [pa.array(np.full(len(at), kind, np.int32)), pa.array(c["part"][at]), ids.take(pa.array(at)), pa.array(c["tag"][at]), pa.array(c["lo"][at]), pa.array(c["n"][at])]
-                yield pa.RecordBatch.from_arrays(arrays, ["kind", "part", "doc_id", "tag", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *[pa.array(c[k][at]) for k in ("part", "doc_id", "tag", "lo", "n")]], ["kind", "part", "doc_id", "tag", "lo", "n"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        c = {k: batch.column(k).to_numpy() for k in names}
-        new = batch.column("doc_id")
+        c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
         if held is not None:
             c = {k: np.concatenate([held[k], c[k]]) for k in names}
-            new = pa.concat_arrays([ids, new])
         cut = int(np.searchsorted(c["part"], c["part"][-1]))
         if cut:
-            yield from out({k: v[:cut] for k, v in c.items()}, new[:cut], False, False) if not (many or marked) else _first_part(out, c, new, cut, many, marked)
-            many = marked = False
-            c, new = {k: v[cut:] for k, v in c.items()}, new[cut:]
+            end = int(np.searchsorted(c["part"], c["part"][0], side="right"))
+            yield from out({k: v[:end] for k, v in c.items()}, many)
+            yield from out({k: v[end:cut] for k, v in c.items()})
+            many = False
+            c = {k: v[cut:] for k, v in c.items()}
         if len(c["part"]) > HELD:
-            same = (c["name1"] == c["name1"][-1]) & (c["name2"] == c["name2"][-1])
-            last = int(np.argmax(same))
+            last = int(np.argmax((c["name1"] == c["name1"][-1]) & (c["name2"] == c["name2"][-1])))
             if last:
-                yield from out({k: v[:last] for k, v in c.items()}, new[:last], True, marked)
-                many, marked = True, False
-                c, new = {k: v[last:] for k, v in c.items()}, new[last:]
-            if len(c["part"]) > HELD:  # one run: all of it is repeated, its first row stands for it
-                at = np.arange(int(marked), len(c["part"]))
-                arrays = [pa.array(np.full(len(at), REPEATED, np.int32)), pa.array(c["part"][at]), new.take(pa.array(at)), pa.array(c["tag"][at]), pa.array(c["lo"][at]), pa.array(c["n"][at])]
-                yield pa.RecordBatch.from_arrays(arrays, ["kind", "part", "doc_id", "tag", "lo", "n"])
-                marked = True
-                c, new = {k: v[:1] for k, v in c.items()}, new[:1]
-        held, ids = c, new
+                yield from out({k: v[:last] for k, v in c.items()}, True)
+                many = True
+                c = {k: v[last:] for k, v in c.items()}
+            if len(c["part"]) > HELD:  # one run: its rows are passed on but for one, which stands for it
+                at = np.flatnonzero(c["kind"] == OPEN)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), REPEATED, np.int32)), *[pa.array(c[k][at]) for k in ("part", "doc_id", "tag", "lo", "n")]], ["kind", "part", "doc_id", "tag", "lo", "n"])
+                c = {k: v[:1].copy() for k, v in c.items()}
+                c["kind"][:] = KNOWN
+        held = c
     if held is not None:
-        yield from out(held, ids, many, marked)
-
-
-def _first_part(out, c: dict[str, np.ndarray], ids: pa.Array, cut: int, many: bool, marked: bool) -> Iterator[pa.RecordBatch]:
-    """The held part by itself, then the parts up to cut."""
-    end = int(np.searchsorted(c["part"], c["part"][0], side="right"))
-    yield from out({k: v[:end] for k, v in c.items()}, ids[:end], many, marked)
-    yield from out({k: v[end:cut] for k, v in c.items()}, ids[end:cut], False, False)
+        yield from out(held, many)
 
 
 def span_rows(length: int):
@@ -292,8 +286,11 @@ def kept_bytes(text: bytes, ranges: list[list[int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, list_column: str | None = None) -> DataFrame:
+    """df, to be broadcast if its rows and the entries of its list, at 32 bytes each, stay within BROADCAST_BYTES."""
+    entries = F.coalesce(F.sum(F.size(list_column)), F.lit(0)) if list_column else F.lit(0)
+    rows, more = df.agg(F.count("*"), entries).first()
+    return F.broadcast(df) if 32 * (rows + more) <= BROADCAST_BYTES else df
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> DataFrame:
@@ -310,22 +307,23 @@ def repeats(docs: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> Da
     spare = whole.filter("not doc_id <=> first").select("doc_id", "tag").distinct()
     once = base.join(_small(spare.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"))), F.expr("doc_id <=> d and tag = t"), "left_anti")
 
-    rows = once.select("doc_id", "tag", "text").mapInArrow(run_rows(length, sampled), RUN).repartition(parts, "part").sortWithinPartitions("part", "name1", "name2", "doc_id", "lo")
-    decided = store(rows.mapInArrow(neighbours, "kind int, part long, doc_id long, tag long, lo int, n int"), "decided")
+    found = store(once.select("doc_id", "tag", "text").mapInArrow(lean(run_rows(length, sampled)), RUN), "runs")
+    rows = found.filter(F.col("kind") != REPEATED).repartition(parts, "part").sortWithinPartitions("part", "name1", "name2", "doc_id", "lo")
+    decided = store(rows.mapInArrow(lean(neighbours), "kind int, part long, doc_id long, tag long, lo int, n int"), "decided")
     again = decided.filter(F.col("kind") != REPEATED)
     lists = again.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("part", "kind", "lo", "n")).alias("again")).select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "again")
     lists = store(lists, "again")
-    spans = once.join(_small(lists), F.expr("doc_id <=> d and tag = t")).select("doc_id", "tag", "text", "again").mapInArrow(span_rows(length), "part long, kind int, doc_id long, tag long, lo int, n int, span binary")
+    spans = once.join(_small(lists, "again"), F.expr("doc_id <=> d and tag = t")).select("doc_id", "tag", "text", "again").mapInArrow(lean(span_rows(length)), "part long, kind int, doc_id long, tag long, lo int, n int, span binary")
     large = store(again.groupBy("part").count().filter(F.col("count") > TOGETHER).select("part"), "large")
-    marks = decided.filter(F.col("kind") == REPEATED).select("doc_id", "tag", "lo", "n")
+    marks = decided.select("kind", "doc_id", "tag", "lo", "n").unionByName(found.select("kind", "doc_id", "tag", "lo", "n")).filter(F.col("kind") == REPEATED).drop("kind")
     marks = marks.unionByName(whole.select("doc_id", "tag", F.lit(0).alias("lo"), (F.col("size") - length + 1).alias("n")))
     few = spans
     if large.head(1):
         few = spans.join(_small(large), "part", "left_anti")
-        strings = spans.join(_small(large), "part", "left_semi").mapInArrow(name_rows(length), "name binary, kind int, doc_id long, tag long, at int")
-        found = strings.groupBy("name").count().filter("count > 1").select("name")
-        marks = marks.unionByName(strings.filter(F.col("kind") == OPEN).join(found, "name").select("doc_id", "tag", F.col("at").alias("lo"), F.lit(1).alias("n")))
-    settled = few.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(reread(length), "doc_id long, tag long, lo int, n int")
+        strings = spans.join(_small(large), "part", "left_semi").mapInArrow(lean(name_rows(length)), "name binary, kind int, doc_id long, tag long, at int")
+        twice = strings.groupBy("name").count().filter("count > 1").select("name")
+        marks = marks.unionByName(strings.filter(F.col("kind") == OPEN).join(twice, "name").select("doc_id", "tag", F.col("at").alias("lo"), F.lit(1).alias("n")))
+    settled = few.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(reread(length)), "doc_id long, tag long, lo int, n int")
     marks = marks.unionByName(settled)
     return store(marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("marks")), "marks")
 
@@ -333,7 +331,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> Da
 def _with_marks(docs: DataFrame, length: int, sampled: int) -> DataFrame:
     found = repeats(docs, length, sampled).select(F.col("doc_id").alias("_sx_doc"), F.col("tag").alias("_sx_tag"), F.col("marks").alias("_sx_marks"))
     rows = docs.withColumn("_sx_text", F.coalesce("text", F.lit("")).cast("binary"))
-    return rows.join(_small(found), F.col("doc_id").cast("long").eqNullSafe(F.col("_sx_doc")) & (F.xxhash64("_sx_text") == F.col("_sx_tag")), "left")
+    return rows.join(_small(found, "_sx_marks"), F.col("doc_id").cast("long").eqNullSafe(F.col("_sx_doc")) & (F.xxhash64("_sx_text") == F.col("_sx_tag")), "left")
 
 
 def report(docs: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> DataFrame:
@@ -353,7 +351,7 @@ def report(docs: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_marks(slim, length, sampled).select("doc_id", "_sx_text", "_sx_marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_marks(slim, length, sampled).select("doc_id", "_sx_text", "_sx_marks").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> DataFrame:
@@ -369,4 +367,4 @@ def remove(docs: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> Dat
             arrays[at] = pa.array(new, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
-    return _with_marks(docs, length, sampled).select(*docs.columns, "_sx_marks").mapInArrow(run, docs.schema)
+    return _with_marks(docs, length, sampled).select(*docs.columns, "_sx_marks").mapInArrow(lean(run), docs.schema)
