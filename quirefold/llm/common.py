@@ -22,20 +22,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    A temporary folder stands in where the setting is missing and the session runs on this machine alone, as in tests;
+    on a cluster a missing setting is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quirefold-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+_PATH = "_quirefold_path"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it again: lineage is cut and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more; other tables are left alone."""
+    path = getattr(df, _PATH, None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def replaced(df: DataFrame, name: str, old: DataFrame) -> DataFrame:
+    """df, stored; then old, which df was worked out from and nothing else reads, is deleted."""
+    out = store(df, name)
+    discard(old)
+    return out
 
 
 def columns_in(df: DataFrame, schema: list[str]) -> DataFrame:

@@ -1,27 +1,35 @@
 """WARC archives: writing pages as records, and reading records back along their verified boundary chain.
 
 Reading cuts the archives at every occurrence of the magic line, in splits of any size. Each cut is only a candidate:
-its header names the length of its block and so the offset at which the next record must begin. From the start of each
-file these successor offsets are followed by pointer jumping (each round doubles the reach), and only candidates that
-are reached are records; magic lines inside payloads are not, and their pieces go back to the record around them.
-
-Whatever Spark can read can hold archives, since only Spark's own text source and sink touch them.
+its header names the length of its block and so the offset at which the next record must begin. Every task follows
+these successor offsets inside its split and emits, for each candidate, where the chain from there leaves the split;
+pointer jumping over those rows from the start of each file finds the one place where each split is entered. A second
+pass follows the chain from that place: only candidates that it reaches are records; magic lines inside payloads are
+not, and their pieces go back to the record around them.
+
+Both passes read the archives in place: texts are never shuffled, but for pieces of a record that is torn over splits
+by a magic line in its payload. Whatever Spark can read can hold archives, since only Spark's own text source and sink
+touch them.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import shared_dir, store
+from quirefold.llm.common import lean, replaced, shared_dir, store
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 LEAST_SHARED = 100  # bytes of a payload from which equal ones are written once
-DIGESTS_TO_BROADCAST = 500_000
-#: Rounds of pointer jumping reach 2 ** ROUNDS records of a file.
-ROUNDS = 40
+#: Rows of one payload are dealt over so many keys, should it be common and the join be shuffled.
+SALTS = 8
+#: A split's two offsets and its place take fewer bytes; splits are as many as the archives have blocks.
+SPLIT_BYTES = 200
+MOST_BROADCAST = 256 << 20
 
 
 def _line(name: str, value: Column | str) -> Column:
@@ -29,13 +37,18 @@ def _line(name: str, value: Column | str) -> Column:
 
 
 def with_types(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
-    """pages with payload, payload_bytes, payload_digest, record_type and refers_to."""
+    """pages with payload, payload_bytes, payload_digest, record_type and refers_to; columns of those names are replaced.
+
+    First ids are found among digests alone. Their join with the pages is left to Spark, which broadcasts a side only
+    if its size is small and shuffles otherwise; rows of one digest are dealt over SALTS keys then.
+    """
     rows = pages.withColumn("payload", F.coalesce("html", F.lit(""))).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2(F.col("payload").cast("binary"), 256))
-    shared = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    shared = store(shared, "warc-shared")
-    shared = F.broadcast(shared) if shared.count() <= DIGESTS_TO_BROADCAST else shared
-    again = F.coalesce(F.col("first_id") < F.col("page_id"), F.col("first_id").isNotNull() & F.col("page_id").isNull())
-    return rows.join(shared, "payload_digest", "left").withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first_id"))).drop("first_id")
+    rows = rows.withColumn("_wa_salt", F.when(F.col("payload_bytes") >= least, F.pmod(F.xxhash64("page_id"), F.lit(SALTS))))
+    shared = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("_wa_first"), F.count("*").alias("_wa_n")).filter("_wa_n > 1").drop("_wa_n")
+    shared = store(shared, "warc-shared").withColumn("_wa_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    first = F.col("_wa_first")
+    again = F.coalesce(first < F.col("page_id"), first.isNotNull() & F.col("page_id").isNull())
+    return rows.join(shared, ["payload_digest", "_wa_salt"], "left").withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, first)).drop("_wa_first", "_wa_salt")
 
 
 def record(date: str) -> Column:
@@ -67,22 +80,6 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", least
     with_types(pages, least).select(record(date).alias("value")).write.option("lineSep", END).text(path)
 
 
-def pieces(df: DataFrame) -> DataFrame:
-    """(file, at, size, head, text): what stands behind each magic line, `at` being the magic line's offset.
-
-    What stands before a file's first magic line is left out.
-    """
-    m = len(MAGIC)
-    rows = df.select("value", F.octet_length("value").cast("long").alias("size"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("first", (F.col("block") == 0))
-    sums = rows.groupBy("file", "block").agg(F.sum(F.col("size") + m).alias("held"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("held")
-    inside = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_in", F.coalesce(F.sum(F.col("size") + m).over(inside), F.lit(0)))
-    return placed.join(starts, ["file", "block"]).withColumn("at", F.col("base") + F.col("_in") - m).filter("at >= 0").select("file", "at", "size", F.col("value").alias("text"))
-
-
 def archives(spark, path: str) -> DataFrame:
     return spark.read.option("lineSep", MAGIC).text(path)
 
@@ -97,6 +94,7 @@ def parsed(text: Column) -> dict[str, Column]:
     block = F.substring(text, F.length(head) + len(END) + 1, F.length(text))
     http = F.substring_index(block, END, 1)
     length = F.when(F.instr(text, END) > 0, _field(head, "Content-Length").try_cast("long"))
+    length = F.when(length >= 0, length)
     skip = F.octet_length(head) + 2 * len(END) + F.octet_length(http)
     size = length - F.octet_length(http) - len(END)
     payload = F.substring(text.cast("binary"), skip + 1, F.greatest(size, F.lit(0)).cast("int"))
@@ -112,45 +110,148 @@ def parsed(text: Column) -> dict[str, Column]:
     }
 
 
-def reached(jumps: DataFrame) -> DataFrame:
-    """(file, at) of the candidates that the chain from a file's start arrives at. jumps: (file, at, to)."""
-    found = store(jumps.filter("at = 0").select("file", "at", F.lit(0).alias("round")), "warc-reached")
-    n = found.count()
-    for _ in range(ROUNDS):
-        step = found.join(jumps, ["file", "at"]).select("file", F.col("to").alias("at"))
-        known = jumps.select("file", "at")
-        found = store(found.select("file", "at").unionByName(step.join(known, ["file", "at"], "left_semi")).distinct(), "warc-reached")
-        more = found.count()
-        if more == n:
-            break
-        n = more
-        ahead = jumps.select("file", F.col("at").alias("to"), F.col("to").alias("then"))
-        jumps = store(jumps.join(ahead, ["file", "to"], "left").select("file", "at", F.coalesce("then", "to").alias("to")), "warc-jumps")
-    return found.select("file", "at")
+def _by_split(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[bool, tuple]]:
+    """(whether a split begins, row) of rows that come in the order of their splits."""
+    last = None
+    for batch in batches:
+        for row in zip(*[batch.column(c).to_pylist() for c in names]):
+            yield (row[0], row[1]) != last, row
+            last = row[0], row[1]
+
+
+def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, block, held, at, to, last) of the candidates of each split; offsets count from the split's first piece.
+
+    `to` is where the chain from a candidate arrives outside the split, `last` the last record before that. One row
+    more a split, without `at`, says how many bytes its pieces hold.
+    """
+    m = len(MAGIC)
+    names = ["file", "block", "size", "whole"]
+
+    def settle(file: str, block: int, held: int, jump: dict[int, int]) -> pa.RecordBatch:
+        out: dict[int, tuple[int, int]] = {}
+        for at in sorted(jump, reverse=True):  # successors lie behind, so they are settled first
+            out[at] = out.get(jump[at], (jump[at], at))
+        n = len(out) + 1
+        columns = [[file] * n, [block] * n, [held] * n, [None, *out], [None, *[x for x, _ in out.values()]], [None, *[y for _, y in out.values()]]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 5))], ["file", "block", "held", "at", "to", "last"])
+
+    file, block, held, jump = None, 0, 0, {}
+    for new, (f, b, size, whole) in _by_split(batches, names):
+        if new and file is not None:
+            yield settle(file, block, held, jump)
+        if new:
+            file, block, held, jump = f, b, 0, {}
+        if whole is not None:
+            jump[held] = held + m + whole
+        held += size + m
+    if file is not None:
+        yield settle(file, block, held, jump)
+
+
+def entries(found: DataFrame) -> DataFrame:
+    """(file, block, base, entry, owner) of each split: its place in the file, where a record first begins in it, and
+    the record that reaches into it from before. found: the rows of `exits`."""
+    m = len(MAGIC)
+    sizes = found.filter("at is null").select("file", "block", "held")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # Text before the first magic line comes as a piece like others, though no magic line stands before it.
+    splits = store(sizes.withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0)) - m).drop("held"), "warc-splits")
+    most = splits.groupBy("file").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    placed = found.filter("at is not null").join(splits, ["file", "block"])
+    base = F.col("base")
+    jumps = store(placed.select("file", "block", (base + F.col("at")).alias("at"), (base + F.col("to")).alias("to"), (base + F.col("last")).alias("last")).filter("at >= 0"), "warc-jumps")
+    reached, far = jumps.filter("at = 0").select("file", "at"), jumps.select("file", "at", "to")
+    reach = 1
+    while reach < most:  # each round doubles the number of splits that the chain has passed
+        step = reached.join(far, ["file", "at"]).select("file", F.col("to").alias("at")).join(jumps.select("file", "at"), ["file", "at"], "left_semi")
+        reached = replaced(reached.unionByName(step).distinct(), "warc-reached", reached)
+        ahead = far.select("file", F.col("at").alias("to"), F.col("to").alias("then"))
+        far = replaced(far.join(ahead, ["file", "to"]).select("file", "at", F.col("then").alias("to")), "warc-far", far)
+        reach *= 2
+    passed = reached.join(jumps, ["file", "at"]).groupBy("file", "block").agg(F.min("at").alias("entry"), F.max("last").alias("last"))
+    owner = F.last("last", ignorenulls=True).over(before)
+    return store(splits.join(passed, ["file", "block"], "left").withColumn("owner", owner).drop("last"), "warc-entries")
+
+
+PART = "file string, at long, owner long, whole boolean, text binary"
+
+
+def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, at, owner, whole, text): records that are whole inside a split, and the pieces of those that are not."""
+    m, magic = len(MAGIC), MAGIC.encode()
+    rows: list[tuple] = []
+    held = 0
+    now: list | None = None  # file, offset, length, pieces of the record that is being put together
+    at = due = 0
+
+    def give(file: str, at: int, owner: int, whole: bool, text: bytes) -> None:
+        nonlocal held
+        rows.append((file, at, owner, whole, text))
+        held += len(text)
+
+    def done() -> None:
+        nonlocal now
+        if now:
+            text = magic.join(now[3])
+            give(now[0], now[1], now[1], len(text) >= now[2], text)
+            now = None
+
+    def batch() -> pa.RecordBatch:
+        nonlocal held
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["file", "at", "owner", "whole", "text"])
+        rows.clear()
+        held = 0
+        return out
+
+    for new, (file, _, base, entry, owner, length, text) in _by_split(batches, ["file", "block", "base", "entry", "owner", "length", "text"]):
+        if new:
+            done()
+            at, due = base, entry
+        if at == due and length is not None:
+            done()
+            now, due = [file, at, length, [text]], at + m + length
+        elif now:
+            now[3].append(text)
+        elif owner is not None and at >= 0:
+            give(file, at, owner, False, text)
+        at += len(text) + m
+        if held > 8 << 20 or len(rows) > 2000:
+            yield batch()
+    done()
+    if rows:
+        yield batch()
+
+
+def texts(spark, path: str) -> DataFrame:
+    """(text) of every record of the archives, what follows its magic line; records cut off by a file's end are left out."""
+    cut = archives(spark, path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    whole = parsed(F.col("value"))["whole"]
+    found = store(cut.select("file", "block", F.octet_length("value").cast("long").alias("size"), whole.alias("whole")).mapInArrow(lean(exits), "file string, block long, held long, at long, to long, last long"), "warc-exits")
+    splits = entries(found)
+    placed = cut.withColumn("length", whole)
+    if splits.count() * SPLIT_BYTES <= MOST_BROADCAST:  # a short row for each split, which keeps the rows' order
+        placed = placed.join(F.broadcast(splits), ["file", "block"])
+    else:
+        placed = placed.withColumn("row", F.monotonically_increasing_id()).join(splits, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "row")
+    parts = placed.select("file", "block", "base", "entry", "owner", "length", F.col("value").cast("binary").alias("text")).mapInArrow(lean(chained), PART)
+    out = parts.filter("whole").select("text")
+    torn = parts.filter("not whole")
+    if torn.head(1):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("text").cast("string").alias("text")))), lambda p: p["text"]), MAGIC)
+        out = out.unionByName(torn.groupBy("file", "owner").agg(joined.cast("binary").alias("text"), F.min("at").alias("at")).filter("at = owner").select("text"))
+    text = F.col("text").cast("string")
+    return out.select(text.alias("text")).filter(F.octet_length("text") >= parsed(F.col("text"))["whole"])
 
 
 def read(spark, path: str) -> DataFrame:
-    """(page_id, url, record_type, refers_to, payload, declared, declared_bytes) of every record of the archives."""
-    cut = pieces(archives(spark, path))
+    """(page_id, url, record_type, refers_to, payload, declared, declared_bytes) of every record of the archives.
+
+    An archive without a magic line, or an empty folder of archives, has no records; from a broken link of the chain to
+    the end of its file none are returned, whatever follows.
+    """
     said = parsed(F.col("text"))
-    index = store(cut.select("file", "at", "size", said["whole"].alias("whole")), "warc-index")
-    m = len(MAGIC)
-    records = reached(index.filter("whole is not null").select("file", "at", (F.col("at") + m + F.col("whole")).alias("to")))
-    marked = index.join(records.withColumn("real", F.lit(True)), ["file", "at"], "left")
-    marked = store(marked.withColumn("real", F.coalesce("real", F.lit(False))), "warc-marked")
-    split = marked.filter("not real or whole > size").select("file").distinct()  # files with a magic line in a payload
-    split = store(split, "warc-split")
-    names = ["page_id", "url", "record_type", "refers_to", "payload", "declared", "declared_bytes"]
-    whole = cut.join(records, ["file", "at"], "left_semi")
-    if not split.head(1):
-        return whole.select(*[said[c].alias(c) for c in names])
-    chain = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    owned = marked.join(split, "file", "left_semi").withColumn("owner", F.max(F.when(F.col("real"), F.col("at"))).over(chain)).filter("owner is not null")
-    torn = owned.filter("not real").select("file", "owner").distinct()
-    parts = owned.join(torn, ["file", "owner"], "left_semi").select("file", "at", "owner")
-    texts = cut.join(parts, ["file", "at"]).groupBy("file", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda p: p["text"]), MAGIC).alias("text"))
-    rest = whole.join(torn.withColumnRenamed("owner", "at"), ["file", "at"], "left_anti").select("text").unionByName(texts.select("text"))
-    return rest.select(*[said[c].alias(c) for c in names])
+    return texts(spark, path).select(*[said[c].alias(c) for c in ("page_id", "url", "record_type", "refers_to", "payload", "declared", "declared_bytes")])
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
