@@ -25,8 +25,6 @@ from quirefold.llm.common import lean, replaced, shared_dir, store
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 LEAST_SHARED = 100  # bytes of a payload from which equal ones are written once
-#: Rows of one payload are dealt over so many keys, should it be common and the join be shuffled.
-SALTS = 8
 #: A split's two offsets and its place take fewer bytes; splits are as many as the archives have blocks.
 SPLIT_BYTES = 200
 MOST_BROADCAST = 256 << 20
@@ -39,16 +37,15 @@ def _line(name: str, value: Column | str) -> Column:
 def with_types(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     """pages with payload, payload_bytes, payload_digest, record_type and refers_to; columns of those names are replaced.
 
-    First ids are found among digests alone. Their join with the pages is left to Spark, which broadcasts a side only
-    if its size is small and shuffles otherwise; rows of one digest are dealt over SALTS keys then.
+    First ids are found among digests alone. Their join with the pages is left to Spark, which broadcasts the digests
+    only if their files are small, and otherwise shuffles once and splits common digests (adaptive skew join).
     """
     rows = pages.withColumn("payload", F.coalesce("html", F.lit(""))).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2(F.col("payload").cast("binary"), 256))
-    rows = rows.withColumn("_wa_salt", F.when(F.col("payload_bytes") >= least, F.pmod(F.xxhash64("page_id"), F.lit(SALTS))))
     shared = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("_wa_first"), F.count("*").alias("_wa_n")).filter("_wa_n > 1").drop("_wa_n")
-    shared = store(shared, "warc-shared").withColumn("_wa_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    shared = store(shared, "warc-shared")
     first = F.col("_wa_first")
     again = F.coalesce(first < F.col("page_id"), first.isNotNull() & F.col("page_id").isNull())
-    return rows.join(shared, ["payload_digest", "_wa_salt"], "left").withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, first)).drop("_wa_first", "_wa_salt")
+    return rows.join(shared, "payload_digest", "left").withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, first)).drop("_wa_first")
 
 
 def record(date: str) -> Column:
