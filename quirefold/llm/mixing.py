@@ -1,9 +1,10 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame functions only.
 
 Every document waits in the queue of its source, in an order shuffled by a hash of its id. Pass e of a document has the
-virtual finish time (e * words of the source + words up to and with the document) / weight. Served by finish time until
-the budget is used up, a source stops where its weight times the final virtual time ends, or when its passes are over.
-That time is found exactly by resharing what full sources leave over (`targets`), so truncation needs no global scan.
+virtual finish time (e * words of the source + words up to and with the document) / weight. A source stops where its
+target ends (`targets` reshares what sources at their limit of passes leave over); the document there is cut, so that
+it finishes at the target. All passes are range-sorted by finish time, the words before each are summed up over the
+ranges, and the mix is truncated where the total budget is used up (`truncation`).
 """
 
 from __future__ import annotations
@@ -26,63 +27,109 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(common.BLANK_SEPARATED)), F.lit(0)).cast("long")
 
 
-def shuffle_key(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+def shuffle_key(doc_id: Column, size: Column) -> Column:
+    return F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("null "), size.cast("string"))))
 
 
-def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES) -> DataFrame:
-    """(source, source_size) with weight and target: the whole size shared by weight, at most `passes` times a source.
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, budget: int | None = None) -> DataFrame:
+    """(source, source_size) with place, weight and target: the budget shared by weight, at most `passes` times a source.
 
-    Each round fills the sources whose share lies above their limit and shares the rest again; the driver sees three
-    sums a round and no source.
+    The budget is the size of all sources unless it is given. Each round fills the sources whose share lies above their
+    limit and shares the rest again; the driver sees three sums a round and no source.
     """
     placed = common.ranked(sources, [F.col("source").asc_nulls_last()], "place")
     cycle = F.array(*[F.lit(w) for w in weights])
     w = F.get(cycle, ((F.col("place") - 1) % len(weights)).cast("int")).cast("long")
-    placed = common.store(placed.withColumn("weight", w).drop("place"), "mix-sources")
+    placed = common.store(placed.withColumn("weight", w), "mix-sources")
     limit = F.col("source_size") * passes
     total, weight = placed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
-    left, active, full_before = total, weight, -1
+    whole = total if budget is None else budget
+    left, active, full_before = whole, weight, -1
     while active:
         above = limit.cast("double") * active < F.lit(float(left)) * F.col("weight")
         full, used, gone = placed.filter(above).agg(F.count("*"), F.coalesce(F.sum(limit), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
         if full == full_before:
             break
-        full_before, left, active = full, total - used, weight - gone
+        full_before, left, active = full, whole - used, weight - gone
     share = F.lit(float(left)) * F.col("weight").cast("double") / F.lit(float(active or 1))
     return placed.withColumn("target", F.least(share, limit.cast("double")))
 
 
-def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, rows_a_window: int = ROWS_A_WINDOW) -> DataFrame:
+def _piece(e: int) -> Column:
+    """Words of pass e of a document that lie before its source's target."""
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("source_size") * e - F.col("_mx_start")))
+
+
+def _finish(e: int) -> Column:
+    return (F.col("source_size") * e + F.col("_mx_start") + _piece(e)) / F.col("weight")
+
+
+def truncation(queued: DataFrame, budget: int, passes: int = MAX_PASSES) -> tuple[float, int, int] | None:
+    """(finish, place, words) of the pass in which the budget ends: passes before it in the order by finish time and
+    place of the source are taken, of itself so many words, later ones not. None if the budget holds all.
+
+    Passes are range-sorted; the driver sees the range in which the budget ends, and that range's one row.
+    """
+    each = F.array(*[F.struct(_piece(e).alias("words"), _finish(e).alias("finish")) for e in range(passes)])
+    rows = queued.select("place", F.explode(F.filter(each, lambda x: x["words"] > 0)).alias("p")).select("place", "p.words", "p.finish")
+    order = ["finish", "place"]
+    parts = common.store(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-order")
+    sums = parts.groupBy("part").agg(F.sum("words").alias("words"))
+    upto = F.sum("words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))  # one row a range
+    found = sums.withColumn("upto", upto).filter(F.col("upto") > budget).orderBy("part").first()
+    if found is None:
+        return None
+    left = budget - (found["upto"] - found["words"])
+    # Two numbers a pass: the rows of this one range, which one task sorts.
+    inside = parts.filter(F.col("part") == found["part"])
+    before = F.sum("words").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    row = inside.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") + F.col("words") > left).orderBy(*order).first()
+    return float(row["finish"]), int(row["place"]), int(left - row["before"])
+
+
+def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, rows_a_window: int = ROWS_A_WINDOW, budget: int | None = None) -> DataFrame:
     """sized (doc_id, source, size and any other columns) with source_size, target, taken and finish.
 
     taken counts the words that the mix takes of a document, repeats counted; the document at a source's end is cut at
-    the target. finish is the virtual finish time of the first pass. Null sources are one source; null ids count as an
-    empty id; equal ids are ordered by size; an empty table gives an empty result; input columns with the names of
-    result columns are replaced.
+    the target. finish is the virtual finish time of the first pass. Null sources are one source; null ids are
+    ordered by size; equal ids are ordered by size, and rows equal in both are taken one after the other; an empty
+    table gives an empty result; input columns with the names of result columns are replaced.
     """
-    rows = sized.count()
+    rows, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     digits = max(1, math.ceil(math.log(max(rows, 1) / rows_a_window, 16))) if rows > rows_a_window else 1
-    keyed = sized.drop("source_size", "target", "taken", "finish").withColumn("_mx_key", shuffle_key(F.col("doc_id"))).withColumn("_mx_window", F.substring("_mx_key", 1, digits))
+    keyed = sized.drop("source_size", "target", "taken", "finish").withColumn("_mx_key", shuffle_key(F.col("doc_id"), F.col("size"))).withColumn("_mx_window", F.substring("_mx_key", 1, digits))
     windows = common.store(keyed.groupBy("source", "_mx_window").agg(F.sum("size").alias("_mx_size")), "mix-windows")
-    plan = targets(windows.groupBy("source").agg(F.sum("_mx_size").alias("source_size")), weights, passes)
+    plan = targets(windows.groupBy("source").agg(F.sum("_mx_size").alias("source_size")), weights, passes, budget)
     before = Window.partitionBy("source").orderBy("_mx_window").rowsBetween(Window.unboundedPreceding, -1)
     starts = windows.withColumn("_mx_before", F.coalesce(F.sum("_mx_size").over(before), F.lit(0))).drop("_mx_size")
-    starts = starts.alias("w").join(plan.alias("p"), F.col("w.source").eqNullSafe(F.col("p.source"))).select(F.col("w.source").alias("_mx_source"), F.col("_mx_window").alias("_mx_window2"), "_mx_before", "source_size", "target", "weight")
+    starts = starts.alias("w").join(plan.alias("p"), F.col("w.source").eqNullSafe(F.col("p.source"))).select(F.col("w.source").alias("_mx_source"), F.col("_mx_window").alias("_mx_window2"), "_mx_before", "source_size", "target", "weight", "place")
+    starts = common.store(starts, "mix-starts")
     queue = Window.partitionBy("source", "_mx_window").orderBy("_mx_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = keyed.withColumn("_mx_upto", F.sum("size").over(queue))
-    joined = queued.join(starts, queued["source"].eqNullSafe(starts["_mx_source"]) & (queued["_mx_window"] == starts["_mx_window2"]))
-    start = F.col("_mx_before") + F.col("_mx_upto") - F.col("size")
-    cut = F.floor("target")
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), cut - F.col("source_size") * e - start)) for e in range(passes)), F.lit(0))
-    out = joined.withColumn("taken", taken.cast("long")).withColumn("finish", (F.col("_mx_before") + F.col("_mx_upto")) / F.col("weight"))
-    return out.drop("_mx_key", "_mx_window", "_mx_window2", "_mx_source", "_mx_before", "_mx_upto", "weight")
+
+    def queued(keyed: DataFrame) -> DataFrame:
+        upto = keyed.withColumn("_mx_upto", F.sum("size").over(queue))
+        joined = upto.join(starts, upto["source"].eqNullSafe(starts["_mx_source"]) & (upto["_mx_window"] == starts["_mx_window2"]))
+        return joined.withColumn("_mx_start", F.col("_mx_before") + F.col("_mx_upto") - F.col("size"))
+
+    cut = truncation(queued(keyed.select("doc_id", "source", "size", "_mx_key", "_mx_window")), words if budget is None else budget, passes)
+
+    def within(e: int) -> Column:
+        if cut is None:
+            return _piece(e)
+        finish, place, left = cut
+        earlier = (_finish(e) < finish) | ((_finish(e) == finish) & (F.col("place") < place))
+        return F.when(earlier, _piece(e)).when((_finish(e) == finish) & (F.col("place") == place), F.least(_piece(e), F.lit(left))).otherwise(F.lit(0))
+
+    taken = sum((within(e) for e in range(passes)), F.lit(0))
+    out = queued(keyed).withColumn("taken", taken.cast("long")).withColumn("finish", (F.col("_mx_start") + F.col("size")) / F.col("weight"))
+    return out.drop("_mx_key", "_mx_window", "_mx_window2", "_mx_source", "_mx_before", "_mx_upto", "_mx_start", "weight", "place")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, budget: int | None = None) -> DataFrame:
     """The mixed documents in serving order: all columns of docs, size, source_size, target, taken, finish.
 
-    Documents that the mix doesn't reach go. A null text has size 0 and is never taken.
+    budget: words of the mix, repeats counted; as many as the documents have unless it is given. Documents that the mix
+    doesn't reach go. A null text has size 0 and is never taken. Columns of docs with the five names are replaced.
     """
-    out = allocate(docs.withColumn("size", words_in(F.col("text"))), weights, passes)
+    out = allocate(docs.withColumn("size", words_in(F.col("text"))), weights, passes, budget=budget)
     return out.filter("taken > 0").repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")

@@ -82,7 +82,7 @@ from p left join f on p.h = f.h"""
 
 # The queue's order is that of the md5 of ids, which both engines have.
 OP6 = """
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size, md5(doc_id::varchar) as k from documents),
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, 'null ' || len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')))) as k from documents),
   s as (select source, sum(size)::bigint as source_size, ((row_number() over (order by source nulls last) - 1) % 3 + 1) as w from d group by source),
   t as (select sum(source_size)::bigint as total, sum(w)::bigint as weights from s),
   o as (select *, 3.0::double * source_size / w as r, coalesce(sum(3 * source_size) over q, 0)::bigint as used, coalesce(sum(w) over q, 0)::bigint as gone from s, t
