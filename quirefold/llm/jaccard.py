@@ -31,7 +31,7 @@ GROUPS = 512  # coordinates of a count vector, a power of two
 LEAF = 16
 TILE = 1024  # documents compared in one task at once
 NODES_TO_BROADCAST = 2_000_000  # 8 bytes each
-CHUNK_BYTES = 2 << 20
+SALTS = 8  # keys over which copies of one set are dealt when they get their names
 #: Where a meeting place holds more documents than this, its member list is no longer compared with those of others.
 LONG = 100_000
 
@@ -54,10 +54,13 @@ def shingles(text: bytes | None) -> np.ndarray:
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     if len(h) < WORDS:
         return mixed(np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64))
-    total = np.zeros(len(h) - WORDS + 1, np.uint64)
-    for i in range(WORDS):
-        total += mixed(h[i : len(h) - WORDS + 1 + i] + _ODD[i]) * _ODD[i]
-    return np.unique(mixed(total))
+    n = len(h) - WORDS + 1
+    total = h[:n] * _ODD[0]
+    for i in range(1, WORDS):
+        total += h[i : n + i] * _ODD[i]
+    out = mixed(total)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def bands() -> list[int]:
@@ -144,6 +147,12 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return same * b >= a * (len(x) + len(y) - same)
 
 
+def near_among(points: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The points whose overlap with q may be large enough, by the summed minima of coordinates."""
+    a, b = SHARE
+    return np.flatnonzero(np.minimum(points, q).sum(axis=1) * (a + b) >= a * (int(q.sum()) + points.sum(axis=1)))
+
+
 class CountTree:
     """A packed R-tree of count vectors: points sorted by size and tiled into leaves, boxes of the leaves above them."""
 
@@ -252,13 +261,13 @@ def _places(places: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch
 
 
 def meeting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, node, hub) where two nodes or more meet, of (place, node) sorted; places of equal members once a task.
+    """(place, node, size) where two nodes or more meet, of (place, node) sorted; places of equal members once a task.
 
-    A place that more than LONG nodes share is passed on in parts as it comes.
+    A place that more than LONG nodes share is passed on in parts as it comes, with the sizes of the parts.
     """
     seen: set[int] = set()
     place, nodes = np.empty(0, np.int64), np.empty(0, np.int64)
-    hubs: dict[int, int] = {}  # the hub of the one place that is being passed on
+    split: int | None = None  # the one place that is being passed on in parts
 
     def out(p: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(p):
@@ -266,18 +275,19 @@ def meeting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.diff(p, prepend=p[0] - 1))
         size = np.diff(first, append=len(p))
         code = np.add.reduceat(mixed(n.view(np.uint64) + np.uint64(1)), first)
-        keep = (size > 1) | np.array([int(x) in hubs for x in p[first]] if hubs else np.zeros(len(first), bool))
-        for k in np.flatnonzero(keep & (size > 1)).tolist():
-            if int(p[first[k]]) in hubs:
+        keep = size > 1
+        if split is not None:
+            keep |= p[first] == split
+        for k in np.flatnonzero(keep).tolist():
+            if split is not None and int(p[first[k]]) == split:
                 continue
             if int(code[k]) in seen:
                 keep[k] = False
             elif len(seen) < 1_000_000:
                 seen.add(int(code[k]))
-        hub = np.repeat([hubs.get(int(x), int(m)) if hubs else int(m) for x, m in zip(p[first], n[first])], size).astype(np.int64)
         rows = np.repeat(keep, size)
         if rows.any():
-            yield pa.RecordBatch.from_arrays([pa.array(p[rows]), pa.array(n[rows]), pa.array(hub[rows])], ["place", "node", "hub"])
+            yield pa.RecordBatch.from_arrays([pa.array(p[rows]), pa.array(n[rows]), pa.array(np.repeat(size, size)[rows])], ["place", "node", "size"])
 
     for batch in batches:
         p, n = batch.column("place").to_numpy(), batch.column("node").to_numpy()
@@ -289,18 +299,36 @@ def meeting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, n = p[fresh], n[fresh]
         done = int(np.searchsorted(p, p[-1]))
         if len(p) - done > LONG:
-            last = int(p[-1])
-            hubs.setdefault(last, int(n[done]))
-            yield from out(p, n)
+            yield from out(p[:done], n[:done])
+            split = int(p[-1])
+            yield from out(p[done:], n[done:])
             place, nodes = p[-1:], n[-1:]  # repeated once, which does no harm
         else:
             yield from out(p[:done], n[:done])
+            split = split if split == int(p[-1]) else None
             place, nodes = p[done:], n[done:]
-        for x in [x for x in hubs if x != int(p[-1])]:
-            del hubs[x]
     yield from out(place, nodes)
 
 
+def hub_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, hub, n) of (place, node) sorted by place with a place's hub first: how often they meet, counted by batch."""
+    place = hub = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        p, n = batch.column("place").to_numpy(), batch.column("node").to_numpy()
+        first = np.flatnonzero(np.append(p[0] != place, p[1:] != p[:-1]))
+        lead = np.repeat(n[first], np.diff(first, append=len(p)))
+        lead = np.concatenate([np.full(len(p) - len(lead), hub if hub is not None else 0, np.int64), lead])
+        place, hub = p[-1], lead[-1]
+        order = np.lexsort((lead, n))
+        a, b = n[order], lead[order]
+        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        often = np.diff(at, append=len(a))
+        kept = a[at] != b[at]
+        yield pa.RecordBatch.from_arrays([pa.array(a[at][kept]), pa.array(b[at][kept]), pa.array(often[kept])], ["node", "hub", "n"])
+
+
 def profile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, shingles): the sorted hashes, 8 bytes each."""
     for batch in batches:
@@ -324,24 +352,58 @@ def link_rows(keys: list[str]):
 
 
 def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of nodes in different components at one place whose count vectors let them be linked."""
-    for rows in runs(batches, ["place", "x", "y"]):
-        nodes = rows.column("node").to_numpy()
-        part = rows.column("component").to_numpy()
-        cross = rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
-        tile = rows.column("tile").to_numpy()
-        points = np.stack([unpacked(x.as_py()) for x in rows.column("vector")])
-        tree = CountTree(points)
-        a, b = [], []
-        for i in range(len(nodes)):
-            near = tree.near(i)
-            near = near[(near < i) & (part[near] != part[i])]
+    """(a, b) of nodes in different components at one place whose count vectors let them be linked.
+
+    Rows come sorted by (place, x, y). A place of one leaf needs no tree: its points are compared with each other.
+    """
+    names = ["place", "x", "y", "node", "component", "tile"]
+    held: tuple[np.ndarray, list[bytes]] | None = None
+    found: list[np.ndarray] = []
+
+    def square(rows: np.ndarray, planes: list[bytes]) -> None:
+        _, x, y, nodes, part, tile = rows
+        if len(nodes) < 2 or (part == part[0]).all():
+            return
+        cross = x[0] != y[0]
+        if all(len(v) == GROUPS for v in planes):
+            points = np.frombuffer(b"".join(planes), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+        else:
+            points = np.stack([unpacked(v) for v in planes])
+        tree = CountTree(points) if len(points) > LEAF else None
+        for i in range(1, len(nodes)):
+            if tree:
+                near = tree.near(i)
+                near = near[near < i]
+            else:
+                near = near_among(points[:i], points[i])
+            near = near[part[near] != part[i]]
             near = near[tile[near] != tile[i]] if cross else near
-            a.append(np.full(len(near), nodes[i]))
-            b.append(nodes[near])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            if len(near):
+                found.append(np.stack([np.maximum(nodes[near], nodes[i]), np.minimum(nodes[near], nodes[i])]))
+
+    def pairs() -> pa.RecordBatch:
+        both = np.concatenate(found, axis=1)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
+        planes = batch.column("vector").to_pylist()
+        if held is not None:
+            rows, planes = np.concatenate([held[0], rows], axis=1), held[1] + planes
+        cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
+        ends = [0, *cuts.tolist()]
+        for lo, hi in zip(ends, ends[1:]):
+            square(rows[:, lo:hi], planes[lo:hi])
+        held = rows[:, ends[-1] :], planes[ends[-1] :]
+        if found:
+            yield pairs()
+    if held is not None:
+        square(*held)
+    if found:
+        yield pairs()
 
 
 def vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,25 +440,29 @@ def join(docs: DataFrame) -> DataFrame:
     sets = store(texts.mapInArrow(lean(set_rows), "doc_id long, n long, key binary"), "sets")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     places = texts.mapInArrow(lean(place_rows), "place long, node long").repartition(parts, "place").sortWithinPartitions("place", "node")
-    met = store(places.mapInArrow(lean(meeting_rows), "place long, node long, hub long"), "met")
-    known = met.select("node").distinct()
-    known = F.broadcast(known) if known.count() <= NODES_TO_BROADCAST else known
-    profiles = store(texts.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(lean(profile_rows), "node long, shingles binary"), "profiles")
+    met = store(places.mapInArrow(lean(meeting_rows), "place long, node long, size long"), "met")
+    known = store(met.select("node").distinct(), "met-nodes")
+    small = F.broadcast(known) if known.count() <= NODES_TO_BROADCAST else known
+    profiles = store(texts.join(small.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(lean(profile_rows), "node long, shingles binary"), "profiles")
 
     # First round: every node with those that share its most frequent hub. A place's hub is its most central node, the
     # one that meets most others anywhere: of an original and its edited copies that is the original.
-    sizes = met.groupBy("place").agg(F.count("*").alias("size"))
-    central = met.join(sizes, "place").groupBy("node").agg(F.sum("size").alias("meets"))
-    heads = met.select("place", "node").join(central, "node").groupBy("place").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("hub"))
-    hubs = met.select("place", "node").join(heads, "place").filter("node <> hub").groupBy("node", "hub").count().groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
+    central = met.groupBy("node").agg(F.sum("size").alias("meets"))
+    ranked = met.select("place", "node").join(central, "node").repartition(parts, "place").sortWithinPartitions("place", F.col("meets").desc(), "node")
+    often = ranked.select("place", "node").mapInArrow(lean(hub_rows), "node long, hub long, n long").groupBy("node", "hub").agg(F.sum("n").alias("n"))
+    hubs = often.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
     hubs = store(hubs, "hubs")
     tiles = hubs.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     members = hubs.join(tiles, "hub").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).select("hub", "tile", "node")
     heads = tiles.select("hub", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("hub").alias("node"))
     blocks = members.unionByName(heads).join(profiles, "node").repartition(parts, "hub", "tile").sortWithinPartitions("hub", "tile", F.col("node") != F.col("hub"), "node")
     first = store(blocks.mapInArrow(lean(link_rows(["hub", "tile"])), "a long, b long"), "links")
-    same = sets.filter("key is not null and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("b"))
-    equal = sets.join(same, ["key", "n"]).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    # Of equal sets only those that stand for their copies in some task take part; copies get their name at the end.
+    rows = sets.filter("key is not null and doc_id is not null")
+    copied = store(rows.groupBy("key", "n").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).filter("c > 1").select("key", "n", "b"), "copied")
+    twice = rows.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    standing = rows.join(known.withColumnRenamed("node", "doc_id").unionByName(twice).distinct(), "doc_id", "left_semi")
+    equal = standing.join(copied, ["key", "n"]).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     links = store(first.unionByName(equal), "links")
     found = components(links)
 
@@ -418,8 +484,10 @@ def join(docs: DataFrame) -> DataFrame:
     a, b = (profiles.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     second = store(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(lean(verified), "a long, b long"), "links")
     final = components(links.unionByName(second)) if second.head(1) else found
-    named = sets.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    of_key = copied.join(final, copied["b"] == final["node"], "left").select("key", "n", F.coalesce("component", "b").alias("of_key"), salt.alias("salt"))
+    named = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(of_key, ["key", "n", "salt"], "left").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("of_key", "component", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
