@@ -7,30 +7,32 @@ equal strings are sampled at equal places:
 1. sample: in each string of 400 bytes, the part of 256 bytes of least hash. Starts of strings with the same sampled
    part stand together in a run; a run is named by a hash of all bytes that its strings cover.
 2. sort runs by the sampled part and then by name, and compare neighbours: strings of a run that has an equal
-   neighbour are repeated. Equal runs that one task sees are compared there, before the sort. A sampled part that occurs once is dropped: no string around it is repeated.
+   neighbour are repeated. Equal runs that one batch holds are compared there, before the sort. A sampled part that
+   occurs once is dropped: no string around it is repeated.
 3. remaining: where a sampled part occurs in runs of different names, one run of each name is read again, its strings
    of 400 are named and sorted, and neighbours compared.
 
-Copies of whole documents are found first and only one of them takes part. Runs cost about 1/73 of the text's bytes in
-rows of 48 bytes; sorted rows are streamed, so that a run or part that very many documents share needs no memory.
+Texts are written once, in buckets as they were read, and never shuffled: what is found out about a row travels to its
+bucket (`in_place`). Copies of whole documents are found first and only one of them takes part. Runs cost about 1/73 of
+the text's bytes in rows of 36 bytes; sorted rows are streamed, so that a run or part that very many documents share
+needs no memory.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import lean, store
+from quirefold.llm.common import lean, shared_dir, store
 
 LENGTH, SAMPLED = 400, 256
-#: Bytes that are broadcast at most, about; more are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
 #: Bytes of a document that are hashed at once; places in it take 24 bits.
 CHUNK = 4 << 20
 #: Rows of one run or part that are held at once; runs of one part that are compared in one task.
@@ -74,7 +76,7 @@ def least_in_window(keys: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[window - 1 : window - 1 + n])
 
 
-def runs(text: bytes, length: int = LENGTH, sampled: int = SAMPLED) -> Iterator[tuple[int, int, int, bytes]]:
+def runs(text: bytes, length: int = LENGTH, sampled: int = SAMPLED) -> Iterator[tuple[int, int, int, int]]:
     """(hash of the sampled part, first start, starts, name) of each run of a text, in order."""
     for at in range(0, max(1, len(text) - length + 1), CHUNK):
         piece = text[at : at + CHUNK + length - 1]
@@ -87,42 +89,41 @@ def runs(text: bytes, length: int = LENGTH, sampled: int = SAMPLED) -> Iterator[
         count = np.diff(first, append=len(chosen))
         parts = h[chosen[first]].tolist()
         for lo, n, part, place in zip(first.tolist(), count.tolist(), parts, chosen[first].tolist()):
-            yield part, at + lo, n, xxhash.xxh3_128_digest(piece[lo : lo + n - 1 + length], seed=place - lo)
+            yield part, at + lo, n, xxhash.xxh3_64_intdigest(piece[lo : lo + n - 1 + length], seed=place - lo)
 
 
 #: What is known of a run: all its strings are repeated; nothing yet; that it is repeated, and it stands for its equals.
 REPEATED, OPEN, KNOWN = 0, 1, 2
-RUN = "kind int, part long, name1 long, name2 long, doc_id long, tag long, lo int, n int"
-NAMES = ["kind", "part", "name1", "name2", "doc_id", "tag", "lo", "n"]
+RUN = "kind int, part long, name long, row long, lo int, n int"
+NAMES = ["kind", "part", "name", "row", "lo", "n"]
+MARK = "row long, lo int, n int"
 
 
 def run_rows(length: int, sampled: int):
-    """Runs; of equal runs that a task sees together only one goes on as KNOWN, and all are passed on as REPEATED."""
+    """Runs; of equal runs that a batch holds only one goes on as KNOWN, and all are passed on as REPEATED, without names."""
 
     def emit(rows: list, parts: list, names: list) -> pa.RecordBatch:
-        ids, tags, los, ns = zip(*rows)
-        name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-        part = np.array(parts, np.uint64).view(np.int64)
-        order = np.lexsort((name[:, 1], name[:, 0], part))
-        p, a, b = part[order], name[order, 0], name[order, 1]
-        same = (p[1:] == p[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        ids, los, ns = (np.array(c, t) for c, t in zip(zip(*rows), (np.int64, np.int32, np.int32)))
+        part, name = (np.array(c, np.uint64).view(np.int64) for c in (parts, names))
+        order = np.lexsort((name, part))
+        same = (part[order][1:] == part[order][:-1]) & (name[order][1:] == name[order][:-1])
         again = np.append(same, False) | np.append(False, same)
         first = again & ~np.append(False, same)
         at = np.concatenate([order[~again], order[again], order[first]])
         kind = np.repeat(np.array([OPEN, REPEATED, KNOWN], np.int32), [(~again).sum(), again.sum(), first.sum()])
-        whole = [part, name[:, 0], name[:, 1], np.array(ids, np.int64), np.array(tags, np.int64), np.array(los, np.int32), np.array(ns, np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(kind), *[pa.array(np.ascontiguousarray(c[at])) for c in whole]], NAMES)
+        nameless = kind == REPEATED
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(part[at], mask=nameless), pa.array(name[at], mask=nameless), *[pa.array(c[at]) for c in (ids, los, ns)]], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list = []
             parts: list = []
             names: list = []
-            for doc, tag, text in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text")):
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
                 for part, lo, n, name in runs(text.as_py(), length, sampled):
                     parts.append(part)
                     names.append(name)
-                    rows.append((doc, tag, lo, n))
+                    rows.append((row, lo, n))
                 if len(rows) > 100_000:
                     yield emit(rows, parts, names)
                     rows, parts, names = [], [], []
@@ -133,20 +134,23 @@ def run_rows(length: int, sampled: int):
 
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, part, doc_id, tag, lo, n) of OPEN and KNOWN runs sorted by part and name.
+    """(kind, part, row, lo, n) of OPEN and KNOWN runs sorted by part and name.
 
     REPEATED rows for OPEN runs with an equal neighbour; one OPEN or KNOWN row for each name of a part that has several.
     """
-    names = ["kind", "part", "name1", "name2", "doc_id", "tag", "lo", "n"]
+    given = ["part", "row", "lo", "n"]
     held: dict[str, np.ndarray] | None = None
     many = False  # other names of the held rows' part were passed on
 
+    def passed(kind: int, c: dict[str, np.ndarray], at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *[pa.array(c[k][at]) for k in given]], ["kind", *given])
+
     def out(c: dict[str, np.ndarray], several: bool = False) -> Iterator[pa.RecordBatch]:
         """Pass on whole runs of whole parts, or of one part that is known to have several names."""
         if not len(c["part"]):
             return
         new_part = np.append(True, c["part"][1:] != c["part"][:-1])
-        new_run = new_part | np.append(True, (c["name1"][1:] != c["name1"][:-1]) | (c["name2"][1:] != c["name2"][:-1]))
+        new_run = new_part | np.append(True, c["name"][1:] != c["name"][:-1])
         of_run = np.cumsum(new_run) - 1
         known = c["kind"] == KNOWN
         again = (np.bincount(of_run) > 1) | (np.bincount(of_run, known) > 0)
@@ -155,14 +159,14 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new_run)
         for kind, at in ((REPEATED, np.flatnonzero(again[of_run] & ~known)), (OPEN, first[reread & ~again]), (KNOWN, first[reread & again])):
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *[pa.array(c[k][at]) for k in ("part", "doc_id", "tag", "lo", "n")]], ["kind", "part", "doc_id", "tag", "lo", "n"])
+                yield passed(kind, c, at)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+        c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in NAMES}
         if held is not None:
-            c = {k: np.concatenate([held[k], c[k]]) for k in names}
+            c = {k: np.concatenate([held[k], c[k]]) for k in NAMES}
         cut = int(np.searchsorted(c["part"], c["part"][-1]))
         if cut:
             end = int(np.searchsorted(c["part"], c["part"][0], side="right"))
@@ -171,7 +175,7 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many = False
             c = {k: v[cut:] for k, v in c.items()}
         if len(c["part"]) > HELD:
-            last = int(np.argmax((c["name1"] == c["name1"][-1]) & (c["name2"] == c["name2"][-1])))
+            last = int(np.argmax(c["name"] == c["name"][-1]))
             if last:
                 yield from out({k: v[:last] for k, v in c.items()}, True)
                 many = True
@@ -179,7 +183,7 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(c["part"]) > HELD:  # one run: its rows are passed on but for one, which stands for it
                 at = np.flatnonzero(c["kind"] == OPEN)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), REPEATED, np.int32)), *[pa.array(c[k][at]) for k in ("part", "doc_id", "tag", "lo", "n")]], ["kind", "part", "doc_id", "tag", "lo", "n"])
+                    yield passed(REPEATED, c, at)
                 c = {k: v[:1].copy() for k, v in c.items()}
                 c["kind"][:] = KNOWN
         held = c
@@ -187,18 +191,21 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(held, many)
 
 
+SPAN = ["part", "kind", "row", "lo", "n", "span"]
+
+
 def span_rows(length: int):
-    """(part, kind, doc_id, tag, lo, n, span) of the runs that are to be read again."""
+    """(part, kind, row, lo, n, span) of the runs that are to be read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, tag, text, again in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), batch.column("again")):
+            for row, text, again in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("again")):
                 t = text.as_py()
-                rows += [(r["part"], r["kind"], doc, tag, r["lo"], r["n"], t[r["lo"] : r["lo"] + r["n"] - 1 + length]) for r in again.as_py()]
+                rows += [(r["part"], r["kind"], row, r["lo"], r["n"], t[r["lo"] : r["lo"] + r["n"] - 1 + length]) for r in again.as_py()]
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "kind", "doc_id", "tag", "lo", "n", "span"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], SPAN)
 
     return run
 
@@ -219,22 +226,22 @@ def stretches(at: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def reread(length: int):
-    """(doc_id, tag, lo, n) of repeated strings of OPEN runs, of spans sorted by part."""
+    """(row, lo, n) of repeated strings of OPEN runs, of spans sorted by part."""
 
     def settle(rows: list[tuple]) -> list[tuple]:
-        names = [string_names(r[6], r[5], length) for r in rows]
+        names = [string_names(r[5], r[4], length) for r in rows]
         order = sorted((x, i, j) for i, of_run in enumerate(names) for j, x in enumerate(of_run))
         hit: dict[int, list[int]] = {}
         for k, (x, i, j) in enumerate(order):
             if rows[i][1] == OPEN and (k and order[k - 1][0] == x or k + 1 < len(order) and order[k + 1][0] == x):
                 hit.setdefault(i, []).append(j)
-        return [(rows[i][2], rows[i][3], rows[i][4] + a, n) for i, at in hit.items() for a, n in stretches(sorted(at))]
+        return [(rows[i][2], rows[i][3] + a, n) for i, at in hit.items() for a, n in stretches(sorted(at))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         found: list[tuple] = []
         for batch in batches:
-            for row in zip(*[batch.column(k).to_pylist() for k in ("part", "kind", "doc_id", "tag", "lo", "n", "span")]):
+            for row in zip(*[batch.column(k).to_pylist() for k in SPAN]):
                 if group and row[0] != group[0][0]:
                     found += settle(group)
                     group = []
@@ -250,18 +257,18 @@ def reread(length: int):
 
 
 def _marks(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "tag", "lo", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32()))], ["row", "lo", "n"])
 
 
 def name_rows(length: int):
-    """(name, kind, doc_id, tag, at) of every string, for parts with too many runs for one task."""
+    """(name, kind, row, at) of every string, for parts with too many runs for one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, kind, doc, tag, lo, n, span in zip(*[batch.column(k).to_pylist() for k in ("part", "kind", "doc_id", "tag", "lo", "n", "span")]):
+            for part, kind, row, lo, n, span in zip(*[batch.column(k).to_pylist() for k in SPAN]):
                 names = [xxhash.xxh3_128_digest(span[i : i + length]) for i in range(n)]
-                arrays = [pa.array(names, pa.binary()), pa.array([kind] * n, pa.int32()), pa.array([doc] * n, pa.int64()), pa.array([tag] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int32())]
-                yield pa.RecordBatch.from_arrays(arrays, ["name", "kind", "doc_id", "tag", "at"])
+                arrays = [pa.array(names, pa.binary()), pa.array([kind] * n, pa.int32()), pa.array([row] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, ["name", "kind", "row", "at"])
 
     return run
 
@@ -286,58 +293,73 @@ def kept_bytes(text: bytes, ranges: list[list[int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _small(df: DataFrame, list_column: str | None = None) -> DataFrame:
-    """df, to be broadcast if its rows and the entries of its list, at 32 bytes each, stay within BROADCAST_BYTES."""
-    entries = F.coalesce(F.sum(F.size(list_column)), F.lit(0)) if list_column else F.lit(0)
-    rows, more = df.agg(F.count("*"), entries).first()
-    return F.broadcast(df) if 32 * (rows + more) <= BROADCAST_BYTES else df
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> DataFrame:
-    """(doc_id, tag, marks): the starts of repeated strings, as an array of (lo, n), of texts that have some.
+def in_place(docs: DataFrame) -> DataFrame:
+    """docs with _sx_row and _sx_part, written in buckets by _sx_part, the task that reads a row first.
 
-    tag is a hash of the text; (doc_id, tag) stands for a row, and rows equal in both share their marks.
+    A task's rows share one bucket, so that nothing is shuffled to write them, nor when a table of finds is joined by
+    _sx_part and _sx_row: only the finds travel. Rows need no identity of their own.
     """
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    base = base.withColumn("tag", F.xxhash64("text")).withColumn("size", F.octet_length("text")).filter(F.col("size") >= length)
-    digest = F.unhex(F.sha2("text", 256))
-    same = store(base.groupBy(digest.alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).filter("copies > 1").select("digest", "first"), "copies")
-    whole = store(base.withColumn("digest", digest).join(_small(same), "digest").select("doc_id", "tag", "size", "first"), "copies")
-    spare = whole.filter("not doc_id <=> first").select("doc_id", "tag").distinct()
-    once = base.join(_small(spare.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"))), F.expr("doc_id <=> d and tag = t"), "left_anti")
-
-    found = store(once.select("doc_id", "tag", "text").mapInArrow(lean(run_rows(length, sampled)), RUN), "runs")
-    rows = found.filter(F.col("kind") != REPEATED).repartition(parts, "part").sortWithinPartitions("part", "name1", "name2", "doc_id", "lo")
-    decided = store(rows.mapInArrow(lean(neighbours), "kind int, part long, doc_id long, tag long, lo int, n int"), "decided")
+    spark = docs.sparkSession
+    name = f"quirefold_{uuid.uuid4().hex}"
+    tasks = max(1, docs.rdd.getNumPartitions())
+    buckets = max(2 * tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = docs.withColumn("_sx_row", F.monotonically_increasing_id()).withColumn("_sx_part", part_of(F.col("_sx_row")))
+    placed.write.bucketBy(buckets, "_sx_part").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def part_of(row: Column) -> Column:
+    """The task's number in a monotonically increasing id."""
+    return F.shiftright(row, 33).cast("int")
+
+
+def found_for(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """texts (in place) joined with found (row and more); found is dealt to the buckets and hashed there."""
+    keyed = found.withColumn("_sx_part", part_of(F.col("row"))).withColumnRenamed("row", "_sx_row").hint("shuffle_hash")
+    return texts.join(keyed, ["_sx_part", "_sx_row"], how)
+
+
+def repeats(texts: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> DataFrame:
+    """(row, marks): the starts of repeated strings, as an array of (lo, n), of texts (in place) that have some."""
+    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    base = texts.select("_sx_part", "_sx_row", F.coalesce("text", F.lit("")).cast("binary").alias("text")).filter(F.octet_length("text") >= length)
+    digests = base.select(F.col("_sx_row").alias("row"), F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    same = digests.groupBy("digest").agg(F.count("*").alias("copies"), F.min("row").alias("first")).filter("copies > 1").select("digest", "first")
+    whole = store(digests.join(same, "digest").select("row", "size", "first"), "copies")
+    once = found_for(base, whole.filter("row <> first").select("row"), "left_anti").select(F.col("_sx_row").alias("row"), "text")
+
+    found = store(once.mapInArrow(lean(run_rows(length, sampled)), RUN), "runs")
+    rows = found.filter(F.col("kind") != REPEATED).repartition(parts, "part").sortWithinPartitions("part", "name", "row", "lo")
+    decided = store(rows.mapInArrow(lean(neighbours), "kind int, part long, row long, lo int, n int"), "decided")
     again = decided.filter(F.col("kind") != REPEATED)
-    lists = again.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("part", "kind", "lo", "n")).alias("again")).select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "again")
-    lists = store(lists, "again")
-    spans = once.join(_small(lists, "again"), F.expr("doc_id <=> d and tag = t")).select("doc_id", "tag", "text", "again").mapInArrow(lean(span_rows(length)), "part long, kind int, doc_id long, tag long, lo int, n int, span binary")
+    lists = again.groupBy("row").agg(F.collect_list(F.struct("part", "kind", "lo", "n")).alias("again"))
+    spans = found_for(base, lists, "inner").select(F.col("_sx_row").alias("row"), "text", "again").mapInArrow(lean(span_rows(length)), "part long, kind int, row long, lo int, n int, span binary")
+    spans = store(spans, "spans")
     large = store(again.groupBy("part").count().filter(F.col("count") > TOGETHER).select("part"), "large")
-    marks = decided.select("kind", "doc_id", "tag", "lo", "n").unionByName(found.select("kind", "doc_id", "tag", "lo", "n")).filter(F.col("kind") == REPEATED).drop("kind")
-    marks = marks.unionByName(whole.select("doc_id", "tag", F.lit(0).alias("lo"), (F.col("size") - length + 1).alias("n")))
+    marks = decided.select("kind", "row", "lo", "n").unionByName(found.select("kind", "row", "lo", "n")).filter(F.col("kind") == REPEATED).drop("kind")
+    marks = marks.unionByName(whole.select("row", F.lit(0).alias("lo"), (F.col("size") - length + 1).alias("n")))
     few = spans
     if large.head(1):
-        few = spans.join(_small(large), "part", "left_anti")
-        strings = spans.join(_small(large), "part", "left_semi").mapInArrow(lean(name_rows(length)), "name binary, kind int, doc_id long, tag long, at int")
+        few = spans.join(large, "part", "left_anti")
+        strings = spans.join(large, "part", "left_semi").mapInArrow(lean(name_rows(length)), "name binary, kind int, row long, at int")
         twice = strings.groupBy("name").count().filter("count > 1").select("name")
-        marks = marks.unionByName(strings.filter(F.col("kind") == OPEN).join(twice, "name").select("doc_id", "tag", F.col("at").alias("lo"), F.lit(1).alias("n")))
-    settled = few.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(reread(length)), "doc_id long, tag long, lo int, n int")
+        marks = marks.unionByName(strings.filter(F.col("kind") == OPEN).join(twice, "name").select("row", F.col("at").alias("lo"), F.lit(1).alias("n")))
+    settled = few.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(reread(length)), MARK)
     marks = marks.unionByName(settled)
-    return store(marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("marks")), "marks")
+    return store(marks.groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("marks")), "marks")
 
 
 def _with_marks(docs: DataFrame, length: int, sampled: int) -> DataFrame:
-    found = repeats(docs, length, sampled).select(F.col("doc_id").alias("_sx_doc"), F.col("tag").alias("_sx_tag"), F.col("marks").alias("_sx_marks"))
-    rows = docs.withColumn("_sx_text", F.coalesce("text", F.lit("")).cast("binary"))
-    return rows.join(_small(found, "_sx_marks"), F.col("doc_id").cast("long").eqNullSafe(F.col("_sx_doc")) & (F.xxhash64("_sx_text") == F.col("_sx_tag")), "left")
+    texts = in_place(docs)
+    marked = found_for(texts, repeats(texts, length, sampled).withColumnRenamed("marks", "_sx_marks"), "left")
+    return marked.withColumn("_sx_text", F.coalesce("text", F.lit("")).cast("binary"))
 
 
 def report(docs: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs.
 
-    A null text is empty; texts of under `length` bytes lose nothing; repeated rows lose all of a text long enough.
+    A null text is empty; texts of under `length` bytes lose nothing; repeated rows lose all of a text long enough. Ids
+    are only passed on: they may be null, repeated, or of any type. An empty table gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,8 +372,8 @@ def report(docs: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> Dat
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_marks(slim, length, sampled).select("doc_id", "_sx_text", "_sx_marks").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _with_marks(docs.select("doc_id", "text"), length, sampled).select("doc_id", "_sx_text", "_sx_marks").mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> DataFrame:

@@ -92,10 +92,18 @@ def test_suffixes(spark, corpus, docs, monkeypatch):
     assert rows(suffixes.report(spark.createDataFrame([], EMPTY))) == []
 
 
+def test_suffixes_ids_are_only_passed_on(spark):
+    """Null, repeated and string ids; a text that repeats inside itself; a very long text."""
+    passage = " ".join(f"q{i}" for i in range(150))
+    long = " ".join(str(i * 7919 % 100_003) for i in range(100_000))
+    texts = [(None, "x " + passage), (None, passage + " y"), ("7", passage), ("7", None), ("a", "z" * 900), ("b", long), ("c", "c " + long[200_000:201_000])]
+    df = spark.createDataFrame(texts, "doc_id string, text string")
+    assert rows(suffixes.report(df)) == sorted(brute.repeats(texts), key=str)
+
+
 def test_suffixes_in_small_pieces(spark, corpus, monkeypatch):
     """The streamed sort with hardly any rows held, and parts with too many runs for one task."""
     monkeypatch.setattr(suffixes, "TOGETHER", 1)
-    monkeypatch.setattr(suffixes, "BROADCAST_BYTES", 0)
     df = spark.createDataFrame(corpus, EMPTY).repartition(5)
     assert rows(suffixes.report(df)) == sorted(brute.repeats([(d, t) for d, t, _ in corpus]), key=str)
 
@@ -105,14 +113,14 @@ def test_neighbours_hold_little(monkeypatch):
 
     monkeypatch.setattr(suffixes, "HELD", 3)
     rng = np.random.default_rng(1)
-    table = sorted((int(rng.integers(0, 6)), int(rng.integers(0, 3)), 0, i) for i in range(300))
+    table = sorted((int(rng.integers(0, 6)), int(rng.integers(0, 3)), i) for i in range(300))
     kinds = [suffixes.KNOWN if i % 17 == 0 else suffixes.OPEN for i in range(300)]
-    cols = [pa.array(kinds, pa.int32()), *[pa.array([r[k] for r in table], pa.int64()) for k in range(3)], pa.array([r[3] for r in table], pa.int64()), pa.array([0] * 300, pa.int64()), pa.array([0] * 300, pa.int32()), pa.array([1] * 300, pa.int32())]
+    cols = [pa.array(kinds, pa.int32()), *[pa.array([r[k] for r in table], pa.int64()) for k in range(3)], pa.array([0] * 300, pa.int32()), pa.array([1] * 300, pa.int32())]
     whole = pa.RecordBatch.from_arrays(cols, suffixes.NAMES)
 
     def result(size):
         out = [r for b in suffixes.neighbours(whole.slice(i, size) for i in range(0, 300, size)) for r in b.to_pylist()]
-        marked = sorted(r["doc_id"] for r in out if r["kind"] == suffixes.REPEATED)
+        marked = sorted(r["row"] for r in out if r["kind"] == suffixes.REPEATED)
         return marked, sorted({(r["part"], r["kind"]) for r in out if r["kind"] != suffixes.REPEATED})
 
     assert result(1) == result(7) == result(300)
