@@ -64,8 +64,30 @@ def replaced(df: DataFrame, name: str, old: DataFrame) -> DataFrame:
     return out
 
 
-def columns_in(df: DataFrame, schema: list[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in schema])
+def in_place(rows: DataFrame) -> DataFrame:
+    """rows with _pl_row and _pl_part, written in buckets by _pl_part, the task that makes a row.
+
+    A task's rows share one bucket, so that nothing is shuffled to write them, nor when a table of finds is joined by
+    `found_for`: only the finds travel. Rows need no identity of their own.
+    """
+    spark = rows.sparkSession
+    name = f"quirefold_{uuid.uuid4().hex}"
+    tasks = max(1, rows.rdd.getNumPartitions())
+    buckets = max(2 * tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = rows.withColumn("_pl_row", F.monotonically_increasing_id()).withColumn("_pl_part", part_of(F.col("_pl_row")))
+    placed.write.bucketBy(buckets, "_pl_part").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def part_of(row: Column) -> Column:
+    """The task's number in a monotonically increasing id."""
+    return F.shiftright(row, 33).cast("int")
+
+
+def found_for(placed: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """placed (by `in_place`) joined with found (row and more); found is dealt to the buckets and hashed there."""
+    keyed = found.withColumn("_pl_part", part_of(F.col("row"))).withColumnRenamed("row", "_pl_row").hint("shuffle_hash")
+    return placed.join(keyed, ["_pl_part", "_pl_row"], how)
 
 
 Batches = Iterator[pa.RecordBatch]

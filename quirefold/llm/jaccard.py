@@ -3,12 +3,12 @@
 Shingles are hashed into groups. Two sets with a Jaccard similarity of t or more differ in few shingles, fewer than
 there are groups, so the contents of some group agree: documents meet where a group of two shingles or more has equal
 contents (`signatures`; sets with too many smaller groups for that argument also meet by the least hashes of a prefix).
-Where documents meet, the counts of a fixed number of groups make each a point; an R-tree over the points bounds the
-overlap of a set with all sets under a node by the summed minima of coordinates, and the pairs that survive are
-verified by their shingles (`CountTree`, `linked`).
+Where documents meet, the counts of shingles in about as many groups as there are shingles make each a point; an R-tree
+over the points bounds the overlap of a set with all sets under a node by the summed minima of coordinates, and the
+pairs that survive are verified by their shingles (`CountTree`, `linked`, `near_pairs`).
 
-Documents of equal shingle sets count as one from the start. The first round compares every document with those that
-share the same most frequent meeting document; components of verified links then stand for their members, and the
+Documents of equal shingle sets count as one from the start. The first round, a shortcut over a few of the places, compares
+every document with those that share the same most frequent meeting document; components of verified links then stand for their members, and the
 second round compares only what meets in different components. Links inside a component need no further pair, so large
 groups of copies never give all their pairs, and no link between different components is lost.
 """
@@ -23,11 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import lean, store
+from quirefold.llm.common import found_for, in_place, lean, store
 from quirefold.llm.components import components
 
 WORDS, SHARE = 5, (4, 5)  # words of a shingle; Jaccard threshold as a fraction
-GROUPS = 512  # coordinates of a count vector, a power of two
+LEAST_GROUPS, MOST_GROUPS = 256, 1 << 13  # coordinates of a count vector, a power of two
+MARKED = 16  # groups of a band whose places choose the partners of the first round
 LEAF = 16
 TILE = 1024  # documents compared in one task at once
 NODES_TO_BROADCAST = 2_000_000  # 8 bytes each
@@ -80,6 +81,11 @@ def differing(n: int, other: int) -> int:
     return (n + other) * (b - a) // (b + a)
 
 
+def marked(places: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """Places with their lowest bit set where they serve the first round as well."""
+    return (places & ~np.uint64(1)) | on.astype(np.uint64)
+
+
 def signatures(s: np.ndarray) -> np.ndarray:
     """Places where sets meet: linked sets have one in common, if both have two shingles or more."""
     n, out = len(s), []
@@ -89,52 +95,47 @@ def signatures(s: np.ndarray) -> np.ndarray:
     for band in (own, own + 1):
         top = int(TOPS[band])
         most = differing(n, min(top, n * b // a))
-        groups = differing(top, top) * 5 // 4 + 1
+        groups = differing(top, top) * 6 // 5 + 1
         group = ((s >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
         first = np.flatnonzero(np.diff(group, prepend=np.uint64(1 << 63)))
         held = np.diff(first, append=n)
         full = held > 1
         sums = np.add.reduceat(mixed(s + np.uint64(band + 1)), first)[full]
-        out.append(mixed(sums + mixed(group[first][full] * np.uint64(131) + np.uint64(band))))
+        at = group[first][full]
+        out.append(marked(mixed(sums + mixed(at * np.uint64(131) + np.uint64(band))), at < MARKED))
         short |= groups - int(full.sum()) >= groups - most
     if short:  # too many groups of one or none for one of two or more to be left alone for sure
-        out.append(mixed(s[: n - -(-n * a // b) + 1] ^ np.uint64(0x5851F42D4C957F2D)))
+        least = mixed(s[: n - -(-n * a // b) + 1] ^ np.uint64(0x5851F42D4C957F2D))
+        out.append(marked(least, np.arange(len(least)) < MARKED))
     return np.concatenate(out)
 
 
 def counts(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Shingles in each of about as many groups as there are shingles, a power of two."""
+    size = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (len(s) - 1).bit_length()))
+    return np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.int32)
 
 
 def packed(v: np.ndarray) -> bytes:
-    """Counts as planes of bytes, the lowest first, as many as are needed."""
-    out = [(v & 255).astype(np.uint8).tobytes()]
+    """The number of counts, as a power of two, and the counts as planes of bytes, the lowest first, as many as are needed."""
+    out = [bytes([len(v).bit_length() - 1]), (v & 255).astype(np.uint8).tobytes()]
     while (v := v >> 8).any():
         out.append((v & 255).astype(np.uint8).tobytes())
     return b"".join(out)
 
 
 def unpacked(planes: bytes) -> np.ndarray:
-    out = np.zeros(GROUPS, np.int32)
-    for k in range(0, len(planes), GROUPS):
-        out += np.frombuffer(planes, np.uint8, GROUPS, k).astype(np.int32) << (8 * (k // GROUPS))
+    size = 1 << planes[0]
+    out = np.frombuffer(planes, np.uint8, size, 1).astype(np.int32)
+    for k in range(1 + size, len(planes), size):
+        out += np.frombuffer(planes, np.uint8, size, k).astype(np.int32) << (8 * (k // size))
     return out
 
 
-def fine(s: np.ndarray) -> bytes:
-    """Counts, 255 at most, of as many groups as the set has shingles or more, a power of two."""
-    size = max(256, 1 << (len(s) - 1).bit_length())
-    return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
-
-
-def may_link(x: bytes, y: bytes) -> bool:
-    """Whether the summed minima of fine counts leave room for a link; the finer vector is folded to the coarser."""
-    a, b = SHARE
-    u, v = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
-    if u.max() == 255 or v.max() == 255:
-        return True
-    v = v.reshape(-1, len(u)).sum(axis=0, dtype=np.int64)
-    return int(np.minimum(u, v).sum()) * (a + b) >= a * (int(u.sum(dtype=np.int64)) + int(v.sum()))
+def folded(vectors: list[np.ndarray]) -> np.ndarray:
+    """Count vectors as rows of a table, the finer folded to the coarsest."""
+    size = min(len(v) for v in vectors)
+    return np.stack([v if len(v) == size else v.reshape(-1, size).sum(axis=0) for v in vectors])
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -191,7 +192,7 @@ def linked(sets: list[np.ndarray], group: list[int] | None = None) -> list[tuple
         seen: dict[int, int] = {}
         for i, g in enumerate(group):
             root[i] = seen.setdefault(g, i)
-    tree = CountTree(np.stack([counts(s) for s in sets]))
+    tree = CountTree(folded([counts(s) for s in sets]))
     out = []
     for i in range(len(sets)):
         near = tree.near(i)
@@ -260,12 +261,15 @@ def _places(places: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(places).view(np.int64)), pa.array(np.concatenate(nodes))], ["place", "node"])
 
 
+MET = "place long, first long, second long, size long, nodes array<long>"
+
+
 def meeting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, node, size) where two nodes or more meet, of (place, node) sorted; places of equal members once a task.
+    """(place, first, second, size, nodes) where two nodes or more meet, of (place, node) sorted.
 
-    A place that more than LONG nodes share is passed on in parts as it comes, with the sizes of the parts.
+    first and second are a hash of the nodes, so that places of equal nodes can be put together. A place that more than
+    LONG nodes share comes in parts.
     """
-    seen: set[int] = set()
     place, nodes = np.empty(0, np.int64), np.empty(0, np.int64)
     split: int | None = None  # the one place that is being passed on in parts
 
@@ -274,20 +278,20 @@ def meeting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         first = np.flatnonzero(np.diff(p, prepend=p[0] - 1))
         size = np.diff(first, append=len(p))
-        code = np.add.reduceat(mixed(n.view(np.uint64) + np.uint64(1)), first)
         keep = size > 1
         if split is not None:
             keep |= p[first] == split
-        for k in np.flatnonzero(keep).tolist():
-            if split is not None and int(p[first[k]]) == split:
-                continue
-            if int(code[k]) in seen:
-                keep[k] = False
-            elif len(seen) < 1_000_000:
-                seen.add(int(code[k]))
+        if not keep.any():
+            return
+        u = n.view(np.uint64)
+        one, two = (np.add.reduceat(mixed(u * _ODD[k] + _ODD[k + 1]), first)[keep].view(np.int64) for k in (0, 2))
+        if split is not None:  # parts of a place are never put together with other places
+            own = mixed(p[first][keep].view(np.uint64)).view(np.int64)
+            one = np.where(p[first][keep] == split, one ^ own, one)
         rows = np.repeat(keep, size)
-        if rows.any():
-            yield pa.RecordBatch.from_arrays([pa.array(p[rows]), pa.array(n[rows]), pa.array(np.repeat(size, size)[rows])], ["place", "node", "size"])
+        ends = np.cumsum(size[keep], dtype=np.int64)
+        lists = pa.LargeListArray.from_arrays(np.append(0, ends), pa.array(n[rows])).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(p[first][keep]), pa.array(one), pa.array(two), pa.array(size[keep].astype(np.int64)), lists], ["place", "first", "second", "size", "nodes"])
 
     for batch in batches:
         p, n = batch.column("place").to_numpy(), batch.column("node").to_numpy()
@@ -330,10 +334,10 @@ def hub_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def profile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, shingles): the sorted hashes, 8 bytes each."""
+    """(node, shingles, vector): the sorted hashes, 8 bytes each, and their count vector."""
     for batch in batches:
-        sets = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["node", "shingles"])
+        sets = [shingles(t.as_py()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([packed(counts(s)) for s in sets], pa.binary())], ["node", "shingles", "vector"])
 
 
 def link_rows(keys: list[str]):
@@ -365,10 +369,7 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(nodes) < 2 or (part == part[0]).all():
             return
         cross = x[0] != y[0]
-        if all(len(v) == GROUPS for v in planes):
-            points = np.frombuffer(b"".join(planes), np.uint8).reshape(-1, GROUPS).astype(np.int32)
-        else:
-            points = np.stack([unpacked(v) for v in planes])
+        points = folded([unpacked(v) for v in planes])
         tree = CountTree(points) if len(points) > LEAF else None
         for i in range(1, len(nodes)):
             if tree:
@@ -406,24 +407,6 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs()
 
 
-def vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        v = [packed(counts(np.frombuffer(x.as_py(), np.uint64))) for x in batch.column("shingles")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(v, pa.binary())], ["node", "vector"])
-
-
-def fine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        v = [fine(np.frombuffer(x.as_py(), np.uint64)) for x in batch.column("shingles")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(v, pa.binary())], ["node", "fine"])
-
-
-def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [may_link(x.as_py(), y.as_py()) for x, y in zip(batch.column("fa"), batch.column("fb"))]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("sa"), batch.column("sb"))]
@@ -440,23 +423,29 @@ def join(docs: DataFrame) -> DataFrame:
     sets = store(texts.mapInArrow(lean(set_rows), "doc_id long, n long, key binary"), "sets")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     places = texts.mapInArrow(lean(place_rows), "place long, node long").repartition(parts, "place").sortWithinPartitions("place", "node")
-    met = store(places.mapInArrow(lean(meeting_rows), "place long, node long, size long"), "met")
+    found_places = places.mapInArrow(lean(meeting_rows), MET)
+    # Places of equal nodes count once; one that serves the first round stands for them if there is one.
+    meetings = store(found_places.groupBy("first", "second", "size").agg(F.max_by("place", F.struct(F.col("place").bitwiseAND(F.lit(1)), "place")).alias("place"), F.first("nodes").alias("nodes")).select("place", "size", "nodes"), "meetings")
+    met = meetings.select("place", "size", F.explode("nodes").alias("node"))
     known = store(met.select("node").distinct(), "met-nodes")
     small = F.broadcast(known) if known.count() <= NODES_TO_BROADCAST else known
-    profiles = store(texts.join(small.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(lean(profile_rows), "node long, shingles binary"), "profiles")
-
-    # First round: every node with those that share its most frequent hub. A place's hub is its most central node, the
-    # one that meets most others anywhere: of an original and its edited copies that is the original.
-    central = met.groupBy("node").agg(F.sum("size").alias("meets"))
-    ranked = met.select("place", "node").join(central, "node").repartition(parts, "place").sortWithinPartitions("place", F.col("meets").desc(), "node")
+    profiles = in_place(texts.join(small.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(lean(profile_rows), "node long, shingles binary, vector binary"))
+    at = store(profiles.select("node", F.col("_pl_row").alias("row")), "profile-rows")
+
+    # First round: every node with those that share its most frequent hub, over the marked places. A place's hub is its
+    # most central node, the one that meets most others: of an original and its edited copies that is the original.
+    first_met = meetings.filter("place % 2 <> 0").select("place", "size", F.explode("nodes").alias("node"))
+    central = first_met.groupBy("node").agg(F.sum("size").alias("meets"))
+    ranked = first_met.select("place", "node").join(central, "node").repartition(parts, "place").sortWithinPartitions("place", F.col("meets").desc(), "node")
     often = ranked.select("place", "node").mapInArrow(lean(hub_rows), "node long, hub long, n long").groupBy("node", "hub").agg(F.sum("n").alias("n"))
-    hubs = often.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
-    hubs = store(hubs, "hubs")
+    hubs = store(often.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")), "hubs")
     tiles = hubs.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     members = hubs.join(tiles, "hub").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).select("hub", "tile", "node")
     heads = tiles.select("hub", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("hub").alias("node"))
-    blocks = members.unionByName(heads).join(profiles, "node").repartition(parts, "hub", "tile").sortWithinPartitions("hub", "tile", F.col("node") != F.col("hub"), "node")
+    wanted = members.unionByName(heads).join(at, "node").drop("node")
+    blocks = found_for(profiles, wanted, "inner").select("hub", "tile", "node", "shingles").repartition(parts, "hub", "tile").sortWithinPartitions("hub", "tile", F.col("node") != F.col("hub"), "node")
     first = store(blocks.mapInArrow(lean(link_rows(["hub", "tile"])), "a long, b long"), "links")
+
     # Of equal sets only those that stand for their copies in some task take part; copies get their name at the end.
     rows = sets.filter("key is not null and doc_id is not null")
     copied = store(rows.groupBy("key", "n").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).filter("c > 1").select("key", "n", "b"), "copied")
@@ -467,22 +456,17 @@ def join(docs: DataFrame) -> DataFrame:
     found = components(links)
 
     # Second round: what meets in different components.
-    label = F.coalesce("component", "node").alias("component")
-    apart = met.select("place", "node").join(found, "node", "left").select("place", "node", label)
-    apart = store(apart, "apart")
-    mixed_places = apart.groupBy("place").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("code")).filter("lo <> hi")
-    mixed_places = mixed_places.groupBy("n", "code").agg(F.min("place").alias("place")).select("place", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    apart = store(met.select("place", "node").join(found, "node", "left").select("place", "node", F.coalesce("component", "node").alias("component")), "apart")
+    mixed_places = apart.groupBy("place").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("place", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     left = apart.join(mixed_places, "place").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    vectors = profiles.mapInArrow(lean(vector_rows), "node long, vector binary").dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")
     squares = left.select("place", "node", "component", "tile", other).select("place", "node", "component", "tile", F.least("tile", "o").alias("x"), F.greatest("tile", "o").alias("y"))
-    squares = squares.join(vectors, "node").repartition(parts, "place", "x", "y").sortWithinPartitions("place", "x", "y", "node")
-    pairs = squares.mapInArrow(lean(near_pairs), "a long, b long").distinct()
-    finer = store(profiles.mapInArrow(lean(fine_rows), "node long, fine binary"), "fine")
-    a, b = (finer.select(F.col("node").alias(k), F.col("fine").alias(f"f{k}")) for k in "ab")
-    pairs = store(pairs.join(a, "a").join(b, "b").select("a", "b", "fa", "fb").mapInArrow(lean(possible), "a long, b long"), "pairs")
-    a, b = (profiles.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    second = store(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(lean(verified), "a long, b long"), "links")
+    squares = found_for(profiles, squares.join(at, "node").drop("node"), "inner").select("place", "node", "component", "tile", "x", "y", "vector")
+    squares = squares.repartition(parts, "place", "x", "y").sortWithinPartitions("place", "x", "y", "node")
+    pairs = store(squares.mapInArrow(lean(near_pairs), "a long, b long").distinct(), "pairs")
+    left = found_for(profiles, pairs.join(at, F.col("a") == F.col("node")).select("a", "b", "row"), "inner").select("a", "b", F.col("shingles").alias("sa"))
+    both = found_for(profiles, left.join(at, F.col("b") == F.col("node")).select("a", "b", "sa", "row"), "inner").select("a", "b", "sa", F.col("shingles").alias("sb"))
+    second = store(both.mapInArrow(lean(verified), "a long, b long"), "links")
     final = components(links.unionByName(second)) if second.head(1) else found
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     of_key = copied.join(final, copied["b"] == final["node"], "left").select("key", "n", F.coalesce("component", "b").alias("of_key"), salt.alias("salt"))

@@ -21,16 +21,15 @@ needs no memory.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import lean, shared_dir, store
+from quirefold.llm.common import found_for, in_place, lean, store
 
 LENGTH, SAMPLED = 400, 256
 #: Bytes of a document that are hashed at once; places in it take 24 bits.
@@ -293,47 +292,21 @@ def kept_bytes(text: bytes, ranges: list[list[int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def in_place(docs: DataFrame) -> DataFrame:
-    """docs with _sx_row and _sx_part, written in buckets by _sx_part, the task that reads a row first.
-
-    A task's rows share one bucket, so that nothing is shuffled to write them, nor when a table of finds is joined by
-    _sx_part and _sx_row: only the finds travel. Rows need no identity of their own.
-    """
-    spark = docs.sparkSession
-    name = f"quirefold_{uuid.uuid4().hex}"
-    tasks = max(1, docs.rdd.getNumPartitions())
-    buckets = max(2 * tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = docs.withColumn("_sx_row", F.monotonically_increasing_id()).withColumn("_sx_part", part_of(F.col("_sx_row")))
-    placed.write.bucketBy(buckets, "_sx_part").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
-
-
-def part_of(row: Column) -> Column:
-    """The task's number in a monotonically increasing id."""
-    return F.shiftright(row, 33).cast("int")
-
-
-def found_for(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """texts (in place) joined with found (row and more); found is dealt to the buckets and hashed there."""
-    keyed = found.withColumn("_sx_part", part_of(F.col("row"))).withColumnRenamed("row", "_sx_row").hint("shuffle_hash")
-    return texts.join(keyed, ["_sx_part", "_sx_row"], how)
-
-
 def repeats(texts: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> DataFrame:
     """(row, marks): the starts of repeated strings, as an array of (lo, n), of texts (in place) that have some."""
     parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    base = texts.select("_sx_part", "_sx_row", F.coalesce("text", F.lit("")).cast("binary").alias("text")).filter(F.octet_length("text") >= length)
-    digests = base.select(F.col("_sx_row").alias("row"), F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    base = texts.select("_pl_part", "_pl_row", F.coalesce("text", F.lit("")).cast("binary").alias("text")).filter(F.octet_length("text") >= length)
+    digests = base.select(F.col("_pl_row").alias("row"), F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("digest"))
     same = digests.groupBy("digest").agg(F.count("*").alias("copies"), F.min("row").alias("first")).filter("copies > 1").select("digest", "first")
     whole = store(digests.join(same, "digest").select("row", "size", "first"), "copies")
-    once = found_for(base, whole.filter("row <> first").select("row"), "left_anti").select(F.col("_sx_row").alias("row"), "text")
+    once = found_for(base, whole.filter("row <> first").select("row"), "left_anti").select(F.col("_pl_row").alias("row"), "text")
 
     found = store(once.mapInArrow(lean(run_rows(length, sampled)), RUN), "runs")
     rows = found.filter(F.col("kind") != REPEATED).repartition(parts, "part").sortWithinPartitions("part", "name", "row", "lo")
     decided = store(rows.mapInArrow(lean(neighbours), "kind int, part long, row long, lo int, n int"), "decided")
     again = decided.filter(F.col("kind") != REPEATED)
     lists = again.groupBy("row").agg(F.collect_list(F.struct("part", "kind", "lo", "n")).alias("again"))
-    spans = found_for(base, lists, "inner").select(F.col("_sx_row").alias("row"), "text", "again").mapInArrow(lean(span_rows(length)), "part long, kind int, row long, lo int, n int, span binary")
+    spans = found_for(base, lists, "inner").select(F.col("_pl_row").alias("row"), "text", "again").mapInArrow(lean(span_rows(length)), "part long, kind int, row long, lo int, n int, span binary")
     spans = store(spans, "spans")
     large = store(again.groupBy("part").count().filter(F.col("count") > TOGETHER).select("part"), "large")
     marks = decided.select("kind", "row", "lo", "n").unionByName(found.select("kind", "row", "lo", "n")).filter(F.col("kind") == REPEATED).drop("kind")

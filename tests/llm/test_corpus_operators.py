@@ -76,7 +76,57 @@ def test_signatures_meet():
             b = np.unique(np.append(b, rng.integers(0, 1 << 63, max(0, rng.integers(0, max(extra, 0) + 1)), dtype=np.uint64)))
             if len(b) > 1 and jaccard.similar(a, b):
                 assert len(np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)))
-                assert jaccard.may_link(jaccard.fine(a), jaccard.fine(b))
+                points = jaccard.folded([jaccard.unpacked(jaccard.packed(jaccard.counts(v))) for v in (a, b)])
+                assert len(jaccard.near_among(points[:1], points[1]))
+
+
+def test_meetings_in_parts(monkeypatch):
+    """Places that many share come in parts, and every two of their nodes still meet at the place."""
+    import pyarrow as pa
+
+    table = sorted((p, n) for p in range(-3, 4) for n in range(1 + (p % 4) * 9))
+
+    def result(size):
+        batch = pa.RecordBatch.from_pydict({"place": [p for p, _ in table], "node": [n for _, n in table]})
+        out = [r for b in jaccard.meeting_rows(batch.slice(i, size) for i in range(0, len(table), size)) for r in b.to_pylist()]
+        held = defaultdict(set)
+        for r in out:
+            held[r["place"]] |= set(r["nodes"])
+        return held, len({(r["first"], r["second"]) for r in out}) if size < 3 else None
+
+    whole = result(1000)[0]
+    assert whole == {p: {n for q, n in table if q == p} for p in range(-3, 4) if p % 4}
+    monkeypatch.setattr(jaccard, "LONG", 4)
+    assert result(3)[0] == result(1)[0] == whole
+
+
+def test_hubs_by_batch():
+    import pyarrow as pa
+
+    table = [(1, 9), (1, 3), (1, 4), (2, 4), (2, 3), (5, 9), (5, 3)]
+    batch = pa.RecordBatch.from_pydict({"place": [p for p, _ in table], "node": [n for _, n in table]})
+    for size in (1, 2, 7):
+        often = defaultdict(int)
+        for b in jaccard.hub_rows(batch.slice(i, size) for i in range(0, 7, size)):
+            for r in b.to_pylist():
+                often[r["node"], r["hub"]] += r["n"]
+        assert often == {(3, 9): 2, (4, 9): 1, (3, 4): 1}
+
+
+def test_near_pairs_need_no_tree_or_one():
+    """The tree lets through exactly the pairs whose summed minima allow a link."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+    sets = []
+    for i in range(60):
+        s = base.copy() if i % 3 else rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+        s[rng.choice(300, i, replace=False)] = rng.integers(0, 1 << 62, i, dtype=np.uint64)
+        sets.append(np.unique(s))
+    points = jaccard.folded([jaccard.counts(s) for s in sets])
+    tree = jaccard.CountTree(points)
+    for i in range(60):
+        assert sorted(tree.near(i).tolist()) == jaccard.near_among(points, points[i]).tolist()
+        assert all(j in tree.near(i) for j in range(60) if jaccard.similar(sets[i], sets[j]))
 
 
 def test_components(spark):
