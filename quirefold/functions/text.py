@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Entities are decoded in this order, so a doubly escaped sign is decoded once more; fixed values.
@@ -160,3 +160,18 @@ def safe_name(name: Column) -> Column:
 
 def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]+$", "")
+
+
+#: Extensions of files that can be opened; fixed values.
+OPENED = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "dng", "pdf")
+
+
+def open_paths(rows: DataFrame, by: list[str], order: str, folder: Column) -> DataFrame:
+    """(by, path, place) of arguments (by, order, arg): no flags, absolute, of a known extension, each once where it came first.
+
+    Whether a path is a file is for the reader to find out.
+    """
+    path = F.when(F.col("arg").startswith("/"), F.col("arg")).otherwise(F.concat(folder, F.lit("/"), F.col("arg")))
+    found = rows.filter(~F.col("arg").startswith("-")).select(*by, path.alias("path"), order).filter(file_extension(F.col("path")).isin(*OPENED))
+    first = found.groupBy(*by, "path").agg(F.min(order).alias("_first"))
+    return first.select(*by, "path", F.row_number().over(Window.partitionBy(*by).orderBy("_first")).cast("long").alias("place"))

@@ -87,3 +87,19 @@ def resolved_sizes(pages: DataFrame, doc: str) -> DataFrame:
         .withColumn("approximate", ~measured)
         .drop("_long", "_short")
     )
+
+
+def warnings(blocks: DataFrame, page: list[str], options: L.ReadingOptions = L.ReadingOptions()) -> DataFrame:
+    """(page, images, empty_tables, artefacts, items) of pages with included blocks: what a reading stands in for or leaves out.
+
+    Pages without items are the ones of which only the page number is kept.
+    """
+    role, blank = F.col("role"), ~X.not_blank(F.col("text"))
+    rows = blocks.withColumn("role", L.role(F.col("label"))).filter(L.included(F.col("role"), options)).withColumn("artefact", X.is_scanner_artefact(F.col("text")))
+    read = ~F.col("artefact")
+    return rows.groupBy(*page).agg(
+        F.bool_or((role == "Image") & read).alias("images"),
+        F.bool_or((role == "Table") & blank & read).alias("empty_tables"),
+        F.count_if("artefact").alias("artefacts"),
+        F.count_if(read & (~blank | role.isin("Image", "Table"))).alias("items"),
+    )

@@ -1,4 +1,4 @@
 """All queries of the library: importing the modules registers them."""
 
-from quirefold.plans import jobs, layout, texts  # noqa: F401
+from quirefold.plans import checks, editing, jobs, layout, states, texts  # noqa: F401
 from quirefold.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -101,8 +102,8 @@ def stream_states(spark: SparkSession, path: str) -> DataFrame:
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quirefold-stream-")
     at = f"{root}/job-states-{uuid.uuid4().hex}"
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a path may be one file or a folder
@@ -114,3 +115,89 @@ def stream_states(spark: SparkSession, path: str) -> DataFrame:
     run.awaitTermination()
     rows = spark.read.parquet(f"{at}/out")
     return rows.groupBy("job").agg(F.max_by(F.struct("events", "done", "state"), "batch").alias("s")).select("job", "s.events", "s.done", "s.state")
+
+
+def lifecycles(events: DataFrame) -> DataFrame:
+    """(job, done, total, state) of events (job, id, us, kind, done, total).
+
+    kinds: progress, cancel (asked for), done, cancelled, error. The last end decides; a job that was asked to stop and
+    hasn't ended is cancelling, another one running. A clean end counts as all done.
+    """
+    place = F.struct("us", "id")
+    end = F.col("kind").isin("done", "cancelled", "error")
+    of = lambda c, on: F.max_by(c, F.when(on, place))
+    folded = events.groupBy("job").agg(of("kind", end).alias("end"), F.max(F.col("kind") == "cancel").alias("asked"), of("done", F.col("kind") == "progress").alias("at"), of("total", F.col("kind") == "progress").alias("total"))
+    state = F.coalesce("end", F.when(F.col("asked"), "cancelling").otherwise("running"))
+    return folded.select("job", F.when((state == "done") & (F.col("total") > 0), F.col("total")).otherwise(F.col("at")).alias("done"), "total", state.alias("state"))
+
+
+def reconciled(pending: DataFrame, running: DataFrame, ended: DataFrame) -> DataFrame:
+    """(job, state) of jobs that a session waits for: still running, else as the kept result says, else lost."""
+    live = running.select("job", F.lit(True).alias("_live")).distinct()
+    kept = ended.select("job", F.col("kind").alias("_kind"))
+    rows = pending.join(live, "job", "left").join(kept, "job", "left")
+    return rows.select("job", F.when(F.col("_live"), "running").otherwise(F.coalesce("_kind", F.lit("lost"))).alias("state"))
+
+
+def newest_answers(answers: DataFrame, key: str) -> DataFrame:
+    """Of the answers to numbered requests (key, token, result) those of each key's last request; others came too late.
+
+    A key whose last request has no answer yet (a null result) has none.
+    """
+    return answers.groupBy(key).agg(F.max_by(F.struct("token", "result"), "token").alias("a")).select(key, "a.token", "a.result").filter("result is not null")
+
+
+KEPT = T.StructType([T.StructField("us", T.LongType()), T.StructField("id", T.LongType()), T.StructField("kind", T.StringType())])
+
+
+def keep_end(seconds: int):
+    """The stateful twin of `latest_terminal`: a job's last end, forgotten when the watermark has passed it by `seconds`."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"job": [key[0]], "kind": ["expired"], "last_id": [None]})
+            return
+        us, last, kind = state.get if state.exists else (-1, -1, "")
+        for pdf in batches:
+            for r in pdf.itertuples():
+                if (r.us, r.id) > (us, last):
+                    us, last, kind = int(r.us), int(r.id), r.kind
+        state.update((us, last, kind))
+        state.setTimeoutTimestamp(max(us // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"job": [key[0]], "kind": [kind], "last_id": [last]})
+
+    return step
+
+
+def kept_ends(events: DataFrame, keep_seconds: int = 900, late: str = "1 minute") -> DataFrame:
+    """(job, kind, last_id) in update mode: the last end of each job, then `expired` after its time.
+
+    events: a stream of (job, id, us, kind). State is dropped as the watermark of the ends passes.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    ends = events.filter("kind <> 'progress'").withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", late)
+    return ends.groupBy("job").applyInPandasWithState(keep_end(keep_seconds), "job long, kind string, last_id long", KEPT, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def admitted(requests: DataFrame, most: int = 4) -> DataFrame:
+    """requests (pool, id, start, end) with admitted: whether fewer than `most` of the pool's jobs were active at the start.
+
+    Each decision rests on those before it, so a pool is gone through in order; jobs that end at a start make room.
+    """
+    import heapq
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        active: list = []
+        out = []
+        pdf = pdf.sort_values(["start", "id"])
+        for start, end in zip(pdf["start"], pdf["end"]):
+            while active and active[0] <= start:
+                heapq.heappop(active)
+            out.append(len(active) < most)
+            if out[-1]:
+                heapq.heappush(active, end)
+        return pdf.assign(admitted=out)[["pool", "id", "admitted"]]
+
+    return requests.select("pool", "id", "start", "end").groupBy("pool").applyInPandas(run, "pool long, id long, admitted boolean")
