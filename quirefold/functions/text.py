@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ SHORT_LINE = 4
 SHOWN_REFERENCE = 80
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(text: Column) -> Column:
     """Unicode whitespace off both ends; Spark's trim takes U+0020 alone."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -40,13 +47,16 @@ def lines(text: Column) -> Column:
 
 def clean_line(line: Column) -> Column:
     """A line without heading and quote marks and without one pair of emphasis marks around it."""
-    bare = F.regexp_replace(trim_ws(line), r"^[#>][#> ]*", "")
-    out = bare
-    for mark in ("`", "*", "**", "***"):
-        n = len(mark)
-        wrapped = (F.octet_length(bare) >= 2 * n) & bare.startswith(mark) & bare.endswith(mark)
-        out = F.when(wrapped, F.substring(bare, F.lit(n + 1), F.length(bare) - 2 * n)).otherwise(out)
-    return out
+
+    def unwrapped(bare: Column) -> Column:
+        out = bare
+        for mark in ("`", "*", "**", "***"):
+            n = len(mark)
+            wrapped = (F.octet_length(bare) >= 2 * n) & bare.startswith(mark) & bare.endswith(mark)
+            out = F.when(wrapped, F.substring(bare, F.lit(n + 1), F.length(bare) - 2 * n)).otherwise(out)
+        return out
+
+    return let(F.regexp_replace(trim_ws(line), r"^[#>][#> ]*", ""), unwrapped)
 
 
 def clean_block_text(text: Column) -> Column:
@@ -66,7 +76,8 @@ def strip_html(text: Column) -> Column:
         out = F.when((t != "<") & (t != ">") & (s["depth"] == 0), F.concat(s["out"], F.array(t))).otherwise(s["out"])
         return F.struct(depth.alias("depth"), out.alias("out"))
 
-    return collapse_ws(F.array_join(F.aggregate(tokens, start, step, lambda s: s["out"]), ""))
+    outside = F.when(text.rlike("[<>]"), F.array_join(F.aggregate(tokens, start, step, lambda s: s["out"]), "")).otherwise(text)
+    return collapse_ws(outside)
 
 
 def decode_entities(text: Column) -> Column:
@@ -93,15 +104,19 @@ def html_table_text(text: Column) -> Column:
 
 def repair_short_lines(text: Column) -> Column:
     """Two lines or more of up to four characters each, as vertical print gives them, become one."""
-    full = F.filter(F.transform(lines(text), trim_ws), lambda line: line != "")
-    short = (F.size(full) >= 2) & F.forall(full, lambda line: F.length(line) <= SHORT_LINE)
-    return F.when(short, F.array_join(full, "")).otherwise(text)
+
+    def joined(t: Column) -> Column:
+        full = F.filter(F.transform(lines(t), trim_ws), lambda line: line != "")
+        short = (F.size(full) >= 2) & F.forall(full, lambda line: F.length(line) <= SHORT_LINE)
+        return F.when(short, F.array_join(full, "")).otherwise(t)
+
+    return let(text, lambda t: F.when(F.instr(t, "\n") > 0, joined(t)).otherwise(t))
 
 
 def furniture_key(text: Column) -> Column:
     """What a repeated block is told by: its cleaned text without whitespace, if that has 3 to 40 characters."""
     key = delete_ws(repair_short_lines(clean_block_text(strip_html(text))))
-    return F.when(F.length(key).between(3, 40), key)
+    return let(key, lambda k: F.when(F.length(k).between(3, 40), k))
 
 
 def shown_reference(ref: Column) -> Column:

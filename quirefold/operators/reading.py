@@ -9,6 +9,7 @@ from quirefold.functions import layout as L
 from quirefold.functions import text as X
 
 REPEATS = 3
+SPREAD = 64  # keys over which blocks without a key are dealt in a join
 
 
 def in_reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
@@ -21,9 +22,14 @@ def in_reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
 
 
 def with_furniture(blocks: DataFrame) -> DataFrame:
-    """blocks with role, key and kind: what is needed to tell running headers and footers."""
+    """blocks with role, kind and key: what is needed to tell running headers and footers.
+
+    Only body blocks that lie where running lines are printed get a key, worked out once a row.
+    """
     kind = L.furniture_kind(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.coalesce("width", F.lit(1000)).cast("double"), F.coalesce("height", F.lit(1500)).cast("double"))
-    return blocks.withColumn("role", L.role(F.col("label"))).withColumn("key", X.furniture_key(F.col("text"))).withColumn("kind", kind)
+    placed = blocks.withColumn("role", L.role(F.col("label"))).withColumn("kind", kind)
+    key = F.when((F.col("role") == "Body") & F.col("kind").isNotNull(), X.furniture_key(F.col("text")))
+    return placed.withColumn("key", F.explode(F.array(key)))  # a generated column, so that filters don't repeat it
 
 
 def repeated_keys(blocks: DataFrame, doc: list[str], page: str, at_least: int = REPEATS) -> DataFrame:
@@ -36,9 +42,11 @@ def without_furniture(blocks: DataFrame, doc: list[str], page: str, options: L.R
     """blocks without repeated running lines of the kinds that aren't included."""
     gone = [k for k, on in (("Header", options.include_header), ("Footer", options.include_footer)) if not on]
     repeated = repeated_keys(blocks, doc, page).select(*doc, "key").withColumn("_gone", F.lit(True))
-    marked = blocks.join(repeated, [*doc, "key"], "left")
-    skip = F.coalesce(F.col("_gone"), F.lit(False)) & (F.col("role") == "Body") & F.coalesce(F.col("kind").isin(*gone), F.lit(False))
-    return marked.filter(~skip).drop("_gone")
+    # Most blocks have no key; they are dealt evenly under keys that match nothing.
+    own = F.coalesce("key", F.concat(F.lit("\0"), F.pmod(F.xxhash64("text"), F.lit(SPREAD)).cast("string")))
+    marked = blocks.withColumn("_key", own).join(repeated.withColumnRenamed("key", "_key"), [*doc, "_key"], "left")
+    skip = F.coalesce(F.col("_gone"), F.lit(False)) & F.coalesce(F.col("kind").isin(*gone), F.lit(False))
+    return marked.filter(~skip).drop("_gone", "_key")
 
 
 def rendered(role: Column, text: Column, image_ref: Column | None = None) -> Column:

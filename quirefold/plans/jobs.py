@@ -125,11 +125,12 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).groupBy("doc", "chunk").agg(F.array_join(F.sort_array(F.collect_list("page")).cast("array<string>"), ",").alias("pages"))
 
 
-@query(f"with {CHUNKS} select doc, chunk, chunk_page, page from v_chunks where chunk_page = 2")
+@query(f"with {CHUNKS} select doc, chunk, chunk_page, page from v_chunks")
 def chunk_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The original page of each chunk's second page; chunks of one page have none."""
+    """The original page of every page of a chunk, looked up in the chunk's list."""
     lists = _chunks(spark, sf_dir).groupBy("doc", "chunk").agg(F.sort_array(F.collect_list("page")).alias("pages"))
-    return lists.select("doc", "chunk", F.lit(2).cast("long").alias("chunk_page"), F.get("pages", 1).alias("page")).filter("page is not null")
+    placed = lists.select("doc", "chunk", "pages", F.explode(F.sequence(F.lit(1), F.size("pages"))).alias("p"))
+    return placed.select("doc", "chunk", F.col("p").cast("long").alias("chunk_page"), F.get("pages", F.col("p") - 1).alias("page"))
 
 
 @query(f"with {CHUNKS}, n as (select doc, chunk, count(*) as pages from v_chunks group by doc, chunk) select doc, chunk, pages, coalesce(sum(pages) over (partition by doc order by chunk rows between unbounded preceding and 1 preceding), 0)::bigint as done_before from n")

@@ -14,9 +14,9 @@ from quirefold.sources import fixtures as S
 
 KIND_SQL = """case when bottom >= h * 0.88 and bottom - top <= h * 0.10 then 'Footer'
   when (top <= h * 0.12 and bottom - top <= h * 0.10) or ((x0 <= w * 0.13 or x1 >= w * 0.87) and x1 - x0 <= w * 0.12 and bottom - top <= h * 0.50) then 'Header' end"""
-V_PLACED = f"""v_placed as (select *, doc_id % 5 as volume, {KIND_SQL} as kind, {S.sql_role('label')} as role,
-  case when length({S.sql_delete('text')}) between 3 and 40 then {S.sql_delete('text')} end as key
-  from (select *, y0 as top, y1 as bottom, coalesce(width, 1000)::double as w, coalesce(height, 1500)::double as h from v_blocks))"""
+KEY_SQL = S.sql_delete(S.sql_trim(S.sql_clean_line(S.sql_strip_html("text"))))
+V_PLACED = f"""v_placed as (select *, {KIND_SQL} as kind, {S.sql_role('label')} as role from (select *, y0 as top, y1 as bottom, coalesce(width, 1000)::double as w, coalesce(height, 1500)::double as h from v_running)),
+  v_keyed as (select *, case when length(k) between 3 and 40 then k end as key from (select *, case when role = 'Body' and kind is not null then {KEY_SQL} end as k from v_placed))"""
 ORDER_SQL = """row_number() over (partition by doc_id order by case when has_ord then coalesce(ord, 2147483647) else 0 end,
   case when not has_ord then y0 end, case when not has_ord then -x0 end, pos)"""
 V_ORDERED = f"v_ordered as (select *, {ORDER_SQL} as seq from (select *, bool_or(ord is not null) over (partition by doc_id) as has_ord, {S.sql_role('label')} as role from v_blocks))"
@@ -141,26 +141,22 @@ def reading_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.blocks(spark, sf_dir).select("doc_id", "pos", L.role(F.col("label")).alias("role")).filter(L.included(F.col("role")))
 
 
-@query(f"with {S.V_BLOCKS}, {V_PLACED} select doc_id, pos, kind from v_placed where kind is not null")
+@query(f"with {S.V_BLOCKS}, {S.V_RUNNING}, {V_PLACED} select doc_id, pos, kind from v_placed where kind is not null")
 def furniture_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.with_furniture(S.blocks(spark, sf_dir)).filter("kind is not null").select("doc_id", "pos", "kind")
 
 
 def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.blocks(spark, sf_dir).withColumn("volume", F.col("doc_id") % 5)
-    return R.with_furniture(rows).filter(~F.col("text").rlike("[<>#*`]"))
+    return R.with_furniture(S.running_lines(S.blocks(spark, sf_dir)))
 
 
-# The key's HTML, mark and short-line steps leave these lines alone, so the oracle deletes whitespace only.
-@query(f"""with {S.V_BLOCKS}, {V_PLACED} select volume, key, count(distinct doc_id) as pages from v_placed where role = 'Body' and key is not null and kind is not null and not regexp_matches(text, '[<>#*`]')
-  group by volume, key having count(distinct doc_id) >= 3""")
+@query(f"""with {S.V_BLOCKS}, {S.V_RUNNING}, {V_PLACED} select volume, key, count(distinct doc_id) as pages from v_keyed where key is not null group by volume, key having count(distinct doc_id) >= 3""")
 def repeated_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.repeated_keys(_volumes(spark, sf_dir), ["volume"], "doc_id")
 
 
-@query(f"""with {S.V_BLOCKS}, {V_PLACED}, plain as (select * from v_placed where not regexp_matches(text, '[<>#*`]')),
-  rep as (select volume, key from plain where role = 'Body' and key is not null and kind is not null group by volume, key having count(distinct doc_id) >= 3)
-  select b.volume, count(*) as kept from plain b where not (b.role = 'Body' and b.kind is not null and exists (select 1 from rep r where r.volume = b.volume and r.key = b.key)) group by b.volume""")
+@query(f"""with {S.V_BLOCKS}, {S.V_RUNNING}, {V_PLACED}, rep as (select volume, key from v_keyed where key is not null group by volume, key having count(distinct doc_id) >= 3)
+  select b.volume, count(*) as kept from v_keyed b where not exists (select 1 from rep r where r.volume = b.volume and r.key = b.key) group by b.volume""")
 def furniture_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.without_furniture(_volumes(spark, sf_dir), ["volume"], "doc_id").groupBy("volume").agg(F.count("*").alias("kept"))
 
@@ -170,23 +166,21 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.in_reading_order(S.blocks(spark, sf_dir), ["doc_id"]).select("doc_id", "pos", "seq")
 
 
-ITEM_SQL = f"case when role = 'Image' then '[image: not embedded]' || case when text = '' then '' else ' ' || regexp_replace({S.sql_trim('text')}, '{S.WS}+', ' ', 'g') end when role = 'Table' then {S.sql_trim('text')} else {S.sql_trim(S.sql_clean_line('text'))} end"
-V_ITEMS = f"v_items as (select * from (select doc_id, seq, role, {ITEM_SQL} as item from v_ordered where role not in ('Header', 'Footer', 'Aside', 'PageNumber') and not regexp_matches(text, '[<>]')) where item <> '')"
+ITEM_SQL = f"case when role = 'Image' then '[image: not embedded]' || case when {S.sql_strip_html('text')} = '' then '' else ' ' || {S.sql_strip_html('text')} end when role = 'Table' then {S.sql_trim('text')} else {S.sql_trim(S.sql_clean_line('text'))} end"
+V_ITEMS = f"v_items as (select * from (select doc_id, seq, role, {ITEM_SQL} as item from v_ordered where role not in ('Header', 'Footer', 'Aside', 'PageNumber')) where item <> '')"
 
 
 @query(f"with {S.V_BLOCKS}, {V_ORDERED}, {V_ITEMS} select doc_id, seq, role, item from v_items")
 def reading_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: included blocks of every page in reading order with their cleaned text."""
-    rows = R.reading_items(S.blocks(spark, sf_dir), ["doc_id"])
-    return rows.filter(~F.col("text").rlike("[<>]")).select("doc_id", "seq", "role", "item")
+    return R.reading_items(S.blocks(spark, sf_dir), ["doc_id"]).select("doc_id", "seq", "role", "item")
 
 
 @query(f"""with {S.V_BLOCKS}, {V_ORDERED}, {V_ITEMS}, m as (select doc_id, seq, case role when 'DocTitle' then '# ' || item when 'Heading' then '## ' || item when 'FigureCaption' then '### ' || item
     when 'Footnote' then '> ' || item else item end as md from v_items)
   select doc_id, string_agg(md, chr(10) || chr(10) order by seq) || chr(10) || chr(10) as markdown from m group by doc_id""")
 def reading_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.reading_items(S.blocks(spark, sf_dir), ["doc_id"]).filter(~F.col("text").rlike("[<>]"))
-    return R.markdown(rows, ["doc_id"])
+    return R.markdown(R.reading_items(S.blocks(spark, sf_dir), ["doc_id"]), ["doc_id"])
 
 
 @query(f"""with {S.V_BLOCKS} select doc_id, coalesce(string_agg({S.sql_trim('text')}, chr(10) || chr(10) order by ord nulls last, pos) filter (where {S.sql_trim('text')} <> ''), '') as page_text

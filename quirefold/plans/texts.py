@@ -16,13 +16,13 @@ NL = "chr(10)"
 DECODE = "replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''')"
 
 
-@query(f"""with l as (select doc_id, ['# ' || text, '> **' || text || '**', '`' || text || '`', '*' || text || '*', '  ## > ' || text][(doc_id % 5 + 1)::int] as line from
-    (select doc_id, split_part(text, {NL}, 1) as text from documents))
-  select doc_id, {S.sql_trim(S.sql_clean_line('line'))} as cleaned from l""")
+@query(f"""with {S.V_BLOCKS}, l as (select doc_id, pos, ['# ' || text, '> **' || text || '**', '`' || text || '`', '*' || text || '*', '  ## > ' || text][(doc_id % 5 + 1)::int] as line from v_blocks),
+  c as (select doc_id, pos, {S.sql_clean_line('line')} as cleaned from l) select doc_id, {S.sql_trim(f"string_agg(cleaned, {NL} order by pos)")} as cleaned from c group by doc_id""")
 def clean_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.substring_index("text", "\n", 1)
-    forms = F.array(F.concat(F.lit("# "), first), F.concat(F.lit("> **"), first, F.lit("**")), F.concat(F.lit("`"), first, F.lit("`")), F.concat(F.lit("*"), first, F.lit("*")), F.concat(F.lit("  ## > "), first))
-    return S.table(spark, sf_dir, "documents").select("doc_id", X.clean_block_text(F.get(forms, (F.col("doc_id") % 5).cast("int"))).alias("cleaned"))
+    """Whole texts of which every line carries marks."""
+    marks = F.get(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("# ", ""), ("> **", "**"), ("`", "`"), ("*", "*"), ("  ## > ", ""))]), (F.col("doc_id") % 5).cast("int"))
+    marked = F.array_join(F.transform(X.lines(F.col("text")), lambda line: F.concat(F.col("m.a"), line, F.col("m.b"))), "\n")
+    return S.table(spark, sf_dir, "documents").withColumn("m", marks).select("doc_id", X.clean_block_text(marked).alias("cleaned"))
 
 
 @query(f"select page_id, regexp_replace({S.sql_trim(chr(114) + 'egexp_replace(html, ' + chr(39) + '<[^>]*>' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}, '{S.WS}+', ' ', 'g') as plain from pages")
@@ -43,11 +43,11 @@ def html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "pages").select("page_id", X.decode_entities(F.col("html")).alias("decoded"))
 
 
-@query(f"""with w as (select doc_id, list_filter(regexp_split_to_array(substr(text, 1, 60), '[ {chr(92)}n]+'), lambda x: x <> '') as a from documents),
+@query(f"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '[ {chr(92)}n]+'), lambda x: x <> '') as a from documents),
   s as (select doc_id, list_transform(a, lambda x: substr(x, 1, (doc_id % 6 + 1)::int)) as a from w)
   select doc_id, case when len(a) >= 2 and len(list_filter(a, lambda x: length(x) > 4)) = 0 then list_aggregate(a, 'string_agg', '') else coalesce(list_aggregate(a, 'string_agg', {NL}), '') end as repaired from s""")
 def short_line_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.split(F.substring("text", 1, 60), r"[ \n]+"), lambda w: w != "")
+    words = F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")
     short = F.transform(words, lambda w: F.substring(w, F.lit(1), (F.col("doc_id") % 6 + 1).cast("int")))
     return S.table(spark, sf_dir, "documents").select("doc_id", X.repair_short_lines(F.array_join(short, "\n")).alias("repaired"))
 
@@ -66,7 +66,7 @@ def whitespace_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "documents").select("doc_id", X.delete_ws(F.concat("text", F.lit("　"), "lang", F.lit(" "))).alias("bare"))
 
 
-ANCHOR = f"""t as (select doc_id, text, split_part(text, ' ', 1 + (doc_id % 3)::int) || ' ' || split_part(text, ' ', 2 + (doc_id % 3)::int) as before, split_part(text, ' ', (doc_id % 3)::int) as context from documents where doc_id % 3 > 0),
+ANCHOR = f"""t as (select doc_id, text, split_part(text, ' ', 2 + (doc_id % 3)::int) || ' ' || split_part(text, ' ', 3 + (doc_id % 3)::int) as before, split_part(text, ' ', 1 + (doc_id % 3)::int) as context from documents),
   h as (select *, {S.sql_delete('text')} as hay, {S.sql_delete('context || before')} as needle from t)"""
 COUNTED = "case when needle = '' or strpos(hay, needle) = 0 then 0 when strpos(substr(hay, strpos(hay, needle) + 1), needle) = 0 then 1 else 2 end"
 
@@ -75,8 +75,8 @@ COUNTED = "case when needle = '' or strpos(hay, needle) = 0 then 0 when strpos(s
 def anchor_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = lambda i: F.split_part(F.col("text"), F.lit(" "), i.cast("int"))
     k = F.col("doc_id") % 3
-    docs = S.table(spark, sf_dir, "documents").filter(k > 0)
-    return docs.select("doc_id", P.anchored(F.col("text"), F.concat(word(1 + k), F.lit(" "), word(2 + k)), word(k)).alias("anchored"))
+    docs = S.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", P.anchored(F.col("text"), F.concat(word(2 + k), F.lit(" "), word(3 + k)), word(1 + k)).alias("anchored"))
 
 
 @query(f"""with {S.V_BLOCKS}, b as (select doc_id, pos, {S.sql_delete('text')} as hay from v_blocks), n as (select doc_id, {S.sql_delete("split_part(text, ' ', 3)")} as needle from documents)
@@ -117,13 +117,13 @@ def proofread_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with w as (select doc_id, text, split_part(text, ' ', 2) as before from documents), c as (select *, {COUNTED} as k from (select *, {S.sql_delete('text')} as hay, {S.sql_delete('before')} as needle from w))
-  select doc_id::varchar as key, case when k = 1 and before <> upper(before) and strpos(text, before) > 0 then replace(text, before, upper(before)) else text end as text,
-         (k = 1 and before <> upper(before))::bigint as applied, 0::bigint as conflicts from c where not regexp_matches(before, '[^a-zA-Z]') and before <> ''""")
+  select doc_id::varchar as key, case when k = 1 then substr(text, 1, strpos(text, before) - 1) || '[' || before || ']' || substr(text, strpos(text, before) + length(before)) else text end as text,
+         (k = 1)::bigint as applied, (k = 1)::bigint as conflicts from c""")
 def apply_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second words turned into capitals where their place is unique."""
+    """Second words put into brackets where their place is unique; a second suggestion for the same place is a conflict."""
     before = F.split_part(F.col("text"), F.lit(" "), F.lit(2))
-    one = F.struct(before.alias("before"), F.upper(before).alias("after"), F.lit("").alias("context"))
-    units = S.table(spark, sf_dir, "documents").filter(before.rlike("^[a-zA-Z]+$")).select(F.col("doc_id").cast("string").alias("key"), "text", F.array(one).alias("suggestions"))
+    to = lambda head, tail: F.struct(before.alias("before"), F.concat(F.lit(head), before, F.lit(tail)).alias("after"), F.lit("").alias("context"))
+    units = S.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "text", F.array(to("[", "]"), to("", "!")).alias("suggestions"))
     return P.apply_suggestions(units)
 
 

@@ -105,3 +105,20 @@ def sql_clean_line(x: str) -> str:
       when strlen(b) >= 4 and starts_with(b, '**') and ends_with(b, '**') then substr(b, 3, length(b) - 4)
       when strlen(b) >= 2 and starts_with(b, '*') and ends_with(b, '*') then substr(b, 2, length(b) - 2)
       when strlen(b) >= 2 and starts_with(b, '`') and ends_with(b, '`') then substr(b, 2, length(b) - 2) else b end from (select {bare} as b))"""
+
+
+def sql_strip_html(x: str, depth: int = 8) -> str:
+    """What stands outside of angle brackets, which nest `depth` deep at most: pairs go from the inside out."""
+    for _ in range(depth):
+        x = f"regexp_replace({x}, '<[^<>]*>', '', 'g')"
+    return f"regexp_replace({sql_trim(f"replace(regexp_replace({x}, '(?s)<.*$', ''), '>', '')")}, '{WS}+', ' ', 'g')"
+
+
+def running_lines(rows: DataFrame) -> DataFrame:
+    """blocks with a volume, and a line that names it at the top of every page."""
+    volume = F.col("doc_id") % 5
+    named = F.concat(F.lit("## *Volume "), volume.cast("string"), F.lit(" <b>x</b> ("), F.lit("of five)*"))
+    return rows.withColumn("volume", volume).withColumn("text", F.when(F.col("pos") == 0, named).otherwise(F.col("text")))
+
+
+V_RUNNING = """v_running as (select * replace (case when pos = 0 then '## *Volume ' || doc_id % 5 || ' <b>x</b> (of five)*' else text end as text), doc_id % 5 as volume from v_blocks)"""
