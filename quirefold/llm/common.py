@@ -64,17 +64,17 @@ def replaced(df: DataFrame, name: str, old: DataFrame) -> DataFrame:
     return out
 
 
-def in_place(rows: DataFrame) -> DataFrame:
+def in_place(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     """rows with _pl_row and _pl_part, written in buckets by _pl_part, the task that makes a row.
 
     A task's rows share one bucket, so that nothing is shuffled to write them, nor when a table of finds is joined by
-    `found_for`: only the finds travel. Rows need no identity of their own. The session is told that a bucket column
+    `found_for`: only the finds travel. Rows need no identity of their own. tasks: how many make the rows. The session is told that a bucket column
     among the keys of a join is enough to find both sides together.
     """
     spark = rows.sparkSession
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     name = f"quirefold_{uuid.uuid4().hex}"
-    tasks = max(1, rows.rdd.getNumPartitions())
+    tasks = tasks or max(1, rows.rdd.getNumPartitions())
     buckets = max(2 * tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = rows.withColumn("_pl_row", F.monotonically_increasing_id()).withColumn("_pl_part", part_of(F.col("_pl_row")))
     placed.write.bucketBy(buckets, "_pl_part").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)

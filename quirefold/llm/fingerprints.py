@@ -2,11 +2,13 @@
 
 A term's document frequency is counted over all documents; the lexicon keeps the terms of a middle band of inverse
 document frequency. A document's distinct lexicon terms, sorted, are hashed once for each of several random subsets of
-the lexicon. Subsets differ in how many terms they keep, so that short and long texts both have subsets with few terms;
-likeness is the share of equal hashes among the subsets that hold a term of either text.
+the lexicon. Subsets come in four sizes, so that short and long texts both have subsets with few of their terms;
+likeness is the share of equal hashes among the subsets of one size that hold a term of either text, of the smallest
+subsets that enough terms fall into. A hash of all words stands in where a text has no lexicon term.
 
 The lexicon is bounded: each of its terms lies in `low` of the documents at least, so it has at most (mean distinct
-terms of a document) / low terms. It is broadcast only after its size is checked, else the join is shuffled.
+terms of a document) / low terms. It becomes a set in the expression only after its size is checked; beyond that the
+terms are joined.
 """
 
 from __future__ import annotations
@@ -17,35 +19,48 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.llm.common import found_for, in_place, store
+
 LOW, HIGH = 0.002, 0.2
-#: Each subset keeps one term in so many.
-RATES = (16, 64, 256, 1024) * 8
-MAX_BROADCAST_TERMS = 1_000_000
+#: A subset of each size keeps one term in so many; subsets of one size have no term in common.
+RATES = (16, 64, 256, 1024)
+#: Subsets of each size, at most the least rate.
+SUBSETS = 16
+#: Subsets with a term of either text that make a size fit for comparison.
+ENOUGH = 4
+TERMS_IN_A_SET = 50_000
 ROWS_A_RANGE = 20_000
-MARK = 0  # stands for a text in the join with the lexicon, so that texts without terms stay
 
 
-def terms(text: Column) -> Column:
-    """Distinct hashed terms: lower-case runs of letters and digits."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+def words(text: Column) -> Column:
+    """Hashed terms in order: lower-case runs of letters and digits."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.transform(found, lambda w: F.xxhash64(w))
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """(term): hashed terms whose document frequency lies in the band; a term is in two documents at least."""
     n = docs.count()
-    counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").count()
-    return counts.filter(F.col("count").between(max(2, math.ceil(low * n)), math.floor(high * n))).select("term")
+    counts = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").count()
+    return store(counts.filter(F.col("count").between(max(2, math.ceil(low * n)), math.floor(high * n))).select("term"), "lexicon")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def in_subset(k: int, rate: int) -> Callable[[Column], Column]:
-    return lambda term: F.pmod(F.xxhash64(term, F.lit(k)), F.lit(rate)) == 0
+def fingerprint(found: Column, every: Column) -> Column:
+    """Hashes of the sorted distinct lexicon terms, one for each subset (0 for an empty one), and one of all words."""
 
+    def of_rate(rate: int) -> Column:
+        place = lambda t: F.pmod(F.xxhash64(t, F.lit(rate)), F.lit(rate))
+        some = F.filter(F.transform(found, lambda t: F.struct(place(t).alias("k"), t.alias("t"))), lambda x: x["k"] < SUBSETS)
+        subset = lambda few, k: F.transform(F.filter(few, lambda x: x["k"] == k), lambda x: x["t"])
+        each = lambda few: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: let(subset(few, k), lambda s: F.when(F.size(s) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(s))))
+        return let(some, each)
 
-def fingerprint(found: Column) -> Column:
-    """Hashes of the sorted distinct terms, one for each subset; an empty subset has the hash 0."""
-    subsets = [F.filter(found, in_subset(k, rate)) for k, rate in enumerate(RATES)]
-    return F.array(*[F.when(F.size(s) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(s)) for s in subsets])
+    return F.concat(*[of_rate(r) for r in RATES], F.array(F.xxhash64(every)))
 
 
 def as_text(prints: Column) -> Column:
@@ -53,69 +68,75 @@ def as_text(prints: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal hashes among the subsets with a term of either; 1 where both are empty throughout."""
-    used = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x != 0) | (y != 0), 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x == y) & (x != 0), 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    return F.when(used == 0, F.lit(1.0)).otherwise(same / used).cast("double")
+    """Equal hashes among the used subsets of the smallest size of which ENOUGH are used, else among all used ones.
+
+    Where no subset is used, 1 for texts of equal words and 0 for others.
+    """
+    both = F.zip_with(a, b, lambda x, y: F.struct(((x != 0) | (y != 0)).cast("int").alias("used"), ((x == y) & (x != 0)).cast("int").alias("same")))
+    total = lambda part: F.aggregate(part, F.struct(F.lit(0).alias("used"), F.lit(0).alias("same")), lambda s, v: F.struct((s["used"] + v["used"]).alias("used"), (s["same"] + v["same"]).alias("same")))
 
+    def graded(pairs: Column) -> Column:
+        of_rate = [total(F.slice(pairs, i * SUBSETS + 1, SUBSETS)) for i in range(len(RATES))]
+        fit = F.filter(F.array(*reversed(of_rate)), lambda t: t["used"] >= ENOUGH)
+        best = F.coalesce(F.get(fit, F.lit(0)), total(F.slice(pairs, 1, len(RATES) * SUBSETS)))
+        return let(best, lambda t: F.when(t["used"] > 0, t["same"] / t["used"]).otherwise(F.get(pairs, F.lit(len(RATES) * SUBSETS))["same"].cast("double")))
 
-def tag(i: int) -> Callable[[Column], Column]:
-    return lambda h: F.struct(F.lit(i).alias("i"), h.alias("h"))
+    return let(both, graded)
 
 
-def lexicon_terms(rows: DataFrame, texts: list[str], lex: DataFrame, by: list[str]) -> DataFrame:
-    """rows, once for each distinct `by`, with the sorted lexicon terms of each text column in place of the texts."""
-    tagged = F.concat(*[F.transform(F.concat(F.array(F.lit(MARK).cast("long")), terms(F.col(t))), tag(i)) for i, t in enumerate(texts)])
-    others = [c for c in rows.columns if c not in texts and c not in by]
-    exploded = rows.select(*by, *others, F.explode(tagged).alias("_t")).select(*by, *others, F.col("_t.i").alias("_i"), F.col("_t.h").alias("term"))
-    kept = lex.unionByName(rows.sparkSession.range(1).select(F.lit(MARK).cast("long").alias("term")))
-    kept = F.broadcast(kept) if lex.count() <= MAX_BROADCAST_TERMS else kept
-    sets = exploded.join(kept, "term").groupBy(*by).agg(*[F.first(c).alias(c) for c in others], *[F.array_sort(F.collect_set(F.when((F.col("_i") == i) & (F.col("term") != MARK), F.col("term")))).alias(t) for i, t in enumerate(texts)])
-    return sets
+def tagger(i: int) -> Callable[[Column], Column]:
+    return lambda t: F.struct(F.lit(i).alias("i"), t.alias("t"))
 
 
-def ranges(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> Column:
-    """A number that grows with doc_id and splits the documents into ranges of about equal size; null ids are lowest."""
-    n = max(1, math.ceil(docs.count() / rows_a_range))
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+def known_terms(rows: DataFrame, columns: list[str], lex: DataFrame, most: int = TERMS_IN_A_SET) -> DataFrame:
+    """rows with the sorted distinct lexicon terms in place of the words in each column; rows need _pl_part and _pl_row."""
+    size = lex.count()
+    if size <= most:
+        inside = ",".join(f"{r[0]}L" for r in lex.orderBy("term").collect()) or "null"  # at most `most` numbers
+        return rows.withColumns({c: F.array_sort(F.array_distinct(F.expr(f"filter({c}, t -> t in ({inside}))"))) for c in columns})
+    key = ["_pl_part", "_pl_row"]
+    tagged = F.concat(*[F.transform(F.array_distinct(c), tagger(i)) for i, c in enumerate(columns)])
+    terms = rows.select(*key, F.explode(tagged).alias("x")).select(*key, "x.i", F.col("x.t").alias("term")).join(lex, "term")
+    sets = terms.groupBy(*key).agg(*[F.array_sort(F.collect_set(F.when(F.col("i") == i, F.col("term")))).alias(f"_{c}") for i, c in enumerate(columns)])
+    empty = F.array().cast("array<long>")
+    return rows.join(sets, key, "left").select(*[F.coalesce(f"_{c}", empty).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text, _fp_range, _fp_guest, _fp_tie): next is the document before it in descending id order.
+def with_next(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """(doc_id, text, next_text, _pl_part, _pl_row): next is the document before it in descending id order.
 
-    After the last comes the first. Each range gets the top row of the range below as a guest, so no task sees more
-    than a range. Rows of equal id are ordered by a hash of their text.
+    After the last comes the first; null ids come last, rows of equal id are ordered by a hash of their text. Ranges of
+    ids are sorted and stay in place; a range's last row gets its next text from the head of the following range, which
+    is all that ranges tell each other.
     """
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("_fp_range", ranges(docs)).withColumn("_fp_tie", F.xxhash64("text"))
-    key = F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), (-F.col("_fp_tie")).alias("c"))
-    tops = base.groupBy("_fp_range").agg(F.max(key).alias("k")).select("_fp_range", "k.b", F.expr("-k.c").alias("c")).orderBy("_fp_range").collect()  # one row a range
-    guests = [(tops[i - 1][1], tops[i - 1][2], tops[i][0]) for i in range(len(tops))]
-    base = base.withColumn("_fp_guest", F.lit(0))
-    if guests:
-        to = spark.createDataFrame(guests, "g_id long, g_tie long, g_to int")
-        extra = base.join(F.broadcast(to), base["doc_id"].eqNullSafe(to["g_id"]) & (base["_fp_tie"] == to["g_tie"]))
-        extra = extra.dropDuplicates(["g_to"]).select("doc_id", "text", F.col("g_to").alias("_fp_range"), "_fp_tie", F.lit(1).alias("_fp_guest"))
-        base = base.unionByName(extra)
-    order = Window.partitionBy("_fp_range").orderBy("_fp_guest", F.col("doc_id").desc_nulls_last(), "_fp_tie")
-    return base.withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit(""))).withColumn("_fp_row", F.row_number().over(order))
-
-
-def compare(docs: DataFrame) -> DataFrame:
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / rows_a_range))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_fp_tie", F.xxhash64("text"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("_fp_tie")]
+    placed = in_place(base.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_fp_tie"), parts)
+    ends = placed.groupBy("_pl_part").agg(F.min("_pl_row").alias("head"), F.max("_pl_row").alias("tail"))
+    line = Window.orderBy("_pl_part")  # one row a range
+    following = F.coalesce(F.lead("head").over(line), F.first("head").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ends = store(ends.select("tail", following.alias("row")), "range-ends")
+    heads = found_for(placed, ends.select("row"), "left_semi").select(F.col("_pl_row").alias("row"), F.col("text").alias("_fp_head"))
+    guests = store(ends.join(heads, "row").select(F.col("tail").alias("row"), "_fp_head"), "range-heads")
+    beside = F.lead("text").over(Window.partitionBy("_pl_part").orderBy("_pl_row"))
+    return found_for(placed, guests, "left").withColumn("next_text", F.coalesce(beside, F.col("_fp_head"), F.lit(""))).drop("_fp_head")
+
+
+def compare(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE, terms_in_a_set: int = TERMS_IN_A_SET) -> DataFrame:
     """Fingerprints of each document, of its half-edited text, and their likeness.
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). A null text is empty;
-    texts without lexicon terms share one fingerprint; repeated rows each give a row; an empty table gives no row;
-    other columns are not read.
+    texts without lexicon terms are told apart by their words; repeated rows each give a row; an empty table gives no
+    row; other columns are not read.
     """
-    rows = with_next(docs)
+    rows = with_next(docs, rows_a_range)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select("_fp_range", "_fp_row", "_fp_guest", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), "text", edited.alias("edited"))
-    sets = lexicon_terms(rows, ["text", "edited"], lexicon(docs), ["_fp_range", "_fp_row"])
-    prints = sets.withColumn("a", fingerprint(F.col("text"))).withColumn("b", fingerprint(F.col("edited"))).drop("text", "edited")
-    following = F.lead("a").over(Window.partitionBy("_fp_range").orderBy("_fp_row"))
-    out = prints.withColumn("c", following).filter("_fp_guest = 0")
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    rows = rows.select("_pl_part", "_pl_row", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), words(F.col("text")).alias("a"), words(edited).alias("b"), words(F.col("next_text")).alias("c"))
+    rows = rows.withColumns({f"{k}_all": F.xxhash64(k) for k in "abc"})
+    found = known_terms(rows, ["a", "b", "c"], lexicon(docs), terms_in_a_set)
+    prints = found.select("doc_id", "n_chars", "edited_sha256", *[fingerprint(F.col(k), F.col(f"{k}_all")).alias(k) for k in "abc"])
+    a, b, c = (F.col(k) for k in "abc")
+    return prints.select("doc_id", "n_chars", "edited_sha256", as_text(a).alias("fingerprint"), as_text(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))

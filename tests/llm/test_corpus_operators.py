@@ -224,13 +224,52 @@ def test_fingerprints(spark, corpus, docs):
     assert all(len(v) == 1 for v in by_text.values())
     assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()])
     assert fingerprints.compare(spark.createDataFrame([], EMPTY)).count() == 0
-
-
-def test_fingerprints_over_ranges(spark, corpus, monkeypatch):
-    df = spark.createDataFrame([*corpus, (None, "no id", None)], EMPTY)
-    whole = rows(fingerprints.compare(df).select("doc_id", "edited_sha256", "fingerprint"))
-    monkeypatch.setattr(fingerprints.ranges, "__defaults__", (10,))
-    assert rows(fingerprints.compare(df).select("doc_id", "edited_sha256", "fingerprint")) == whole
+    three = spark.createDataFrame([(1, "only here"), (2, "quite another"), (3, "third text")], "doc_id long, text string")
+    assert all(r.near_next == 0 for r in fingerprints.compare(three).collect())
+
+
+def test_fingerprints_over_ranges(spark, corpus):
+    """Ranges of a few rows, terms joined instead of looked up, null and equal ids: always the same."""
+    df = spark.createDataFrame([*corpus, (None, "no id", None), (10_001, "again", None)], EMPTY)
+    whole = rows(fingerprints.compare(df))
+    assert rows(fingerprints.compare(df.repartition(7), rows_a_range=10)) == whole
+    assert rows(fingerprints.compare(df, terms_in_a_set=0)) == whole
+
+
+def test_fingerprints_recomputed(spark):
+    """Fingerprints and likeness against a plain version over the hashes of Spark's own xxhash64."""
+    real = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    df = spark.createDataFrame(real, "doc_id long, text string")
+    terms = {d: re.findall(r"[^\W_]+", t.lower()) for d, t in real}
+    vocabulary = sorted({w for ws in terms.values() for w in ws})
+    frame = spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("h"))
+    rates = [F.pmod(F.xxhash64("h", F.lit(r)), F.lit(r)).alias(f"r{r}") for r in fingerprints.RATES]
+    of = {r.w: r for r in frame.select("*", *rates).collect()}
+    often = defaultdict(int)
+    for ws in terms.values():
+        for w in set(ws):
+            often[w] += 1
+    n = len(real)
+    lexicon = {w for w, k in often.items() if max(2, -(-n * 2 // 1000)) <= k <= n // 5}
+    subsets = {d: [tuple(sorted(of[w].h for w in set(ws) & lexicon if of[w][f"r{r}"] == k)) for r in fingerprints.RATES for k in range(fingerprints.SUBSETS)] for d, ws in terms.items()}
+
+    def like(x, y):
+        for i in reversed(range(len(fingerprints.RATES))):
+            part = [(p, q) for p, q in list(zip(subsets[x], subsets[y]))[i * fingerprints.SUBSETS : (i + 1) * fingerprints.SUBSETS] if p or q]
+            if len(part) >= fingerprints.ENOUGH:
+                return sum(p == q for p, q in part) / len(part)
+        part = [(p, q) for p, q in zip(subsets[x], subsets[y]) if p or q]
+        return sum(p == q for p, q in part) / len(part) if part else float(terms[x] == terms[y])
+
+    got = {r.doc_id: r for r in fingerprints.compare(df).collect()}
+    order = sorted(got, reverse=True)
+    for d, following in zip(order, [*order[1:], order[0]]):
+        assert abs(got[d].near_next - like(d, following)) < 1e-9
+    prints = defaultdict(set)
+    for d in got:
+        prints[tuple(subsets[d]), tuple(terms[d])].add(got[d].fingerprint)
+    assert all(len(v) == 1 for v in prints.values()) and len({f for v in prints.values() for f in v}) == len(prints)
+    assert np.mean([r.near_edited for r in got.values()]) > 5 * np.mean([r.near_next for r in got.values()])
 
 
 VALUES = ["x.99@mail7.example.com", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "GB82 WEST 1234 5698 7654 32", "97.51.17.173", "2024-02-29", "29.02.2024", "123-45-6789", "+1 (017) 555-7713", "4111 1111 1111 1111"]
