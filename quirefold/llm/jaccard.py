@@ -3,7 +3,7 @@
 Shingles are hashed into groups. Two sets with a Jaccard similarity of t or more differ in few shingles, fewer than
 there are groups, so the contents of some group agree: documents meet where a group of two shingles or more has equal
 contents (`signatures`; sets with too many smaller groups for that argument also meet by the least hashes of a prefix).
-Where documents meet, the counts of shingles in about as many groups as there are shingles make each a point; an R-tree
+Where documents meet, the counts of shingles in groups, about four shingles a group, make each a point; an R-tree
 over the points bounds the overlap of a set with all sets under a node by the summed minima of coordinates, and the
 pairs that survive are verified by their shingles (`CountTree`, `linked`, `near_pairs`).
 
@@ -27,7 +27,7 @@ from quirefold.llm.common import found_for, in_place, lean, store
 from quirefold.llm.components import components
 
 WORDS, SHARE = 5, (4, 5)  # words of a shingle; Jaccard threshold as a fraction
-LEAST_GROUPS, MOST_GROUPS = 256, 1 << 13  # coordinates of a count vector, a power of two
+LEAST_GROUPS, MOST_GROUPS = 64, 1 << 12  # coordinates of a count vector, a power of two
 MARKED = 16  # groups of a band whose places choose the partners of the first round
 LEAF = 16
 TILE = 1024  # documents compared in one task at once
@@ -111,8 +111,11 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def counts(s: np.ndarray) -> np.ndarray:
-    """Shingles in each of about as many groups as there are shingles, a power of two."""
-    size = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (len(s) - 1).bit_length()))
+    """Shingles in each of about a quarter as many groups as there are shingles, a power of two.
+
+    Sets that have little in common differ in about n / 2 counts of n / 4 groups, linked ones in 2 n / 9 at most.
+    """
+    size = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (len(s) // 4).bit_length()))
     return np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.int32)
 
 
@@ -356,8 +359,9 @@ def link_rows(keys: list[str]):
 
 
 def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of nodes in different components at one place whose count vectors let them be linked.
+    """(a, b, ca, cb, share) of nodes in different components at one place whose count vectors let them be linked.
 
+    ca and cb are the components, the lower first; share is the Jaccard similarity that the counts allow at most.
     Rows come sorted by (place, x, y). A place of one leaf needs no tree: its points are compared with each other.
     """
     names = ["place", "x", "y", "node", "component", "tile"]
@@ -380,12 +384,14 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = near[part[near] != part[i]]
             near = near[tile[near] != tile[i]] if cross else near
             if len(near):
-                found.append(np.stack([np.maximum(nodes[near], nodes[i]), np.minimum(nodes[near], nodes[i])]))
+                common = np.minimum(points[near], points[i]).sum(axis=1)
+                share = common * 1_000_000 // (points[near].sum(axis=1) + int(points[i].sum()) - common)
+                found.append(np.stack([np.maximum(nodes[near], nodes[i]), np.minimum(nodes[near], nodes[i]), np.minimum(part[near], part[i]), np.maximum(part[near], part[i]), share]))
 
     def pairs() -> pa.RecordBatch:
-        both = np.concatenate(found, axis=1)
+        out = np.concatenate(found, axis=1)
         found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "ca", "cb", "share"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -463,11 +469,22 @@ def join(docs: DataFrame) -> DataFrame:
     squares = left.select("place", "node", "component", "tile", other).select("place", "node", "component", "tile", F.least("tile", "o").alias("x"), F.greatest("tile", "o").alias("y"))
     squares = found_for(profiles, squares.join(at, "node").drop("node"), "inner").select("place", "node", "component", "tile", "x", "y", "vector")
     squares = squares.repartition(parts, "place", "x", "y").sortWithinPartitions("place", "x", "y", "node")
-    pairs = store(squares.mapInArrow(lean(near_pairs), "a long, b long").distinct(), "pairs")
-    left = found_for(profiles, pairs.join(at, F.col("a") == F.col("node")).select("a", "b", "row"), "inner").select("a", "b", F.col("shingles").alias("sa"))
-    both = found_for(profiles, left.join(at, F.col("b") == F.col("node")).select("a", "b", "sa", "row"), "inner").select("a", "b", "sa", F.col("shingles").alias("sb"))
-    second = store(both.mapInArrow(lean(verified), "a long, b long"), "links")
-    final = components(links.unionByName(second)) if second.head(1) else found
+    pairs = store(squares.mapInArrow(lean(near_pairs), "a long, b long, ca long, cb long, share long").distinct(), "pairs")
+
+    def linked_of(some: DataFrame) -> DataFrame:
+        one = found_for(profiles, some.join(at, F.col("a") == F.col("node")).select("a", "b", "row"), "inner").select("a", "b", F.col("shingles").alias("sa"))
+        both = found_for(profiles, one.join(at, F.col("b") == F.col("node")).select("a", "b", "sa", "row"), "inner").select("a", "b", "sa", F.col("shingles").alias("sb"))
+        return store(both.mapInArrow(lean(verified), "a long, b long"), "links")
+
+    # Of two components first the pair that looks most alike; the other pairs only where the components stay apart.
+    likely = linked_of(pairs.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b"))
+    links = links.unionByName(likely)
+    final = components(links) if likely.head(1) else found
+    label = lambda c: final.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    still = pairs.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    rest = linked_of(still.select("a", "b").distinct())
+    if rest.head(1):
+        final = components(links.unionByName(rest))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     of_key = copied.join(final, copied["b"] == final["node"], "left").select("key", "n", F.coalesce("component", "b").alias("of_key"), salt.alias("salt"))
     named = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(of_key, ["key", "n", "salt"], "left").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
