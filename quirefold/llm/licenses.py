@@ -1,14 +1,16 @@
-"""License scans: runs of lines against licence templates by the Dice coefficient over word bigrams.
+"""License scans: stretches of words against licence templates by the Dice coefficient over word bigrams.
 
-Text and templates are normalised alike: lower case, only letters and digits of words, line structure kept in the
-text. The Dice coefficient of bags of bigrams of sizes n and m is at most 2 min(n, m) / (n + m), so only runs of lines
-whose size lies between the bounds of a template are compared with it, and only if enough of a run's bigrams occur in
-any template at all.
+Text and templates are normalised alike: lower case, only letters and digits of words, lines don't matter. The Dice
+coefficient of bags of bigrams of sizes n and m is at most 2 min(n, m) / (n + m), so a template is only compared with
+stretches whose size lies between its bounds, and only where enough of its bigrams lie so near together that a
+stretch within the bounds could hold them. A best stretch begins and ends with a bigram of its template, so only
+those are looked at, anywhere in a text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +31,9 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Released under the BSD License.",
     ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -37,13 +42,20 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ],
     "all-rights-reserved": ["All rights reserved."],
 }
 
@@ -67,50 +79,76 @@ class Scanner:
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
         self.templates = [(name, bigrams(words(t.encode()))) for name, texts in sorted(templates.items()) for t in texts]
-        self.any = {g for _, bag in self.templates for g in bag}
         size = [bag.total() for _, bag in self.templates]
         self.bounds = [(m * threshold / (2 - threshold), m * (2 - threshold) / threshold) for m in size]
-        self.least, self.most = min(x for x, _ in self.bounds), max(y for _, y in self.bounds)
-
-    def best(self, w: list[bytes], hits: int) -> tuple[float, str] | None:
-        """The template nearest to a run of words, if it is near enough; of equals the first by name."""
-        n, bag, found = len(w) - 1, None, None
-        for (name, template), (lo, hi) in zip(self.templates, self.bounds):
-            if lo <= n <= hi and 2 * min(hits, template.total()) >= self.threshold * (n + template.total()):
-                bag = bag or bigrams(w)
-                d = dice(bag, template)
-                if d >= self.threshold and (found is None or d > found[0]):
-                    found = (d, name)
+        self.holders: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
+        for k, (_, bag) in enumerate(self.templates):
+            for g in bag:
+                self.holders[g].append(k)
+
+    def stretches(self, w: list[bytes], k: int, hits: list[int]) -> list[tuple[float, int, int]]:
+        """(Dice, first word, last word) of the best stretch from each hit, where one is near enough to template k.
+
+        hits: where bigrams of the template stand in w.
+        """
+        name, bag = self.templates[k]
+        m, (lo, hi) = bag.total(), self.bounds[k]
+        need = self.threshold * (m + lo) / 2 - 1e-9  # bigrams in common of the shortest stretch that is near enough
+        found = []
+        for i, start in enumerate(hits):
+            ahead = bisect_right(hits, start + hi - 1, i)
+            if ahead - i < need:
+                continue
+            left = dict(bag)
+            common, best = 0, None
+            for j in range(i, ahead):
+                g = w[hits[j]], w[hits[j] + 1]
+                if left[g]:
+                    left[g] -= 1
+                    common += 1
+                    n = hits[j] - start + 1
+                    if n >= lo and (d := 2 * common / (n + m)) >= self.threshold and (best is None or d > best[0]):
+                        best = (d, start, hits[j] + 1)
+            if best:
+                found.append(best)
         return found
 
     def scan(self, text: bytes | None) -> list[tuple[int, int, str, float]]:
-        """(first line, last line, licence, Dice) of runs that don't overlap: the nearest first, then the earliest and longest."""
-        lines = [line.split() for line in (text or b"").translate(_KEEP).split(b"\n")]
-        hits = [sum(map(self.any.__contains__, zip(w, w[1:]))) for w in lines]
-        found = []
-        for i in (i for i, h in enumerate(hits) if h):
-            run: list[bytes] = []
-            total = 0
-            for j in range(i, len(lines)):
-                if run and lines[j] and (run[-1], lines[j][0]) in self.any:
-                    total += 1
-                run = run + lines[j]
-                total += hits[j]
-                if len(run) - 1 > self.most:
-                    break
-                if hits[j] and len(run) - 1 >= self.least and (near := self.best(run, total)):
-                    found.append((-near[0], i, -j, near[1]))
+        """(first line, last line, licence, Dice) of stretches without a word in common, in order of place.
+
+        The nearest comes first, of equals the earliest, then the longest, then the first by name.
+        """
+        text = text or b""
+        w = words(text)
+        hits: dict[int, list[int]] = defaultdict(list)
+        for i, g in enumerate(zip(w, w[1:])):
+            for k in self.holders.get(g, ()):
+                hits[k].append(i)
+        near = [(-d, a, -b, self.templates[k][0]) for k, at in hits.items() for d, a, b in self.stretches(w, k, at)]
+        if not near:
+            return []
+        starts: list[int] = []
+        ends: list[int] = []
         out: list[tuple[int, int, str, float]] = []
-        for d, i, j, name in sorted(found):
-            if all(-j < a or i > b for a, b, _, _ in out):
-                out.append((i, -j, name, -d))
-        return sorted(out)
+        for d, a, b, name in sorted(near):
+            b = -b
+            at = bisect_left(starts, a)
+            if (at and ends[at - 1] >= a) or (at < len(starts) and starts[at] <= b):
+                continue
+            starts.insert(at, a)
+            ends.insert(at, b)
+            out.append((a, b, name, -d))
+        last: list[int] = []  # words up to and with each line
+        for line in text.translate(_KEEP).split(b"\n"):
+            last.append((last[-1] if last else 0) + len(line.split()))
+        return [(bisect_right(last, a), bisect_right(last, b), name, d) for a, b, name, d in sorted(out)]
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, first_line, last_line, license, dice): one row for each licence notice found in a text.
 
-    Lines count from 0. Null and empty texts have none; repeated rows are each scanned.
+    Lines count from 0. Null and empty texts have none; repeated rows are each scanned; ids are only passed on and may
+    be null or of any type.
     """
     scanner = Scanner(templates, threshold)
 
@@ -118,13 +156,18 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
         for batch in batches:
             rows = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")) for m in scanner.scan(t.as_py())]
             cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64()))], ["doc_id", "first_line", "last_line", "license", "dice"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.column("doc_id").type, pa.int32(), pa.int32(), pa.string(), pa.float64()))], ["doc_id", "first_line", "last_line", "license", "dice"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, first_line int, last_line int, license string, dice double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, first_line int, last_line int, license string, dice double")
 
 
 def by_document(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_notices, licenses, best_license, best_dice) of every row of docs; none: 0, '', null, 0."""
+    """(doc_id, n_notices, licenses, best_license, best_dice) of every row of docs; none: 0, '', null, 0.
+
+    licenses are the distinct names, sorted; best_license is the nearest notice's, of equals the first by name. Null,
+    empty and very long texts, repeated rows and ids of any type are each scanned as they are.
+    """
     scanner = Scanner(templates, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,4 +179,5 @@ def by_document(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, th
                 ["doc_id", "n_notices", "licenses", "best_license", "best_dice"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, n_notices long, licenses string, best_license string, best_dice double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n_notices long, licenses string, best_license string, best_dice double")
