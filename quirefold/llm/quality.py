@@ -188,12 +188,13 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, most: int = SAMPLE) -> tuple[LabelModel, Scorer]:
     """The label model from the vote patterns of all documents, at most 3 ** labellers, and the scorer from a sample."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     counted = texts.mapInArrow(lean(_patterns), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     labels = LabelModel().fit({r[0]: r[1] for r in counted})
     chosen = texts.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(lean(_examples), "doc_id long, pattern string, slots array<long>, values array<double>").collect()
-    rows = sorted(map(tuple, rows))[: 2 * most]  # of repeated ids, twice as many rows at most
+    examples = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(lean(_examples), "doc_id string, pattern string, slots array<long>, values array<double>")
+    once = examples.groupBy("doc_id").agg(F.min(F.struct("pattern", "slots", "values")).alias("r"))  # of rows of one id the least
+    rows = sorted(tuple(r) for r in once.select("doc_id", "r.*").collect())  # `most` rows of SLOTS numbers at most
     return labels, Scorer().fit([(np.array(s, np.int64), np.array(v), labels.of(p)) for _, p, s, v in rows])
 
 
@@ -201,7 +202,8 @@ def classify(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     """docs with votes, posterior, quality_score and keep (score of 0.5 or more).
 
     Texts of few words get no votes; they are kept if their shapes look like those of good texts. Null and empty texts
-    score 0. Repeated rows are each scored; columns of the four names are replaced.
+    score 0. Repeated rows are each scored; rows of one id count once in the sample, and null ids not at all; ids may
+    be of any type. Columns of the four names are replaced. An empty table gives no row. A score of just 0.5 is kept.
     """
     labels, scorer = train(docs, most)
     shared = docs.sparkSession.sparkContext.broadcast((dict(zip(labels.patterns, labels.posterior.tolist())), labels.good, scorer))
