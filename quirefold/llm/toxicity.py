@@ -8,7 +8,6 @@ Trees are grown on histograms of a bounded sample of labelled rows and calibrate
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import SLICE, lean
+from quirefold.llm.common import SLICE, lean, store
 
 #: Labelled rows that are fitted at most, those of least hash.
 SAMPLE = 6_000
@@ -53,41 +52,33 @@ def beginnings(word: str) -> list[str]:
 
 
 class Lexicon:
-    """Word beginnings that mark label 1, with their log odds: those that tell the labels apart best, in four rows or more.
+    """Word beginnings that mark label 1, with their log odds."""
 
-    Rows are (hashed beginnings, text, label); hashes are counted, and only strong ones are looked up in the texts.
-    """
-
-    def __init__(self, rows: list[tuple[np.ndarray, str, int]], most: int = LEARNED):
-        counts = []
-        for y in (0, 1):
-            held = [h for h, _, label in rows if label == y]
-            counts.append(np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint32), np.empty(0, np.int64)))
-        (seen, often), (marked, pos) = counts
-        at = np.minimum(np.searchsorted(seen, marked), max(len(seen) - 1, 0))
-        neg = np.where(seen[at] == marked, often[at], 0) if len(seen) else np.zeros(len(marked), np.int64)
-        n = [sum(1 for _, _, label in rows if label == y) for y in (0, 1)]
-        odds = np.log((pos + 0.5) / (n[1] + 1)) - np.log((neg + 0.5) / (n[0] + 1))
-        strong = (odds > 2.0) & (pos + neg >= 4)
-        order = np.lexsort((marked[strong], -odds[strong] * np.sqrt(pos[strong])))[:most]
-        best = dict(zip(marked[strong][order].tolist(), odds[strong][order].tolist()))
-        self.odds: dict[str, float] = {}
-        for _, text, label in rows:
-            if label and best:
-                for w in set(_LETTERS.findall(text.lower())):
-                    for g in beginnings(w):
-                        if (h := zlib.crc32(g.encode())) in best:
-                            self.odds[g] = best[h]
-        self.first = {g[:3] for g in self.odds}
+    def __init__(self, odds: dict[str, float]):
+        self.odds = odds
+        self.first = {g[:3] for g in odds}
 
     def __call__(self, word: str) -> float:
         return max((self.odds.get(b, 0.0) for b in beginnings(word)), default=0.0) if word[:3] in self.first else 0.0
 
 
-def bag(text: str) -> np.ndarray:
-    """Sorted distinct hashes of the beginnings of a text's words."""
-    found = {zlib.crc32(g.encode()) for w in set(_LETTERS.findall(text.lower())) for g in beginnings(w)}
-    return np.sort(np.fromiter(found, np.uint32, len(found)))
+LONGEST = 40  # characters of a word that are looked at
+
+
+def bag(text: str | None) -> set[str]:
+    """The distinct beginnings of a text's words."""
+    return {g for w in set(_LETTERS.findall((text or "").lower())) for g in beginnings(w[:LONGEST])}
+
+
+def strongest(counts: DataFrame, rows: tuple[int, int], pos: Column, neg: Column, most: int = LEARNED) -> Lexicon:
+    """The lexicon of beginnings (g) that tell the labels apart best, in four rows or more; rows of label 0 and of label 1.
+
+    At most `most` beginnings come to the driver.
+    """
+    odds = F.log((pos + 0.5) / (rows[1] + 1)) - F.log((neg + 0.5) / (rows[0] + 1))
+    strong = counts.select("g", pos.alias("pos"), odds.alias("odds")).filter((odds > 2.0) & (pos + neg >= 4))
+    best = strong.orderBy((F.col("odds") * F.sqrt("pos")).desc(), "g").limit(most).collect()
+    return Lexicon({r["g"]: r["odds"] for r in best})
 
 
 def features(text: str | None, marks: Lexicon) -> list[float]:
@@ -204,32 +195,28 @@ class Isotonic:
         return self
 
     def __call__(self, score: np.ndarray) -> np.ndarray:
-        return np.interp(score, self.at, self.share) if len(self.at) else 1 / (1 + np.exp(-score))
+        return np.interp(score, self.at, self.share) if len(self.at) else np.zeros(len(score))
 
 
 class Model:
-    """Lexicon, trees and calibration from labelled rows (key, text, label).
+    """Lexicon, trees and calibration from rows (fold, features, label), features worked out with lexicons of other folds.
 
-    Rows are dealt into folds by a hash of their key. A row's features come from a lexicon of the other folds, and the
-    score that calibrates comes from trees of the other folds, so neither has seen the row's label.
+    The score that calibrates a row comes from trees of the other folds, so that neither lexicon nor trees have seen
+    its label.
     """
 
     FOLDS = 4
 
-    def fit(self, rows: list[tuple[str, str, int]]) -> Model:
-        fold = np.array([zlib.crc32(f"fold {key}".encode()) % self.FOLDS for key, _, _ in rows], np.int64)
+    def fit(self, rows: list[tuple[int, list[float], int]], marks: Lexicon) -> Model:
+        fold = np.array([f for f, _, _ in rows], np.int64)
         y = np.array([label for _, _, label in rows], np.float64)
-        bags = [(bag(t or ""), t or "", label) for _, t, label in rows]
-        x, out = np.zeros((len(rows), len(FEATURES))), np.zeros(len(rows))
-        for k in range(self.FOLDS):
-            marks = Lexicon([b for b, f in zip(bags, fold) if f != k])
-            for i in np.flatnonzero(fold == k):
-                x[i] = features(rows[i][1], marks)
+        x = np.array([v for _, v, _ in rows], np.float64).reshape(-1, len(FEATURES))
+        out = np.zeros(len(rows))
         for k in range(self.FOLDS):
             out[fold == k] = Trees().fit(x[fold != k], y[fold != k]).score(x[fold == k])
         self.scale = Isotonic().fit(out, y)
         self.trees = Trees().fit(x, y)
-        self.marks = Lexicon(bags)
+        self.marks = marks
         return self
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
@@ -241,13 +228,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> list[tuple[str, str, int]]:
-    """(key, text, label) of the labelled training rows, `most` of least hash. A document with more labels counts once."""
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `most` ids
-    rows = found.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).select(F.col("doc_id").cast("string"), "r.text", "r.y")
-    return sorted(tuple(r) for r in rows.collect())
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
+    """(key, fold, text, y) of the labelled training rows, `most` of least hash. A document with more labels counts once."""
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("string").alias("key")).agg((F.max(label) > 0).cast("int").alias("y"))
+    chosen = known.orderBy(F.xxhash64("key"), "key").limit(most)
+    found = docs.select(F.col("doc_id").cast("string").alias("key"), "text").join(F.broadcast(chosen), "key")  # at most `most` ids
+    rows = found.groupBy("key", "y").agg(F.min("text").alias("text"))
+    return rows.withColumn("fold", (F.crc32(F.concat(F.lit("fold "), "key").cast("binary")) % Model.FOLDS).cast("int"))
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+    """The model of `label` toxic. Texts stay where they are: the driver sees counts of rows, the strongest beginnings, and one row of features for each row of the sample."""
+    rows = store(sample(docs, labels, "toxic", most), "toxicity-sample")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fold, y, text in zip(batch.column("fold").to_pylist(), batch.column("y").to_pylist(), batch.column("text")):
+                found = sorted(bag(text.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([fold] * len(found), pa.int32()), pa.array([y] * len(found), pa.int32())], ["g", "fold", "y"])
+
+    times = lambda y, k: F.count_if((F.col("y") == y) & (F.col("fold") == k)).alias(f"n{y}{k}")
+    each = [times(y, k) for y in (0, 1) for k in range(Model.FOLDS)]
+    counts = store(rows.select("fold", "y", "text").mapInArrow(lean(spread), "g string, fold int, y int").groupBy("g").agg(*each).filter(" + ".join(f"n{y}{k}" for y in (0, 1) for k in range(Model.FOLDS)) + " >= 4"), "toxicity-counts")
+    size = rows.agg(*each).first()
+    marks = []
+    for left_out in (*range(Model.FOLDS), None):
+        kept = [k for k in range(Model.FOLDS) if k != left_out]
+        total = lambda y, kept=kept: sum((F.col(f"n{y}{k}") for k in kept), F.lit(0))
+        marks.append(strongest(counts, tuple(sum(size[f"n{y}{k}"] for k in kept) for y in (0, 1)), total(1), total(0)))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [features(t.as_py(), marks[f]) for t, f in zip(batch.column("text"), batch.column("fold").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("fold"), pa.array(x, pa.list_(pa.float64())), batch.column("y")], ["key", "fold", "x", "y"])
+
+    found = rows.select("key", "fold", "text", "y").mapInArrow(lean(described), "key string, fold int, x array<double>, y int").collect()  # `most` rows at most
+    return Model().fit([(r["fold"], [float(v) for v in r["x"]], r["y"]) for r in sorted(found)], marks[-1])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -260,8 +276,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = np.concatenate([shared.value.predict(texts.slice(i, SLICE).to_pylist()) for i in range(0, len(texts), SLICE)] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    return score(docs, Model().fit(sample(docs, labels, "toxic", most)))
+    """(doc_id, held_out, score, predicted) of every row of docs, by a model of the labelled rows that aren't held out.
+
+    Without labels, or with one label only, every text gets the share of label 1 in the sample (0 without any). Null
+    and empty texts are scored as texts without words; repeated rows are each scored and count once in the sample; a
+    null id is held out; other columns, whatever their names, are not read.
+    """
+    return score(docs, train(docs, labels, most))
