@@ -9,14 +9,16 @@ documents and runs, and nobody without the key can turn a pseudonym back.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 #: Only for tests and demonstrations; a deployment passes its own secret.
 DEFAULT_KEY = "quirefold"
+KEY_SETTING = "spark.quirefold.pii.key"
 
 #: Patterns of the kinds; the first that matches at a place counts. Fixed values.
 KINDS = {
@@ -31,10 +33,11 @@ KINDS = {
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Characters stay inside their alphabet. Fixed values.
-PLAIN = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
+PLAIN = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 HEX = ["0123456789", "abcdef", "ABCDEF"]
-#: The 400 years from 1800 have 146,097 days, which is 189 * 773.
-FIRST_DAY, DAYS, DAY_ROWS, DAY_COLUMNS = "1800-01-01", 146_097, 189, 773
+#: Any 400 years have 146,097 days, which is 189 * 773; dates are permuted inside the 400 years, from 1800 back and on,
+#: that they lie in, from the year 1000 to 9799.
+FIRST_DAY, DAYS, DAY_ROWS, DAY_COLUMNS, ERAS = "1800-01-01", 146_097, 189, 773, (-2, 19)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -152,15 +155,16 @@ def _date(v: Column, key: str) -> Column:
     turned = F.concat(F.substring(v, 7, 4), F.lit("-"), F.substring(v, 4, 2), F.lit("-"), F.substring(v, 1, 2))
     mark = F.substring(v, 3, 1)
 
-    def shown(n: Column) -> Column:
-        return F.date_add(F.lit(FIRST_DAY).cast("date"), (n["a"] * DAY_COLUMNS + n["b"]).cast("int")).cast("string")
+    def shown(era: Column) -> Callable[[Column], Column]:
+        return lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), (era * DAYS + n["a"] * DAY_COLUMNS + n["b"]).cast("int")).cast("string")
 
     def written(out: Column) -> Column:
         return F.when(iso, out).otherwise(F.concat(F.substring(out, 9, 2), mark, F.substring(out, 6, 2), mark, F.substring(out, 1, 4)))
 
     def moved(day: Column) -> Column:
-        new = _feistel(F.floor(day / DAY_COLUMNS), day % DAY_COLUMNS, DAY_ROWS, DAY_COLUMNS, key, "date")
-        return F.when(day.between(0, DAYS - 1), let(let(new, shown), written)).otherwise(v)
+        era, at = F.floor(day / DAYS), F.pmod(day, F.lit(DAYS))
+        new = _feistel(F.floor(at / DAY_COLUMNS), at % DAY_COLUMNS, DAY_ROWS, DAY_COLUMNS, key, "date")
+        return F.when(era.between(*ERAS), let(let(new, shown(era)), written)).otherwise(v)
 
     return let(F.datediff(F.when(iso, v).otherwise(turned).try_cast("date"), F.lit(FIRST_DAY).cast("date")), moved)
 
@@ -197,11 +201,20 @@ def pseudonym(v: Column, key: str) -> Column:
     return out
 
 
+def secret_of(spark: SparkSession) -> str:
+    """The key of a session: its setting spark.quirefold.pii.key, or, with a warning, the published one."""
+    key = spark.conf.get(KEY_SETTING, "") or spark.sparkContext.getConf().get(KEY_SETTING, "")
+    if not key:
+        warnings.warn(f"{KEY_SETTING} isn't set; pseudonyms under the published key can be turned back", stacklevel=2)
+    return key or DEFAULT_KEY
+
+
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """docs with pseudonyms in text, and pii_found and pii_changed, the numbers of values found and replaced.
 
-    Values that fail their kind's check stay as they are. A null text stays null with counts of 0; columns of the two
-    names are replaced; other columns and repeated rows stay.
+    Values that fail their kind's check stay as they are. A null text stays null with counts of 0, an empty one stays
+    empty; texts may be of any length; columns of the two names are replaced; other columns and repeated rows stay; an
+    empty table gives no row.
     """
     likely = F.col("text").rlike("[0-9@]|[0-9A-Fa-f]{32}")
     found = F.when(likely, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))

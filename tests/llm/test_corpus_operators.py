@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 
 import brute
 import numpy as np
+import plain_pii
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +298,17 @@ def test_pii(spark):
     assert out[len(VALUES) :] == texts[len(VALUES) :]
 
 
+def test_pii_against_a_plain_version(spark):
+    """Every value of the real texts, and some odd ones, permuted by the plain version of the network."""
+    real = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    more = [*VALUES, *WRONG, "иван@mail.ru", "Ωμεγα@x.gr", "1066-10-14", "0999-01-01", "31.12.9799", "2400-02-29", "1900-02-29", "5500005555555559 and +44 20 7946 0958", "a" * 200_000 + " x@y.org"]
+    table = [*real, *((20_000 + i, v) for i, v in enumerate(more)), (30_000, None), (30_001, ""), (30_001, "x@y.org"), (30_001, "x@y.org")]
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumn("pii_found", F.lit("x"))
+    got = rows(pii.pseudonymise(df, "k").select("doc_id", "text"))
+    assert got == sorted(((d, plain_pii.pseudonymised(t, "k")) for d, t in table), key=str)
+    assert pii.pseudonymise(df.limit(0)).count() == 0
+
+
 def test_pii_is_a_permutation(spark):
     days = spark.range(0, 3000).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
     assert pii.pseudonymise(days).select("text").distinct().count() == 3000
@@ -335,26 +348,45 @@ def test_warc(spark, split):
 
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"][1]
-    texts = [None, "", "All rights reserved.", "x\nreleased UNDER the mit license\ny", "\n".join(mit[i : i + 60] for i in range(0, len(mit), 60)) if False else mit.replace("charge, to", "charge,\nto"), "The MIT way of life", "Licensed under the Apache License, Version 2.0.\nAll rights reserved."]
+    inside = "Some prose here. Released under the MIT License. More prose, and yet more of it follows."
+    after = "Released under the MIT License. See LICENSE for details about it"
+    texts = [None, "", "All rights reserved.", "x\nreleased UNDER the mit license\ny", mit.replace("charge, to", "charge,\nto"), "The MIT way of life", "Licensed under the Apache License, Version 2.0.\nAll rights reserved.", inside, after]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r.licenses for r in licenses.by_document(df).orderBy("doc_id").collect()]
-    assert got == ["", "", "all-rights-reserved", "MIT", "MIT", "", "Apache-2.0,all-rights-reserved"]
-    assert licenses.scan(df).count() == 5
+    assert got == ["", "", "all-rights-reserved", "MIT", "MIT", "", "Apache-2.0,all-rights-reserved", "MIT", "MIT"]
+    found = rows(licenses.scan(df))
+    assert [(d, a, b, n) for d, a, b, n, _ in found] == [(2, 0, 0, "all-rights-reserved"), (3, 1, 1, "MIT"), (4, 0, 1, "MIT"), (6, 0, 0, "Apache-2.0"), (6, 1, 1, "all-rights-reserved"), (7, 0, 0, "MIT"), (8, 0, 0, "MIT")]
+    odd = spark.createDataFrame([(None, after, 1), ("x", after, 2), ("x", after, 2)], "doc_id string, text string, n_notices int")
+    assert rows(licenses.by_document(odd)) == [("x", 1, "MIT", "MIT", 1.0)] * 2 + [(None, 1, "MIT", "MIT", 1.0)]
+    assert licenses.scan(df.limit(0)).count() == licenses.by_document(df.limit(0)).count() == 0
+
+
+def test_licenses_in_long_texts():
+    """Very many notices in one text, and a very long word, take time in proportion."""
+    scanner = licenses.Scanner()
+    lines = "All rights reserved.\n" * 50_000
+    assert len(scanner.scan(lines.encode())) == 50_000
+    assert scanner.scan(b"all " * 200_000 + b"x" * 1_000_000 + b" all rights reserved") == [(0, 0, "all-rights-reserved", 1.0)]
 
 
-def test_license_bounds_lose_nothing():
-    """Every run of lines that is near a template is found, whatever the bounds cut."""
+def test_license_scan_against_all_stretches():
+    """Every stretch of words against every template: the scan's first notice is the nearest of all, and nothing near is left over."""
+    rng = np.random.default_rng(11)
     scanner = licenses.Scanner()
-    for name, texts in licenses.TEMPLATES.items():
-        for t in texts:
-            w = licenses.words(t.encode())
-            for cut in range(0, len(w), max(1, len(w) // 7)):
-                part = w[: len(w) - cut]
-                best = max(((licenses.dice(licenses.bigrams(part), bag), n) for n, bag in scanner.templates), default=(0, ""))
-                found = scanner.best(part, sum(g in scanner.any for g in zip(part, part[1:])))
-                assert (found is not None) == (best[0] >= scanner.threshold)
-                if found:
-                    assert abs(found[0] - best[0]) < 1e-12
+    names = [(n, licenses.words(x.encode())) for n, texts in licenses.TEMPLATES.items() for x in texts]
+    for turn in range(12):
+        name, w = names[rng.integers(len(names))]
+        w = [x for x in w[: 60 + turn] if rng.random() > 0.05]
+        text = [*(b"w%d" % i for i in rng.integers(0, 50, 5)), *w, *(b"v%d" % i for i in rng.integers(0, 50, 5))]
+        best = 0.0
+        for i in range(len(text)):
+            for j in range(i + 2, len(text) + 1):
+                bag = licenses.bigrams(text[i:j])
+                best = max(best, max(licenses.dice(bag, b) for _, b in scanner.templates))
+        found = scanner.scan(b" ".join(text))
+        assert bool(found) == (best >= scanner.threshold)
+        if found:
+            assert abs(max(d for *_, d in found) - best) < 1e-12
 
 
 def test_quality(spark, docs):
@@ -367,6 +399,26 @@ def test_quality(spark, docs):
     odd = {r.doc_id: r for r in quality.classify(docs).collect()}
     assert not odd[10_000].keep and not odd[10_001].keep and odd[10_000].text is None
     assert quality.classify(spark.createDataFrame([], EMPTY)).count() == 0
+    assert rows(quality.classify(docs).select("doc_id", "quality_score")) == rows(quality.classify(docs.repartition(3)).select("doc_id", "quality_score"))
+
+
+def test_quality_odd_rows(spark):
+    """String and null ids, rows repeated very often, a very long text, columns with the names of results."""
+    text = "This is a plain sentence about the weather. " * 3
+    table = [("a", text)] * 50 + [(None, text), ("b", None), ("c", "# $ % " * 200), ("d", "word and word. " * 100_000)]
+    df = spark.createDataFrame(table, "doc_id string, text string").withColumn("votes", F.lit(3)).withColumn("keep", F.lit("x"))
+    out = quality.classify(df).collect()
+    assert len(out) == len(table) and len({r.quality_score for r in out if r.doc_id == "a"}) == 1
+    assert all(isinstance(r.keep, bool) and (r.quality_score >= 0.5) == r.keep for r in out)
+
+
+def test_quality_posteriors(spark):
+    """Posteriors follow from votes, accuracies and the share of good texts, by Bayes' rule."""
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels, _ = quality.train(real)
+    for pattern, posterior in zip(labels.patterns, labels.posterior):
+        odds = np.log(labels.good / (1 - labels.good)) + sum((1 if v == quality.GOOD else -1) * np.log(a / (1 - a)) for v, a in zip(pattern, labels.accuracy) if v != quality.NOTHING)
+        assert abs(1 / (1 + np.exp(-odds)) - posterior) < 1e-3
 
 
 def test_label_model():
@@ -384,11 +436,41 @@ def test_toxicity(spark, docs):
     pairs = [(r.predicted, r.toxic) for r in out.filter("held_out").join(labels, "doc_id").collect()]
     hit = sum(p and t for p, t in pairs)
     assert hit / max(1, sum(p for p, _ in pairs)) > 0.9 and hit / sum(t for _, t in pairs) > 0.85
-    model = toxicity.Model().fit([])
+    model = toxicity.Model().fit([], toxicity.Lexicon({}))
     odd = toxicity.score(docs, model).collect()
     assert len(odd) == docs.count() and all(0 <= r.score <= 1 for r in odd)
 
 
+def test_toxicity_odd_rows(spark):
+    """No labels, one label only, string and null ids, rows repeated very often, columns with the names of results."""
+    table = [("1", "you stupid fool"), ("1", "you stupid fool"), (None, "you"), ("x", None), ("y", ""), ("z", "fool! " * 100_000)] + [("7", "same text")] * 40
+    df = spark.createDataFrame(table, "doc_id string, text string").withColumn("score", F.lit("x")).withColumn("held_out", F.lit(1))
+    labels = spark.createDataFrame([("1", 1), ("7", 1), ("7", 0), (None, 1), ("z", None)], "doc_id string, toxic int")
+    for known, want in ((labels.limit(0), 0.0), (labels, 1.0)):
+        out = toxicity.train_and_score(df, known).collect()
+        assert len(out) == len(table) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+        assert {r.score for r in out} == {want}
+    assert {r.held_out for r in out if r.doc_id is None} == {True}
+    assert toxicity.train_and_score(df.limit(0), labels).count() == 0
+
+
+def test_toxicity_lexicon(spark):
+    """The learned beginnings and their odds against plain counts."""
+    real = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    model = toxicity.train(spark.createDataFrame(list(real.items()), "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    rows_of = {d: (toxicity.bag(real[d]), int(y > 0)) for d, y in labels.items() if y is not None and d in real and zlib.crc32(str(d).encode()) % 5}
+    n = [sum(1 for _, y in rows_of.values() if y == k) for k in (0, 1)]
+    count = [defaultdict(int), defaultdict(int)]
+    for b, y in rows_of.values():
+        for g in b:
+            count[y][g] += 1
+    odds = {g: np.log((count[1][g] + 0.5) / (n[1] + 1)) - np.log((count[0][g] + 0.5) / (n[0] + 1)) for g in count[1]}
+    strong = {g for g, o in odds.items() if o > 2.0 and count[0][g] + count[1][g] >= 4}
+    assert set(model.marks.odds) <= strong and len(model.marks.odds) == min(len(strong), toxicity.LEARNED)
+    assert all(abs(model.marks.odds[g] - odds[g]) < 1e-9 for g in model.marks.odds)
+
+
 def test_isotonic_and_trees():
     iso = toxicity.Isotonic().fit(np.array([1.0, 2, 3, 4]), np.array([0, 1, 0, 1.0]))
     assert iso(np.array([0.0, 2.5, 9])).tolist() == [0.0, 0.5, 1.0]
