@@ -33,8 +33,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data get format-preserving pseudonyms; no document goes."""
-    return pii.pseudonymise(docs).select(*docs.columns)
+    """Personal data get format-preserving pseudonyms under the session's key (spark.quirefold.pii.key); no document goes."""
+    return pii.pseudonymise(docs, pii.secret_of(spark)).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
