@@ -51,7 +51,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fingerprint(found: Column, every: Column) -> Column:
-    """Hashes of the sorted distinct lexicon terms, one for each subset (0 for an empty one), and one of all words."""
+    """Hashes of the sorted distinct lexicon terms, one for each subset (0 for an empty one), and the given one of all words."""
 
     def of_rate(rate: int) -> Column:
         place = lambda t: F.pmod(F.xxhash64(t, F.lit(rate)), F.lit(rate))
@@ -60,7 +60,7 @@ def fingerprint(found: Column, every: Column) -> Column:
         each = lambda few: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: let(subset(few, k), lambda s: F.when(F.size(s) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(s))))
         return let(some, each)
 
-    return F.concat(*[of_rate(r) for r in RATES], F.array(F.xxhash64(every)))
+    return F.concat(*[of_rate(r) for r in RATES], F.array(every))
 
 
 def as_text(prints: Column) -> Column:
@@ -84,22 +84,17 @@ def likeness(a: Column, b: Column) -> Column:
     return let(both, graded)
 
 
-def tagger(i: int) -> Callable[[Column], Column]:
-    return lambda t: F.struct(F.lit(i).alias("i"), t.alias("t"))
-
-
-def known_terms(rows: DataFrame, columns: list[str], lex: DataFrame, most: int = TERMS_IN_A_SET) -> DataFrame:
-    """rows with the sorted distinct lexicon terms in place of the words in each column; rows need _pl_part and _pl_row."""
+def known_terms(rows: DataFrame, lex: DataFrame, most: int = TERMS_IN_A_SET) -> DataFrame:
+    """rows with the sorted distinct lexicon terms in place of the words of each list in `w`; rows need _pl_part and _pl_row."""
     size = lex.count()
     if size <= most:
         inside = ",".join(f"{r[0]}L" for r in lex.orderBy("term").collect()) or "null"  # at most `most` numbers
-        return rows.withColumns({c: F.array_sort(F.array_distinct(F.expr(f"filter({c}, t -> t in ({inside}))"))) for c in columns})
+        return rows.withColumn("w", F.expr(f"transform(w, x -> array_sort(array_distinct(filter(x, t -> t in ({inside})))))"))
     key = ["_pl_part", "_pl_row"]
-    tagged = F.concat(*[F.transform(F.array_distinct(c), tagger(i)) for i, c in enumerate(columns)])
-    terms = rows.select(*key, F.explode(tagged).alias("x")).select(*key, "x.i", F.col("x.t").alias("term")).join(lex, "term")
-    sets = terms.groupBy(*key).agg(*[F.array_sort(F.collect_set(F.when(F.col("i") == i, F.col("term")))).alias(f"_{c}") for i, c in enumerate(columns)])
+    terms = rows.select(*key, F.posexplode("w").alias("i", "x")).select(*key, "i", F.explode(F.array_distinct("x")).alias("term")).join(lex, "term")
+    sets = terms.groupBy(*key).agg(*[F.array_sort(F.collect_set(F.when(F.col("i") == i, F.col("term")))).alias(f"_{i}") for i in range(3)])
     empty = F.array().cast("array<long>")
-    return rows.join(sets, key, "left").select(*[F.coalesce(f"_{c}", empty).alias(c) if c in columns else F.col(c) for c in rows.columns])
+    return rows.join(sets, key, "left").withColumn("w", F.array(*[F.coalesce(f"_{i}", empty) for i in range(3)])).drop("_0", "_1", "_2")
 
 
 def with_next(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
@@ -134,9 +129,11 @@ def compare(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE, terms_in_a_set: i
     rows = with_next(docs, rows_a_range)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select("_pl_part", "_pl_row", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), words(F.col("text")).alias("a"), words(edited).alias("b"), words(F.col("next_text")).alias("c"))
-    rows = rows.withColumns({f"{k}_all": F.xxhash64(k) for k in "abc"})
-    found = known_terms(rows, ["a", "b", "c"], lexicon(docs), terms_in_a_set)
-    prints = found.select("doc_id", "n_chars", "edited_sha256", *[fingerprint(F.col(k), F.col(f"{k}_all")).alias(k) for k in "abc"])
-    a, b, c = (F.col(k) for k in "abc")
-    return prints.select("doc_id", "n_chars", "edited_sha256", as_text(a).alias("fingerprint"), as_text(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
+    texts = F.array("text", edited, "next_text")
+    rows = rows.select("_pl_part", "_pl_row", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), F.transform(texts, words).alias("w"))
+    rows = rows.withColumn("every", F.transform("w", lambda x: F.xxhash64(x)))
+    found = known_terms(rows, lexicon(docs), terms_in_a_set)
+    prints = found.select("doc_id", "n_chars", "edited_sha256", F.zip_with("w", "every", fingerprint).alias("p"))
+    shown = prints.withColumn("near", F.transform(F.array(F.lit(1), F.lit(2)), lambda i: likeness(F.get("p", F.lit(0)), F.get("p", i))))
+    shown = shown.withColumn("t", F.transform(F.slice("p", 1, 2), as_text))
+    return shown.select("doc_id", "n_chars", "edited_sha256", F.col("t")[0].alias("fingerprint"), F.col("t")[1].alias("edited_fingerprint"), F.col("near")[0].alias("near_edited"), F.col("near")[1].alias("near_next"))
