@@ -202,6 +202,53 @@ def test_mixing(spark, docs):
     assert all(r.taken > 0 for r in mixed) and {r.doc_id for r in mixed} == {r.doc_id for r in out if r.taken}
 
 
+@pytest.mark.parametrize("budget", [None, 700, 0])
+def test_mixing_against_a_plain_version(spark, budget):
+    """Null ids, repeated rows, ties and empty sources: passes sorted by finish time and cut at the budget."""
+    rng = np.random.default_rng(2)
+    table = [(int(i), ["a", "b", "c", None][rng.integers(4)], int(rng.integers(0, 40))) for i in range(60)] + [(None, "a", 5), (None, "a", 5), (7, "b", 3), (7, "b", 3), (90, "zero", 0), (91, "one", 2)]
+    out = mixing.allocate(spark.createDataFrame(table, "doc_id long, source string, size long").withColumn("taken", F.lit("x")), rows_a_window=8, budget=budget).collect()
+    key = lambda d, n: hashlib.md5((str(d) if d is not None else f"null {n}").encode()).hexdigest()
+    sources = sorted({s for _, s, _ in table}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, x, n in table if x == s) for s in sources}
+    weight = {s: i % 3 + 1 for i, s in enumerate(sources)}
+    whole = sum(size.values()) if budget is None else budget
+    full: set = set()
+    while True:
+        left, active = whole - sum(3 * size[s] for s in full), sum(weight[s] for s in sources if s not in full)
+        more = {s for s in sources if s not in full and 3.0 * size[s] * active < left * weight[s]}
+        if not more:
+            break
+        full |= more
+    target = {s: 3.0 * size[s] if s in full else min(left * weight[s] / active, 3.0 * size[s]) for s in sources}
+    passes, taken = [], defaultdict(int)
+    for place, s in enumerate(sources):
+        queue, start = sorted(((key(d, n), d or 0, n, j) for j, (d, x, n) in enumerate(table) if x == s)), 0
+        for _, _, n, j in queue:
+            for e in range(3):
+                piece = max(0, min(n, int(target[s]) - e * size[s] - start))
+                if piece:
+                    passes.append(((e * size[s] + start + piece) / weight[s], place, piece, j))
+            start += n
+    left = whole
+    for _, _, piece, j in sorted(passes):
+        taken[j] += min(piece, left)
+        left -= min(piece, left)
+    want = sorted((str(d), str(s), n, taken[j]) for j, (d, s, n) in enumerate(table))
+    got = sorted((str(r.doc_id), str(r.source), r["size"], r.taken) for r in out)
+    assert got == want and all(abs(r.target - target[r.source]) < 1e-9 for r in out)
+
+
+def test_mixing_truncates_inside_a_pass(spark):
+    """A budget that ends inside a pass, below what the targets add up to."""
+    rows_ = [(i, "a" if i % 2 else "b", 10) for i in range(40)]
+    df = spark.createDataFrame(rows_, "doc_id long, source string, size long").withColumn("place", F.when(F.col("source") == "a", 1).otherwise(2))
+    queue = df.withColumn("source_size", F.lit(200)).withColumn("target", F.lit(600.0)).withColumn("weight", F.lit(1)).withColumn("_mx_start", (F.floor(F.col("doc_id") / 2) * 10).cast("long"))
+    assert mixing.truncation(queue, 10_000) is None
+    assert mixing.truncation(queue, 45) == (30.0, 1, 5)
+    assert mixing.truncation(queue, 0) == (10.0, 1, 0)
+
+
 def test_mixing_targets(spark):
     sources = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1), (None, 500)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sources).collect()}
@@ -346,6 +393,63 @@ def test_warc(spark, split):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_warc_odd_rows(spark):
+    """Repeated rows, null ids and columns with the names of results; empty payloads are all responses."""
+    page = "<p>" + "x" * 200
+    table = [(5, "u", page), (5, "u", page), (3, None, page), (3, "v", page), (None, "w", page), (8, "u", None), (9, "u", "")]
+    df = spark.createDataFrame(table, "page_id long, url string, html string").withColumn("payload", F.lit("no")).withColumn("record_type", F.lit(1)).withColumn("first_id", F.lit("z"))
+    sha = hashlib.sha256(page.encode()).hexdigest()
+    none = hashlib.sha256(b"").hexdigest()
+    want = [(5, 203, sha, "revisit", 3)] * 2 + [(3, 203, sha, "response", None)] * 2 + [(None, 203, sha, "revisit", 3), (8, 0, none, "response", None), (9, 0, none, "response", None)]
+    assert rows(warc.round_trip(df)) == sorted(want, key=str)
+
+
+def test_warc_broken_chain(spark, tmp_path):
+    """A wrong length breaks a file's chain: what follows it is not returned, whatever it looks like; other files are."""
+    df = spark.createDataFrame([(i, "u", f"<p>{i}" + "y" * 300) for i in range(30)], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("128m", "900b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            at = str(tmp_path / f"w{split}")
+            warc.write(df.repartition(2), at)
+            broken, *others = sorted((tmp_path / f"w{split}").glob("part-*.txt"))
+            parts = broken.read_bytes().split(b"WARC/1.1\r\n")
+            assert len(parts) > 8
+            kept = [int(re.search(rb"urn:page:(\d+)", p)[1]) for p in parts[1:5]]
+            parts[5] = re.sub(rb"(?m)^(Content-Length: )\d+", rb"\g<1>7", parts[5], count=1)
+            broken.write_bytes(b"WARC/1.1\r\n".join(parts))
+            (tmp_path / f"w{split}" / f".{broken.name}.crc").unlink(missing_ok=True)
+            whole = [int(x) for o in others for x in re.findall(rb"WARC-Record-ID: <urn:page:(\d+)", o.read_bytes())]
+            got = {r.page_id for r in warc.read(spark, at).collect()}
+            assert set(kept) | set(whole) <= got and len(got) <= len(kept) + len(whole) + 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_jaccard_odd_rows(spark):
+    """Null and repeated ids, repeated rows, a very long text, columns with the names of results."""
+    long = " ".join(f"x{i * 7919 % 100_003}" for i in range(60_000))
+    table = [(1, "a b c d e f g"), (1, "q r s t u v"), (9, "q r s t u v"), (None, "a b c d e f g"), (3, "A b c d E f g"), (3, "A b c d E f g"), (4, None), (5, ""), (6, "one"), (7, "ONE"), (10, long), (11, long + " end")]
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("component_id", F.lit(5))
+    got = sorted(rows(jaccard.join(df)), key=str)
+    long_n = len(brute.shingles(long))
+    want = [(1, 3, 1), (1, 2, 1), (9, 2, 1), (None, 3, None), (3, 3, 1), (3, 3, 1), (4, 0, 4), (5, 0, 5), (6, 1, 6), (7, 1, 6), (10, long_n, 10), (11, long_n + 1, 10)]
+    assert got == sorted(want, key=str)
+
+
+def test_decontamination_odd_rows(spark, items_=ITEMS):
+    """Null ids, repeated rows, a very long text, columns with the names of results, repeated and empty items."""
+    passage = " ".join(f"W{i}" for i in range(100, 115))
+    table = [(None, passage), (2, passage), (2, passage), (3, "z " * 200_000 + passage), (4, None), (5, "")]
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumn("n_hit", F.lit("x")).withColumn("contaminated", F.lit("y"))
+    twice = items(spark).unionByName(items(spark))
+    got = rows(decontamination.report(df, twice))
+    assert got == sorted(brute.decontamination(table, ITEMS), key=str)
+    out = decontamination.decontaminate(df, twice)
+    assert out.columns == df.columns
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"][1]
     inside = "Some prose here. Released under the MIT License. More prose, and yet more of it follows."

@@ -31,3 +31,16 @@ def test_stages(spark):
 def test_run_agrees_with_stages(spark):
     first, again = (sorted((r.doc_id, r.taken) for r in pipeline.run(spark, SF).collect()) for _ in range(2))
     assert first == again and first
+
+
+def test_stages_on_odd_tables(spark):
+    """Empty tables, and rows of nulls and empty texts, pass through every stage."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    for rows in ([], [(None, None, None, None, None), (1, "", None, "", 0), (1, None, "en", "s", None), (1, None, "en", "s", None)]):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            assert len(got) <= len(rows)
+            if name != "mixing":
+                assert out.columns == docs.columns
