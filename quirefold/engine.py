@@ -63,7 +63,17 @@ class LayoutDocuments:
         return reading.reading_items(clean, ["doc_id", "page"], options)
 
     def to_markdown(self, options: ReadingOptions = ReadingOptions()) -> DataFrame:
-        """(doc_id, page, markdown) of every page with text, behind an anchor if the options ask for it."""
+        """(doc_id, page, markdown) of every page with text; with page numbers asked for, of every page, behind its anchor."""
         out = reading.markdown(self.reading_items(options), ["doc_id", "page"])
+        if not options.include_page_number:
+            return out
         anchor = F.concat(F.lit("〔Source page "), F.col("page").cast("string"), F.lit("〕\n\n"))
-        return out.withColumn("markdown", F.concat(anchor, "markdown")) if options.include_page_number else out
+        every = self.rows.select("doc_id", "page").join(out, ["doc_id", "page"], "left")
+        return every.select("doc_id", "page", F.concat(anchor, F.coalesce("markdown", F.lit(""))).alias("markdown"))
+
+    def warnings(self, options: ReadingOptions = ReadingOptions()) -> DataFrame:
+        """(doc_id, page, images, empty_tables, artefacts, items) of pages with blocks that a reading includes."""
+        return reading.warnings(self.blocks, ["doc_id", "page"], options)
+
+    def settings(self) -> DataFrame:
+        return layout_json.model_settings(self.rows)

@@ -60,8 +60,7 @@ def overlay(polygon: Column, x0: Column, y0: Column, x1: Column, y1: Column, map
 
     polygon: points (x, y); mapping: (sx, sy). rect is what has to be in sight.
     """
-    points = F.transform(polygon, lambda p: F.struct((p["x"] * mapping["sx"]).alias("x"), (p["y"] * mapping["sy"]).alias("y")))
-    points = F.when(F.size(polygon) >= 2, points)
+    points = L.scaled_polygon(polygon, mapping["sx"], mapping["sy"])
     box = F.struct((F.least(x0, x1) * mapping["sx"]).alias("x"), (F.least(y0, y1) * mapping["sy"]).alias("y"), (F.abs(x1 - x0) * mapping["sx"]).alias("width"), (F.abs(y1 - y0) * mapping["sy"]).alias("height"))
     return F.when(mapping.isNotNull(), F.struct(points.alias("points"), F.coalesce(L.bounds(points), box).alias("rect")))
 

@@ -94,3 +94,21 @@ def clamp_crop(x: Column, y: Column, w: Column, h: Column, image_w: Column, imag
 def fit_long_edge(w: Column, h: Column, most: int) -> tuple[Column, Column]:
     scale = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(w, h))
     return tuple(F.greatest(F.lit(1), F.round(side * scale).cast("long")) for side in (w, h))
+
+
+def scaled_box(x0: Column, y0: Column, x1: Column, y1: Column, sx: Column, sy: Column) -> tuple[Column, Column, Column, Column]:
+    """A box with its corners put right, scaled by axis."""
+    return F.least(x0, x1) * sx, F.least(y0, y1) * sy, F.greatest(x0, x1) * sx, F.greatest(y0, y1) * sy
+
+
+def scaled_polygon(polygon: Column, sx: Column, sy: Column) -> Column:
+    """Points scaled by axis; null for fewer than two."""
+    moved = F.transform(polygon, lambda p: F.struct((p["x"] * sx).alias("x"), (p["y"] * sy).alias("y")))
+    return F.when(F.size(polygon) >= 2, moved)
+
+
+def crop_block(x: Column, y: Column, w: Column, h: Column, scale: Column, image_w: int, image_h: int) -> tuple[Column, Column, Column, Column]:
+    """Whole pixels (left, top, width, height) of a scaled block inside an image, of one pixel at least."""
+    px = lambda c: F.round(c * scale).cast("long")
+    left, top = F.greatest(F.lit(0), F.least(px(x), F.lit(image_w - 1))), F.greatest(F.lit(0), F.least(px(y), F.lit(image_h - 1)))
+    return left, top, F.greatest(F.lit(1), F.least(px(w), F.lit(image_w) - left)), F.greatest(F.lit(1), F.least(px(h), F.lit(image_h) - top))

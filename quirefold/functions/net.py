@@ -67,3 +67,16 @@ def is_retryable(kind: Column, status: Column, code: Column) -> Column:
 def ignore_labels(flags: dict[str, Column]) -> Column:
     """The labels that are left out, in their fixed order. flags: label to whether it is included."""
     return F.filter(F.array(*[F.when(~flags[name], F.lit(name)) for name in IGNORABLE]), lambda x: x.isNotNull())
+
+
+#: Options that are handed on as they are, by the service's name for them; fixed values.
+PASSED_ON = (
+    "useDocOrientationClassify", "useDocUnwarping", "useLayoutDetection", "useChartRecognition", "useSealRecognition", "useOcrForImageBlock", "mergeTables", "relevelTitles", "layoutShapeMode",
+    "promptLabel", "repetitionPenalty", "temperature", "topP", "minPixels", "maxPixels", "layoutNms", "restructurePages",
+)
+
+
+def document_payload(flags: dict[str, Column], options: dict[str, Column]) -> Column:
+    """The JSON of a document request: labels to leave out, and every option, null where it isn't given."""
+    fields = [options.get(name, F.lit(None).cast("string")).alias(name) for name in PASSED_ON]
+    return F.to_json(F.struct(ignore_labels(flags).alias("markdownIgnoreLabels"), *fields), {"ignoreNullFields": "false"})

@@ -58,3 +58,9 @@ def poll_seconds(pages: Column) -> Column:
 
 def is_direct(file_bytes: Column, file_pages: Column) -> Column:
     return (file_bytes <= DIRECT_BYTES) & (file_pages <= DIRECT_PAGES)
+
+
+def range_label(ranges: Column, total: Column) -> Column:
+    """all of n for a list of stretches that is one stretch of every page; else the list."""
+    full = F.when(total == 1, "1").otherwise(F.concat(F.lit("1-"), total.cast("string")))
+    return F.when(ranges == full, F.concat(F.lit("all of "), total.cast("string"))).otherwise(F.concat(F.lit("pages "), ranges))

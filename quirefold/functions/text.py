@@ -158,6 +158,17 @@ def json_array_in(text: Column) -> Column:
     return F.when(found != "", found)
 
 
+SUGGESTIONS = "array<struct<before string, after string, category string, confidence double>>"
+
+
+def suggestion_fault(reply: Column) -> Column:
+    """Why a reply has no suggestions: empty, truncated (an array is opened only), prose, or an array of other things; null if it has."""
+    found = json_array_in(reply)
+    parsed = F.from_json(found, SUGGESTIONS, {"mode": "PERMISSIVE"})
+    whole = parsed.isNotNull() & F.forall(F.coalesce(parsed, F.array().cast(SUGGESTIONS)), lambda x: x["before"].isNotNull() & x["after"].isNotNull())
+    return F.when(found.isNull(), F.when(~not_blank(reply), "empty").when(F.contains(reply, F.lit("[")), "truncated").otherwise("prose")).when(~whole, "invalid")
+
+
 def occurs_once(needle: Column, text: Column) -> Column:
     """Exactly one occurrence, overlapping ones counted."""
     at = F.position(needle, text)

@@ -38,3 +38,21 @@ def page_list_faults(pages: DataFrame, doc: str, page: str, order: list[str], mo
         F.max(F.coalesce(F.col("_before") >= F.col(page), F.lit(False))).alias("unordered"),
         (F.count("*") > most).alias("too_many"),
     )
+
+
+def halved(pages: DataFrame, doc: str, chunk: str, most: Column, rounds: int = 12) -> DataFrame:
+    """pages (doc, chunk, page, bytes) with chunk numbered anew so that no chunk of several pages holds more than `most` bytes.
+
+    A chunk that is too large is cut in the middle of its pages, its halves again; 2 ** rounds pages of a chunk at
+    most. oversized tells single pages that are too large on their own.
+    """
+    out = pages.withColumn("_path", F.lit(""))
+    key = [doc, chunk, "_path"]
+    whole = Window.partitionBy(*key)
+    for _ in range(rounds):
+        n, size = F.count("*").over(whole), F.sum("bytes").over(whole)
+        at = F.row_number().over(whole.orderBy("page"))
+        side = F.when((size > most) & (n > 1), F.when(at <= F.floor(n / 2), "0").otherwise("1")).otherwise("")
+        out = out.withColumn("_side", side).withColumn("_path", F.concat("_path", "_side")).drop("_side")
+    number = F.dense_rank().over(Window.partitionBy(doc).orderBy(chunk, "_path"))
+    return out.withColumn("_new", number.cast("long")).withColumn("oversized", F.sum("bytes").over(whole) > most).drop(chunk, "_path").withColumnRenamed("_new", chunk)

@@ -9,8 +9,9 @@ from quirefold.functions import net as N
 from quirefold.functions import pages as G
 from quirefold.operators import articles as A
 from quirefold.operators import pages as P
-from quirefold.plans.registry import query
+from quirefold.plans.registry import ORACLES, query
 from quirefold.sources import fixtures as S
+from quirefold.sources.recognition import rows_by_page as rows_of_pages
 from quirefold.streaming import events as E
 
 NL = "chr(10)"
@@ -98,6 +99,26 @@ def page_range_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.compacted(S.page_lists(spark, sf_dir), "doc", "page")
 
 
+@query(f"""with {S.V_PAGE_LISTS}, l as (select doc, case when doc % 4 = 0 then i.p else page end as page from v_page_lists, lateral (select unnest(range(1, 4)) as p) i), d as (select distinct doc, page from l),
+  i as (select doc, page, page - row_number() over (partition by doc order by page) as g from d), r as (select doc, min(page) as a, max(page) as b from i group by doc, g),
+  s as (select doc, string_agg(case when a = b then a::varchar else a || '-' || b end, ',' order by a) as ranges from r group by doc) select doc, case when ranges = '1-3' then 'all of 3' else 'pages ' || ranges end as label from s""")
+def page_range_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page lists as they are shown; one of every page has a label of its own."""
+    lists = S.page_lists(spark, sf_dir).withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(3)))).select("doc", F.when(F.col("doc") % 4 == 0, F.col("p")).otherwise(F.col("page")).alias("page"))
+    return P.compacted(lists, "doc", "page").select("doc", G.range_label(F.col("ranges"), F.lit(3)).alias("label"))
+
+
+@query(f"""with {S.V_PAGE_LISTS}, w as (select doc, page, row_number() over (partition by doc order by page) as i, count(*) over (partition by doc) as need from v_page_lists),
+  r as (select l_orderkey as doc, 'line ' || l_partkey as line, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as i, count(*) over (partition by l_orderkey) as have from lineitem)
+  select w.doc, w.page, r.line, false as mismatch from w join r on w.doc = r.doc and w.i = r.i where need = have union all select distinct w.doc, null, null, true from w join r on w.doc = r.doc where need <> have""")
+def rows_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result lines with the pages asked for; documents with another number of lines fail as a whole."""
+    wanted = S.page_lists(spark, sf_dir).withColumn("i", F.col("page"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = S.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.row_number().over(order).alias("i"), F.concat(F.lit("line "), F.col("l_partkey").cast("string")).alias("line"))
+    return rows_of_pages(lines, wanted)
+
+
 @query("""select n_nationkey, ['zero', 'reversed', 'exceeds', 'charset', 'emptySegment', 'negative', 'format', null, null][n_nationkey % 9 + 1] as error from nation""")
 def page_range_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = F.array(*[F.lit(x) for x in ("0,1", "9-3", "1-11", "1;2", "1,,2", "-3", "1-2-3", "2, 4-6", "  ")])
@@ -215,7 +236,7 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.debounced(S.table(spark, sf_dir, "events"), 3600.0)
 
 
-@query()
+@query(ORACLES["job_state_fold"])
 def streaming_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold of `job_state_fold` by Structured Streaming over the same table."""
     return E.stream_states(spark, f"{sf_dir}/events.parquet")

@@ -69,9 +69,8 @@ def bbox_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {S.V_BLOCKS} select doc_id, pos, round(least(x0, x1) * 1.5::double, 6) as sx0, round(least(y0, y1) * 0.75::double, 6) as sy0, round(greatest(x0, x1) * 1.5::double, 6) as sx1,
   round(greatest(y0, y1) * 0.75::double, 6) as sy1 from v_blocks""")
 def bbox_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = F.lit(1.5), F.lit(0.75)
-    side = lambda f, c, s, name: F.round(f(f"{c}0", f"{c}1") * s, 6).alias(name)
-    return S.blocks(spark, sf_dir).select("doc_id", "pos", side(F.least, "x", x, "sx0"), side(F.least, "y", y, "sy0"), side(F.greatest, "x", x, "sx1"), side(F.greatest, "y", y, "sy1"))
+    sides = L.scaled_box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], F.lit(1.5), F.lit(0.75))
+    return S.blocks(spark, sf_dir).select("doc_id", "pos", *[F.round(v, 6).alias(n) for v, n in zip(sides, ("sx0", "sy0", "sx1", "sy1"))])
 
 
 @query("""with p as (select doc_id, 1000::double as lw, 1500::double as lh, 2000::double as cw, (3000 + doc_id % 200)::double as ch, doc_id % 3 = 0 as approx from documents)
@@ -109,10 +108,8 @@ def crop_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
   greatest(1, least(round(w * 1.5::double)::bigint, 1200 - least(round(x * 1.5::double)::bigint, 1199))) as cw, greatest(1, least(round(h * 1.5::double)::bigint, 900 - least(round(y * 1.5::double)::bigint, 899))) as ch
   from v_rects where w >= 0 and h >= 0""")
 def crop_block_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scaled = lambda c: F.round(F.col(c) * F.lit(1.5)).cast("long")
-    left, top = F.least(scaled("x"), F.lit(1199)), F.least(scaled("y"), F.lit(899))
-    size = lambda c, most, at: F.greatest(F.lit(1), F.least(scaled(c), F.lit(most) - at))
-    return S.rects(spark, sf_dir).filter("w >= 0 and h >= 0").select("article", "page", left.alias("cx"), top.alias("cy"), size("w", 1200, left).alias("cw"), size("h", 900, top).alias("ch"))
+    got = L.crop_block(*[F.col(c) for c in "xywh"], F.lit(1.5), 1200, 900)
+    return S.rects(spark, sf_dir).filter("w >= 0 and h >= 0").select("article", "page", *[v.alias(n) for v, n in zip(got, ("cx", "cy", "cw", "ch"))])
 
 
 @query(f"""with {S.V_RECTS}, s as (select article, page, w * 10 as w, h * 10 as h, least(1.0::double, 2000::double / greatest(w * 10, h * 10)) as k from v_rects where w > 0 and h > 0)

@@ -79,13 +79,21 @@ def anchor_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", P.anchored(F.col("text"), F.concat(word(2 + k), F.lit(" "), word(3 + k)), word(1 + k)).alias("anchored"))
 
 
-@query(f"""with {S.V_BLOCKS}, b as (select doc_id, pos, {S.sql_delete('text')} as hay from v_blocks), n as (select doc_id, {S.sql_delete("split_part(text, ' ', 3)")} as needle from documents)
-  select doc_id, min(pos) as block from b join n using (doc_id) where needle <> '' and contains(hay, needle) group by doc_id""")
+@query(f"""with {S.V_BLOCKS}, b as (select doc_id, pos, {S.sql_delete('text')} as hay from v_blocks where {S.sql_trim('text')} <> ''), n as (select doc_id, {S.sql_delete("split_part(text, ' ', 3)")} as own, {S.sql_delete("case when doc_id % 2 = 0 then split_part(text, ' ', 2) else 'never' end || split_part(text, ' ', 3)")} as needle from documents)
+  select n.doc_id, min(pos) as block from n left join b on b.doc_id = n.doc_id and ((own <> '' and contains(hay, own)) or (needle <> '' and contains(hay, needle))) group by n.doc_id""")
 def anchor_block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first block of a page that contains a suggestion's text."""
-    needles = S.table(spark, sf_dir, "documents").select("doc_id", X.delete_ws(F.split_part(F.col("text"), F.lit(" "), F.lit(3))).alias("needle")).filter("needle <> ''")
-    rows = S.blocks(spark, sf_dir).select("doc_id", "pos", X.delete_ws(F.col("text")).alias("hay")).join(needles, "doc_id")
-    return rows.filter(F.contains("hay", "needle")).groupBy("doc_id").agg(F.min("pos").alias("block"))
+    """The first block of a page that contains a suggestion, with its context or without."""
+    word = lambda i: F.split_part(F.col("text"), F.lit(" "), F.lit(i))
+    found = S.table(spark, sf_dir, "documents").select("doc_id", word(3).alias("before"), F.when(F.col("doc_id") % 2 == 0, word(2)).otherwise("never").alias("context"))
+    return P.block_of(found, S.blocks(spark, sf_dir), ["doc_id"]).select("doc_id", "block")
+
+
+@query("""select conv_id, turn, case turn % 6 when 0 then null when 1 then 'empty' when 2 then 'truncated' when 3 then 'prose' when 4 then 'invalid' end as fault from conversations""")
+def suggestion_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with replies of which no suggestions can be read."""
+    good = '[{"before": "a", "after": "b", "category": "punct", "confidence": 0.5}]'
+    forms = F.array(*[F.lit(x) for x in (good, " \n", 'Here: [{"before": "a", ', "no changes needed", '[{"before": 1}, {"x": 2}]', "```json\n" + good + "\n```")])
+    return S.table(spark, sf_dir, "conversations").select("conv_id", "turn", X.suggestion_fault(F.get(forms, (F.col("turn") % 6).cast("int"))).alias("fault"))
 
 
 @query("""select conv_id, turn, (case when turn % 3 = 2 then 'missing' else 'ok' end) as state, (case when turn % 3 = 2 then null else 2 end)::bigint as found,
@@ -179,8 +187,24 @@ def keep_first_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select doc_id, array_to_string(list_filter([case when doc_id % 2 = 1 then 'header' end, case when (doc_id // 2) % 2 = 1 then 'footer' end, case when (doc_id // 4) % 2 = 1 then 'page_number' end,
   case when (doc_id // 8) % 2 = 1 then 'aside_text' end, case when (doc_id // 16) % 2 = 1 then 'header_image' end, case when (doc_id // 32) % 2 = 1 then 'footer_image' end, case when (doc_id // 64) % 2 = 1 then 'footnote' end], lambda x: x is not null), ',') as labels from documents""")
 def ignore_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = {name: F.shiftright("doc_id", i).bitwiseAND(F.lit(1)) == 0 for i, name in enumerate(N.IGNORABLE)}
-    return S.table(spark, sf_dir, "documents").select("doc_id", F.array_join(N.ignore_labels(flags), ",").alias("labels"))
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.array_join(N.ignore_labels(_flags()), ",").alias("labels"))
+
+
+def _flags() -> dict:
+    return {name: F.shiftright("doc_id", i).bitwiseAND(F.lit(1)) == 0 for i, name in enumerate(N.IGNORABLE)}
+
+
+@query("""select doc_id, case when doc_id % 2 = 1 then 'header' end as first_label, doc_id % 2 = 0 as merge, 0.5::double as temperature, doc_id % 3 as pixels, true as has_prompt, null::varchar as prompt from documents""")
+def document_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to a document service as JSON, read back by path."""
+    i = F.col("doc_id")
+    json = N.document_payload(_flags(), {"mergeTables": i % 2 == 0, "temperature": F.lit(0.5), "minPixels": i % 3})
+    v = F.try_parse_json(json)
+    at = lambda path, kind: F.try_variant_get(v, path, kind)
+    rows = S.table(spark, sf_dir, "documents").select("doc_id", json.alias("json"))
+    v = F.try_parse_json("json")
+    first = F.when(at("$.markdownIgnoreLabels[0]", "string") == "header", "header")
+    return rows.select("doc_id", first.alias("first_label"), at("$.mergeTables", "boolean").alias("merge"), at("$.temperature", "double").alias("temperature"), at("$.minPixels", "long").alias("pixels"), F.contains("json", F.lit('"promptLabel":null')).alias("has_prompt"), at("$.promptLabel", "string").alias("prompt"))
 
 
 @query("select event_id, (props->>'$.k')::bigint as k, props->>'$.missing' as missing from events")

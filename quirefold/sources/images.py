@@ -15,6 +15,9 @@ EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "dng", "pdf")
 MOST_BYTES, MOST_ENTRIES, MOST_DEPTH, LEAST_EDGE = 512 << 20, 4096, 4, 1024
 #: TIFF tags and the sizes of field types; fixed values.
 WIDTH, HEIGHT, COMPRESSION, STRIPS, STRIP_BYTES, ORIENTATION, SUB_IFDS, JPEG_AT, JPEG_BYTES = 256, 257, 259, 273, 279, 274, 330, 513, 514
+MAKE = 271
+#: Makers whose raw files hold previews that can be used; fixed values.
+MAKERS = ("apple",)
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 13: 4}
 
 
@@ -56,6 +59,33 @@ def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
             todo.append((following, depth))
 
 
+def maker(data: bytes) -> str:
+    """The camera's maker by the first directory of a TIFF file; empty where there is none."""
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if not order or len(data) < 8:
+        return ""
+    at = struct.unpack_from(order + "I", data, 4)[0]
+    n = struct.unpack_from(order + "H", data, at)[0] if 0 < at <= len(data) - 2 else 0
+    for i in range(min(n, MOST_ENTRIES)):
+        where = at + 2 + 12 * i
+        if where + 12 > len(data):
+            break
+        tag, kind, count = struct.unpack_from(order + "HHI", data, where)
+        if tag == MAKE and kind == 2:
+            start = where + 8 if count <= 4 else struct.unpack_from(order + "I", data, where + 8)[0]
+            return data[start : start + min(count, 256)].split(b"\0")[0].decode("latin-1").strip()
+    return ""
+
+
+def raw_fault(data: bytes) -> str | None:
+    """Why a raw photograph can't be used: not a TIFF file, another maker, no preview of a good size; None if it can."""
+    if data[:4] not in (b"II*\0", b"MM\0*"):
+        return "format"
+    if maker(data).lower() not in MAKERS:
+        return "maker"
+    return None if best_preview(data) else "preview"
+
+
 def jpeg_size(data: bytes) -> tuple[int, int] | None:
     """(width, height) from a JPEG's frame header."""
     if data[:2] != b"\xff\xd8":
@@ -89,11 +119,14 @@ def best_preview(data: bytes) -> tuple[int, int, int, int, int] | None:
 
 
 def previews(files: DataFrame) -> DataFrame:
-    """(path, offset, bytes, width, height, orientation) of raw photographs that hold a usable preview."""
+    """(path, fault, offset, bytes, width, height, orientation) of raw photographs: the usable preview, or why there is none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, *b) for p, c in zip(pdf["path"], pdf["content"]) if (b := best_preview(bytes(c)))]
-            yield pd.DataFrame(rows, columns=["path", "offset", "bytes", "width", "height", "orientation"])
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                fault = raw_fault(data := bytes(content))
+                rows.append((path, fault, *(best_preview(data) if fault is None else [None] * 5)))
+            yield pd.DataFrame(rows, columns=["path", "fault", "offset", "bytes", "width", "height", "orientation"])
 
-    return files.filter(file_extension(F.col("path")) == "dng").select("path", "content").mapInPandas(run, "path string, offset long, bytes long, width long, height long, orientation int")
+    return files.filter(file_extension(F.col("path")) == "dng").select("path", "content").mapInPandas(run, "path string, fault string, offset long, bytes long, width long, height long, orientation int")

@@ -88,7 +88,21 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     exploded = each.select("doc_id", "row", "v", F.posexplode("pages").alias("i", "page"))
     info = F.coalesce(_first(F.col("page"), "$.dataInfo", "$.data_info"), _first(F.col("v"), "$.dataInfo", "$.data_info", "$.result.dataInfo", "$.result.data_info"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("row", "i")).cast("int")
-    return exploded.select("doc_id", place.alias("page"), "page", "i", info.alias("info")).toDF("doc_id", "page", "v", "i", "info")
+    settings = _first(F.col("v"), *[f"{base}.{k}" for base in ("$", "$.result") for k in SETTINGS_KEYS])
+    return exploded.select("doc_id", place.alias("page"), "page", "i", info.alias("info"), settings.alias("settings")).toDF("doc_id", "page", "v", "i", "info", "settings")
+
+
+SETTINGS_KEYS = ("modelSettings", "model_settings")
+
+
+def model_settings(pages: DataFrame) -> DataFrame:
+    """(doc_id, settings, ignore_labels) of documents that have model settings: the file's, its result's, or the first page's own."""
+    v = F.col("v")
+    own = F.coalesce(*[_first(base, *[f"$.{k}" for k in SETTINGS_KEYS]) for base in (v, _first(v, "$.prunedResult", "$.pruned_result"))])
+    rows = pages.select("doc_id", "page", F.coalesce("settings", own).alias("s")).withColumn("j", F.to_json("s"))
+    first = rows.groupBy("doc_id").agg(F.min_by("j", F.when(F.col("j").isNotNull(), F.col("page"))).alias("settings")).filter("settings is not null")
+    s = F.try_parse_json("settings")
+    return first.withColumn("ignore_labels", F.coalesce(_at(s, "$.markdownIgnoreLabels", "array<string>"), _at(s, "$.markdown_ignore_labels", "array<string>"), F.array().cast("array<string>")))
 
 
 def _pair(v: Column) -> Column:
@@ -173,8 +187,6 @@ def preflight(pages: DataFrame, found: DataFrame) -> DataFrame:
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     totals = found.groupBy("doc_id").agg(F.count("*").alias("blocks"), has(X.not_blank(F.col("text"))).alias("has_text"), has(F.col("ord").isNotNull()).alias("has_order"), has(F.col("polygon").isNotNull()).alias("has_polygons"), has(F.col("image_ref").isNotNull()).alias("has_images"))
     labels = found.groupBy("doc_id", "label").count().groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "count")))).alias("label_counts"))
-    settings = F.coalesce(*[_first(base, "$.model_settings", "$.modelSettings") for base in (F.col("v"), _first(F.col("v"), "$.prunedResult", "$.pruned_result"))])
-    ignored = _at(settings, "$.markdownIgnoreLabels", "array<string>")
     estimated = sizes(pages, found).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("approximate"), F.col("page")))).alias("estimated_pages"))
-    counted = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.min_by(ignored, F.when(ignored.isNotNull(), F.col("page"))).alias("ignore_labels"))
-    return counted.join(totals, "doc_id", "left").join(labels, "doc_id", "left").join(estimated, "doc_id", "left").fillna(0, ["blocks"])
+    counted = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    return counted.join(model_settings(pages).select("doc_id", "ignore_labels"), "doc_id", "left").join(totals, "doc_id", "left").join(labels, "doc_id", "left").join(estimated, "doc_id", "left").fillna(0, ["blocks"])

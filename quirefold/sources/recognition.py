@@ -6,9 +6,10 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as X
@@ -82,3 +83,83 @@ def chat_text(reply: str) -> str:
     if not text.strip():
         raise RecognitionError("empty", "the reply has no text")
     return text
+
+
+class DocumentService(Protocol):
+    """A service that works through documents on its own: an injected transport."""
+
+    def submit(self, item: dict) -> str:
+        """Hand a document in; the number that it is known by from then on."""
+
+    def poll(self, ticket: str) -> tuple[str, str]:
+        """("pending", ""), ("done", where the result lies) or ("failed", why); may raise a RecognitionError."""
+
+    def fetch(self, where: str) -> list[str]:
+        """The lines of a result."""
+
+
+#: Failed polls in a row that end a job, and seconds between polls; fixed values.
+FAILED_POLLS, POLL_SECONDS = 5, 5.0
+
+
+def document_rows(service: DocumentService, item: dict, seconds: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> list[str]:
+    """Submit, poll and fetch one document. Single failed polls are passed over while the time lasts."""
+    ticket, began, failed = service.submit(item), clock(), 0
+    while clock() - began <= seconds:
+        try:
+            state, told = service.poll(ticket)
+        except RecognitionError as e:
+            failed += 1
+            if not e.retryable or failed >= FAILED_POLLS:
+                raise
+        else:
+            failed = 0
+            if state == "done":
+                return service.fetch(told)
+            if state == "failed":
+                raise RecognitionError("job", told)
+        sleep(POLL_SECONDS)
+    raise RecognitionError("timeout", "the document wasn't ready in time")
+
+
+DOCUMENT = "job string, item long, page long, line string, error_kind string, error string"
+
+
+def recognise_documents(items: DataFrame, service: DocumentService, concurrency: int, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(job, item, page, line, error_kind, error) of items (job, item, pages and what the service needs).
+
+    The n-th line of a result belongs to the n-th page asked for; other numbers of lines fail the item as a whole.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                pages = [int(p) for p in r["pages"]]
+                seconds = min(max(2.0 * len(pages), 300.0), 2400.0)
+                try:
+                    out += [(r["job"], r["item"], p, line, None, None) for p, line in map_rows_to_pages(document_rows(service, r, seconds, sleep=sleep), pages)]
+                except RecognitionError as e:
+                    out.append((r["job"], r["item"], None, None, e.kind, e.message))
+            yield pd.DataFrame(out, columns=["job", "item", "page", "line", "error_kind", "error"])
+
+    return items.repartition(concurrency, "job", "item").mapInPandas(run, DOCUMENT)
+
+
+def rows_by_page(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, page, line, mismatch): the n-th line (doc, i, line) of a document with its n-th page asked for (doc, i, page).
+
+    Documents whose numbers of lines and pages differ have one row, of a null page and line, with mismatch set.
+    """
+    held = lines.groupBy("doc").agg(F.count("*").alias("have"))
+    asked = wanted.groupBy("doc").agg(F.count("*").alias("need"))
+    counts = asked.join(held, "doc", "full").select("doc", (F.coalesce("have", F.lit(0)) != F.coalesce("need", F.lit(0))).alias("mismatch"))
+    place = lambda df: df.withColumn("i", F.row_number().over(Window.partitionBy("doc").orderBy("i")))
+    paired = place(wanted).join(place(lines), ["doc", "i"]).join(counts.filter("not mismatch"), "doc")
+    return paired.select("doc", "page", "line", "mismatch").unionByName(counts.filter("mismatch").select("doc", F.lit(None).cast("long").alias("page"), F.lit(None).cast("string").alias("line"), "mismatch"))
+
+
+def image_text(lines: list[str]) -> str:
+    """The text of a picture's result: the Markdown of all its lines, one after the other."""
+    texts = [t for line in lines if line.strip() for r in (json.loads(line).get("result") or {}).get("layoutParsingResults", []) if (t := ((r.get("markdown") or {}).get("text") or "").strip())]
+    return "\n".join(texts)

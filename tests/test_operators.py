@@ -88,6 +88,15 @@ def test_raw_preview():
     data = head.ljust(200, b"\0") + jpeg
     assert images.best_preview(data) == (200, len(jpeg), 1500, 1024, 6)
     assert images.best_preview(b"nothing") is None
+    assert images.raw_fault(data) == "maker" and images.raw_fault(b"nothing") == "format"
+
+
+def test_raw_maker():
+    fields = [(271, 2, 6, 100), (274, 3, 1, 1)]
+    head = b"II*\x00" + struct.pack("<I", 8) + struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *f) for f in fields) + struct.pack("<I", 0)
+    data = head.ljust(100, b"\0") + b"Apple\0"
+    assert images.maker(data) == "Apple" and images.raw_fault(data) == "preview"
+    assert images.maker(b"") == images.maker(b"II*\0") == images.maker(data[:20]) == ""
 
 
 def test_engine_over_json(spark, tmp_path):
@@ -105,3 +114,141 @@ def test_engine_over_json(spark, tmp_path):
     assert flight["b.json"].pages == 2
     texts = {(r.doc_id[-6:], r.page): r.markdown for r in docs.to_markdown(ReadingOptions(include_page_number=False)).collect()}
     assert texts[("a.json", 1)] == "# T\n\nB\n\n" and texts[("b.json", 2)] == "line 1\n\n" and ("a.json", 2) not in texts
+
+
+class Service:
+    """A document service that is ready after some polls; documents named bad answer with too few lines."""
+
+    def __init__(self, wait=2, fail=None):
+        self.wait, self.fail, self.polls = wait, fail, 0
+
+    def submit(self, item):
+        self.item = item
+        return f"ticket {item['item']}"
+
+    def poll(self, ticket):
+        self.polls += 1
+        if self.fail and self.polls <= self.fail[0]:
+            raise recognition.RecognitionError("network", "down", retryable=self.fail[1])
+        return ("done", ticket) if self.polls > self.wait else ("pending", "")
+
+    def fetch(self, where):
+        return [f"line {p}" for p in self.item["pages"]][: 1 if self.item["name"] == "bad" else None]
+
+
+def test_document_service():
+    import pytest
+
+    item = {"item": 1, "name": "good", "pages": [4, 7]}
+    still = lambda _: None
+    assert recognition.document_rows(Service(), item, 300, sleep=still) == ["line 4", "line 7"]
+    assert recognition.document_rows(Service(5, (4, True)), item, 300, sleep=still) == ["line 4", "line 7"]
+    for service, kind in ((Service(9, (5, True)), "network"), (Service(9, (1, False)), "network")):
+        with pytest.raises(recognition.RecognitionError) as e:
+            recognition.document_rows(service, item, 300, sleep=still)
+        assert e.value.kind == kind
+    now = iter(range(0, 10_000, 200))
+    with pytest.raises(recognition.RecognitionError) as e:
+        recognition.document_rows(Service(100), item, 300, clock=lambda: next(now), sleep=still)
+    assert e.value.kind == "timeout"
+    assert recognition.image_text(['{"result": {"layoutParsingResults": [{"markdown": {"text": " a "}}, {"markdown": null}]}}', "", '{"result": {"layoutParsingResults": [{"markdown": {"text": "b"}}]}}']) == "a\nb"
+
+
+def test_documents_recognised(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    items = spark.createDataFrame([("j", 1, [4, 7], "good"), ("j", 2, [1, 2], "bad")], "job string, item long, pages array<long>, name string")
+    got = recognition.recognise_documents(items, Service(0), 2, sleep=lambda _: None).collect()
+    assert sorted((r.item, r.page, r.line, r.error_kind) for r in got if r.item == 1) == [(1, 4, "line 4", None), (1, 7, "line 7", None)]
+    assert [(r.item, r.page, r.error_kind) for r in got if r.item == 2] == [(2, None, "protocol")]
+
+
+def test_document_files(spark):
+    from quirefold.sources import documents
+
+    def probe(data):
+        if not data:
+            raise ValueError("no document")
+        return len(data), data.decode()
+
+    files = spark.createDataFrame([("a", bytearray(b" T ")), ("b", bytearray(b"   ")), ("c", bytearray(b""))], "path string, content binary")
+    got = {r.path: (r.page_count, r.title, r.error) for r in documents.information(files, probe).collect()}
+    assert got == {"a": (3, "T", None), "b": (3, None, None), "c": (None, None, "no document")}
+    asked = spark.createDataFrame([("a", 1, 144, 500.0, 700.0, 3, None), ("a", 2, 144, 500.0, 700.0, 3, 700), ("a", 4, 144, 1.0, 1.0, 3, None), ("a", 1, 601, 1.0, 1.0, 3, None)], "path string, page long, dpi int, width_pt double, height_pt double, page_count long, most int")
+    plan = documents.render_plan(asked)
+    assert sorted((str(r.fault), r.scale) for r in plan.collect() if r.scale) == [("None", 1.0), ("None", 2.0)]
+    assert sorted(r.fault for r in plan.collect() if r.fault) == ["dpi", "page"]
+    assert {bytes(r.picture) for r in documents.rendered(plan, files, lambda data, page, scale: f"{page} {scale}".encode()).collect()} == {b"1 2.0", b"2 1.0"}
+    assert documents.with_defaults({"a": 1, "b": None, "x": 3}, {"a": 0, "b": 2}) == {"a": 1, "b": 2} and documents.with_defaults(None, {"a": 0}) == {"a": 0}
+
+
+def test_chunks_halved(spark):
+    from quirefold.operators import pages as P
+
+    sizes = [30, 10, 10, 10, 90, 5, 5, 5, 5]
+
+    def split(chunk):
+        return [chunk] if len(chunk) == 1 or sum(sizes[p] for p in chunk) <= 40 else split(chunk[: len(chunk) // 2]) + split(chunk[len(chunk) // 2 :])
+
+    rows = [("d", 1 if i < 5 else 2, i, n) for i, n in enumerate(sizes)]
+    got = P.halved(spark.createDataFrame(rows, "doc string, chunk long, page long, bytes long"), "doc", "chunk", F.lit(40)).collect()
+    want = split(list(range(5))) + split(list(range(5, 9)))
+    assert {r.page: r.chunk for r in got} == {p: i for i, c in enumerate(want, 1) for p in c}
+    assert {r.page for r in got if r.oversized} == {4}
+
+
+def test_job_registry(spark):
+    import pytest
+
+    from quirefold.streaming import registry
+
+    jobs = registry.JobRegistry(spark, most=2)
+    with jobs.running("a") as a, jobs.running("b"):
+        assert jobs.listed()[0] == (a, "a") and not jobs.cancelled(a)
+        with pytest.raises(registry.TooManyJobs):
+            jobs.register("c")
+        assert jobs.cancel(a) and jobs.cancelled(a)
+    assert jobs.listed() == [] and not jobs.cancel("x")
+    frame = spark.range(1).select(registry.event_frame(F.lit("done"), F.struct(F.lit(1).alias("id"))).alias("f")).first().f
+    assert frame == 'event: done\ndata: {"id":1}\n\n'
+
+
+def test_admission(spark):
+    from quirefold.streaming import events
+
+    rows = [(1, i, i, i + 10) for i in range(8)] + [(1, 8, 10, 12), (2, 9, 0, 1)]
+    got = {r.id for r in events.admitted(spark.createDataFrame(rows, "pool long, id long, start long, end long")).collect() if r.admitted}
+    assert got == {0, 1, 2, 3, 8, 9}
+
+
+def test_ends_are_kept_for_a_time(spark, tmp_path):
+    """The stream's last ends, and their expiry once the watermark has passed them."""
+    from quirefold.streaming import events
+
+    schema, minute = "job long, id long, us long, kind string", 60_000_000
+    parts = [[(1, 1, 0, "done"), (1, 2, minute, "error"), (2, 3, 0, "progress")], [(3, 4, 40 * minute, "done")], [(3, 5, 41 * minute, "done")]]
+    seen = []
+    at = tmp_path / "in"
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(at))
+        run = events.kept_ends(spark.readStream.schema(schema).parquet(str(at))).writeStream.outputMode("update").foreachBatch(lambda b, _: seen.extend((r.job, r.kind, r.last_id) for r in b.collect())).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    assert (1, "error", 2) in seen and (3, "done", 5) in seen and (1, "expired", None) in seen
+    assert all(job != 2 for job, _, _ in seen)
+
+
+def test_engine_settings_and_anchors(spark, tmp_path):
+    import json
+
+    page = lambda *blocks, **more: {"prunedResult": {"parsing_res_list": [{"block_label": a, "block_content": b, "block_bbox": [1, 700, 9, 760]} for a, b in blocks]}, **more}
+    (tmp_path / "a.json").write_text(json.dumps([page(("text", "x")), page(("number", "2"), modelSettings={"markdown_ignore_labels": ["header"]}), page(("image", ""), modelSettings={"markdownIgnoreLabels": ["no"]})]))
+    (tmp_path / "b.json").write_text(json.dumps({"result": {"model_settings": {"k": 1}, "layoutParsingResults": [page(("text", "y"), modelSettings={"k": 2})]}}))
+    docs = LayoutEngine(spark).import_json(str(tmp_path / "*.json"))
+    got = {r.doc_id[-6:]: (json.loads(r.settings), r.ignore_labels) for r in docs.settings().collect()}
+    assert got == {"a.json": ({"markdown_ignore_labels": ["header"]}, ["header"]), "b.json": ({"k": 1}, [])}
+    texts = {(r.doc_id[-6:], r.page): r.markdown for r in docs.to_markdown(ReadingOptions(include_page_number=True)).collect()}
+    assert texts[("a.json", 2)] == "〔Source page 2〕\n\n" and texts[("a.json", 1)].endswith("x\n\n") and len(texts) == 4
+    assert {(r.doc_id[-6:], r.page): (r.images, r["items"]) for r in docs.warnings().collect()}[("a.json", 3)] == (True, 1)
