@@ -3,14 +3,16 @@
 Shingles are hashed into groups. Two sets with a Jaccard similarity of t or more differ in few shingles, fewer than
 there are groups, so the contents of some group agree: documents meet where a group of two shingles or more has equal
 contents (`signatures`; sets with too many smaller groups for that argument also meet by the least hashes of a prefix).
-Where documents meet, the counts of shingles in groups, about four shingles a group, make each a point; an R-tree
-over the points bounds the overlap of a set with all sets under a node by the summed minima of coordinates, and the
-pairs that survive are verified by their shingles (`CountTree`, `linked`, `near_pairs`).
-
-Documents of equal shingle sets count as one from the start. The first round, a shortcut over a few of the places, compares
-every document with those that share the same most frequent meeting document; components of verified links then stand for their members, and the
-second round compares only what meets in different components. Links inside a component need no further pair, so large
-groups of copies never give all their pairs, and no link between different components is lost.
+Where documents meet, the counts of shingles in groups, about one shingle a group, make each a point. An R-tree over
+points of eight groups put together, and then the points themselves, bound the overlap of a set with all sets under a
+node by the summed minima of coordinates; the pairs that survive are verified by their shingles (`CountTree`, `linked`,
+`near_pairs`).
+
+Documents of equal shingle sets count as one from the start. The first round, a shortcut over a few of the places,
+compares every document with those that share the same most frequent meeting document. Components of verified links
+then stand for their members, and the second round compares only what meets in different components: of two components
+first the likeliest pair, and their other pairs only if that one isn't linked. Links inside a component need no further
+pair, so large groups of copies never give all their pairs, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from quirefold.llm.common import found_for, in_place, lean, store
 from quirefold.llm.components import components
 
 WORDS, SHARE = 5, (4, 5)  # words of a shingle; Jaccard threshold as a fraction
-LEAST_GROUPS, MOST_GROUPS = 64, 1 << 12  # coordinates of a count vector, a power of two
+LEAST_GROUPS, MOST_GROUPS = 64, 1 << 13  # coordinates of a count vector, a power of two
+COARSER = 8  # groups of a point that are put together for the tree
 MARKED = 16  # groups of a band whose places choose the partners of the first round
 LEAF = 16
 TILE = 1024  # documents compared in one task at once
@@ -111,24 +114,30 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def counts(s: np.ndarray) -> np.ndarray:
-    """Shingles in each of about a quarter as many groups as there are shingles, a power of two.
-
-    Sets that have little in common differ in about n / 2 counts of n / 4 groups, linked ones in 2 n / 9 at most.
-    """
-    size = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (len(s) // 4).bit_length()))
+    """Shingles in each of about as many groups as there are shingles, a power of two."""
+    size = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (len(s) * 3 // 4).bit_length()))
     return np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.int32)
 
 
 def packed(v: np.ndarray) -> bytes:
-    """The number of counts, as a power of two, and the counts as planes of bytes, the lowest first, as many as are needed."""
-    out = [bytes([len(v).bit_length() - 1]), (v & 255).astype(np.uint8).tobytes()]
+    """The number of counts, as a power of two, and the counts: two in a byte where all are small, else as planes of bytes, the lowest first."""
+    log = len(v).bit_length() - 1
+    if v.max() < 16:
+        small = v.astype(np.uint8)
+        return bytes([128 | log]) + (small[::2] | small[1::2] << 4).tobytes()
+    out = [bytes([log]), (v & 255).astype(np.uint8).tobytes()]
     while (v := v >> 8).any():
         out.append((v & 255).astype(np.uint8).tobytes())
     return b"".join(out)
 
 
 def unpacked(planes: bytes) -> np.ndarray:
-    size = 1 << planes[0]
+    size = 1 << (planes[0] & 127)
+    if planes[0] & 128:
+        two = np.frombuffer(planes, np.uint8, size // 2, 1)
+        out = np.empty(size, np.int32)
+        out[::2], out[1::2] = two & 15, two >> 4
+        return out
     out = np.frombuffer(planes, np.uint8, size, 1).astype(np.int32)
     for k in range(1 + size, len(planes), size):
         out += np.frombuffer(planes, np.uint8, size, k).astype(np.int32) << (8 * (k // size))
@@ -137,7 +146,7 @@ def unpacked(planes: bytes) -> np.ndarray:
 
 def folded(vectors: list[np.ndarray]) -> np.ndarray:
     """Count vectors as rows of a table, the finer folded to the coarsest."""
-    size = min(len(v) for v in vectors)
+    size = min(map(len, vectors))
     return np.stack([v if len(v) == size else v.reshape(-1, size).sum(axis=0) for v in vectors])
 
 
@@ -151,10 +160,10 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return same * b >= a * (len(x) + len(y) - same)
 
 
-def near_among(points: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The points whose overlap with q may be large enough, by the summed minima of coordinates."""
+def near_among(points: np.ndarray, sizes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The points whose overlap with q may be large enough, by the summed minima of coordinates. sizes: sums of the points."""
     a, b = SHARE
-    return np.flatnonzero(np.minimum(points, q).sum(axis=1) * (a + b) >= a * (int(q.sum()) + points.sum(axis=1)))
+    return np.flatnonzero(np.minimum(points, q).sum(axis=1) * (a + b) >= a * (int(q.sum()) + sizes))
 
 
 class CountTree:
@@ -358,25 +367,13 @@ def link_rows(keys: list[str]):
     return run
 
 
-PAIR = ["a", "b", "ca", "cb", "share", "more"]
-
-
-def likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the pairs of each batch the one of greatest share for every two components; more tells that there are others."""
-    for batch in near_pairs(batches):
-        c = np.stack([batch.column(k).to_numpy() for k in PAIR])
-        c = c[:, np.lexsort((c[1], c[0], -c[4], c[3], c[2]))]
-        first = np.flatnonzero(np.append(True, (c[2:4, 1:] != c[2:4, :-1]).any(axis=0)))
-        other = np.append(False, (c[:2, 1:] != c[:2, :-1]).any(axis=0))
-        out = c[:, first]
-        out[5] = [other[i + 1 : j].any() for i, j in zip(first, np.append(first[1:], c.shape[1]))]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], PAIR)
+PAIR = ["a", "b", "ca", "cb", "share"]
 
 
 def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, ca, cb, share, more) of nodes in different components at one place whose count vectors let them be linked.
+    """(a, b, ca, cb, share) of nodes in different components at one place whose count vectors let them be linked.
 
-    ca and cb are the components, the lower first; share is the Jaccard similarity that the counts allow at most, more 0.
+    ca and cb are the components, the lower first; share is the Jaccard similarity that the counts allow at most.
     Rows come sorted by (place, x, y). A place of one leaf needs no tree: its points are compared with each other.
     """
     names = ["place", "x", "y", "node", "component", "tile"]
@@ -389,19 +386,22 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         cross = x[0] != y[0]
         points = folded([unpacked(v) for v in planes])
-        tree = CountTree(points) if len(points) > LEAF else None
+        sizes = points.sum(axis=1)
+        coarse = points.reshape(len(points), COARSER, -1).sum(axis=1)
+        tree = CountTree(coarse) if len(points) > LEAF else None
         for i in range(1, len(nodes)):
             if tree:
                 near = tree.near(i)
                 near = near[near < i]
             else:
-                near = near_among(points[:i], points[i])
+                near = near_among(coarse[:i], sizes[:i], coarse[i])
             near = near[part[near] != part[i]]
             near = near[tile[near] != tile[i]] if cross else near
+            near = near[near_among(points[near], sizes[near], points[i])] if len(near) else near
             if len(near):
                 common = np.minimum(points[near], points[i]).sum(axis=1)
-                share = common * 1_000_000 // (points[near].sum(axis=1) + int(points[i].sum()) - common)
-                found.append(np.stack([np.maximum(nodes[near], nodes[i]), np.minimum(nodes[near], nodes[i]), np.minimum(part[near], part[i]), np.maximum(part[near], part[i]), share, np.zeros(len(near), np.int64)]))
+                share = common * 1_000_000 // (sizes[near] + sizes[i] - common)
+                found.append(np.stack([np.maximum(nodes[near], nodes[i]), np.minimum(nodes[near], nodes[i]), np.minimum(part[near], part[i]), np.maximum(part[near], part[i]), share]))
 
     def pairs() -> pa.RecordBatch:
         out = np.concatenate(found, axis=1)
@@ -495,21 +495,15 @@ def join(docs: DataFrame) -> DataFrame:
         return store(both.mapInArrow(lean(verified), "a long, b long"), "links")
 
     # Of two components first the pair that looks most alike; their other pairs only where they stay apart.
-    best = squares(apart).mapInArrow(lean(likeliest), pair).groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p"), ((F.max("more") > 0) | (F.min(F.struct("a", "b")) != F.max(F.struct("a", "b")))).alias("more"))
-    best = store(best, "best-pairs")
-    likely = linked_of(best.select("p.a", "p.b"))
+    pairs = store(squares(apart).mapInArrow(lean(near_pairs), pair).distinct(), "pairs")
+    likely = linked_of(pairs.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b"))
     links = links.unionByName(likely)
     final = components(links) if likely.head(1) else found
     label = lambda c: final.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    apart_still = best.filter("more").join(label("ca"), "ca", "left").join(label("cb"), "cb", "left").filter(F.coalesce("of_ca", "ca") != F.coalesce("of_cb", "cb"))
-    apart_still = store(apart_still.select("ca", "cb", F.col("p.a").alias("ra"), F.col("p.b").alias("rb")), "apart-still")
-    if apart_still.head(1):
-        either = apart_still.select(F.col("ca").alias("component")).unionByName(apart_still.select(F.col("cb").alias("component"))).distinct()
-        others = squares(apart.join(either, "component", "left_semi").select("place", "node", "component")).mapInArrow(lean(near_pairs), pair)
-        others = others.join(apart_still, ["ca", "cb"]).filter("a <> ra or b <> rb").select("a", "b").distinct()
-        rest = linked_of(store(others, "pairs"))
-        if rest.head(1):
-            final = components(links.unionByName(rest))
+    still = pairs.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    rest = linked_of(still.select("a", "b").distinct())
+    if rest.head(1):
+        final = components(links.unionByName(rest))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     of_key = copied.join(final, copied["b"] == final["node"], "left").select("key", "n", F.coalesce("component", "b").alias("of_key"), salt.alias("salt"))
     named = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(of_key, ["key", "n", "salt"], "left").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -79,7 +79,7 @@ def test_signatures_meet():
             if len(b) > 1 and jaccard.similar(a, b):
                 assert len(np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)))
                 points = jaccard.folded([jaccard.unpacked(jaccard.packed(jaccard.counts(v))) for v in (a, b)])
-                assert len(jaccard.near_among(points[:1], points[1]))
+                assert len(jaccard.near_among(points[:1], points[:1].sum(axis=1), points[1]))
 
 
 def test_meetings_in_parts(monkeypatch):
@@ -127,7 +127,7 @@ def test_near_pairs_need_no_tree_or_one():
     points = jaccard.folded([jaccard.counts(s) for s in sets])
     tree = jaccard.CountTree(points)
     for i in range(60):
-        assert sorted(tree.near(i).tolist()) == jaccard.near_among(points, points[i]).tolist()
+        assert sorted(tree.near(i).tolist()) == jaccard.near_among(points, points.sum(axis=1), points[i]).tolist()
         assert all(j in tree.near(i) for j in range(60) if jaccard.similar(sets[i], sets[j]))
 
 
