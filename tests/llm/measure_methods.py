@@ -68,5 +68,6 @@ def one_tree():
 
 
 if __name__ == "__main__":
-    one_tree()
+    if len(sys.argv) < 3:
+        one_tree()
     first_level()
