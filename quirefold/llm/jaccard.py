@@ -367,13 +367,25 @@ def link_rows(keys: list[str]):
     return run
 
 
-PAIR = ["a", "b", "ca", "cb", "share"]
+PAIR = ["a", "b", "ca", "cb", "share", "more"]
+
+
+def likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of each batch the one of greatest share for every two components; more tells that there are others."""
+    for batch in near_pairs(batches):
+        c = np.stack([batch.column(k).to_numpy() for k in PAIR])
+        c = c[:, np.lexsort((c[1], c[0], -c[4], c[3], c[2]))]
+        first = np.flatnonzero(np.append(True, (c[2:4, 1:] != c[2:4, :-1]).any(axis=0)))
+        other = np.append(False, (c[:2, 1:] != c[:2, :-1]).any(axis=0))
+        out = c[:, first]
+        out[5] = [other[i + 1 : j].any() for i, j in zip(first, np.append(first[1:], c.shape[1]))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], PAIR)
 
 
 def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, ca, cb, share) of nodes in different components at one place whose count vectors let them be linked.
+    """(a, b, ca, cb, share, more) of nodes in different components at one place whose count vectors let them be linked.
 
-    ca and cb are the components, the lower first; share is the Jaccard similarity that the counts allow at most.
+    ca and cb are the components, the lower first; share is the Jaccard similarity that the counts allow at most, more 0.
     Rows come sorted by (place, x, y). A place of one leaf needs no tree: its points are compared with each other.
     """
     names = ["place", "x", "y", "node", "component", "tile"]
@@ -401,7 +413,7 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(near):
                 common = np.minimum(points[near], points[i]).sum(axis=1)
                 share = common * 1_000_000 // (sizes[near] + sizes[i] - common)
-                found.append(np.stack([np.maximum(nodes[near], nodes[i]), np.minimum(nodes[near], nodes[i]), np.minimum(part[near], part[i]), np.maximum(part[near], part[i]), share]))
+                found.append(np.stack([np.maximum(nodes[near], nodes[i]), np.minimum(nodes[near], nodes[i]), np.minimum(part[near], part[i]), np.maximum(part[near], part[i]), share, np.zeros(len(near), np.int64)]))
 
     def pairs() -> pa.RecordBatch:
         out = np.concatenate(found, axis=1)
@@ -495,15 +507,21 @@ def join(docs: DataFrame) -> DataFrame:
         return store(both.mapInArrow(lean(verified), "a long, b long"), "links")
 
     # Of two components first the pair that looks most alike; their other pairs only where they stay apart.
-    pairs = store(squares(apart).mapInArrow(lean(near_pairs), pair).distinct(), "pairs")
-    likely = linked_of(pairs.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b"))
+    best = squares(apart).mapInArrow(lean(likeliest), pair).groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p"), ((F.max("more") > 0) | (F.min(F.struct("a", "b")) != F.max(F.struct("a", "b")))).alias("more"))
+    best = store(best, "best-pairs")
+    likely = linked_of(best.select("p.a", "p.b"))
     links = links.unionByName(likely)
     final = components(links) if likely.head(1) else found
     label = lambda c: final.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    still = pairs.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    rest = linked_of(still.select("a", "b").distinct())
-    if rest.head(1):
-        final = components(links.unionByName(rest))
+    apart_still = best.filter("more").join(label("ca"), "ca", "left").join(label("cb"), "cb", "left").filter(F.coalesce("of_ca", "ca") != F.coalesce("of_cb", "cb"))
+    apart_still = store(apart_still.select("ca", "cb", F.col("p.a").alias("ra"), F.col("p.b").alias("rb")), "apart-still")
+    if apart_still.head(1):
+        either = apart_still.select(F.col("ca").alias("component")).unionByName(apart_still.select(F.col("cb").alias("component"))).distinct()
+        others = squares(apart.join(either, "component", "left_semi").select("place", "node", "component")).mapInArrow(lean(near_pairs), pair)
+        others = others.join(apart_still, ["ca", "cb"]).filter("a <> ra or b <> rb").select("a", "b").distinct()
+        rest = linked_of(store(others, "pairs"))
+        if rest.head(1):
+            final = components(links.unionByName(rest))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     of_key = copied.join(final, copied["b"] == final["node"], "left").select("key", "n", F.coalesce("component", "b").alias("of_key"), salt.alias("salt"))
     named = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(of_key, ["key", "n", "salt"], "left").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -511,9 +529,15 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are linked to one of smaller id; of rows of equal id and linked texts all stay.
+    """docs without the documents that are linked to one of smaller id, and without repetitions of an id with its text.
 
-    The ids that go are found by `join`; null ids stay.
+    The ids that go are found by `join`. Rows of one id are one document, whose different texts all stay; null ids
+    stay.
     """
     gone = join(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = store(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    if not again.head(1):
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)

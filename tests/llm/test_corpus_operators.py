@@ -436,6 +436,8 @@ def test_jaccard_odd_rows(spark):
     long_n = len(brute.shingles(long))
     want = [(1, 3, 1), (1, 2, 1), (9, 2, 1), (None, 3, None), (3, 3, 1), (3, 3, 1), (4, 0, 4), (5, 0, 5), (6, 1, 6), (7, 1, 6), (10, long_n, 10), (11, long_n + 1, 10)]
     assert got == sorted(want, key=str)
+    kept = [(r.doc_id, (r.text or "")[:15]) for r in jaccard.keep_one(df).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a b c d e f g"), (1, "q r s t u v"), (None, "a b c d e f g"), (4, ""), (5, ""), (6, "one"), (10, long[:15])], key=str)
 
 
 def test_decontamination_odd_rows(spark, items_=ITEMS):
