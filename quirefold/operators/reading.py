@@ -86,11 +86,11 @@ def resolved_sizes(pages: DataFrame, doc: str) -> DataFrame:
     measured = F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
     w, h = F.when(measured, F.col("width")).otherwise(F.col("ext_w")).cast("double"), F.when(measured, F.col("height")).otherwise(F.col("ext_h")).cast("double")
     factor = F.when(measured, 1.0).otherwise(L.INFERRED_MARGIN)
-    by = Window.partitionBy(doc)
-    long_side, short_side = F.max(F.greatest(w, h) * factor).over(by), F.max(F.least(w, h) * factor).over(by)
-    out = pages.withColumn("_long", long_side).withColumn("_short", short_side)
+    # Two numbers a document, joined back, so that no task holds all pages of one.
+    sides = pages.groupBy(doc).agg(F.max(F.greatest(w, h) * factor).alias("_long"), F.max(F.least(w, h) * factor).alias("_short"))
     return (
-        out.withColumn("page_w", F.when(measured, w).when(w >= h, F.col("_long")).otherwise(F.col("_short")))
+        pages.join(sides, doc, "left")
+        .withColumn("page_w", F.when(measured, w).when(w >= h, F.col("_long")).otherwise(F.col("_short")))
         .withColumn("page_h", F.when(measured, h).when(w >= h, F.col("_short")).otherwise(F.col("_long")))
         .withColumn("approximate", ~measured)
         .drop("_long", "_short")
