@@ -34,6 +34,7 @@ from quirefold.llm.common import found_for, in_place, lean, store
 LENGTH, SAMPLED = 400, 256
 #: Bytes of a document that are hashed at once; places in it take 24 bits.
 CHUNK = 4 << 20
+SALTS = 16  # keys over which copies of one text are dealt
 #: Rows of one run or part that are held at once; runs of one part that are compared in one task.
 HELD, TOGETHER = 50_000, 50_000
 
@@ -298,7 +299,8 @@ def repeats(texts: DataFrame, length: int = LENGTH, sampled: int = SAMPLED) -> D
     base = texts.select("_pl_part", "_pl_row", F.coalesce("text", F.lit("")).cast("binary").alias("text")).filter(F.octet_length("text") >= length)
     digests = base.select(F.col("_pl_row").alias("row"), F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("digest"))
     same = digests.groupBy("digest").agg(F.count("*").alias("copies"), F.min("row").alias("first")).filter("copies > 1").select("digest", "first")
-    whole = store(digests.join(same, "digest").select("row", "size", "first"), "copies")
+    dealt = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a text may have very many copies
+    whole = store(digests.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(dealt, ["digest", "salt"]).select("row", "size", "first"), "copies")
     once = found_for(base, whole.filter("row <> first").select("row"), "left_anti").select(F.col("_pl_row").alias("row"), "text")
 
     found = store(once.mapInArrow(lean(run_rows(length, sampled)), RUN), "runs")
