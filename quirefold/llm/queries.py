@@ -74,6 +74,21 @@ with d as (select doc_id, {WORDS} as w from documents),
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (doc_id) left join named using (doc_id)"""
 
+# Bytes are pairs of hexadecimal digits here.
+OP3 = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+  s as (select r, doc_id, x, (length(x) // 2)::bigint as n from d),
+  w as (select r, i, md5(substr(x, 2 * i + 1, 800)) as h from s, lateral (select unnest(range(0, greatest(n - 399, 0))) as i)),
+  c as (select h from w group by h having count(*) > 1),
+  m as (select r, i from w where h in (select h from c)),
+  g as (select r, i, case when i <= lag(i) over o + 400 then 0 else 1 end as new from m window o as (partition by r order by i)),
+  k as (select r, i, sum(new) over (partition by r order by i rows unbounded preceding) as k from g),
+  spans as (select r, k, min(i) as a, max(i) + 400 as b from k group by r, k),
+  t as (select r, sum(b - a)::bigint as gone, count(*) as spans from spans group by r),
+  edges as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) as before from spans),
+  kept as (select e.r, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) || any_value(substr(x, 2 * z + 1)) as x from edges e join s on s.r = e.r join (select r, max(b) as z from spans group by r) q on q.r = e.r group by e.r)
+select doc_id, n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept.x, s.x))) as kept_sha256 from s left join t on t.r = s.r left join kept on kept.r = s.r"""
+
 OP5 = """
 with p as (select page_id, coalesce(html, '') as h from pages),
   f as (select h, min(page_id) as first_id from p where strlen(h) >= 100 group by h)
@@ -106,4 +121,4 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from d left jo
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op5_warc": OP5, "op6_mixing": OP6, "op8_jaccard": OP8}
+    return {"op1_decontamination": OP1, "op3_suffixes": OP3, "op5_warc": OP5, "op6_mixing": OP6, "op8_jaccard": OP8}
