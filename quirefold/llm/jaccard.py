@@ -506,7 +506,7 @@ def join(docs: DataFrame) -> DataFrame:
         both = found_for(profiles, one.join(at, F.col("b") == F.col("node")).select("a", "b", "sa", "row"), "inner").select("a", "b", "sa", F.col("shingles").alias("sb"))
         return store(both.mapInArrow(lean(verified), "a long, b long"), "links")
 
-    # Of two components first the pair that looks most alike; their other pairs only where they stay apart.
+    # Of two components first the pair that looks most alike, wherever it meets; all pairs only where they stay apart.
     best = squares(apart).mapInArrow(lean(likeliest), pair).groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p"), ((F.max("more") > 0) | (F.min(F.struct("a", "b")) != F.max(F.struct("a", "b")))).alias("more"))
     best = store(best, "best-pairs")
     likely = linked_of(best.select("p.a", "p.b"))
@@ -516,8 +516,10 @@ def join(docs: DataFrame) -> DataFrame:
     apart_still = best.filter("more").join(label("ca"), "ca", "left").join(label("cb"), "cb", "left").filter(F.coalesce("of_ca", "ca") != F.coalesce("of_cb", "cb"))
     apart_still = store(apart_still.select("ca", "cb", F.col("p.a").alias("ra"), F.col("p.b").alias("rb")), "apart-still")
     if apart_still.head(1):
-        either = apart_still.select(F.col("ca").alias("component")).unionByName(apart_still.select(F.col("cb").alias("component"))).distinct()
-        others = squares(apart.join(either, "component", "left_semi").select("place", "node", "component")).mapInArrow(lean(near_pairs), pair)
+        # Components that may still be linked make clusters, and each has one tree of all its nodes.
+        cluster = components(apart_still.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("place"))
+        members = apart.join(cluster, "component").select("place", "node", "component").distinct()
+        others = squares(members).mapInArrow(lean(near_pairs), pair)
         others = others.join(apart_still, ["ca", "cb"]).filter("a <> ra or b <> rb").select("a", "b").distinct()
         rest = linked_of(store(others, "pairs"))
         if rest.head(1):
