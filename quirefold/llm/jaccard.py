@@ -518,7 +518,7 @@ def join(docs: DataFrame) -> DataFrame:
     if apart_still.head(1):
         # Components that may still be linked make clusters, and each has one tree of all its nodes.
         cluster = components(apart_still.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("place"))
-        members = apart.join(cluster, "component").select("place", "node", "component").distinct()
+        members = apart.select("node", "component").distinct().join(cluster, "component").select("place", "node", "component")
         others = squares(members).mapInArrow(lean(near_pairs), pair)
         others = others.join(apart_still, ["ca", "cb"]).filter("a <> ra or b <> rb").select("a", "b").distinct()
         rest = linked_of(store(others, "pairs"))

@@ -65,6 +65,21 @@ def test_jaccard_chain_of_edits(spark):
     assert rows(jaccard.join(df)) == sorted(brute.jaccard(chain), key=str)
 
 
+def test_jaccard_near_the_threshold(spark):
+    """Families of texts about as alike as the threshold: which are linked is decided pair by pair."""
+    rng = np.random.default_rng(17)
+    table = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(150)]
+        for i in range(40):
+            text = list(base)
+            for j in rng.choice(150, int(rng.integers(1, 6)), replace=False):
+                text[j] = f"x{rng.integers(1 << 40)}"
+            table.append((family * 100 + i, " ".join(text)))
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(6)
+    assert rows(jaccard.join(df)) == sorted(brute.jaccard(table), key=str)
+
+
 def test_signatures_meet():
     """Sets at the threshold share a place, at every size."""
     rng = np.random.default_rng(3)
