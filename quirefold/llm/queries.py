@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import decontamination, fingerprints, jaccard, licenses, mixing, pii, quality, suffixes, toxicity, warc
+from quirefold.llm import decontamination, fingerprints, jaccard, licenses, manifest, mixing, pii, quality, sharding, suffixes, toxicity, warc, whitening
 from quirefold.llm.common import table
 
 
@@ -54,8 +54,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return manifest.audit(table(spark, sf_dir, "documents"), tampered, F.col("n_chars") + 1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_suffixes, op4_pii, op5_warc, op6_mixing, op7_toxicity, op8_jaccard, op9_licenses, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_suffixes, op4_pii, op5_warc, op6_mixing, op7_toxicity, op8_jaccard, op9_licenses, op10_fingerprints, op11_sharding, op12_whitening, op13_manifest)}
 
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -120,5 +133,45 @@ with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text,
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from d left join n using (doc_id) join c on node = doc_id"""
 
 
+# The table of CRC-32 from its polynomial, and the checksum of the bytes of a hexadecimal string.
+CRC = """bits(v, k, c) as (select v, 0, v::bigint from range(256) t(v) union all select v, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+  crcs as (select list(c order by v) as crc from bits where k = 8)"""
+CRC_OF = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all({x}, '..'), lambda p: ('0x' || p)::bigint)), lambda a, b: xor(a >> 8, crc[(xor(a & 255, b))::int + 1])), 4294967295)"
+DRAW = "-ln((('0x' || left(md5(k || '/' || {path}), 12))::bigint::double + 0.5) / 281474976710656) / {weight}"
+
+OP11 = f"""
+with recursive {CRC},
+  d as (select row_number() over () as r, doc_id, coalesce(doc_id::varchar, 'null') as k, hex(encode(coalesce(text, ''))) as x from documents),
+  leaves as (select n, 'region' || case when s < 40 then s // 10 else s - 36 end as region, 'rack' || case when s < 40 then s // 5 % 2 else 0 end as rack, s from (select unnest([40, 41]) as n), lateral (select unnest(range(n)) as s)),
+  racks as (select n, region, rack, count(*) as w from leaves group by all),
+  regions as (select n, region, sum(w) as w from racks group by all),
+  a as (select r, k, n, arg_min(region, {DRAW.format(path="region", weight="w")}) as region from d, regions group by r, k, n),
+  b as (select r, k, n, region, arg_min(rack, {DRAW.format(path="region || '/' || rack", weight="w")}) as rack from a join racks using (n, region) group by r, k, n, region),
+  c as (select r, n, arg_min(s, {DRAW.format(path="region || '/' || rack || '/' || s", weight="1")})::int as s from b join leaves using (n, region, rack) group by r, k, n),
+  e as (select r, doc_id, k, length(x)::bigint // 2 + 16 as size, {CRC_OF.format(x="x")} as text_crc32 from d, crcs)
+select doc_id, size, text_crc32, 'key' as law, o.s as shard, row_number() over (partition by o.s order by md5(concat_ws('|', k, text_crc32, size))) - 1 as slot, g.s as grown_shard
+from e join c o on o.r = e.r and o.n = 40 join c g on g.r = e.r and g.n = 41"""
+
+_FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+_LEAF = lambda n_chars: "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+OP13 = f"""
+with recursive {CRC},
+  d as (select doc_id, lang, {_LEAF("n_chars")} as leaf, case when {CRC_OF.format(x="hex(encode(doc_id::varchar))")} % 7 = 0 and n_chars is not null then {_LEAF("(n_chars + 1)")} else {_LEAF("n_chars")} end as claim from documents, crcs),
+  rows as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n, dense_rank() over (order by lang nulls first) - 1 as g from d),
+  up as (select g, n, 0 as l, i, leaf as h from rows union all select g, any_value(n), l + 1, i // 2, sha256(string_agg(h, '' order by i)) from up where (n - 1) >> l > 0 group by g, l, i // 2),
+  roots as (select g, h as subroot, count(*) over () as m from up where (n - 1) >> l = 0),
+  over_(m, l, i, h) as (select m, 0, g, subroot from roots union all select any_value(m), l + 1, i // 2, sha256(string_agg(h, '' order by i)) from over_ where (m - 1) >> l > 0 group by l, i // 2),
+  steps as (
+    select r.g, r.i, a.l, 0 as part, case when s.h is null then 2 else (r.i >> a.l) & 1 end as side, s.h from rows r join (select distinct g, n, l from up) a on a.g = r.g and (a.n - 1) >> a.l > 0 left join up s on s.g = r.g and s.l = a.l and s.i = xor(r.i >> a.l, 1)
+    union all
+    select r.g, r.i, a.l, 1, case when s.h is null then 2 else (r.g >> a.l) & 1 end, s.h from rows r join (select distinct m, l from over_) a on (a.m - 1) >> a.l > 0 left join over_ s on s.l = a.l and s.i = xor(r.g >> a.l, 1)),
+  proofs as (select g, i, list({{'side': side, 'h': coalesce(h, '')}} order by part, l) as proof, string_agg(h, '' order by part, l) as siblings from steps group by g, i),
+  fold(g, i, k, acc, proof) as (select r.g, r.i, 1, r.claim, coalesce(proof, []) from rows r left join proofs p on p.g = r.g and p.i = r.i
+    union all select g, i, k + 1, sha256(case proof[k].side when 0 then acc || proof[k].h when 1 then proof[k].h || acc else acc end), proof from fold where k <= len(proof)),
+  root as (select h as root from over_ where (m - 1) >> l = 0)
+select doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) as proof_sha256, acc as folded_root, acc = root as verified
+from rows join roots using (g) cross join root left join proofs using (g, i) join fold on fold.g = rows.g and fold.i = rows.i and k = len(fold.proof) + 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op3_suffixes": OP3, "op5_warc": OP5, "op6_mixing": OP6, "op8_jaccard": OP8}
+    return {"op1_decontamination": OP1, "op3_suffixes": OP3, "op5_warc": OP5, "op6_mixing": OP6, "op8_jaccard": OP8, "op11_sharding": OP11, "op13_manifest": OP13}
