@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quirefold.llm.common import found_for, in_place, lean, store
+from quirefold.llm.common import found_for, in_place, lean, ranked, store
 from quirefold.llm.components import components
 
 WORDS, SHARE = 5, (4, 5)  # words of a shingle; Jaccard threshold as a fraction
@@ -450,8 +451,20 @@ def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text).
 
     A null or empty text has no shingles and is linked with nothing, also not with another empty one; a null id is
-    linked with nothing. Rows of equal id are one document whose links unite. Repeated rows each give a row.
+    linked with nothing. Rows of equal id are one document whose links unite. Repeated rows each give a row. Ids of any
+    type that has an order will do: whole numbers stand for themselves, others for their ranks.
     """
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return _joined(docs)
+    ids = store(ranked(docs.filter("doc_id is not null").select("doc_id").distinct(), [F.col("doc_id").asc()], "_ja_rank"), "ids")
+    by_rank = docs.select("doc_id", "text").join(ids, "doc_id", "left").select(F.col("_ja_rank").alias("doc_id"), "text")
+    name = lambda c: ids.select(F.col("_ja_rank").alias(c), F.col("doc_id").alias(f"_ja_{c}"))
+    found = _joined(by_rank).join(name("doc_id"), "doc_id", "left").join(name("component_id"), "component_id", "left")
+    return found.select(F.col("_ja_doc_id").alias("doc_id"), "n_shingles", F.col("_ja_component_id").alias("component_id"))
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """`join` of whole numbers as ids."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sets = store(texts.mapInArrow(lean(set_rows), "doc_id long, n long, key binary"), "sets")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -469,8 +482,8 @@ def join(docs: DataFrame) -> DataFrame:
     # most central node, the one that meets most others: of an original and its edited copies that is the original.
     first_met = meetings.filter("place % 2 <> 0").select("place", "size", F.explode("nodes").alias("node"))
     central = first_met.groupBy("node").agg(F.sum("size").alias("meets"))
-    ranked = first_met.select("place", "node").join(central, "node").repartition(parts, "place").sortWithinPartitions("place", F.col("meets").desc(), "node")
-    often = ranked.select("place", "node").mapInArrow(lean(hub_rows), "node long, hub long, n long").groupBy("node", "hub").agg(F.sum("n").alias("n"))
+    by_meets = first_met.select("place", "node").join(central, "node").repartition(parts, "place").sortWithinPartitions("place", F.col("meets").desc(), "node")
+    often = by_meets.select("place", "node").mapInArrow(lean(hub_rows), "node long, hub long, n long").groupBy("node", "hub").agg(F.sum("n").alias("n"))
     hubs = store(often.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")), "hubs")
     tiles = hubs.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     members = hubs.join(tiles, "hub").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).select("hub", "tile", "node")

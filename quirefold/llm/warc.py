@@ -15,6 +15,7 @@ touch them.
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,10 @@ LEAST_SHARED = 100  # bytes of a payload from which equal ones are written once
 #: A split's two offsets and its place take fewer bytes; splits are as many as the archives have blocks.
 SPLIT_BYTES = 200
 MOST_BROADCAST = 256 << 20
+#: Characters that a URI in a header never holds as they are: controls and every kind of line separator.
+UNSAFE = "\x00-\x1F\x7F-\x9F\u2028\u2029"
+#: Says that the URI beside it was percent-encoded here, and is to be decoded by readers.
+ESCAPED = "Quirefold-Escaped-URI"
 
 
 def _line(name: str, value: Column | str) -> Column:
@@ -48,6 +53,17 @@ def with_types(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     return rows.join(shared, "payload_digest", "left").withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, first)).drop("_wa_first")
 
 
+def needs_escape(url: Column) -> Column:
+    """Whether a header can't hold a url as it is: it has unsafe characters, or blanks at an end, which headers lose."""
+    return url.rlike(f"[{UNSAFE}]|^[ \t]|[ \t]$")
+
+
+def escaped(url: Column) -> Column:
+    """url with its unsafe characters, blanks, `%` and `+` percent-encoded; `url_decode` gives it back."""
+    code = lambda c: F.when(c == " ", "%20").when(c.rlike(f"[{UNSAFE}%+]"), F.url_encode(c)).otherwise(c)
+    return F.array_join(F.transform(F.split(url, ""), code), "")
+
+
 def record(date: str) -> Column:
     """A record without its magic line's successor: header, block; END follows it in the file."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), _line("Content-Length", F.col("payload_bytes").cast("string")), F.lit("\r\n"))
@@ -57,7 +73,7 @@ def record(date: str) -> Column:
         F.lit(MAGIC),
         _line("WARC-Type", F.col("record_type")),
         _line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
-        F.when(F.col("url").isNotNull(), _line("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", ""))).otherwise(F.lit("")),
+        F.when(F.col("url").isNull(), F.lit("")).when(needs_escape(F.col("url")), F.concat(_line(ESCAPED, "1"), _line("WARC-Target-URI", escaped(F.col("url"))))).otherwise(_line("WARC-Target-URI", F.col("url"))),
         _line("WARC-Date", date),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         F.when(F.col("record_type") == "revisit", revisit).otherwise(F.lit("")),
@@ -82,7 +98,8 @@ def archives(spark, path: str) -> DataFrame:
 
 
 def _field(head: Column, name: str) -> Column:
-    return F.regexp_extract(head, rf"(?im)^{name}:[ \t]*(.*?)[ \t]*$", 1)
+    """A header field. Lines end at LF alone (`d`), a CR before it is not part of the value: no other separator makes a line."""
+    return F.regexp_extract(head, rf"(?imd)^{name}:[ \t]*(.*?)[ \t\r]*$", 1)
 
 
 def parsed(text: Column) -> dict[str, Column]:
@@ -99,7 +116,7 @@ def parsed(text: Column) -> dict[str, Column]:
         "page_id": F.regexp_extract(_field(head, "WARC-Record-ID"), r"^<urn:page:(-?\d+)>$", 1).try_cast("long"),
         "record_type": _field(head, "WARC-Type"),
         "refers_to": F.regexp_extract(_field(head, "WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1).try_cast("long"),
-        "url": F.nullif(_field(head, "WARC-Target-URI"), F.lit("")),
+        "url": F.when(_field(head, ESCAPED) == "1", F.url_decode(_field(head, "WARC-Target-URI"))).when(head.rlike(r"(?imd)^WARC-Target-URI:"), _field(head, "WARC-Target-URI")),
         "declared": F.regexp_extract(_field(head, "WARC-Payload-Digest"), r"^sha256:([0-9a-f]{64})$", 1),
         "declared_bytes": _field(http, "Content-Length").try_cast("long"),
         "whole": F.octet_length(head) + len(END) + length + len(END),
@@ -149,6 +166,11 @@ def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def entries(found: DataFrame) -> DataFrame:
     """(file, block, base, entry, owner) of each split: its place in the file, where a record first begins in it, and
     the record that reaches into it from before. found: the rows of `exits`."""
+    return _entries(found)[0]
+
+
+def _entries(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The splits' entries, and (file, ends, length) of each file: where its chain ends, and how long it is."""
     m = len(MAGIC)
     sizes = found.filter("at is null").select("file", "block", "held")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -168,7 +190,10 @@ def entries(found: DataFrame) -> DataFrame:
         reach *= 2
     passed = reached.join(jumps, ["file", "at"]).groupBy("file", "block").agg(F.min("at").alias("entry"), F.max("last").alias("last"))
     owner = F.last("last", ignorenulls=True).over(before)
-    return store(splits.join(passed, ["file", "block"], "left").withColumn("owner", owner).drop("last"), "warc-entries")
+    lengths = sizes.groupBy("file").agg((F.sum("held") - m).alias("length"))
+    ended = reached.join(jumps, ["file", "at"]).groupBy("file").agg(F.max("to").alias("ends"))
+    ends = store(lengths.join(ended, "file", "left").select("file", F.coalesce("ends", F.lit(0)).alias("ends"), "length"), "warc-ends")
+    return store(splits.join(passed, ["file", "block"], "left").withColumn("owner", owner).drop("last"), "warc-entries"), ends
 
 
 PART = "file string, at long, owner long, whole boolean, text binary"
@@ -220,12 +245,26 @@ def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def texts(spark, path: str) -> DataFrame:
-    """(text) of every record of the archives, what follows its magic line; records cut off by a file's end are left out."""
+class BrokenChain(ValueError):
+    """An archive whose chain of records doesn't end where its file does."""
+
+
+def texts(spark, path: str, strict: bool = False) -> DataFrame:
+    """(text) of every record of the archives, what follows its magic line.
+
+    Records behind a broken link of a file's chain, or cut off by its end, are left out, with a warning that names the
+    number of such files and one of them; strict: they are an error.
+    """
     cut = archives(spark, path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     whole = parsed(F.col("value"))["whole"]
     found = store(cut.select("file", "block", F.octet_length("value").cast("long").alias("size"), whole.alias("whole")).mapInArrow(lean(exits), "file string, block long, held long, at long, to long, last long"), "warc-exits")
-    splits = entries(found)
+    splits, ends = _entries(found)
+    broken = ends.filter("ends <> length")
+    if first := broken.head(1):
+        what = f"{broken.count()} archives have a chain of records that doesn't end where the file does; one is {first[0]['file']}: {first[0]['ends']} of {first[0]['length']} bytes"
+        if strict:
+            raise BrokenChain(what)
+        warnings.warn(what, stacklevel=2)
     placed = cut.withColumn("length", whole)
     if splits.count() * SPLIT_BYTES <= MOST_BROADCAST:  # a short row for each split, which keeps the rows' order
         placed = placed.join(F.broadcast(splits), ["file", "block"])
@@ -241,14 +280,15 @@ def texts(spark, path: str) -> DataFrame:
     return out.select(text.alias("text")).filter(F.octet_length("text") >= parsed(F.col("text"))["whole"])
 
 
-def read(spark, path: str) -> DataFrame:
+def read(spark, path: str, strict: bool = False) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload, declared, declared_bytes) of every record of the archives.
 
     An archive without a magic line, or an empty folder of archives, has no records; from a broken link of the chain to
-    the end of its file none are returned, whatever follows.
+    the end of its file none are returned, whatever follows; `texts` warns of such files or, if strict, raises.
+    Urls come back as they were written, with any characters; a record without one has a null url.
     """
     said = parsed(F.col("text"))
-    return texts(spark, path).select(*[said[c].alias(c) for c in ("page_id", "url", "record_type", "refers_to", "payload", "declared", "declared_bytes")])
+    return texts(spark, path, strict).select(*[said[c].alias(c) for c in ("page_id", "url", "record_type", "refers_to", "payload", "declared", "declared_bytes")])
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -259,7 +299,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
-    back = read(spark, path)
+    back = read(spark, path, strict=True)
     response = F.col("record_type") == "response"
     size = F.when(response, F.octet_length("payload")).otherwise(F.col("declared_bytes")).cast("long")
     digest = F.when(response, F.sha2("payload", 256)).otherwise(F.col("declared"))
