@@ -16,8 +16,9 @@ class LayoutEngine:
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
-    def import_json(self, path: str) -> LayoutDocuments:
-        return LayoutDocuments(layout_json.read_json(self.spark, path))
+    def import_json(self, path: str, unwrap: bool = False) -> LayoutDocuments:
+        """Layout JSON files under a path; unwrap: lines of a file of lines are envelopes of pages, not pages."""
+        return LayoutDocuments(layout_json.read_json(self.spark, path, unwrap))
 
     def plan_pages(self, requests: DataFrame) -> DataFrame:
         """requests (doc, raw, total) with pages and error."""

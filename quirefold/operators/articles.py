@@ -62,15 +62,32 @@ def renumbered(articles: DataFrame, doc: str, order: list[Column]) -> DataFrame:
     return out.withColumn("title", F.when(F.col("title").rlike(DEFAULT_TITLE), F.concat(F.lit("Article "), F.col("num").cast("string"))).otherwise(F.col("title")))
 
 
-def overlaid(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The last row of each key laid over the one before it.
+def overlaid(rows: DataFrame, key: str, order: list[Column], shape: tuple[str, ...] = ("layout",), kept: tuple[str, ...] = ("text",)) -> DataFrame:
+    """All rows of each key laid over one another in their order: one row a key, with the columns of its last row.
 
-    Columns source, status, text, layout: a change of source or a failure drops the older layout; otherwise missing
-    values are taken from the older row, the error apart.
+    Columns source, status, error, those of `shape` and those of `kept`. Of `kept` the last value that isn't null counts.
+    A change of source or a failure drops the `shape` of all rows before, so of these the last value since then counts.
+    An error lives as long as no row after it succeeds. Other columns are the last row's own.
+
+    Nothing here needs a key's rows side by side: rows are first summed up by key and source, where the last shape of
+    the last source counts if no other source and no failure comes after it.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    last = F.row_number().over(Window.partitionBy(key).orderBy(*[o.desc() for o in order])) == 1
-    prev = lambda c: F.lag(c).over(w)
-    keeps = prev("source").eqNullSafe(F.col("source")) & (F.col("status") != "failed")
-    out = rows.select("*", F.coalesce("text", prev("text")).alias("_text"), F.coalesce("layout", F.when(keeps, prev("layout"))).alias("_layout"), F.when(F.col("status") == "failed", F.col("error")).alias("_error"), last.alias("_last")).filter("_last")
-    return out.drop("text", "layout", "error", "_last").withColumnsRenamed({"_text": "text", "_layout": "layout", "_error": "error"})
+    at, failed = F.struct(*order), F.coalesce(F.col("status") == "failed", F.lit(False))
+    last = lambda value, when: F.max(F.when(when, F.struct(at.alias("at"), value.alias("v"))))
+    folded = {"error", *shape, *kept}
+    others = [c for c in rows.columns if c not in folded]
+    marks = [F.max(at).alias("_at"), F.max(F.when(failed, at)).alias("_failed"), F.max(F.when(~failed, at)).alias("_sound"), F.max_by(F.struct(*others), at).alias("_row")]
+    values = [last(F.col(c), F.col(c).isNotNull()).alias(f"_{c}") for c in (*shape, *kept)] + [last(F.col("error"), F.col("error").isNotNull() & failed).alias("_error")]
+    by_source = rows.withColumn("_source", F.col("source")).groupBy(key, "_source").agg(*marks, *values)
+
+    shapes = F.struct("_at", *[F.col(f"_{c}") for c in shape])
+    # The two latest sources' places: the first is the last row's, the second the last of any other source.
+    both = F.reverse(F.array_sort(F.collect_list(F.struct("_at"))))
+    out = by_source.groupBy(F.col(key).alias("_key")).agg(
+        F.max_by("_row", "_at").alias("row"), F.max_by(shapes, "_at").alias("own"), F.get(both, 1)["_at"].alias("other"), F.max("_failed").alias("failed"), F.max("_sound").alias("sound"), *[F.max(f"_{c}").alias(f"_{c}") for c in (*kept, "error")]
+    )
+    since = lambda x: F.when((F.col("other").isNull() | (x["at"] > F.col("other"))) & (F.col("failed").isNull() | (x["at"] >= F.col("failed"))), x["v"])
+    lives = F.col("row.status") == "failed"
+    made = {c: since(F.col(f"own._{c}")) for c in shape} | {c: F.col(f"_{c}.v") for c in kept}
+    made["error"] = F.when(lives & (F.col("sound").isNull() | (F.col("_error.at") > F.col("sound"))), F.col("_error.v"))
+    return out.select(*[made[c].alias(c) if c in made else F.col(f"row.{c}").alias(c) for c in rows.columns])

@@ -173,15 +173,21 @@ def retry_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count("*").alias("errors"), F.count_if("r").alias("retryable"))
 
 
-@query("""with r as (select user_id, event_id, event_type as source, case when event_type = 'error' then 'failed' else 'done' end as status, case when event_id % 3 > 0 then 'text ' || event_id end as text,
-    case when event_id % 2 = 0 then 'layout ' || event_id end as layout, 'error ' || event_id as error from events),
-  w as (select *, lag(source) over w as ps, lag(text) over w as pt, lag(layout) over w as pl, row_number() over (partition by user_id order by event_id desc) as k from r window w as (partition by user_id order by event_id))
-  select user_id, event_id, source, status, coalesce(text, pt) as text, coalesce(layout, case when ps = source and status <> 'failed' then pl end) as layout, case when status = 'failed' then error end as error from w where k = 1""")
+@query("""with recursive r as (select user_id, event_id, event_type as source, case when event_type = 'error' then 'failed' else 'done' end as status, case when event_id % 3 > 0 then 'text ' || event_id end as text,
+    case when event_id % 2 = 0 then 'layout ' || event_id end as layout, case when event_id % 5 = 0 then event_id end as chunk, case when event_id % 4 > 0 then 'error ' || event_id end as error, event_id % 7 = 0 as text_edited, row_number() over (partition by user_id order by event_id) as k from events),
+  fold as (
+    select user_id, event_id, source, status, text, layout, chunk, case when status = 'failed' then error end as error, text_edited, k from r where k = 1
+    union all
+    select n.user_id, n.event_id, n.source, n.status, coalesce(n.text, p.text), coalesce(n.layout, case when p.source = n.source and n.status <> 'failed' then p.layout end), coalesce(n.chunk, case when p.source = n.source and n.status <> 'failed' then p.chunk end),
+           case when n.status = 'failed' then coalesce(n.error, p.error) end, n.text_edited, n.k from fold p join r n on n.user_id = p.user_id and n.k = p.k + 1)
+  select user_id, event_id, source, status, text, layout, chunk, error, text_edited from fold qualify row_number() over (partition by user_id order by k desc) = 1""")
 def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of one page laid over one another, one after the other."""
     i = F.col("event_id")
     word = lambda w: F.concat(F.lit(w + " "), i.cast("string"))
-    rows = S.table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("source"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"), F.when(i % 3 > 0, word("text")).alias("text"), F.when(i % 2 == 0, word("layout")).alias("layout"), word("error").alias("error"))
-    return A.overlaid(rows, "user_id", [i]).select("user_id", "event_id", "source", "status", "text", "layout", "error")
+    status = F.when(F.col("event_type") == "error", "failed").otherwise("done")
+    rows = S.table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("source"), status.alias("status"), F.when(i % 3 > 0, word("text")).alias("text"), F.when(i % 2 == 0, word("layout")).alias("layout"), F.when(i % 5 == 0, i).alias("chunk"), F.when(i % 4 > 0, word("error")).alias("error"), (i % 7 == 0).alias("text_edited"))
+    return A.overlaid(rows, "user_id", [i], shape=("layout", "chunk"))
 
 
 @query("""with a as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as num, case when o_orderkey % 3 = 0 then 'Article 99' else o_orderpriority end as title from orders)

@@ -125,16 +125,62 @@ def proofread_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with w as (select doc_id, text, split_part(text, ' ', 2) as before from documents), c as (select *, {COUNTED} as k from (select *, {S.sql_delete('text')} as hay, {S.sql_delete('before')} as needle from w))
-  select doc_id::varchar as key, case when k = 1 then substr(text, 1, strpos(text, before) - 1) || '[' || before || ']' || substr(text, strpos(text, before) + length(before)) else text end as text,
+  select doc_id::varchar as key, case when k = 1 then substr(text, 1, strpos(text, before) - 1) || '[' || regexp_replace(before, '({S.WS}+)', '\\1\\1', 'g') || ']' || substr(text, strpos(text, before) + length(before)) else text end as text,
          (k = 1)::bigint as applied, (k = 1)::bigint as conflicts from c""")
 def apply_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second words put into brackets where their place is unique; a second suggestion for the same place is a conflict."""
+    """Second words put into brackets where their place is unique; a second suggestion for the same place is a conflict.
+
+    Whitespace inside of a word's replacement comes beside that of the text, which stays.
+    """
     before = F.split_part(F.col("text"), F.lit(" "), F.lit(2))
     to = lambda head, tail: F.struct(before.alias("before"), F.concat(F.lit(head), before, F.lit(tail)).alias("after"), F.lit("").alias("context"))
     units = S.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "text", F.array(to("[", "]"), to("", "!")).alias("suggestions"))
     return P.apply_suggestions(units)
 
 
+#: The changes of `suggestion_rules`, by the document's id: what a suggestion wants for the word w. Signs that no text has.
+_RULES = 8
+_LONG = 110
+
+
+def _probe(w: Column) -> tuple[Column, Column, Column]:
+    """(before, after, text) of a word that is written downwards, one character a line, and changed by one of the rules."""
+    k = F.col("doc_id") % _RULES
+    n = F.length(w)
+    signs = lambda m: F.repeat(F.lit("¤"), m)
+    many = F.repeat(w, _LONG)
+    before = F.when(k == 2, F.concat(F.lit("¤€"), w)).when(k == 6, F.concat(F.lit("¤"), many)).otherwise(w)
+    after = (
+        F.when(k == 0, signs(n)).when(k == 1, signs(n + 2)).when(k == 2, w).when(k == 3, F.concat(w, F.lit(" ¤\n"))).when(k == 4, F.concat(F.substring(w, 1, 1), F.lit("¤"), F.substring(w, F.lit(2), n)))
+        .when(k == 5, F.lit("¤ ¤")).when(k == 6, F.concat(F.lit("€"), many, F.lit("€€"))).otherwise("")
+    )
+    down = F.array_join(F.regexp_extract_all(before, F.lit("(?s)."), F.lit(0)), "\n")
+    return before, after, down
+
+
+def _sql_down(x: str) -> str:
+    return f"array_to_string(regexp_extract_all({x}, '(?s).'), chr(10))"
+
+
+@query(f"""with d as (select doc_id, coalesce(text, '') as text, regexp_extract(coalesce(text, ''), '[A-Za-z][A-Za-z]+') as w, doc_id % {_RULES} as k, ['accepted', 'edited', 'rejected', 'pending', 'accepted'][(doc_id % 5 + 1)::int] as verdict from documents),
+  b as (select *, case k when 2 then '¤€' || w when 6 then '¤' || repeat(w, {_LONG}) else w end as before from d),
+  t as (select *, '@@' || {_sql_down("before")} || chr(10) || text as raw from b),
+  r as (select *, case k when 0 then {_sql_down("repeat('¤', length(w))")} when 1 then repeat('¤', length(w) + 2) when 2 then chr(10) || {_sql_down("w")} when 3 then {_sql_down("w")} || ' ¤' || chr(10)
+      when 4 then left(w, 1) || chr(10) || '¤' || {_sql_down("substr(w, 2)")} when 5 then case when length(w) = 3 then '¤' || chr(10) || ' ' || chr(10) || '¤' else '¤ ¤' end when 6 then '€' || repeat(w, {_LONG}) || '€€' else '' end as part from t)
+  select doc_id::varchar as key, case when w = '' or verdict in ('rejected', 'pending') then raw else '@@' || (case when verdict = 'edited' then repeat('§', length(before) + 1) else part end) || chr(10) || text end as text,
+    (w <> '' and verdict in ('accepted', 'edited'))::bigint as applied, (w <> '' and verdict in ('accepted', 'edited') and doc_id % 2 = 0)::bigint as conflicts from r""")
+def suggestion_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions with verdicts for a word written downwards: each rule for whitespace, and a change too long to align."""
+    w = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z][A-Za-z]+", 0)
+    before, after, down = _probe(F.col("w"))
+    verdict = F.get(F.array(*[F.lit(v) for v in ("accepted", "edited", "rejected", "pending", "accepted")]), (F.col("doc_id") % 5).cast("int"))
+    docs = S.table(spark, sf_dir, "documents").withColumn("w", w).select("doc_id", "text", before.alias("before"), after.alias("after"), down.alias("down"), verdict.alias("verdict"))
+    one = lambda after: F.struct("before", after.alias("after"), F.lit("@@").alias("context"), "verdict", F.repeat(F.lit("§"), F.length("before") + 1).alias("edited_after"))
+    twice = F.when(F.col("doc_id") % 2 == 0, F.array(one(F.col("after")), one(F.lit("again")))).otherwise(F.array(one(F.col("after"))))
+    raw = F.concat(F.lit("@@"), F.col("down"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return P.apply_suggestions(docs.select(F.col("doc_id").cast("string").alias("key"), raw.alias("text"), twice.alias("suggestions")))
+
+
 @query("""with s as (select url, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) as scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1)) as host, page_id from
     (select page_id, case page_id % 5 when 0 then url when 1 then 'http://localhost:80/x' when 2 then 'https://10.1.2.3/' when 3 then 'ftp://a.example.org/' else 'https://a.b@c.example.org/' end as url from pages))
   select page_id, case when page_id % 5 = 3 then 'scheme' when page_id % 5 = 4 then 'userinfo' when scheme <> 'https' then 'https' when page_id % 5 = 2 then 'internal' when strpos(host, '.') = 0 then 'internal' else 'ok' end as verdict from s""")

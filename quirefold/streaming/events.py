@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.sources.shared import new_path
+
 FATAL_STREAK = 5
 ROWS_A_SPAN = 50_000
 
@@ -100,12 +100,7 @@ def stream_states(spark: SparkSession, path: str) -> DataFrame:
 
     Updates go to a table in the shared checkpoint folder, batch by batch; the last of each job counts.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="quirefold-stream-")
-    at = f"{root}/job-states-{uuid.uuid4().hex}"
+    at = new_path(spark, "job-states")
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a path may be one file or a folder
 
     def keep(batch: DataFrame, number: int) -> None:

@@ -22,6 +22,56 @@ def test_spans_and_application():
     assert run("甲\n巳", ("甲巳", "甲乙巳"))[0] == "甲\n乙巳"
     assert run("甲\n乙\n丙\n丁", ("甲乙丙丁", "戊乙丙己"))[0] == "戊\n乙\n丙\n己"
     assert run("甲\n巳", ("甲巳", "甲乙巳"), ("甲巳", "甲丙巳"))[::2] == ("甲\n乙巳", 1)
+    # Whitespace of a replacement is written as it is.
+    assert run("x foobar y", ("foobar", "foo bar")) == ("x foo bar y", 1, 0)
+    assert run("foo baz", ("foo baz", "foo,  bar"))[0] == "foo ,  bar"
+    assert run("a b", ("a b", "a b"))[:2] == ("a  b", 1) and run("a b", ("a b", "ab"))[:2] == ("a b", 0)
+    assert run("".join(f"{c}\n" for c in "ab" * 60), ("ab" * 60, "c" + "ba" * 59 + "cc"))[0] == "c" + "ba" * 59 + "cc\n"
+
+
+def test_application_in_the_jvm(spark):
+    """The same as the plain application, whatever texts, contexts and overlaps."""
+    import random
+
+    rng = random.Random(1)
+    letters = "abc巳👍\\E.*\u3000"
+    units = []
+    for k in range(300):
+        text = "".join(rng.choice(letters + " \n") for _ in range(rng.randrange(40)))
+        found = []
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(text) + 1)
+            j, c = i + rng.randrange(6), max(0, i - rng.randrange(8))
+            found.append((text[i:j], "".join(rng.choice(letters + " \n") for _ in range(rng.randrange(6))), text[c:i] or None))
+        units.append((str(k), text, found))
+    df = spark.createDataFrame([*units, ("null", None, [("a", "b", "")]), ("none", "text", None)], "key string, text string, suggestions array<struct<before string, after string, context string>>")
+    got = {r.key: (r.text, r.applied, r.conflicts) for r in proofreading.apply_suggestions(df).collect()}
+    assert got.pop("null") == (None, 0, 0) and got.pop("none") == ("text", 0, 0)
+    assert got == {k: proofreading.apply_all(t, f) for k, t, f in units} and sum(a for _, a, _ in got.values()) > 100
+
+
+def test_verdicts(spark):
+    kind = "key string, text string, suggestions array<struct<before string, after string, context string, verdict string, edited_after string>>"
+    rows = [(v or "none", "one two", [("two", "2", "", v, e)]) for v, e in (("accepted", "x"), ("edited", "3 3"), ("rejected", "x"), ("pending", "x"), (None, "x"))] + [("cut", "one two", [("two", "2", "", "edited", None)])]
+    got = {r.key: r.text for r in proofreading.apply_suggestions(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {"accepted": "one 2", "edited": "one 3 3", "rejected": "one two", "pending": "one two", "none": "one two", "cut": "one "}
+
+
+def test_overlays(spark):
+    """Chains of results, against a plain fold."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.randrange(40) if i < 380 else None, i, rng.choice(["a", "b", None] if i % 5 else ["a"]), rng.choice(["done", "done", "failed", None]), rng.choice([None, f"t{i}"]), rng.choice([None, None, f"l{i}"]), rng.choice([None, f"e{i}"])) for i in range(400)]
+    want = {}
+    for key, i, source, status, text, layout, error in rows:
+        old = want.get(key)
+        keeps = old is not None and old[1] == source and status != "failed"
+        bad = status == "failed"
+        want[key] = (i, source, status, text or (old and old[3]), layout or (old[4] if keeps else None), (error or (old and old[5])) if bad else None)
+    df = spark.createDataFrame(rows, "k int, i int, source string, status string, text string, layout string, error string").repartition(7)
+    got = {r.k: tuple(r)[1:] for r in articles.overlaid(df, "k", [F.col("i")]).collect()}
+    assert got == want
 
 
 def test_sizes_inferred(spark):
@@ -108,7 +158,7 @@ def test_engine_over_json(spark, tmp_path):
     block = lambda label, text, order: {"block_label": label, "block_content": text, "block_bbox": [100, 700, 900, 760], "block_order": order}
     (tmp_path / "a.json").write_text(json.dumps([page([1000, 1500], [block("text", "B", 2), block("doc_title", "T", 1)]), page(None, [block("number", "7", 1)])]))
     (tmp_path / "b.json").write_text("\n".join(json.dumps({"result": {"layoutParsingResults": [page([5, 6], [block("text", f"line {i}", 1)])]}}) for i in range(2)))
-    docs = LayoutEngine(spark).import_json(str(tmp_path / "*.json"))
+    docs = LayoutEngine(spark).import_json(str(tmp_path / "*.json"), unwrap=True)
     flight = {r.doc_id[-6:]: r for r in docs.preflight().collect()}
     assert (flight["a.json"].pages, flight["a.json"].blocks, flight["a.json"].estimated_pages) == (2, 3, [2])
     assert flight["b.json"].pages == 2
