@@ -22,10 +22,13 @@ V_LIFE = """v_life as (select user_id as job, event_id as id, epoch_us(ts) as us
   s as (select *, coalesce(e, case when asked then 'cancelling' else 'running' end) as state from f) select job, case when state = 'done' and total > 0 then total else reached end as done, total, state from s""")
 def job_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs by their last end, those asked to stop, and those still running."""
+    return E.lifecycles(life_events(spark, sf_dir))
+
+
+def life_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = S.table(spark, sf_dir, "events").filter("event_id % 7 < 3 or event_type in ('click', 'view', 'page_view')")
     kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "cancelled").when((F.col("event_type") == "click") & (F.col("event_id") % 10 == 0), "cancel").otherwise("progress")
-    rows = E.job_events(events).drop("kind").join(events.select(F.col("event_id").alias("id"), kind.alias("kind"), (F.col("event_id") % 90).alias("total")), "id")
-    return E.lifecycles(rows)
+    return E.job_events(events).drop("kind").join(events.select(F.col("event_id").alias("id"), kind.alias("kind"), (F.col("event_id") % 90).alias("total")), "id")
 
 
 @query(f"""with {V_JOB}, p as (select distinct job from v_job where job % 3 > 0), r as (select distinct job from v_job where job % 5 = 0),
