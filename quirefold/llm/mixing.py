@@ -1,10 +1,12 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame functions only.
 
-Every document waits in the queue of its source, in an order shuffled by a hash of its id. Pass e of a document has the
-virtual finish time (e * words of the source + words up to and with the document) / weight. A source stops where its
-target ends (`targets` reshares what sources at their limit of passes leave over); the document there is cut, so that
-it finishes at the target. All passes are range-sorted by finish time, the words before each are summed up over the
-ranges, and the mix is truncated where the total budget is used up (`truncation`).
+Every document waits in the queue of its source, in an order shuffled by a hash of its id, once for each pass that a
+source may make. Pass e of a document has the virtual finish time (e * words of the source + words up to and with the
+document) / weight of the source. The weight that serves is the reshared one, the target (`targets` reshares what sources
+at their limit of passes leave over), so that all sources are due at time 1 together; the document that a target ends in
+is served in two pieces. All pieces of all passes are range-sorted by finish time, the words before each are summed up
+over the ranges, and the mix is truncated where the total budget of whole words is used up (`truncation`): that place
+alone decides what is taken.
 """
 
 from __future__ import annotations
@@ -55,22 +57,22 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int
     return placed.withColumn("target", F.least(share, limit.cast("double")))
 
 
-def _piece(e: int) -> Column:
-    """Words of pass e of a document that lie before its source's target."""
-    return F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("source_size") * e - F.col("_mx_start")))
-
-
-def _finish(e: int) -> Column:
-    return (F.col("source_size") * e + F.col("_mx_start") + _piece(e)) / F.col("weight")
+def _pieces(e: int) -> list[tuple[Column, Column]]:
+    """(words, finish) of pass e of a document: what lies before its source's target, and what lies behind."""
+    begin = F.col("source_size") * e + F.col("_mx_start")
+    before = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - begin))
+    never = F.lit(math.inf)  # of a source without weight
+    finish = lambda words: F.coalesce(F.try_divide((begin + words).cast("double"), F.col("weight").cast("double")), never)
+    return [(before, finish(before)), (F.col("size") - before, finish(F.col("size")))]
 
 
 def truncation(queued: DataFrame, budget: int, passes: int = MAX_PASSES) -> tuple[float, int, int] | None:
-    """(finish, place, words) of the pass in which the budget ends: passes before it in the order by finish time and
+    """(finish, place, words) of the piece in which the budget ends: pieces before it in the order by finish time and
     place of the source are taken, of itself so many words, later ones not. None if the budget holds all.
 
-    Passes are range-sorted; the driver sees the range in which the budget ends, and that range's one row.
+    Pieces are range-sorted; the driver sees the range in which the budget ends, and that range's one row.
     """
-    each = F.array(*[F.struct(_piece(e).alias("words"), _finish(e).alias("finish")) for e in range(passes)])
+    each = F.array(*[F.struct(words.alias("words"), finish.alias("finish")) for e in range(passes) for words, finish in _pieces(e)])
     rows = queued.select("place", F.explode(F.filter(each, lambda x: x["words"] > 0)).alias("p")).select("place", "p.words", "p.finish")
     order = ["finish", "place"]
     parts = common.store(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-order")
@@ -102,7 +104,7 @@ def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
     plan = targets(windows.groupBy("source").agg(F.sum("_mx_size").alias("source_size")), weights, passes, budget)
     before = Window.partitionBy("source").orderBy("_mx_window").rowsBetween(Window.unboundedPreceding, -1)
     starts = windows.withColumn("_mx_before", F.coalesce(F.sum("_mx_size").over(before), F.lit(0))).drop("_mx_size")
-    starts = starts.alias("w").join(plan.alias("p"), F.col("w.source").eqNullSafe(F.col("p.source"))).select(F.col("w.source").alias("_mx_source"), F.col("_mx_window").alias("_mx_window2"), "_mx_before", "source_size", "target", "weight", "place")
+    starts = starts.alias("w").join(plan.alias("p"), F.col("w.source").eqNullSafe(F.col("p.source"))).select(F.col("w.source").alias("_mx_source"), F.col("_mx_window").alias("_mx_window2"), "_mx_before", "source_size", "target", F.col("target").alias("weight"), "place")
     starts = common.store(starts, "mix-starts")
     queue = Window.partitionBy("source", "_mx_window").orderBy("_mx_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
 
@@ -111,17 +113,23 @@ def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
         joined = upto.join(starts, upto["source"].eqNullSafe(starts["_mx_source"]) & (upto["_mx_window"] == starts["_mx_window2"]))
         return joined.withColumn("_mx_start", F.col("_mx_before") + F.col("_mx_upto") - F.col("size"))
 
-    cut = truncation(queued(keyed.select("doc_id", "source", "size", "_mx_key", "_mx_window")), words if budget is None else budget, passes)
+    # Texts and other columns don't wait in the queue: without them it is kept for the end.
+    narrow = ["doc_id", "source", "size", "_mx_key", "_mx_window"]
+    line = common.store(queued(keyed.select(*narrow)), "mix-queue")
+    due = plan.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0))).first()[0]
+    cut = truncation(line, due, passes)
 
-    def within(e: int) -> Column:
+    def served(words: Column, finish: Column) -> Column:
         if cut is None:
-            return _piece(e)
-        finish, place, left = cut
-        earlier = (_finish(e) < finish) | ((_finish(e) == finish) & (F.col("place") < place))
-        return F.when(earlier, _piece(e)).when((_finish(e) == finish) & (F.col("place") == place), F.least(_piece(e), F.lit(left))).otherwise(F.lit(0))
-
-    taken = sum((within(e) for e in range(passes)), F.lit(0))
-    out = queued(keyed).withColumn("taken", taken.cast("long")).withColumn("finish", (F.col("_mx_start") + F.col("size")) / F.col("weight"))
+            return words
+        end, place, left = cut
+        earlier = (finish < end) | ((finish == end) & (F.col("place") < place))
+        return F.when(earlier, words).when((finish == end) & (F.col("place") == place), F.least(words, F.lit(left))).otherwise(F.lit(0))
+
+    taken = sum((served(*piece) for e in range(passes) for piece in _pieces(e)), F.lit(0))
+    whole = line if set(keyed.columns) == set(narrow) else queued(keyed)
+    finish = F.coalesce(F.try_divide((F.col("_mx_start") + F.col("size")).cast("double"), F.col("weight").cast("double")), F.lit(0.0))
+    out = whole.withColumn("taken", taken.cast("long")).withColumn("finish", finish)
     return out.drop("_mx_key", "_mx_window", "_mx_window2", "_mx_source", "_mx_before", "_mx_upto", "_mx_start", "weight", "place")
 
 

@@ -130,6 +130,10 @@ def _iban(v: Column, key: str) -> Column:
     return let(F.regexp_replace(v, " ", ""), moved)
 
 
+#: Areas of valid numbers, and serials of a group.
+SSN_AREAS, SERIALS = 898, 9999
+
+
 def _feistel(a: Column, b: Column, rows: int, columns: int, key: str, kind: str) -> Column:
     """(a, b), a below rows and b below columns, permuted as a struct of both."""
 
@@ -170,7 +174,17 @@ def _date(v: Column, key: str) -> Column:
 
 
 def _ssn(v: Column, key: str) -> Column:
-    return F.when(v.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), refilled(v, permuted(digits(v), key, "ssn"))).otherwise(v)
+    """Areas 001 to 899 but 666, groups from 01 and serials from 0001 are numbered, and the numbers permuted."""
+    plain = digits(v)
+    part = lambda at, n: F.substring(plain, at, n).cast("long")
+    area, rest = part(1, 3) - 1 - (part(1, 3) > 666).cast("long"), (part(4, 2) - 1) * SERIALS + part(6, 4) - 1
+
+    def shown(n: Column) -> Column:
+        number = n["a"] + 1 + (n["a"] >= 665).cast("long")
+        return F.concat(*[F.lpad(x.cast("string"), w, "0") for x, w in ((number, 3), (F.floor(n["b"] / SERIALS) + 1, 2), (n["b"] % SERIALS + 1, 4))])
+
+    new = let(_feistel(area, rest, SSN_AREAS, 99 * SERIALS, key, "ssn"), shown)
+    return F.when(v.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), refilled(v, new)).otherwise(v)
 
 
 def _phone(v: Column, key: str) -> Column:

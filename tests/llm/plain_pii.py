@@ -84,6 +84,17 @@ def date(v, key):
     return new if iso else v[2].join((new[8:], new[5:7], new[:4]))
 
 
+def valid_ssn(v):
+    return regex.match("(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", v)
+
+
+def ssn(v, key):
+    areas = [n for n in range(1, 900) if n != 666]
+    area, group, serial = map(int, v.split("-"))
+    a, b = pair(areas.index(area), (group - 1) * 9999 + serial - 1, len(areas), 99 * 9999, key, "ssn")
+    return f"{areas[a]:03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+
+
 def changed(kind, v, key):
     if kind == "email":
         name, _, host = v.partition("@")
@@ -105,7 +116,7 @@ def changed(kind, v, key):
     if kind == "date":
         return date(v, key)
     if kind == "ssn":
-        return refilled(v, permuted(digits(v), key, kind)) if regex.match("(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", v) else v
+        return ssn(v, key) if valid_ssn(v) else v
     if kind == "phone":
         if not 7 <= len(digits(v)) <= 15:
             return v

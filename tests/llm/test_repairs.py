@@ -3,10 +3,11 @@
 import hashlib
 
 import brute
+import plain_pii
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.llm import jaccard, warc
+from quirefold.llm import jaccard, mixing, pii, warc
 
 
 def test_urls_with_any_character(spark, tmp_path):
@@ -44,3 +45,27 @@ def test_jaccard_of_named_documents(spark, corpus):
     want = sorted(((ids[d], n, ids[c]) for d, n, c in brute.jaccard(some)), key=str)
     assert sorted((tuple(r) for r in jaccard.join(df).collect()), key=str) == want
     assert {r.doc_id for r in jaccard.keep_one(df).collect()} == {d for d, _, c in want if d == c}
+
+
+def test_pseudonyms_of_numbers_stay_valid(spark):
+    """Each valid number becomes another valid one, and no two the same; the edges of each part are among them."""
+    areas = [1, 2, 664, 665, 667, 668, 898, 899, *range(100, 600, 9)]
+    values = [f"{a:03d}-{g:02d}-{s:04d}" for a in areas for g in (1, 50, 99) for s in range(1, 9999, 476)] + ["666-01-0001", "900-01-0001", "123-00-1234", "123-45-0000"]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(4)
+    got = {r.v: r.new for r in df.select("v", pii.pseudonym(F.col("v"), "key").alias("new")).collect()}
+    valid = [v for v in values if plain_pii.valid_ssn(v)]
+    assert all(plain_pii.valid_ssn(got[v]) for v in valid) and len({got[v] for v in valid}) == len(valid) > 3000
+    assert all(got[v] == plain_pii.changed("ssn", v, "key") for v in values) and all(got[v] == v for v in values[-4:])
+
+
+def test_truncation_makes_the_mix(spark):
+    """The queue holds every pass whole; where the budget ends decides what is taken, also if it is a small one."""
+    table = [(i, "abc"[i % 3], 7 + i % 11) for i in range(90)]
+    df = spark.createDataFrame(table, "doc_id long, source string, size long")
+    size = {s: sum(n for _, x, n in table if x == s) for s in "abc"}
+    for budget in (None, 333, 50, 10_000):
+        rows = mixing.allocate(df, budget=budget).collect()
+        taken = {s: sum(r.taken for r in rows if r.source == s) for s in "abc"}
+        target = {r.source: r.target for r in rows}
+        assert all(taken[s] == int(target[s]) for s in "abc") and all(r.taken <= 3 * r["size"] for r in rows)
+        assert sum(taken.values()) <= min(budget or sum(size.values()), 3 * sum(size.values()))
