@@ -25,6 +25,14 @@ def parsed_key(key: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)) | article.isNotNull(), F.struct(F.when(good, page).alias("page"), article.alias("article")))
 
 
+#: Kinds of suggestions that are taken without a look; fixed values.
+ACCEPTED = ("punct", "charform", "garble")
+
+
+def default_verdict(category: Column) -> Column:
+    return F.when(category.isin(*ACCEPTED), "accepted").otherwise("pending")
+
+
 def is_chat_provider(provider: Column) -> Column:
     return provider.isin(*CHAT)
 

@@ -80,3 +80,28 @@ def document_payload(flags: dict[str, Column], options: dict[str, Column]) -> Co
     """The JSON of a document request: labels to leave out, and every option, null where it isn't given."""
     fields = [options.get(name, F.lit(None).cast("string")).alias(name) for name in PASSED_ON]
     return F.to_json(F.struct(ignore_labels(flags).alias("markdownIgnoreLabels"), *fields), {"ignoreNullFields": "false"})
+
+
+def parsed_error(payload: Column) -> Column:
+    """(kind, message, retryable, provider) of an error that a service hands on as JSON or as plain text.
+
+    A tagged object says its kind. Of `Ocr` the data are an object with a message, whether a new attempt may help, and the
+    provider; of other kinds the data are the message, and only `Network` may be tried again. A JSON string, and a text
+    that isn't JSON, is an internal error's message; any other value is one's text as it stands.
+    """
+    v = F.try_parse_json(payload)
+    at = lambda path: F.try_variant_get(v, path, "variant")
+    kind_of = lambda x: F.schema_of_variant(x)
+    text = lambda x: F.when(kind_of(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    kind, data = at("$.kind"), at("$.data")
+    flag = at("$.data.retryable")
+    truthy = F.coalesce(F.when(kind_of(flag) == "BOOLEAN", F.try_variant_get(flag, "$", "boolean")).when(kind_of(flag) == "STRING", F.try_variant_get(flag, "$", "string") != "").when(kind_of(flag).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(flag, "$", "double") != 0).otherwise(flag.isNotNull() & ~F.is_variant_null(flag)), F.lit(False))
+    inside = F.try_variant_get(data, "$", "map<string,variant>")
+    error = lambda kind, message, retryable, provider=F.lit(None).cast("string"): F.struct(kind.alias("kind"), message.alias("message"), retryable.alias("retryable"), provider.alias("provider"))
+    internal = lambda message: error(F.lit("Internal"), message, F.lit(False))
+    return (
+        F.when((text(kind) == "Ocr") & inside.isNotNull(), error(F.lit("Ocr"), text(at("$.data.message")), truthy, text(at("$.data.provider"))))
+        .when(text(kind).isNotNull() & text(data).isNotNull(), error(text(kind), text(data), text(kind) == "Network"))
+        .when(text(v).isNotNull(), internal(text(v)))
+        .otherwise(internal(payload))
+    )

@@ -203,3 +203,24 @@ def image_plan(targets: DataFrame, boxes: DataFrame, share: float, most: int) ->
     every = whole.unionByName(crops)
     i = F.row_number().over(Window.partitionBy("job").orderBy("seq", "page"))
     return every.withColumn("i", i.cast("long")).withColumn("too_many", F.count("*").over(Window.partitionBy("job")) > most).drop("seq")
+
+
+def edited_layout(pages: DataFrame, blocks: DataFrame, page: list[str]) -> DataFrame:
+    """(page, pos, label, text, x0, y0, x1, y1, ord) of the pages as they were edited.
+
+    pages (page, width, height, text, edited), blocks (page and the others). A page whose text was edited is one block over
+    the whole page, or none if it is blank: it never falls back to what was read there. A page without a size has no
+    layout, and so no block. Blocks of pages that aren't in the table go.
+    """
+    there = pages.filter("width is not null and height is not null").withColumn("_edited", F.coalesce("edited", F.lit(False)))
+    cols = ["pos", "label", "text", "x0", "y0", "x1", "y1", "ord"]
+    old = blocks.select(*page, *cols).join(there.filter(~F.col("_edited")).select(*page), page, "left_semi")
+    kinds = {c: blocks.schema[c].dataType for c in cols}
+    values = {"pos": F.lit(0), "label": F.lit("text"), "text": F.col("text"), "x0": F.lit(0), "y0": F.lit(0), "x1": F.col("width"), "y1": F.col("height"), "ord": F.lit(1)}
+    new = there.filter(F.col("_edited") & X.not_blank(F.col("text"))).select(*page, *[values[c].cast(kinds[c]).alias(c) for c in cols])
+    return old.unionByName(new)
+
+
+def cascade(tables: dict[str, tuple[DataFrame, str]], removed: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Tables, each with the column that names a file, without the rows of removed files (key); null names stay."""
+    return {name: rows.join(removed.select(F.col(key).alias(c)).distinct(), c, "left_anti").select(*rows.columns) for name, (rows, c) in tables.items()}

@@ -9,8 +9,8 @@ from quirefold.functions import text as X
 
 
 def required(texts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, glyph): the distinct characters of texts, whitespace apart."""
-    return texts.select(*by, F.explode(F.split(X.delete_ws(F.col("text")), "")).alias("glyph")).filter("glyph <> ''").distinct()
+    """(by, glyph): the distinct characters of texts, whitespace apart. A text gives each of its characters once."""
+    return texts.select(*by, F.explode(F.array_distinct(F.split(X.delete_ws(F.col("text")), ""))).alias("glyph")).filter("glyph <> ''").distinct()
 
 
 def coverage(needed: DataFrame, fonts: DataFrame, by: list[str]) -> DataFrame:

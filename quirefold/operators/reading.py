@@ -38,15 +38,25 @@ def repeated_keys(blocks: DataFrame, doc: list[str], page: str, at_least: int =
     return placed.groupBy(*doc, "key").agg(F.countDistinct(page).alias("pages")).filter(F.col("pages") >= at_least)
 
 
-def without_furniture(blocks: DataFrame, doc: list[str], page: str, options: L.ReadingOptions = L.ReadingOptions()) -> DataFrame:
-    """blocks without repeated running lines of the kinds that aren't included."""
+def _furniture_marked(blocks: DataFrame, doc: list[str], page: str, options: L.ReadingOptions) -> DataFrame:
+    """blocks with _skip: whether a block is a repeated running line of a kind that isn't included."""
     gone = [k for k, on in (("Header", options.include_header), ("Footer", options.include_footer)) if not on]
     repeated = repeated_keys(blocks, doc, page).select(*doc, "key").withColumn("_gone", F.lit(True))
     # Most blocks have no key; they are dealt evenly under keys that match nothing.
     own = F.coalesce("key", F.concat(F.lit("\0"), F.pmod(F.xxhash64("text"), F.lit(SPREAD)).cast("string")))
     marked = blocks.withColumn("_key", own).join(repeated.withColumnRenamed("key", "_key"), [*doc, "_key"], "left")
     skip = F.coalesce(F.col("_gone"), F.lit(False)) & F.coalesce(F.col("kind").isin(*gone), F.lit(False))
-    return marked.filter(~skip).drop("_gone", "_key")
+    return marked.withColumn("_skip", skip).drop("_gone", "_key")
+
+
+def without_furniture(blocks: DataFrame, doc: list[str], page: str, options: L.ReadingOptions = L.ReadingOptions()) -> DataFrame:
+    """blocks without repeated running lines of the kinds that aren't included."""
+    return _furniture_marked(blocks, doc, page, options).filter(~F.col("_skip")).drop("_skip")
+
+
+def furniture_counts(blocks: DataFrame, doc: list[str], page: str, options: L.ReadingOptions = L.ReadingOptions()) -> DataFrame:
+    """(doc, inferred): how many running lines a reading of each document leaves out because they are repeated."""
+    return _furniture_marked(blocks, doc, page, options).groupBy(*doc).agg(F.count_if("_skip").alias("inferred"))
 
 
 def rendered(role: Column, text: Column, image_ref: Column | None = None) -> Column:

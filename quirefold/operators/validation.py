@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import labels as N
 from quirefold.functions import text as X
+from quirefold.functions.net import url_verdict
 
 #: Limits of a proofreading request; fixed values.
 UNITS, UNIT_CHARS, PROMPT_CHARS, BUDGET, MODEL_CHARS, IMAGES, IMAGE_BYTES, ALL_IMAGE_BYTES = 200, 20_000, 8_000, 400_000, 200, 20, 4 << 20, 40 << 20
 #: Most pages of a whole-file request: of a PDF by document service, and of all others; fixed values.
 DOCUMENT_PAGES, PAGES = 1000, 500
+#: The provider whose endpoint the settings name; a fixed value.
+OWN_ENDPOINT = "openai_compatible"
 
 
 def first_fault(rules: list[tuple[str, Column]]) -> Column:
@@ -44,7 +47,7 @@ def image_fault(data: Column, size: Column, most: int = IMAGE_BYTES) -> Column:
 
 
 def proofread_faults(requests: DataFrame, units: DataFrame, images: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """(job, fault, budget) of requests (job, provider, model, prompt), units (job, key, text) and images (job, data).
+    """(job, fault, budget) of requests (job, provider, model, prompt and, if there is one, base_url), units (job, key, text) and images (job, data).
 
     Rules about units come before those about pictures, and those before the settings'. limits replaces some of
     units, unit_chars, prompt_chars, budget, model_chars, images, image_bytes and all_image_bytes.
@@ -59,10 +62,13 @@ def proofread_faults(requests: DataFrame, units: DataFrame, images: DataFrame, l
     rows = requests.join(of_units, "job", "left").join(of_images, "job", "left")
     budget = F.coalesce("chars", F.lit(0)) + F.coalesce("units", F.lit(0)) * F.length("prompt")
     model = F.coalesce(F.col("model"), F.lit(""))
+    url = F.coalesce(F.col("base_url"), F.lit("")) if "base_url" in requests.columns else F.lit(None).cast("string")
+    own = F.col("provider") == OWN_ENDPOINT  # only this provider has an endpoint to be set
     faults = [
         ("units", F.col("units").isNull()), ("too many units", F.col("units") > most["units"]), ("key", F.col("keyless")), ("repeated", F.col("repeated")), ("blank", F.col("blank")), ("long", F.col("long")),
         ("image", F.col("image").isNotNull()), ("too many images", F.col("images") > most["images"]), ("image bytes", F.col("bytes") > most["all_image_bytes"]),
         ("provider", ~N.is_chat_provider(F.col("provider"))), ("no model", model == ""), ("model", (F.length(model) > most["model_chars"]) | model.rlike(r"\p{Cc}")),
+        ("no endpoint", own & (url == "")), ("endpoint", own & (url_verdict(url) != "ok")),
         ("prompt", F.length("prompt") > most["prompt_chars"]), ("budget", budget > most["budget"]),
     ]
     return rows.select("job", first_fault(faults).alias("fault"), budget.alias("budget"))

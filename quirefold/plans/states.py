@@ -12,6 +12,7 @@ from quirefold.operators import reading as R
 from quirefold.plans.jobs import V_JOB, _chunks, CHUNKS
 from quirefold.plans.registry import query
 from quirefold.sources import fixtures as S
+from quirefold.sources import recognition as Q
 from quirefold.streaming import events as E
 
 V_LIFE = """v_life as (select user_id as job, event_id as id, epoch_us(ts) as us, case event_type when 'purchase' then 'done' when 'error' then 'error' when 'signup' then 'cancelled' when 'click' then case when event_id % 10 = 0 then 'cancel' else 'progress' end else 'progress' end as kind,
@@ -126,7 +127,5 @@ def opened_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
   union all select 'Brand#11', null, m.id, m.k from (values ('doc-vl-2', 1), ('doc-vl', 2)) m(id, k)""")
 def model_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models by provider in the order of their ids; one provider's list is fixed."""
-    rows = S.table(spark, sf_dir, "part").filter("p_brand <> 'Brand#11'")
-    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")).cast("long")
-    fixed = spark.createDataFrame([("Brand#11", None, "doc-vl-2", 1), ("Brand#11", None, "doc-vl", 2)], "provider string, i long, id string, place long")
-    return rows.select(F.col("p_brand").alias("provider"), F.col("p_partkey").alias("i"), F.col("p_name").alias("id"), place.alias("place")).unionByName(fixed)
+    rows = S.table(spark, sf_dir, "part").select(F.col("p_brand").alias("provider"), F.col("p_partkey").alias("i"), F.col("p_name").alias("id"))
+    return Q.model_list(rows, {"Brand#11": ["doc-vl-2", "doc-vl"]})

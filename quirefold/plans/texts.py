@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirefold.functions import labels
 from quirefold.functions import net as N
 from quirefold.functions import text as X
 from quirefold.operators import proofreading as P
@@ -113,7 +114,7 @@ def suggestion_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdict_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("punct", "charform", "garble", "layout", "semantic")])
     rows = S.table(spark, sf_dir, "events").select("user_id", F.get(names, (F.col("event_id") % 5).cast("int")).alias("category"))
-    return rows.groupBy("user_id", "category").agg(F.count("*").alias("suggestions")).withColumn("verdict", F.when(F.col("category").isin("punct", "charform", "garble"), "accepted").otherwise("pending"))
+    return rows.groupBy("user_id", "category").agg(F.count("*").alias("suggestions")).withColumn("verdict", labels.default_verdict(F.col("category")))
 
 
 @query("""select source, count(*) as units, sum(length(text))::bigint as chars, max(length(text))::bigint as longest, count(*) > 200 as too_many, max(length(text)) > 20000 as too_long, sum(length(text)) + count(*) * 1000 > 400000 as over_budget

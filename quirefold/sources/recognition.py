@@ -163,3 +163,12 @@ def image_text(lines: list[str]) -> str:
     """The text of a picture's result: the Markdown of all its lines, one after the other."""
     texts = [t for line in lines if line.strip() for r in (json.loads(line).get("result") or {}).get("layoutParsingResults", []) if (t := ((r.get("markdown") or {}).get("text") or "").strip())]
     return "\n".join(texts)
+
+
+def model_list(models: DataFrame, fixed: dict[str, list[str]]) -> DataFrame:
+    """(provider, i, id, place): each provider's models (provider, i, id) in the order of their ids; a provider of `fixed`
+    has those given there, in their order, whatever the table says."""
+    rows = models.filter(~F.col("provider").isin(*fixed)) if fixed else models
+    place = F.row_number().over(Window.partitionBy("provider").orderBy("id", "i")).cast("long")
+    given = [(p, None, name, k) for p, names in fixed.items() for k, name in enumerate(names, 1)]
+    return rows.select("provider", "i", "id", place.alias("place")).unionByName(models.sparkSession.createDataFrame(given, f"provider string, i {models.schema['i'].dataType.simpleString()}, id string, place long"))
