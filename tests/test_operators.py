@@ -302,3 +302,13 @@ def test_engine_settings_and_anchors(spark, tmp_path):
     texts = {(r.doc_id[-6:], r.page): r.markdown for r in docs.to_markdown(ReadingOptions(include_page_number=True)).collect()}
     assert texts[("a.json", 2)] == "〔Source page 2〕\n\n" and texts[("a.json", 1)].endswith("x\n\n") and len(texts) == 4
     assert {(r.doc_id[-6:], r.page): (r.images, r["items"]) for r in docs.warnings().collect()}[("a.json", 3)] == (True, 1)
+
+
+def test_block_of_a_suggestion(spark):
+    blocks = spark.createDataFrame([(1, 5, "c d"), (1, 2, " a\u3000b "), (1, 3, "  "), (1, 7, "a b"), (2, 1, "e")], "page long, pos long, text string")
+    asked = [(1, "b", "a", "x"), (1, "d", "c", "x"), (1, "d", "never", "x"), (1, "bc", None, "x"), (1, " ", "", "x"), (1, "d", "a", "x"), (2, "f", None, "x"), (3, "e", None, "x"), (1, "b", "a", "x")]
+    found = proofreading.block_of(spark.createDataFrame(asked, "page long, before string, context string, note string"), blocks, ["page"])
+    assert found.columns == ["page", "before", "context", "note", "block"]
+    got = {(r.page, r.before, r.context or ""): r.block for r in found.collect()}
+    assert got == {(1, "b", "a"): 2, (1, "d", "c"): 5, (1, "d", "never"): 5, (1, "bc", ""): None, (1, " ", ""): None, (1, "d", "a"): 5, (2, "f", ""): None, (3, "e", ""): None}
+    assert found.count() == len(asked)
