@@ -1,11 +1,15 @@
-"""Reading text on pages: greedy line wrap by estimated widths, and pagination."""
+"""Reading text on pages: greedy line wrap by estimated widths, and pagination.
+
+Widths are counted in hundredths of an em and heights in thousandths of a point, so that sums are exact.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from quirefold.functions import text as X
+from quirefold.sources.shared import store
 
 PAGE_W, PAGE_H, MARGIN_X, MARGIN_TOP, MARGIN_BOTTOM = 595.28, 841.89, 56.0, 60.0, 56.0
 #: Ranges of full-width characters; fixed values.
@@ -24,69 +28,145 @@ STYLES = {
     "Image": (9.5, 1.4, 4.0, 6.0, 0),
     "PageNumber": (9.0, 1.3, 14.0, 8.0, 0),
 }
+RUN = 1024  # line starts, and paragraphs, that are put together before runs of them are
+PAGES_A_SEGMENT = 64  # pages' heights of a document that one task looks through
+
+
+def em_width(c: Column) -> Column:
+    """Hundredths of an em that a character takes. Strings compare as code points do."""
+    ascii_ = F.when(c.isin(" ", "\t", "\n", "\f", "\r"), 30).otherwise(52)
+    full = F.lit(False)
+    for a, b in FULL_WIDTH:
+        full = full | c.between(chr(a), chr(b))
+    return F.when(F.octet_length(c) == 1, ascii_).when(full, 100).otherwise(82)
+
+
+def limit(width: float, size: float) -> int:
+    """Hundredths of an em of a size that fit into a width."""
+    return int(width * 100 / size + 1e-6)
+
 
+def _cut(line: Column, first: Column, full: Column) -> Column:
+    """A source line's pieces: the first of at most `first` hundredths of an em, the others of at most `full`.
 
-def em_width(c: str) -> float:
-    if c.isascii():
-        return 0.30 if c.isspace() else 0.52
-    return 1.0 if any(a <= ord(c) <= b for a, b in FULL_WIDTH) else 0.82
+    Where pieces start is found by one fold over the characters, which keeps starts in runs of bounded length.
+    """
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("used"), first.alias("limit"), F.array(F.lit(0)).alias("run"), F.array().cast("array<array<int>>").alias("runs"))
 
+    def step(s: Column, w: Column) -> Column:
+        over = (s["used"] > 0) & (s["used"] + w > s["limit"])
+        whole = over & (F.size(s["run"]) >= RUN)
+        return F.struct(
+            (s["at"] + 1).alias("at"),
+            F.when(over, w).otherwise(s["used"] + w).alias("used"),
+            F.when(over, full).otherwise(s["limit"]).alias("limit"),
+            F.when(whole, F.array(s["at"])).when(over, F.concat(s["run"], F.array(s["at"]))).otherwise(s["run"]).alias("run"),
+            F.when(whole, F.concat(s["runs"], F.array(s["run"]))).otherwise(s["runs"]).alias("runs"),
+        )
 
-def wrap(text: str, size: float, first_width: float, width: float) -> list[str]:
-    """Lines of at most `width`; `first_width` holds while no line is finished. Blank source lines go; nothing gives ['']."""
-    out: list[str] = []
-    for source in text.split("\n"):
-        line, used = "", 0.0
-        for c in source.strip():
-            w = em_width(c) * size
-            if line and used + w > (first_width if not out else width):
-                out.append(line)
-                line, used = "", 0.0
-            line += c
-            used += w
-        if line:
-            out.append(line)
-    return out or [""]
+    def pieces(chars: Column) -> Column:
+        starts = F.aggregate(F.transform(chars, em_width), zero, step, lambda s: F.concat(F.flatten(s["runs"]), F.array_append(s["run"], s["at"])))
+        piece = lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda a, k: F.array_join(F.slice(chars, a + 1, F.get(at, k + 1) - a), ""))
+        return X.let(starts, piece)
+
+    return X.let(F.split(line, ""), pieces)
+
+
+def wrap(text: Column, first: Column, full: Column) -> Column:
+    """Lines of at most `full` hundredths of an em; `first` holds for the very first. Blank source lines go; nothing, or null, gives ['']."""
+    said = F.filter(X.lines(F.coalesce(text, F.lit(""))), X.not_blank)
+    lines = lambda kept: F.flatten(F.transform(kept, lambda line, i: _cut(line, F.when(i == 0, first).otherwise(full), full)))
+    return X.let(said, lambda kept: F.when(F.size(kept) == 0, F.array(F.lit(""))).otherwise(lines(kept)))
 
 
 def wrapped(docs: DataFrame, size: float, first_width: float, width: float) -> DataFrame:
     """(doc_id, n_lines, longest, lines) of each text."""
+    lines = docs.select("doc_id", wrap(F.col("text"), F.lit(limit(first_width, size)), F.lit(limit(width, size))).alias("l"))
+    return lines.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.array_max(F.transform("l", F.length)).cast("long").alias("longest"), F.array_join("l", "\n").alias("lines"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lines = [wrap(t or "", size, first_width, width) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_lines": [len(x) for x in lines], "longest": [max(map(len, x)) for x in lines], "lines": ["\n".join(x) for x in lines]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_lines long, longest long, lines string")
+def milli(points: float) -> int:
+    return round(points * 1000)
 
 
-def placed(items: list[tuple[str, str]], font_scale: float = 1.0, margin_scale: float = 1.0) -> list[tuple[int, int, float, str]]:
-    """(page, item, y, line) of (role, text): a page ends where a line would cross its bottom margin; no gap at its top."""
-    bottom, top, x = MARGIN_BOTTOM * margin_scale, PAGE_H - MARGIN_TOP * margin_scale, MARGIN_X * margin_scale
-    content = max(72.0, PAGE_W - 2 * x)
-    page, y, out = 1, top, []
-    for i, (kind, text) in enumerate(items):
-        size, height, before, after, indent = STYLES.get(kind, STYLES["Body"])
+def measures(font_scale: float = 1.0, margin_scale: float = 1.0) -> dict[str, dict[str, int]]:
+    """For each role the limits of its lines in hundredths of an em, and its step and gaps in thousandths of a point."""
+    content = max(72.0, PAGE_W - 2 * MARGIN_X * margin_scale)
+    out = {}
+    for role, (size, height, before, after, indent) in STYLES.items():
         size *= font_scale
-        step, shift = size * height, indent * size
-        if y < top:
-            y -= before
-        for line in wrap(text, size, max(size, content - shift), content):
-            if y - step < bottom:
-                page, y = page + 1, top
-            y -= step
-            out.append((page, i, round(y, 3), line))
-        y -= after
+        out[role] = {"first": limit(max(size, content - indent * size), size), "full": limit(content, size), "step": milli(size * height), "before": milli(before), "after": milli(after)}
     return out
 
 
-def paginated(items: DataFrame) -> DataFrame:
-    """items (doc, seq, role, item) as placed lines (doc, page, seq, y, line); one task holds one document at a time."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        seq = pdf["seq"].tolist()
-        rows = placed(list(zip(pdf["role"], pdf["item"])))
-        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "page": [r[0] for r in rows], "seq": [seq[r[1]] for r in rows], "y": [r[2] for r in rows], "line": [r[3] for r in rows]})
-
-    return items.groupBy("doc").applyInPandas(run, "doc string, page long, seq long, y double, line string")
+def _depths(paragraphs: DataFrame) -> DataFrame:
+    """paragraphs with start: what stands above each in its document, by sums of runs and sums inside a run."""
+    total = F.col("before") + F.col("step") * F.size("lines") + F.col("after")
+    rows = paragraphs.withColumn("run", F.floor(F.col("seq") / RUN)).withColumn("total", total)
+    above = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy("doc", "run").agg(F.sum("total").alias("of_run"))
+    runs = runs.select(F.col("doc").alias("_doc"), F.col("run").alias("_run"), F.coalesce(F.sum("of_run").over(above("doc").orderBy("run")), F.lit(0)).alias("above"))
+    inside = rows.withColumn("inside", F.coalesce(F.sum("total").over(above("doc", "run").orderBy("seq")), F.lit(0)))
+    return inside.join(runs, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("run") == F.col("_run"))).withColumn("start", F.col("above") + F.col("inside")).drop("run", "total", "inside", "above", "_doc", "_run")
+
+
+def next_pages(lines: DataFrame, height: int, gap: int) -> DataFrame:
+    """(doc, depth, to): for each line the first line that no page beginning with it holds, where there is one.
+
+    lines (doc, depth, step): depth is where a line ends below its document's top; steps and gaps between two lines
+    come to at most `gap`. A page holds a line if no more than `height` lies between its first line's top and the
+    line's end. A document's lines are looked through in segments of bounded height, each with the lines that come
+    right behind it, so a long document is many tasks.
+    """
+    segment = PAGES_A_SEGMENT * max(height, gap)
+    end = F.greatest(F.col("depth"), F.col("depth") - F.col("step") + height)
+    asked = lines.select("doc", end.alias("at"), F.col("depth").alias("asks"), F.lit(None).cast("long").alias("line"), F.floor(end / segment).alias("part"))
+    own = F.floor(F.col("depth") / segment)
+    parts = F.when(F.pmod("depth", F.lit(segment)) < gap, F.array(own, own - 1)).otherwise(F.array(own))
+    there = lines.select("doc", F.col("depth").alias("at"), F.lit(None).cast("long").alias("asks"), F.col("depth").alias("line"), F.explode(parts).alias("part"))
+    upwards = Window.partitionBy("doc", "part").orderBy(F.desc("at"), F.col("line").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(there).withColumn("to", F.last("line", ignorenulls=True).over(upwards))
+    return found.filter("asks is not null and to is not null").select("doc", F.col("asks").alias("depth"), "to")
+
+
+def page_starts(lines: DataFrame, height: int, gap: int) -> DataFrame:
+    """(doc, depth) of the lines that begin pages: what is reached from each document's first line, by pointer doubling.
+
+    Every round doubles the pages that are known and the pages that a pointer leaps over; documents with all pages
+    known drop out, since pointers beyond the last page are gone.
+    """
+    leap = store(next_pages(lines, height, gap), "leaps")
+    known = store(lines.groupBy("doc").agg(F.min("depth").alias("depth")), "page-starts")
+    while not leap.isEmpty():
+        known = store(known.unionByName(known.join(leap, ["doc", "depth"]).select("doc", F.col("to").alias("depth"))), "page-starts")
+        onwards = leap.select("doc", F.col("depth").alias("to"), F.col("to").alias("beyond"))
+        leap = store(leap.join(onwards, ["doc", "to"]).select("doc", "depth", F.col("beyond").alias("to")), "leaps")
+    return known
+
+
+def paginated(items: DataFrame, font_scale: float = 1.0, margin_scale: float = 1.0) -> DataFrame:
+    """items (doc, seq, role, item) as placed lines (doc, page, seq, line_no, y, line).
+
+    A page ends where a line would cross its bottom margin; there is no gap at its top. y is where a line ends, in
+    points above the page's foot. Lines of an item count from 0; seq is a whole number that a document has once; other
+    roles than those of STYLES are set as body; a null document is a document of its own; null items are empty lines.
+    """
+    top, bottom = milli(PAGE_H - MARGIN_TOP * margin_scale), milli(MARGIN_BOTTOM * margin_scale)
+    height, style = top - bottom, measures(font_scale, margin_scale)
+    gap = sum(max(m[k] for m in style.values()) for k in ("step", "before", "after"))
+    cells = lambda m: F.struct(*[F.lit(v).cast("long").alias(k) for k, v in m.items()])
+    styled = F.coalesce(F.try_element_at(F.create_map(*[x for role, m in style.items() for x in (F.lit(role), cells(m))]), F.coalesce("role", F.lit(""))), cells(style["Body"]))
+    rows = items.select(F.col("doc").alias("_id"), F.struct("doc").alias("doc"), F.col("seq").cast("long").alias("seq"), styled.alias("m"), "item").select("_id", "doc", "seq", "m.*", "item")
+    paragraphs = store(rows.select("_id", "doc", "seq", "step", "before", "after", wrap(F.col("item"), F.col("first").cast("int"), F.col("full").cast("int")).alias("lines")), "paragraphs")
+    lines = _depths(paragraphs).select("_id", "doc", "seq", "step", (F.col("start") + F.col("before")).alias("_top"), F.posexplode("lines").alias("line_no", "line"))
+    lines = store(lines.withColumn("depth", F.col("_top") + F.col("step") * (F.col("line_no") + 1)).drop("_top"), "lines")
+
+    starts = page_starts(lines.select("doc", "depth", "step"), height, gap).join(lines.select("doc", "depth", "step"), ["doc", "depth"])
+    order = Window.partitionBy("doc").orderBy("depth")
+    starts = starts.select("doc", F.col("depth").alias("from"), F.col("step").alias("first"), F.row_number().over(order).cast("long").alias("page"), F.lead("depth").over(order).alias("until"))
+    band = F.floor(F.col("from") / height)
+    starts = starts.withColumn("band", F.explode(F.array(band, band + 1)))
+    here = lines.withColumn("band", F.floor(F.col("depth") / height)).join(starts, ["doc", "band"])
+    here = here.filter((F.col("depth") >= F.col("from")) & (F.col("until").isNull() | (F.col("depth") < F.col("until"))))
+    y = (F.lit(top) - (F.col("depth") - F.col("from") + F.col("first"))) / F.lit(1000.0)
+    return here.select(F.col("_id").alias("doc"), "page", "seq", F.col("line_no").cast("long").alias("line_no"), y.alias("y"), "line")

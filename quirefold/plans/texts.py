@@ -9,7 +9,6 @@ from quirefold.functions import labels
 from quirefold.functions import net as N
 from quirefold.functions import text as X
 from quirefold.operators import proofreading as P
-from quirefold.operators import typesetting as T
 from quirefold.plans.registry import query
 from quirefold.sources import fixtures as S
 
@@ -211,20 +210,6 @@ def glyph_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chars.filter("glyph <> ''").groupBy("lang", "glyph").agg(F.count("*").alias("uses"))
 
 
-@query()
-def line_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return T.wrapped(docs, size=10.5, first_width=462.0, width=483.0)
-
-
-@query()
-def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quirefold.operators import reading as R
-
-    items = R.reading_items(S.blocks(spark, sf_dir), ["doc_id"]).select(F.col("doc_id").cast("string").alias("doc"), "seq", "role", "item")
-    return T.paginated(items)
-
-
 @query("select user_id, event_type, min(event_id) as first_event from events group by user_id, event_type")
 def keep_first_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id", "event_type").orderBy("event_id")

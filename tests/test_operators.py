@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quirefold.engine import LayoutEngine
 from quirefold.functions.layout import ReadingOptions
-from quirefold.operators import articles, proofreading, reading, typesetting
+from quirefold.operators import articles, proofreading, reading
 from quirefold.sources import images, recognition
 
 
@@ -106,13 +106,6 @@ def test_outcomes(spark):
     assert got == {"a": (False, None, "x\ny"), "b": (False, "m0", None), "c": (True, None, None)}
 
 
-def test_wrap_and_pages():
-    assert typesetting.wrap("", 10, 100, 100) == [""]
-    assert typesetting.wrap("甲乙丙丁戊", 10, 20, 30) == ["甲乙", "丙丁戊"]
-    lines = typesetting.placed([("Heading", "x"), ("Body", "甲" * 5000)])
-    assert lines[0][0] == 1 and lines[-1][0] > 1 and len({p for p, *_ in lines}) == lines[-1][0]
-
-
 def test_retries():
     calls = []
 
