@@ -7,7 +7,7 @@ import plain_pii
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.llm import jaccard, mixing, pii, warc
+from quirefold.llm import jaccard, licenses, mixing, pii, warc
 
 
 def test_urls_with_any_character(spark, tmp_path):
@@ -69,3 +69,34 @@ def test_truncation_makes_the_mix(spark):
         target = {r.source: r.target for r in rows}
         assert all(taken[s] == int(target[s]) for s in "abc") and all(r.taken <= 3 * r["size"] for r in rows)
         assert sum(taken.values()) <= min(budget or sum(size.values()), 3 * sum(size.values()))
+
+
+AGPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+NOTICES = [
+    ("Distributed under the BSD 3-Clause License", "BSD-3-Clause"),
+    ("// SPDX-License-Identifier: MIT", "MIT"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+    ("SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0"),
+    ("SPDX-License-Identifier: CC-BY-SA-4.0", "CC-BY-SA-4.0"),
+    ("subject to the Mozilla Public License 2.0", "MPL-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "GPL-3.0"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "LGPL-3.0"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"),
+    (AGPL, "AGPL-3.0"),
+    (AGPL.replace("Affero ", ""), "GPL-3.0"),
+    ("the weather is licensed to nobody, and a general public reads a version of it", ""),
+]
+
+
+def test_licence_lines_and_headings(spark):
+    df = spark.createDataFrame([(i, f"before it\n{t}\nand behind") for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.by_document(df).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(NOTICES)}
+
+
+def test_whole_licence_texts_are_told_apart():
+    """Every template is found as its own licence, also the two-clause text beside the three-clause one."""
+    scanner = licenses.Scanner()
+    for name, texts in licenses.ALL_TEMPLATES.items():
+        for text in texts:
+            assert {n for _, _, n, _ in scanner.scan(f"lead {text} tail".encode())} == {name}, text
