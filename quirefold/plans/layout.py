@@ -9,6 +9,7 @@ from quirefold.functions import layout as L
 from quirefold.functions import text as X
 from quirefold.operators import articles as A
 from quirefold.operators import reading as R
+from quirefold.operators.running import numbered
 from quirefold.plans.registry import query
 from quirefold.sources import fixtures as S
 
@@ -48,8 +49,10 @@ def preflight_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {S.V_PAGES}, m as (select source, page, row_number() over (partition by source order by page) as i from v_pages where width is null)
   select source, count(*) as missing, string_agg(page::varchar, '、' order by page) filter (where i <= 5) || case when count(*) > 5 then '…' else '' end as preview from m group by source""")
 def missing_dimension_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    missing = S.pages(spark, sf_dir).filter("width is null").groupBy("source").agg(F.count("*").alias("missing"), F.sort_array(F.collect_list("page")).alias("p"))
-    return missing.select("source", "missing", F.concat(F.array_join(F.slice("p", 1, 5).cast("array<string>"), "、"), F.when(F.col("missing") > 5, "…").otherwise("")).alias("preview"))
+    missing = numbered(S.pages(spark, sf_dir).filter("width is null").select("source", "page"), ["source"], ["page"], "i")
+    shown = F.sort_array(F.collect_list(F.when(F.col("i") <= 5, F.col("page"))))
+    counted = missing.groupBy("source").agg(F.count("*").alias("missing"), shown.alias("p"))
+    return counted.select("source", "missing", F.concat(F.array_join(F.col("p").cast("array<string>"), "、"), F.when(F.col("missing") > 5, "…").otherwise("")).alias("preview"))
 
 
 @query(f"""with {S.V_BLOCKS}, p as (select source, doc_id, width, height, greatest(0, max(x1))::double as ext_w, greatest(0, max(y1))::double as ext_h from v_blocks group by source, doc_id, width, height),

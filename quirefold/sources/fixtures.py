@@ -5,9 +5,11 @@ All geometry is integer arithmetic on ids and positions, so both engines agree e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.operators.running import numbered
+
 LABELS = ("doc_title", "paragraph_title", "text", "vertical_text", "header", "footer", "number", "aside_text", "vision_footnote", "table", "image", "figure_title", "content")
 
 
@@ -38,8 +40,8 @@ V_BLOCKS = f"""v_blocks as (
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of their source, numbered from 1; three of four without a size."""
     docs = table(spark, sf_dir, "documents")
-    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")
-    return docs.select("doc_id", "source", page.alias("page"), "text", F.when(F.col("doc_id") % 4 == 0, 1000).cast("long").alias("width"), F.when(F.col("doc_id") % 4 == 0, 1500).cast("long").alias("height"))
+    pages = numbered(docs.select("doc_id", "source"), ["source"], ["doc_id"], "page")
+    return docs.drop("source").join(pages, "doc_id").select("doc_id", "source", "page", "text", F.when(F.col("doc_id") % 4 == 0, 1000).cast("long").alias("width"), F.when(F.col("doc_id") % 4 == 0, 1500).cast("long").alias("height"))
 
 
 V_PAGES = """v_pages as (

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.operators.running import running
 from quirefold.sources.shared import new_path
 
 FATAL_STREAK = 5
-ROWS_A_SPAN = 50_000
 
 
 def job_events(events: DataFrame) -> DataFrame:
@@ -36,22 +36,11 @@ def folded(events: DataFrame) -> DataFrame:
 
 
 def active_counts(events: DataFrame) -> DataFrame:
-    """(job, id, active): the number of active jobs after each change of a job's activity.
-
-    Changes are put into spans of time; sums of earlier spans are added to the running sum inside a span, so no task
-    holds all changes.
-    """
+    """(job, id, active): the number of active jobs after each change of a job's activity, summed by ranges of time."""
     own = Window.partitionBy("job").orderBy("us", "id")
     active = F.when(F.col("kind") == "progress", 1).otherwise(0)
     steps = events.select("job", "id", "us", active.alias("a")).withColumn("step", F.col("a") - F.coalesce(F.lag("a").over(own), F.lit(0))).filter("step <> 0")
-    n = max(1, -(-steps.count() // ROWS_A_SPAN))
-    cuts = sorted(set(steps.approxQuantile("us", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    span = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("us"))) if cuts else F.lit(0)
-    steps = steps.withColumn("span", span)
-    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    sums = steps.groupBy("span").agg(F.sum("step").alias("s")).select("span", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("span").orderBy("us", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("r", F.sum("step").over(inside)).join(F.broadcast(sums), "span").select("job", "id", (F.col("base") + F.col("r")).alias("active"))
+    return running(steps, [], ["us", "id"], F.col("step"), "active").select("job", "id", "active")
 
 
 def failure_streaks(events: DataFrame, fatal: int = FATAL_STREAK) -> DataFrame:
