@@ -11,6 +11,7 @@ from quirefold.plans.states import life_events
 from quirefold.sources import fixtures as S
 from quirefold.streaming import events as E
 from quirefold.streaming import live as V
+from quirefold.streaming.source import event_log
 
 
 def _halves(rows: DataFrame, us: Column) -> list[DataFrame]:
@@ -58,3 +59,9 @@ def streaming_reconnect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.in_phases(spark, phases, lambda pending, ends: V.reconnected(pending, jobs.filter("job % 5 = 0"), ends, "86400 seconds", "1 day"), "append", "reconnect")
     last = F.max_by("state", F.struct(F.coalesce("us", F.lit(-1)), F.coalesce("id", F.lit(-1))))
     return rows.filter("job >= 0").groupBy("job").agg(last.alias("state"))
+
+
+@query(ORACLES["job_state_fold"])
+def replayed_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of `job_state_fold` over the log of events, replayed from its beginning by a source with offsets."""
+    return E.final_states(event_log(spark, f"{sf_dir}/events.parquet", "event_id"))

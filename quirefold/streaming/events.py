@@ -85,19 +85,26 @@ def job_states(events: DataFrame) -> DataFrame:
 
 
 def stream_states(spark: SparkSession, path: str) -> DataFrame:
-    """The final states of a stream that reads all files under path and then ends.
+    """The final states of a stream that reads all files under path and then ends."""
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a path may be one file or a folder
+    return final_states(source)
+
 
-    Updates go to a table in the shared checkpoint folder, batch by batch; the last of each job counts.
+def final_states(source: DataFrame, at: str | None = None) -> DataFrame:
+    """(job, events, done, state) when all that a stream of the driver's events has now is folded.
+
+    Updates go to a table in the shared checkpoint folder, batch by batch; the last of each job counts. `at` names a
+    folder of an earlier call, whose stream goes on where it ended.
     """
-    at = new_path(spark, "job-states")
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a path may be one file or a folder
+    spark = source.sparkSession
+    at = at or new_path(spark, "job-states")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{at}/out")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/of={number}")  # a batch that is tried again replaces itself
 
     run = job_states(job_events(source)).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     run.awaitTermination()
-    rows = spark.read.parquet(f"{at}/out")
+    rows = spark.read.schema(f"{OUT}, batch int").parquet(f"{at}/out")
     return rows.groupBy("job").agg(F.max_by(F.struct("events", "done", "state"), "batch").alias("s")).select("job", "s.events", "s.done", "s.state")
 
 
