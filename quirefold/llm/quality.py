@@ -93,7 +93,7 @@ def votes(found: dict[str, float], n: int) -> str:
 
 
 def hashed(found: dict[str, float], shapes: Counter, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted slots and values of a text's features."""
+    """Sorted slots and values of a text's features: shapes of tokens, by their first six bytes, and traits by steps; labellers look at whole shapes."""
     values: dict[int, float] = {}
     for s, k in shapes.items():
         slot = zlib.crc32(s[:6]) % SLOTS

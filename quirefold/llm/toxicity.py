@@ -62,12 +62,9 @@ class Lexicon:
         return max((self.odds.get(b, 0.0) for b in beginnings(word)), default=0.0) if word[:3] in self.first else 0.0
 
 
-LONGEST = 40  # characters of a word that are looked at
-
-
 def bag(text: str | None) -> set[str]:
     """The distinct beginnings of a text's words."""
-    return {g for w in set(_LETTERS.findall((text or "").lower())) for g in beginnings(w[:LONGEST])}
+    return {g for w in set(_LETTERS.findall((text or "").lower())) for g in beginnings(w)}
 
 
 def strongest(counts: DataFrame, rows: tuple[int, int], pos: Column, neg: Column, most: int = LEARNED) -> Lexicon:
