@@ -78,7 +78,7 @@ def markdown_of(role: Column, text: Column) -> Column:
 def reading_items(blocks: DataFrame, page: list[str], options: L.ReadingOptions = L.ReadingOptions()) -> DataFrame:
     """Included blocks in reading order with role and rendered text."""
     ordered = in_reading_order(blocks.withColumn("role", L.role(F.col("label"))), page)
-    return ordered.filter(L.included(F.col("role"), options) & ~X.is_scanner_artefact(F.col("text"))).withColumn("item", rendered(F.col("role"), F.col("text"))).filter("item is not null")
+    return ordered.filter(L.included(F.col("role"), options) & ~X.is_scanner_artefact(F.col("text"))).withColumn("item", F.explode(F.array(rendered(F.col("role"), F.col("text"))))).filter("item is not null")  # a generated column, so that the filter doesn't repeat it
 
 
 def markdown(items: DataFrame, doc: list[str]) -> DataFrame:

@@ -85,10 +85,11 @@ FONTS = """v_need as (select distinct lang, c as glyph from (select lang, unnest
 
 
 def _fonts(needed: DataFrame) -> DataFrame:
-    glyphs = needed.select("glyph").distinct()
+    glyphs = G.glyphs_of(G.merged(needed, []), [])
     some = lambda font, rank, on: glyphs.filter(on).select(F.lit(font).alias("font"), F.lit(rank).alias("rank"), "glyph")
     wide = F.octet_length("glyph") > 1
-    return some("plain", 1, ~wide).unionByName(some("wide", 2, wide | F.col("glyph").isin("a", "e", "."))).unionByName(some("small", 3, F.col("glyph").between("a", "m")))
+    rows = some("plain", 1, ~wide).unionByName(some("wide", 2, wide | F.col("glyph").isin("a", "e", "."))).unionByName(some("small", 3, F.col("glyph").between("a", "m")))
+    return G.glyph_sets(rows, ["font", "rank"])
 
 
 @query(f"with {FONTS} select lang, font, supported, (select count(*) from v_need n where n.lang = b.lang) - supported as missing from v_best b")
@@ -100,6 +101,7 @@ def font_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {FONTS} select n.lang, n.glyph from v_need n join v_best b using (lang) where not exists (select 1 from v_fonts f where f.font = b.font and f.glyph = n.glyph)")
 def missing_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The glyphs of each language that the font chosen for it lacks."""
     needed = G.required(S.table(spark, sf_dir, "documents"), ["lang"])
     have = _fonts(needed)
     return G.missing(needed, G.coverage(needed, have, ["lang"]), have, ["lang"])
