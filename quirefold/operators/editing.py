@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as X
 from quirefold.operators.articles import DEFAULT_TITLE
+from quirefold.sources.shared import store
 
 BLOCK = ["file", "page", "block"]
 
@@ -60,6 +61,10 @@ def remove_blocks(blocks: DataFrame, articles: DataFrame, refs: DataFrame, gone:
     return without(blocks, gone, BLOCK), without_empty(articles, kept), kept
 
 
+def _of_kind(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.withColumn("_kind", F.lit(kind))
+
+
 def mark_selection(blocks: DataFrame, articles: DataFrame, refs: DataFrame, selected: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(articles, refs) after the selected blocks of each file went to one article, in the order of selection.
 
@@ -67,24 +72,40 @@ def mark_selection(blocks: DataFrame, articles: DataFrame, refs: DataFrame, sele
     Selected blocks that don't exist are passed over; a file without others stays as it is. Blocks leave the article
     that they were in; articles left empty go, the target apart. A new article is numbered behind the highest.
     """
-    real = selected.join(blocks.select(*BLOCK), BLOCK, "left_semi")
-    files = real.select("file").distinct()
-    asked = targets.join(files, "file", "left_semi")
-    kept = without(refs, real, BLOCK)
-    known = articles.select("file", "article", F.lit(True).alias("_known"))
-    to = asked.join(known, ["file", "article"], "left").select("file", F.when(F.col("_known"), F.col("article")).otherwise(F.col("fresh")).alias("to"), F.col("_known").isNull().alias("new"))
-    top = articles.groupBy("file").agg(F.max("num").alias("top"))
-    num = F.coalesce("top", F.lit(0)) + 1
-    made = to.filter("new").join(top, "file", "left").select("file", F.col("to").alias("article"), num.alias("num"), F.concat(F.lit("Article "), num.cast("string")).alias("title"))
-    end = kept.groupBy("file", F.col("article").alias("to")).agg(F.max("ord").alias("end"))
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("ord"))
-    added = real.withColumn("ord", rank.cast("long")).join(to.drop("new"), "file").join(end, ["file", "to"], "left")
-    added = added.select("file", F.col("to").alias("article"), "page", "block", (F.coalesce("end", F.lit(0)) + F.col("ord")).alias("ord"))
-    now = compacted_refs(kept.unionByName(added))
-    every = articles.unionByName(made)
+    kind = F.col("_kind")
+    own, file = Window.partitionBy(*BLOCK), Window.partitionBy("file")
+    # Which selected blocks exist and which places in articles they leave: one exchange by block.
+    marks = _of_kind(refs, "ref").unionByName(_of_kind(selected, "pick"), True).unionByName(_of_kind(blocks.select(*BLOCK), "block"), True)
+    marks = marks.withColumn("_moves", F.bool_or(kind == "block").over(own) & F.bool_or(kind == "pick").over(own))
+    placed = marks.filter((kind == "pick") & F.col("_moves") | (kind == "ref") & ~F.col("_moves")).drop("_moves")
+    # Where they go and what becomes of the articles: one exchange by file.
+    rows = placed.unionByName(_of_kind(articles, "article"), True).unionByName(_of_kind(targets, "target"), True)
+    want = F.max(F.when(kind == "target", F.struct("article", "fresh"))).over(file)
+    top = F.coalesce(F.max(F.when(kind == "article", F.col("num"))).over(file), F.lit(0)) + 1
+    rows = rows.withColumns({"_chosen": F.bool_or(kind == "pick").over(file), "_want": want, "_top": top})
+    known = F.bool_or((kind == "article") & (F.col("article") == F.col("_want.article"))).over(file)
+    rows = rows.withColumn("_known", F.coalesce(known, F.lit(False)))
+    rows = rows.withColumn("_to", F.when(F.col("_chosen"), F.when(F.col("_known"), F.col("_want.article")).otherwise(F.col("_want.fresh"))))
+    end = F.max(F.when((kind == "ref") & (F.col("article") == F.col("_to")), F.col("ord"))).over(file)
+    rank = F.row_number().over(Window.partitionBy("file", "_kind").orderBy("ord", "page", "block"))
+    rows = rows.withColumn("_behind", F.coalesce(end, F.lit(0)) + rank)
+    made = (kind == "target") & F.col("_chosen") & ~F.col("_known")
+    rows = rows.filter(kind.isin("ref", "article") | (kind == "pick") & F.col("_to").isNotNull() | made)
+    is_new = kind.isin("pick", "target")
+    rows = rows.withColumns(
+        {
+            "article": F.when(is_new, F.col("_to")).otherwise(F.col("article")),
+            "ord": F.when(kind == "pick", F.col("_behind")).otherwise(F.col("ord")),
+            "num": F.when(kind == "target", F.col("_top")).otherwise(F.col("num")),
+            "title": F.when(kind == "target", F.concat(F.lit("Article "), F.col("_top").cast("string"))).otherwise(F.col("title")),
+        }
+    )
     # In files without a selection nothing changes, so their empty articles stay as well.
-    alive = now.select("file", "article").unionByName(to.select("file", F.col("to").alias("article"))).unionByName(without(articles, files, ["file"]).select("file", "article")).distinct()
-    return numbered(every.join(alive, ["file", "article"], "left_semi")), now
+    filled = F.bool_or(kind.isin("ref", "pick")).over(Window.partitionBy("file", "article"))
+    rows = rows.withColumn("_alive", filled | ~F.col("_chosen") | F.coalesce(F.col("article") == F.col("_to"), F.lit(False)))
+    rows = store(rows.select("file", "article", "num", "title", "page", "block", "ord", "_kind", "_alive"), "marked")  # both results are read from it
+    now = compacted_refs(rows.filter(kind.isin("ref", "pick")).select("file", "article", "page", "block", F.col("ord").cast("long").alias("ord")))
+    return numbered(rows.filter(kind.isin("article", "target") & F.col("_alive")).select("file", "article", "num", "title")), now
 
 
 def remove_articles(blocks: DataFrame, articles: DataFrame, refs: DataFrame, texts: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from quirefold.functions import layout as L
 from quirefold.operators import editing as D
 from quirefold.plans.registry import query
 from quirefold.sources import fixtures as S
+from quirefold.sources.shared import store
 
 # A file is a customer, an article one of its orders, a block one of the order's lines.
 V_EDIT = """e_blocks as (select o_custkey as file, l_suppkey % 5 + 1 as page, l_orderkey * 10 + l_linenumber as block, l_orderkey as article_of, l_linenumber as line, l_linestatus as text, l_returnflag as flag from (select l_orderkey, l_linenumber, min(l_suppkey) as l_suppkey, min(l_linestatus) as l_linestatus, min(l_returnflag) as l_returnflag from lineitem group by l_orderkey, l_linenumber) join orders on l_orderkey = o_orderkey),
@@ -77,7 +78,7 @@ def block_back_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
   select n.file, n.article, n.n as num, case when regexp_matches(title, '^Article [0-9]+$') then 'Article ' || n.n else title end as title, page, block, ord from named n left join refs r on r.article = n.article and r.file = n.file""")
 def mark_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected blocks become an article: appended to the first in every third file, else a new one (some name an unknown one)."""
-    blocks = _blocks(spark, sf_dir)
+    blocks = store(_blocks(spark, sf_dir), "blocks")
     articles = _articles(spark, sf_dir)
     i = F.col("file") % 3
     targets = articles.groupBy("file").agg(F.min("article").alias("first")).select("file", F.when(i == 0, F.col("first")).when(i == 1, F.lit(-1)).cast("long").alias("article"), (-F.col("file")).alias("fresh"))
