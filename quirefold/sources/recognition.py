@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.functions import text as X
-
 #: Seconds before the attempts; fixed values.
 DELAYS = (0.0, 2.0, 5.0)
 SCHEMA = "job string, item long, status string, text string, error_kind string, error string, retryable boolean, attempts int"
@@ -59,13 +56,6 @@ def recognise(items: DataFrame, client: Client, concurrency: int, delays: tuple[
     return items.repartition(concurrency, "job", "item").mapInPandas(run, SCHEMA)
 
 
-def jsonl_page_text(row: Column) -> Column:
-    """The Markdown of a result line's items, trimmed, joined by single line ends."""
-    texts = F.from_json(F.get_json_object(row, "$.result.layoutParsingResults"), "array<struct<markdown struct<text string>>>")
-    full = F.filter(F.transform(texts, lambda t: X.trim_ws(t["markdown"]["text"])), lambda t: F.coalesce(t != "", F.lit(False)))
-    return F.array_join(full, "\n")
-
-
 def map_rows_to_pages(rows: list[str], pages: list[int]) -> list[tuple[int, str]]:
     """Result lines as (requested page, line): the n-th line belongs to the n-th page; numbers that differ are an error."""
     full = [r for r in rows if r.strip()]
@@ -74,17 +64,6 @@ def map_rows_to_pages(rows: list[str], pages: list[int]) -> list[tuple[int, str]
     return list(zip(pages, full))
 
 
-def chat_text(reply: str) -> str:
-    """The text of a chat completion; a reply cut by its length limit is an error."""
-    choice = (json.loads(reply).get("choices") or [{}])[0]
-    if choice.get("finish_reason") in ("length", "max_tokens"):
-        raise RecognitionError("truncated", "the reply was cut by its length limit")
-    text = (choice.get("message") or {}).get("content") or ""
-    if not text.strip():
-        raise RecognitionError("empty", "the reply has no text")
-    return text
-
-
 class DocumentService(Protocol):
     """A service that works through documents on its own: an injected transport."""
 
@@ -159,12 +138,6 @@ def rows_by_page(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return paired.select("doc", "page", "line", "mismatch").unionByName(counts.filter("mismatch").select("doc", F.lit(None).cast("long").alias("page"), F.lit(None).cast("string").alias("line"), "mismatch"))
 
 
-def image_text(lines: list[str]) -> str:
-    """The text of a picture's result: the Markdown of all its lines, one after the other."""
-    texts = [t for line in lines if line.strip() for r in (json.loads(line).get("result") or {}).get("layoutParsingResults", []) if (t := ((r.get("markdown") or {}).get("text") or "").strip())]
-    return "\n".join(texts)
-
-
 def model_list(models: DataFrame, fixed: dict[str, list[str]]) -> DataFrame:
     """(provider, i, id, place): each provider's models (provider, i, id) in the order of their ids; a provider of `fixed`
     has those given there, in their order, whatever the table says."""

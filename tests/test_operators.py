@@ -194,7 +194,6 @@ def test_document_service():
     with pytest.raises(recognition.RecognitionError) as e:
         recognition.document_rows(Service(100), item, 300, clock=lambda: next(now), sleep=still)
     assert e.value.kind == "timeout"
-    assert recognition.image_text(['{"result": {"layoutParsingResults": [{"markdown": {"text": " a "}}, {"markdown": null}]}}', "", '{"result": {"layoutParsingResults": [{"markdown": {"text": "b"}}]}}']) == "a\nb"
 
 
 def test_documents_recognised(spark):
