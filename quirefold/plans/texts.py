@@ -174,11 +174,13 @@ def suggestion_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z][A-Za-z]+", 0)
     before, after, down = _probe(F.col("w"))
     verdict = F.get(F.array(*[F.lit(v) for v in ("accepted", "edited", "rejected", "pending", "accepted")]), (F.col("doc_id") % 5).cast("int"))
-    docs = S.table(spark, sf_dir, "documents").withColumn("w", w).select("doc_id", "text", before.alias("before"), after.alias("after"), down.alias("down"), verdict.alias("verdict"))
+    docs = S.table(spark, sf_dir, "documents").withColumn("w", w).select("doc_id", "text", "w", before.alias("before"), after.alias("after"), down.alias("down"), verdict.alias("verdict"))
     one = lambda after: F.struct("before", after.alias("after"), F.lit("@@").alias("context"), "verdict", F.repeat(F.lit("§"), F.length("before") + 1).alias("edited_after"))
-    twice = F.when(F.col("doc_id") % 2 == 0, F.array(one(F.col("after")), one(F.lit("again")))).otherwise(F.array(one(F.col("after"))))
+    # A word of its own, which no text has: a suggestion that changes nothing would be passed over and be no conflict.
+    twice = F.when(F.col("doc_id") % 2 == 0, F.array(one(F.col("after")), one(F.lit("¤again")))).otherwise(F.array(one(F.col("after"))))
+    wanted = F.when(F.col("w") == "", F.slice(twice, 1, 0)).otherwise(twice)  # without a word there is nothing to suggest
     raw = F.concat(F.lit("@@"), F.col("down"), F.lit("\n"), F.coalesce("text", F.lit("")))
-    return P.apply_suggestions(docs.select(F.col("doc_id").cast("string").alias("key"), raw.alias("text"), twice.alias("suggestions")))
+    return P.apply_suggestions(docs.select(F.col("doc_id").cast("string").alias("key"), raw.alias("text"), wanted.alias("suggestions")))
 
 
 @query("""with s as (select url, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) as scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1)) as host, page_id from
