@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 #: Sentences that scanning tools leave on pages; fixed values.
 ARTEFACTS = ("Document generated by Anna's Archive around", "Images have been losslessly embedded.")
+#: What (?U)\\s takes, for Python's strip, whose own whitespace holds some control characters more.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SHORT_LINE = 4
 SHOWN_REFERENCE = 80
 

@@ -5,6 +5,10 @@ Widths are counted in hundredths of an em and heights in thousandths of a point,
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,55 +32,76 @@ STYLES = {
     "Image": (9.5, 1.4, 4.0, 6.0, 0),
     "PageNumber": (9.0, 1.3, 14.0, 8.0, 0),
 }
-RUN = 1024  # line starts, and paragraphs, that are put together before runs of them are
+RUN = 1024  # paragraphs that are put together before runs of them are
+CHARS = 1 << 20  # characters that are wrapped at once
 PAGES_A_SEGMENT = 64  # pages' heights of a document that one task looks through
 
 
-def em_width(c: Column) -> Column:
-    """Hundredths of an em that a character takes. Strings compare as code points do."""
-    ascii_ = F.when(c.isin(" ", "\t", "\n", "\f", "\r"), 30).otherwise(52)
-    full = F.lit(False)
-    for a, b in FULL_WIDTH:
-        full = full | c.between(chr(a), chr(b))
-    return F.when(F.octet_length(c) == 1, ascii_).when(full, 100).otherwise(82)
-
-
 def limit(width: float, size: float) -> int:
     """Hundredths of an em of a size that fit into a width."""
     return int(width * 100 / size + 1e-6)
 
 
-def _cut(line: Column, first: Column, full: Column) -> Column:
-    """A source line's pieces: the first of at most `first` hundredths of an em, the others of at most `full`.
-
-    Where pieces start is found by one fold over the characters, which keeps starts in runs of bounded length.
-    """
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("used"), first.alias("limit"), F.array(F.lit(0)).alias("run"), F.array().cast("array<array<int>>").alias("runs"))
-
-    def step(s: Column, w: Column) -> Column:
-        over = (s["used"] > 0) & (s["used"] + w > s["limit"])
-        whole = over & (F.size(s["run"]) >= RUN)
-        return F.struct(
-            (s["at"] + 1).alias("at"),
-            F.when(over, w).otherwise(s["used"] + w).alias("used"),
-            F.when(over, full).otherwise(s["limit"]).alias("limit"),
-            F.when(whole, F.array(s["at"])).when(over, F.concat(s["run"], F.array(s["at"]))).otherwise(s["run"]).alias("run"),
-            F.when(whole, F.concat(s["runs"], F.array(s["run"]))).otherwise(s["runs"]).alias("runs"),
-        )
+@cache
+def _widths() -> np.ndarray:
+    """Hundredths of an em that characters take, by code point."""
+    out = np.full(0x110000, 82, np.int16)
+    out[:128] = 52
+    out[[ord(c) for c in " \t\n\f\r"]] = 30
+    for a, b in FULL_WIDTH:
+        out[a : b + 1] = 100
+    return out
 
-    def pieces(chars: Column) -> Column:
-        starts = F.aggregate(F.transform(chars, em_width), zero, step, lambda s: F.concat(F.flatten(s["runs"]), F.array_append(s["run"], s["at"])))
-        piece = lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda a, k: F.array_join(F.slice(chars, a + 1, F.get(at, k + 1) - a), ""))
-        return X.let(starts, piece)
 
-    return X.let(F.split(line, ""), pieces)
+def _starts(said: str, begin: np.ndarray, end: np.ndarray, first: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Where pieces start in source lines that stand one behind the other, for all lines at once: by sums of widths, each
+    piece's end is the last place that its limit reaches."""
+    upto = np.concatenate([[0], np.cumsum(_widths()[np.frombuffer(said.encode("utf-32-le"), "<u4")], dtype=np.int64)])
+    at, room, found = begin, first, []
+    while len(at):
+        found.append(at)
+        reached = np.maximum(np.searchsorted(upto, upto[at] + room, "right") - 1, at + 1)
+        more = reached < end
+        at, end, full = reached[more], end[more], full[more]
+        room = full
+    return np.sort(np.concatenate(found)) if found else begin
+
+
+def _pieces(texts: list[str | None], firsts: np.ndarray, fulls: np.ndarray) -> list[list[str]]:
+    """The lines of each text, by its limits."""
+    kept = [[line for line in (t or "").split("\n") if line.strip(X.BLANKS)] for t in texts]
+    of = np.array([len(lines) for lines in kept], np.int64)
+    sizes = np.array([len(line) for lines in kept for line in lines], np.int64)
+    said = "".join(line for lines in kept for line in lines)
+    end = np.cumsum(sizes, dtype=np.int64)
+    limits = np.repeat(fulls, of)
+    begins = np.cumsum(of) - of
+    first = limits.copy()
+    first[begins[of > 0]] = firsts[of > 0]
+    starts = _starts(said, end - sizes, end, first, limits)
+    pieces = [said[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(said)])]
+    # Where each text's pieces begin among all of them.
+    chars = np.concatenate([[0], end])
+    cut = np.searchsorted(starts, chars[np.append(begins, len(sizes))], "left").tolist()
+    return [pieces[a:b] or [""] for a, b in zip(cut, cut[1:])]
+
+
+def _wrapped(texts: pa.Array, firsts: pa.Array, fulls: pa.Array) -> pa.Array:
+    """The lines of each text of a batch; texts are put together up to a bounded number of characters."""
+    said, first, full = texts.to_pylist(), np.asarray(firsts, np.int64), np.asarray(fulls, np.int64)
+    out: list[list[str]] = []
+    size = at = 0
+    for i, t in enumerate(said):
+        size += len(t or "")
+        if size >= CHARS or i + 1 == len(said):
+            out += _pieces(said[at : i + 1], first[at : i + 1], full[at : i + 1])
+            size, at = 0, i + 1
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def wrap(text: Column, first: Column, full: Column) -> Column:
     """Lines of at most `full` hundredths of an em; `first` holds for the very first. Blank source lines go; nothing, or null, gives ['']."""
-    said = F.filter(X.lines(F.coalesce(text, F.lit(""))), X.not_blank)
-    lines = lambda kept: F.flatten(F.transform(kept, lambda line, i: _cut(line, F.when(i == 0, first).otherwise(full), full)))
-    return X.let(said, lambda kept: F.when(F.size(kept) == 0, F.array(F.lit(""))).otherwise(lines(kept)))
+    return F.arrow_udf(_wrapped, "array<string>")(text, first, full)
 
 
 def wrapped(docs: DataFrame, size: float, first_width: float, width: float) -> DataFrame:
