@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirefold.functions.text import let
+
 #: Labels of each role, exact ones; fixed values.
 ROLES = {
     "DocTitle": ("doc_title",),
@@ -73,15 +75,21 @@ def canvas_mapping(layout_w: Column, layout_h: Column, canvas_w: Column, canvas_
 
 def bounds(polygon: Column) -> Column:
     """The rectangle around a list of (x, y) points; null for fewer than two."""
-    xs, ys = F.transform(polygon, lambda p: p["x"]), F.transform(polygon, lambda p: p["y"])
-    rect = F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("width"), (F.array_max(ys) - F.array_min(ys)).alias("height"))
-    return F.when(F.size(polygon) >= 2, rect)
+
+    def around(xs: Column, ys: Column) -> Column:
+        return F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("width"), (F.array_max(ys) - F.array_min(ys)).alias("height"))
+
+    sides = lambda p: F.struct(F.transform(p, lambda q: q["x"]).alias("xs"), F.transform(p, lambda q: q["y"]).alias("ys"))
+    return let(polygon, lambda p: F.when(F.size(p) >= 2, let(sides(p), lambda s: around(s["xs"], s["ys"]))))
 
 
 def points(flat: Column) -> Column:
     """A flat list x, y, x, y... of even length as points; null for others."""
-    pairs = F.transform(F.sequence(F.lit(0), (F.size(flat) / 2 - 1).cast("int")), lambda i: F.struct(F.get(flat, i * 2).alias("x"), F.get(flat, i * 2 + 1).alias("y")))
-    return F.when((F.size(flat) % 2 == 0) & (F.size(flat) > 0), pairs)
+
+    def pairs(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), (F.size(a) / 2 - 1).cast("int")), lambda i: F.struct(F.get(a, i * 2).alias("x"), F.get(a, i * 2 + 1).alias("y")))
+
+    return let(flat, lambda a: F.when((F.size(a) % 2 == 0) & (F.size(a) > 0), pairs(a)))
 
 
 def clamp_crop(x: Column, y: Column, w: Column, h: Column, image_w: Column, image_h: Column) -> dict[str, Column]:
