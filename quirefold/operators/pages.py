@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def compacted(pages: DataFrame, doc: str, page: str) -> DataFrame:
-    """(doc, ranges): distinct pages as a list of stretches, such as 1-3,7."""
-    island = F.col(page) - F.row_number().over(Window.partitionBy(doc).orderBy(page))
-    runs = pages.select(doc, page).distinct().withColumn("_i", island).groupBy(doc, "_i").agg(F.min(page).alias("a"), F.max(page).alias("b"))
+    """(doc, ranges): distinct pages as a list of stretches, such as 1-3,7. Pages that are there twice have one rank."""
+    island = F.col(page) - F.dense_rank().over(Window.partitionBy(doc).orderBy(page))
+    runs = pages.select(doc, page).withColumn("_i", island).groupBy(doc, "_i").agg(F.min(page).alias("a"), F.max(page).alias("b"))
     shown = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")))
     parts = F.sort_array(F.collect_list(F.struct("a", shown.alias("s"))))
     return runs.groupBy(doc).agg(F.array_join(F.transform(parts, lambda p: p["s"]), ",").alias("ranges"))

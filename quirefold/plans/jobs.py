@@ -96,7 +96,7 @@ def page_range_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {S.V_PAGE_LISTS}, i as (select doc, page, page - row_number() over (partition by doc order by page) as g from v_page_lists),
   r as (select doc, min(page) as a, max(page) as b from i group by doc, g) select doc, string_agg(case when a = b then a::varchar else a || '-' || b end, ',' order by a) as ranges from r group by doc""")
 def page_range_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.compacted(S.page_lists(spark, sf_dir), "doc", "page")
+    return P.compacted(S.page_requests(spark, sf_dir), "doc", "page")
 
 
 @query(f"""with {S.V_PAGE_LISTS}, l as (select doc, case when doc % 4 = 0 then i.p else page end as page from v_page_lists, lateral (select unnest(range(1, 4)) as p) i), d as (select distinct doc, page from l),

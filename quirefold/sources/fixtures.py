@@ -61,10 +61,14 @@ V_RECTS = """v_rects as (
          (l_partkey * 7 + l_suppkey) % 400 - 100 as w, (l_suppkey * 11 + l_linenumber) % 300 - 80 as h from lineitem)"""
 
 
+def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested pages of a document (order), some of them twice."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 50 + 1).alias("page"))
+
+
 def page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct requested pages of a document (order)."""
-    rows = table(spark, sf_dir, "lineitem")
-    return rows.select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 50 + 1).alias("page")).distinct()
+    return page_requests(spark, sf_dir).distinct()
 
 
 V_PAGE_LISTS = "v_page_lists as (select distinct l_orderkey as doc, l_partkey % 50 + 1 as page from lineitem)"

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quirefold.functions import layout as L
+from quirefold.operators import pages as P
 from quirefold.operators import typesetting as T
 
 
@@ -29,3 +30,14 @@ def test_corners_are_put_together_once(spark):
     df = rows.select(L.bounds(L.points(corners)).alias("r"))
     assert plan(df).count("array(x#") == 1
     assert tuple(df.first().r) == (1, -2, 4, 7)
+
+
+def test_pages_that_repeat_are_compacted_in_one_exchange(spark):
+    rows = spark.createDataFrame([(1, p) for p in (3, 1, 2, 3, 7, 7, 9)] + [(2, 5), (2, 5), (None, 1), (3, None)], "doc long, page long")
+    df = P.compacted(rows, "doc", "page")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r.doc: r.ranges for r in df.collect()} == {1: "1-3,7,9", 2: "5", None: "1", 3: ""}
