@@ -8,6 +8,8 @@ its value is null or of the wrong type; numbers in quotes are no numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,31 +72,37 @@ def envelope_pages(v: Column) -> Column:
     A list is the pages; else the list under pages or results; else the layout results, if one of them looks like a
     page, and otherwise the whole value as a page; then the same under result; then the value itself if it looks like one.
     """
+
+    def paged(other: Column) -> Callable[[Column], Column]:
+        return lambda found: F.when(found.isNotNull(), F.when(F.exists(found, looks_like_page), found).otherwise(F.array(v))).otherwise(other)
+
     out = F.when(looks_like_page(v), F.array(v))
     for base in ("$.result", "$"):
         for key in reversed(LIST_KEYS):
-            found = _list(_at(v, f"{base}.{key}"))
-            out = F.when(found.isNotNull(), F.when(F.exists(found, looks_like_page), found).otherwise(F.array(v))).otherwise(out)
+            out = X.let(_list(_at(v, f"{base}.{key}")), paged(out))
         for key in ("results", "pages"):
             out = F.coalesce(_list(_at(v, f"{base}.{key}")), out)
     return F.coalesce(_list(v), out)
 
 
-def _cut(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, block, row, value, v) of every line that isn't blank: its file, its split and its place there, parsed."""
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
-    return text.withColumn("v", F.when(X.not_blank(F.col("value")), F.try_parse_json("value")))
+def _cut(spark: SparkSession, text: DataFrame) -> DataFrame:
+    """(doc_id, block, row, value, v, parsed) of every line: its file, its split and its place there; a blank one has nothing else.
+
+    Written once, so that each file is opened and each line parsed a single time.
+    """
+    lines = text.select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.when(X.not_blank(F.col("value")), F.col("value")).alias("value"))
+    return store(lines.select("*", F.explode(F.array(F.try_parse_json("value"))).alias("v")).select("*", F.when(F.col("value").isNotNull(), F.col("v").isNotNull()).alias("parsed")), "layout-lines")
 
 
 def _splits(cut: DataFrame, unwrap: bool) -> DataFrame:
-    """(doc_id, block, kind, base) of each split: whether its file is lines or one value, and the pages before the split.
+    """(doc_id, block, kind, base) of each split: whether its file is lines, one line or one value, and the pages before the split.
 
     A value that ends in the first line of several can't be the whole file's, so that file is lines.
     """
     pages = F.coalesce(F.size(envelope_pages(F.col("v"))), F.lit(0)) if unwrap else F.lit(1)
-    filled = X.not_blank(F.col("value"))
+    filled = F.col("parsed").isNotNull()
     sums = cut.groupBy("doc_id", "block").agg(
-        F.count_if(filled).alias("n"), F.count_if(filled & F.col("v").isNull()).alias("bad"), F.min_by(F.col("v").isNotNull(), F.when(filled, F.col("row"))).alias("begins"), F.sum(F.when(filled, pages)).alias("pages")
+        F.count_if(filled).alias("n"), F.count_if(~F.col("parsed")).alias("bad"), F.min_by("parsed", F.when(filled, F.col("row"))).alias("begins"), F.sum(F.when(filled, pages)).alias("pages")
     )
     file = Window.partitionBy("doc_id")
     order = file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,14 +110,14 @@ def _splits(cut: DataFrame, unwrap: bool) -> DataFrame:
     begins = F.min_by("begins", F.when(F.col("n") > 0, F.col("block"))).over(file)
     lines = begins & (n > 1)
     wrong = (n == 0) | (lines & (bad > 0))
-    kind = F.when(wrong, F.raise_error(F.concat(F.lit("neither JSON nor JSON lines: "), F.col("doc_id")))).otherwise(F.when(lines, "lines").otherwise("value"))
+    kind = F.when(wrong, F.raise_error(F.concat(F.lit("neither JSON nor JSON lines: "), F.col("doc_id")))).otherwise(F.when(lines, "lines").when((n == 1) & (bad == 0), "line").otherwise("value"))
     # Counts of each split, one row: a file's window holds as many rows as the file has splits.
     return store(sums.select("doc_id", "block", kind.alias("kind"), F.coalesce(F.sum("pages").over(order), F.lit(0)).alias("base")), "layout-splits")
 
 
-def _without_rows(spark: SparkSession, path: str, splits: DataFrame) -> None:
+def _without_rows(spark: SparkSession, text: DataFrame, splits: DataFrame) -> None:
     """Fails if a file has no line at all: scans pass over it, so only the listing of files knows it."""
-    names = spark.read.text(path).inputFiles()
+    names = text.inputFiles()
     if len(names) == splits.select("doc_id").distinct().count():
         return
     plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+:)/+", "$1/")
@@ -124,10 +132,11 @@ def read_json(spark: SparkSession, path: str, unwrap: bool = False) -> DataFrame
     Every line is one page; with unwrap its envelope is opened as a file's is. A file that is neither, or has no pages,
     fails the query with its name; what stands behind a file's one value is not looked at.
     """
-    cut = _cut(spark, path)
+    text = spark.read.text(path)
+    cut = _cut(spark, text)
     splits = _splits(cut, unwrap)
-    _without_rows(spark, path, splits)
-    known = cut.filter(X.not_blank(F.col("value"))).join(splits, ["doc_id", "block"])
+    _without_rows(spark, text, splits)
+    known = cut.filter("parsed is not null").join(splits, ["doc_id", "block"])
 
     def opened(rows: DataFrame) -> DataFrame:
         found = rows.withColumn("pages", envelope_pages(F.col("v")))
@@ -139,14 +148,17 @@ def read_json(spark: SparkSession, path: str, unwrap: bool = False) -> DataFrame
     else:
         lines = lines.withColumn("pages", F.array("v"))
     upto = F.sum(F.size("pages")).over(Window.partitionBy("doc_id", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
-    lines = lines.withColumn("before", F.col("base") + upto - F.size("pages")).select("doc_id", "before", F.col("v").alias("root"), F.lit(unwrap).alias("own"), F.posexplode("pages").alias("i", "v"))
+    lines = lines.withColumn("before", F.col("base") + upto - F.size("pages")).select("doc_id", "before", F.col("v").alias("root"), F.lit(unwrap).alias("own"), F.posexplode_outer("pages").alias("i", "v"))
 
     parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "row", "value"))), lambda p: p["value"])
     whole = known.filter("kind = 'value'").groupBy("doc_id").agg(F.array_join(parts, "\n").alias("value")).select("doc_id", F.try_parse_json("value").alias("v"))
     whole = whole.withColumn("v", F.when(F.col("v").isNotNull(), F.col("v")).otherwise(F.raise_error(F.concat(F.lit("neither JSON nor JSON lines: "), F.col("doc_id")))))
-    whole = opened(whole).select("doc_id", F.lit(0).cast("long").alias("before"), F.col("v").alias("root"), F.lit(True).alias("own"), F.posexplode("pages").alias("i", "v"))
+    # A value that is told by its split's row, or else the check for pages could be made for lines of other files, before the join.
+    single = known.filter("kind = 'line'").select("doc_id", F.when(F.col("base") >= 0, F.col("v")).alias("v"))
+    whole = opened(single.unionByName(whole)).select("doc_id", F.lit(0).cast("long").alias("before"), F.col("v").alias("root"), F.lit(True).alias("own"), F.posexplode_outer("pages").alias("i", "v"))
 
-    rows = lines.unionByName(whole)
+    # Without `outer` the lists would be worked out once more by a filter for those that aren't empty.
+    rows = lines.unionByName(whole).filter("i is not null")
     place = (F.col("before") + F.col("i") + 1).cast("int")
     # Of lines the file has no value of its own, only each page.
     root = F.when(F.col("own"), F.col("root"))
@@ -203,22 +215,19 @@ def page_size(v: Column, info: Column, i: Column) -> Column:
 
 
 def _bbox(v: Column) -> Column:
-    listed = F.transform(_list(v), _number)
-    corners = F.array(*[_number(_first(v, f"$.{a}", f"$.{b}")) for a, b in (("x0", "x_min"), ("y0", "y_min"), ("x1", "x_max"), ("y1", "y_max"))])
-    four = F.when(F.size(listed) == 4, listed).when(listed.isNull(), corners)
-    return F.when(~F.exists(four, lambda x: x.isNull()), four)
+    corners = lambda v: F.array(*[_number(_first(v, f"$.{a}", f"$.{b}")) for a, b in (("x0", "x_min"), ("y0", "y_min"), ("x1", "x_max"), ("y1", "y_max"))])
+    four = lambda v: X.let(F.transform(_list(v), _number), lambda listed: F.when(F.size(listed) == 4, listed).when(listed.isNull(), corners(v)))
+    return X.let(X.let(v, four), lambda four: F.when(~F.exists(four, lambda x: x.isNull()), four))
 
 
 def _polygon(v: Column) -> Column:
     """Points of a list of pairs of numbers, or of a flat list of numbers of even length."""
-    listed = _list(v)
-    pairs = F.transform(listed, _list)
-    nested = F.transform(pairs, lambda p: F.struct(_number(F.get(p, 0)).alias("x"), _number(F.get(p, 1)).alias("y")))
-    all_pairs = F.forall(pairs, lambda p: F.coalesce(F.size(p) == 2, F.lit(False)))
-    numbers = F.transform(listed, _number)
+    nested = lambda pairs: F.transform(pairs, lambda p: F.struct(_number(F.get(p, 0)).alias("x"), _number(F.get(p, 1)).alias("y")))
+    all_pairs = lambda pairs: F.forall(pairs, lambda p: F.coalesce(F.size(p) == 2, F.lit(False)))
     sound = lambda ps: F.when(~F.exists(ps, lambda p: p["x"].isNull() | p["y"].isNull()), ps)
-    flat = F.when(~F.exists(numbers, lambda x: x.isNull()), L.points(numbers))
-    return F.when(F.size(listed) > 0, F.when(all_pairs, sound(nested)).otherwise(flat))
+    flat = lambda listed: X.let(F.transform(listed, _number), lambda numbers: F.when(~F.exists(numbers, lambda x: x.isNull()), L.points(numbers)))
+    either = lambda listed: X.let(F.transform(listed, _list), lambda pairs: F.when(all_pairs(pairs), X.let(nested(pairs), sound)).otherwise(flat(listed)))
+    return X.let(_list(v), lambda listed: F.when(F.size(listed) > 0, either(listed)))
 
 
 def _order(v: Column) -> Column:
@@ -235,20 +244,22 @@ def blocks(pages: DataFrame) -> DataFrame:
     """
     v = F.col("v")
     listed = F.coalesce(_list(F.coalesce(_at(_pruned(v), "$.parsing_res_list"), _at(v, "$.parsing_res_list"))), _layout_results(v))
-    rows = pages.select("doc_id", "page", F.posexplode(listed).alias("p", "b"))
+    rows = pages.select("doc_id", "page", F.posexplode_outer(listed).alias("p", "b")).filter("p is not null")
     b = F.col("b")
     written = _text(_at(b, "$.markdown.text"))
     label = F.coalesce(_text(_first(b, "$.block_label", "$.blockLabel")), F.when(written.isNotNull(), "text"), F.lit(""))
     text = F.coalesce(_text(_first(b, "$.block_content", "$.blockContent")), written, F.lit(""))
-    rows = rows.filter(_object(b).isNotNull()).select(
-        "doc_id", "page", "p", label.alias("label"), text.alias("text"),
-        F.coalesce(_bbox(_first(b, "$.block_bbox", "$.blockBbox")), F.array(*[F.lit(0.0)] * 4)).alias("bbox"),
-        _order(_first(b, "$.block_order", "$.blockOrder")).alias("ord"), _polygon(_first(b, "$.block_polygon_points", "$.blockPolygonPoints")).alias("polygon"), F.coalesce(_text(_first(b, "$.block_image", "$.blockImage")), X.img_src(text)).alias("image_ref"),
+    said = F.struct(
+        label.alias("label"), text.alias("text"), F.coalesce(_bbox(_first(b, "$.block_bbox", "$.blockBbox")), F.array(*[F.lit(0.0)] * 4)).alias("bbox"),
+        _order(_first(b, "$.block_order", "$.blockOrder")).alias("ord"), _polygon(_first(b, "$.block_polygon_points", "$.blockPolygonPoints")).alias("polygon"), _text(_first(b, "$.block_image", "$.blockImage")).alias("image"),
     )
+    # A generated column, so that the filters for objects and for empty blocks don't repeat it.
+    rows = rows.select("doc_id", "page", "p", F.explode(F.array(F.when(_object(b).isNotNull(), said))).alias("s")).filter("s is not null")
+    rows = rows.select("doc_id", "page", "p", "s.*")
     empty = (F.col("label") == "") & ~X.not_blank(F.col("text")) & ~F.exists("bbox", lambda x: x != 0) & F.col("polygon").isNull()
     pos = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.col("ord").asc_nulls_last(), "p")) - 1
     named = [F.get("bbox", i).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
-    return rows.filter(~empty).withColumn("pos", pos).select("doc_id", "page", "pos", "label", "text", *named, "ord", "polygon", "image_ref")
+    return rows.filter(~empty).withColumn("pos", pos).select("doc_id", "page", "pos", "label", "text", *named, "ord", "polygon", F.coalesce("image", X.img_src(F.col("text"))).alias("image_ref"))
 
 
 def sizes(pages: DataFrame, found: DataFrame) -> DataFrame:
@@ -278,6 +289,7 @@ def page_texts(pages: DataFrame, found: DataFrame) -> DataFrame:
 
 def preflight(pages: DataFrame, found: DataFrame) -> DataFrame:
     """One report a document: counts, labels with their counts, what is there, pages whose size is inferred, and warnings."""
+    found = store(found, "layout-blocks")  # read for counts, labels and sizes
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     v = F.col("v")
     listed = _list(F.coalesce(_at(_pruned(v), "$.parsing_res_list"), _at(v, "$.parsing_res_list"))).isNotNull()

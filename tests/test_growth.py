@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import layout as L
 from quirefold.operators import pages as P
 from quirefold.operators import typesetting as T
+from quirefold.sources import layout_json as J
 
 
 def plan(df):
@@ -41,3 +42,15 @@ def test_pages_that_repeat_are_compacted_in_one_exchange(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert {r.doc: r.ranges for r in df.collect()} == {1: "1-3,7,9", 2: "5", None: "1", 3: ""}
+
+
+def test_layout_files_are_opened_once(spark, tmp_path):
+    """Values of one line and of several, and lines: all is there when the files are gone."""
+    page = '{"parsing_res_list":[{"block_label":"text","block_content":"t%d","block_polygon_points":[1,2,3,4]}]}'
+    files = {"one": "[" + page % 1 + "]\n", "more": "[\n" + page % 2 + ",\n" + page % 3 + "\n]\n\n", "lines": page % 4 + "\n\n" + page % 5 + "\n", "none": '[]'}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    pages = J.read_json(spark, str(tmp_path))
+    for name in files:
+        (tmp_path / name).unlink()
+    assert sorted((r.doc_id.rpartition("/")[2], r.page, r.text) for r in J.blocks(pages).collect()) == [("lines", 1, "t4"), ("lines", 2, "t5"), ("more", 1, "t2"), ("more", 2, "t3"), ("one", 1, "t1")]
