@@ -1,11 +1,13 @@
 """What plans and written tables look like where work has to stay in proportion to the rows."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quirefold.functions import layout as L
 from quirefold.operators import pages as P
 from quirefold.operators import typesetting as T
 from quirefold.sources import layout_json as J
+from quirefold.streaming.live import Lifecycle
 
 
 def plan(df):
@@ -54,3 +56,35 @@ def test_layout_files_are_opened_once(spark, tmp_path):
     for name in files:
         (tmp_path / name).unlink()
     assert sorted((r.doc_id.rpartition("/")[2], r.page, r.text) for r in J.blocks(pages).collect()) == [("lines", 1, "t4"), ("lines", 2, "t5"), ("more", 1, "t2"), ("more", 2, "t3"), ("one", 1, "t1")]
+
+
+class States:
+    """A job's states in memory, with the number of times that they are asked."""
+
+    def __init__(self):
+        self.calls, self.held = 0, {}
+
+    def of(self, name, *_):
+        states, held = self, self.held.setdefault(name, {})
+
+        class One:
+            def __getattribute__(self, method):
+                states.calls += 1
+                return {
+                    "exists": lambda: None in held, "get": lambda: held.get(None), "update": lambda v: held.update({None: v}),
+                    "containsKey": lambda k: k in held, "getValue": held.get, "updateValue": lambda k, v: held.update({k: v}), "iterator": lambda: iter(list(held.items())),
+                }[method]
+
+        return One()
+
+    getMapState = getValueState = of
+
+
+def test_states_are_asked_once_a_job_and_not_once_an_event():
+    states, job = States(), Lifecycle()
+    job.init(states)
+    event = lambda i, kind: Row(id=i, us=i // 2, kind=kind, done=i, total=1000)
+    first = list(job.handleInputRows((7,), iter([event(i, "cancel" if i % 50 == 7 else "progress") for i in range(200)]), None))
+    assert first == [Row(job=7, events=200, done=199, total=1000, state="cancelling")] and states.calls <= 10
+    more = list(job.handleInputRows((7,), iter([event(300, "error"), event(250, "done"), event(120, "progress")]), None))
+    assert more == [Row(job=7, events=203, done=199, total=1000, state="error")] and states.calls <= 20
