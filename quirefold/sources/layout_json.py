@@ -2,6 +2,7 @@
 
 A file is one JSON value, or else a value a line. Lines are read in splits of any size and numbered by the counts of the
 splits before theirs, so a file of lines of any length is never one row; only a file that is one value is put together.
+Many small files may stand in a few bundles.
 Values are read schema-on-read into VARIANT. Keys come in two spellings, and the first that is present counts even if
 its value is null or of the wrong type; numbers in quotes are no numbers.
 """
@@ -23,6 +24,7 @@ PAGE_KEYS = ("prunedResult", "pruned_result", "parsing_res_list", "page_size", "
 LIST_KEYS = ("layoutParsingResults", "layout_parsing_results")
 SETTINGS_KEYS = ("modelSettings", "model_settings")
 MAX_ORDER = 4_294_967_295
+BETWEEN = "\t"  # a file's name and its line, in a bundle
 
 
 def _at(v: Column, path: str, kind: str = "variant") -> Column:
@@ -85,12 +87,18 @@ def envelope_pages(v: Column) -> Column:
     return F.coalesce(_list(v), out)
 
 
-def _cut(spark: SparkSession, text: DataFrame) -> DataFrame:
+def _cut(text: DataFrame, bundled: bool) -> DataFrame:
     """(doc_id, block, row, value, v, parsed) of every line: its file, its split and its place there; a blank one has nothing else.
 
     Written once, so that each file is opened and each line parsed a single time.
     """
-    lines = text.select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.when(X.not_blank(F.col("value")), F.col("value")).alias("value"))
+    name, value = F.col("_metadata.file_path"), F.col("value")
+    if bundled:
+        cut = F.instr("value", BETWEEN)
+        name = F.when(cut > 0, F.substring(value, F.lit(1), cut - 1)).otherwise(F.raise_error(F.concat(F.lit("a line without a file's name in "), name)))
+        value = F.substring(value, cut + 1, F.length(value))
+    lines = text.select(name.alias("doc_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.explode(F.array(value)).alias("value"))
+    lines = lines.withColumn("value", F.when(X.not_blank(F.col("value")), F.col("value")))
     return store(lines.select("*", F.explode(F.array(F.try_parse_json("value"))).alias("v")).select("*", F.when(F.col("value").isNotNull(), F.col("v").isNotNull()).alias("parsed")), "layout-lines")
 
 
@@ -126,16 +134,28 @@ def _without_rows(spark: SparkSession, text: DataFrame, splits: DataFrame) -> No
         raise ValueError(f"neither JSON nor JSON lines: {missing[0]['name']}")
 
 
-def read_json(spark: SparkSession, path: str, unwrap: bool = False) -> DataFrame:
+def bundle(files: DataFrame, path: str) -> None:
+    """Writes files (name, seq, value: their text in parts, in the order of seq) as bundles: as many as there are tasks.
+
+    Each line stands behind its file's name, and a file is in one bundle whole. Small files cost more to be made, listed
+    and opened than to be read.
+    """
+    dealt = files.repartition("name").sortWithinPartitions("name", "seq")
+    dealt.select("name", F.explode(F.split("value", "\r\n|\r|\n", -1)).alias("line")).select(F.concat("name", F.lit(BETWEEN), "line").alias("value")).write.text(path)
+
+
+def read_json(spark: SparkSession, path: str, unwrap: bool = False, bundled: bool = False) -> DataFrame:
     """(doc_id, page, v, i, info, settings): one row for each page of each file; JSON, or else one value a line.
 
     Every line is one page; with unwrap its envelope is opened as a file's is. A file that is neither, or has no pages,
-    fails the query with its name; what stands behind a file's one value is not looked at.
+    fails the query with its name; what stands behind a file's one value is not looked at. Bundles hold many files;
+    one without any line isn't in them.
     """
     text = spark.read.text(path)
-    cut = _cut(spark, text)
+    cut = _cut(text, bundled)
     splits = _splits(cut, unwrap)
-    _without_rows(spark, text, splits)
+    if not bundled:
+        _without_rows(spark, text, splits)
     known = cut.filter("parsed is not null").join(splits, ["doc_id", "block"])
 
     def opened(rows: DataFrame) -> DataFrame:
