@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 #: Sentences that scanning tools leave on pages; fixed values.
 ARTEFACTS = ("Document generated by Anna's Archive around", "Images have been losslessly embedded.")
-#: What (?U)\\s takes, for Python's strip, whose own whitespace holds some control characters more.
+#: What (?U)\\s takes; Python's own whitespace holds some control characters more.
 BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SHORT_LINE = 4
 SHOWN_REFERENCE = 80
@@ -23,12 +24,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim_ws(text: Column) -> Column:
-    """Unicode whitespace off both ends; Spark's trim takes U+0020 alone."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Unicode whitespace off both ends; without a list of characters Spark's trim takes U+0020 alone."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def rtrim_ws(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def delete_ws(text: Column) -> Column:
@@ -40,7 +41,7 @@ def collapse_ws(text: Column) -> Column:
 
 
 def not_blank(text: Column) -> Column:
-    return F.coalesce(F.length(trim_ws(text)) > 0, F.lit(False))
+    return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
 def lines(text: Column) -> Column:
@@ -138,13 +139,13 @@ def image_placeholder(ref: Column) -> Column:
 def img_src(text: Column) -> Column:
     """The source of the first picture tag, quoted or bare."""
     tag = r"(?is)<img\b[^>]*?\bsrc\s*=\s*"
+    text = F.when(F.contains(text, F.lit("<")), text)
     parts = [F.regexp_extract(text, tag + q, 1) for q in (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)")]
     return F.coalesce(*[F.when(p != "", p) for p in parts])
 
 
 def is_scanner_artefact(text: Column) -> Column:
-    head = trim_ws(text)
-    return head.startswith(ARTEFACTS[0]) | head.startswith(ARTEFACTS[1])
+    return text.rlike(r"(?U)\A\s*(?:" + "|".join(re.escape(a) for a in ARTEFACTS) + ")")  # looks at the beginning alone
 
 
 def one_line(text: Column) -> Column:

@@ -5,7 +5,9 @@ Widths are counted in hundredths of an em and heights in thousandths of a point,
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ STYLES = {
 }
 RUN = 1024  # paragraphs that are put together before runs of them are
 CHARS = 1 << 20  # characters that are wrapped at once
+LINES = 1 << 18  # lines that are placed at once
 PAGES_A_SEGMENT = 64  # pages' heights of a document that one task looks through
 
 
@@ -169,11 +172,84 @@ def page_starts(lines: DataFrame, height: int, gap: int) -> DataFrame:
     return known
 
 
+def _along(height: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of paragraphs, a document's behind each other in their order, with each line's page and place on it.
+
+    Of what went before only the depth, the step and the number of the page's first line are kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, kept = 0, (0, 0, 0)
+        for batch in batches:
+            upto = np.cumsum(np.asarray(batch.column("n"), np.int64))
+            cuts = np.searchsorted(upto, np.arange(LINES, upto[-1] if len(upto) else 0, LINES)) + 1
+            for part in (batch.slice(a, b - a) for a, b in pairwise(sorted({0, *cuts.tolist(), len(upto)}))):
+                step, before, after, n = (np.asarray(part.column(c), np.int64) for c in ("step", "before", "after", "n"))
+                pages, downs, base, kept = _placed(step, before, after, n, np.asarray(part.column("opens")), height, base, kept)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pages, downs)]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("seq"), *lists], ["doc", "seq", "pages", "downs"])
+
+    return run
+
+
+def _placed(step: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray, opens: np.ndarray, height: int, base: int, kept: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, int, tuple[int, int, int]]:
+    """Of each line of paragraphs the page and how far below the page's top it ends; what the paragraphs behind them need."""
+    total = before + step * n + after
+    below = np.cumsum(total)
+    ends = np.cumsum(n)
+    lines = np.arange(ends[-1])
+    steps = np.repeat(step, n)
+    depth = np.repeat(base + below - total + before, n) + steps * (lines - np.repeat(ends - n, n) + 1)
+    begins = (ends - n)[opens]
+    # The page's first lines: a document's first one, then the first that the page before doesn't hold, for all documents at once.
+    first = np.searchsorted(depth, max(kept[0], kept[0] - kept[1] + height), "right") if not opens[0] else len(lines)
+    at, end = np.append(begins, first), np.append(np.append(begins[1:], len(lines)) if len(begins) else begins, begins[0] if len(begins) else len(lines))
+    found = [begins[:0]]
+    at, end = at[at < end], end[at < end]
+    while len(at):
+        found.append(at)
+        at = np.searchsorted(depth, np.maximum(depth[at], depth[at] - steps[at] + height), "right")
+        at, end = at[at < end], end[at < end]
+    starts = np.sort(np.concatenate(found))
+    page = np.searchsorted(starts, lines, "right")  # 0 as long as the page from before goes on
+    of = np.searchsorted(begins, lines, "right")
+    before_it = np.append(-kept[2], np.searchsorted(starts, begins))[of]
+    tops, firsts = np.append(kept[0], depth[starts])[page], np.append(kept[1], steps[starts])[page]
+    numbers = page - before_it
+    return numbers, depth - tops + firsts, base + int(below[-1]), (int(tops[-1]), int(firsts[-1]), int(numbers[-1]))
+
+
+def _in_one_pass(paragraphs: DataFrame, height: int) -> DataFrame:
+    """Placed lines of documents of bounded height: numbers alone are sorted and gone through, the lines join them once."""
+    opens = F.row_number().over(Window.partitionBy("doc").orderBy("seq")) == 1
+    numbers = paragraphs.select("doc", "seq", "step", "before", "after", F.col("n").cast("long").alias("n"), opens.alias("opens"))
+    kind = paragraphs.schema["doc"].dataType.simpleString()
+    places = numbers.mapInArrow(_along(height), f"doc {kind}, seq long, pages array<long>, downs array<long>")
+    lines = paragraphs.join(places, ["doc", "seq"]).select("_id", "seq", F.posexplode(F.arrays_zip("lines", "pages", "downs")).alias("line_no", "l"))
+    return lines.select("_id", F.col("l.pages").alias("page"), "seq", "line_no", F.col("l.downs").alias("down"), F.col("l.lines").alias("line"))
+
+
+def _by_pointers(paragraphs: DataFrame, height: int, gap: int) -> DataFrame:
+    """Placed lines of documents of any height, which are many tasks each."""
+    lines = _depths(paragraphs).select("_id", "doc", "seq", "step", (F.col("start") + F.col("before")).alias("_top"), F.posexplode("lines").alias("line_no", "line"))
+    lines = store(lines.withColumn("depth", F.col("_top") + F.col("step") * (F.col("line_no") + 1)).drop("_top"), "lines")
+    starts = page_starts(lines.select("doc", "depth", "step"), height, gap).join(lines.select("doc", "depth", "step"), ["doc", "depth"])
+    order = Window.partitionBy("doc").orderBy("depth")
+    starts = starts.select("doc", F.col("depth").alias("from"), F.col("step").alias("first"), F.row_number().over(order).cast("long").alias("page"), F.lead("depth").over(order).alias("until"))
+    band = F.floor(F.col("from") / height)
+    starts = starts.withColumn("band", F.explode(F.array(band, band + 1)))
+    here = lines.withColumn("band", F.floor(F.col("depth") / height)).join(starts, ["doc", "band"])
+    here = here.filter((F.col("depth") >= F.col("from")) & (F.col("until").isNull() | (F.col("depth") < F.col("until"))))
+    return here.select("_id", "page", "seq", "line_no", (F.col("depth") - F.col("from") + F.col("first")).alias("down"), "line")
+
+
 def paginated(items: DataFrame, font_scale: float = 1.0, margin_scale: float = 1.0) -> DataFrame:
     """items (doc, seq, role, item) as placed lines (doc, page, seq, line_no, y, line).
 
     A page ends where a line would cross its bottom margin; there is no gap at its top. y is where a line ends, in
-    points above the page's foot. Lines of an item count from 0; seq is a whole number that a document has once; other
+    points above the page's foot. Documents of up to PAGES_A_SEGMENT pages' heights are gone through in one pass, taller
+    ones by pointers. Lines of an item count from 0; seq is a whole number that a document has once; other
     roles than those of STYLES are set as body; a null document is a document of its own; null items are empty lines.
     """
     top, bottom = milli(PAGE_H - MARGIN_TOP * margin_scale), milli(MARGIN_BOTTOM * margin_scale)
@@ -182,16 +258,12 @@ def paginated(items: DataFrame, font_scale: float = 1.0, margin_scale: float = 1
     cells = lambda m: F.struct(*[F.lit(v).cast("long").alias(k) for k, v in m.items()])
     styled = F.coalesce(F.try_element_at(F.create_map(*[x for role, m in style.items() for x in (F.lit(role), cells(m))]), F.coalesce("role", F.lit(""))), cells(style["Body"]))
     rows = items.select(F.col("doc").alias("_id"), F.struct("doc").alias("doc"), F.col("seq").cast("long").alias("seq"), styled.alias("m"), "item").select("_id", "doc", "seq", "m.*", "item")
-    paragraphs = store(rows.select("_id", "doc", "seq", "step", "before", "after", wrap(F.col("item"), F.col("first").cast("int"), F.col("full").cast("int")).alias("lines")), "paragraphs")
-    lines = _depths(paragraphs).select("_id", "doc", "seq", "step", (F.col("start") + F.col("before")).alias("_top"), F.posexplode("lines").alias("line_no", "line"))
-    lines = store(lines.withColumn("depth", F.col("_top") + F.col("step") * (F.col("line_no") + 1)).drop("_top"), "lines")
-
-    starts = page_starts(lines.select("doc", "depth", "step"), height, gap).join(lines.select("doc", "depth", "step"), ["doc", "depth"])
-    order = Window.partitionBy("doc").orderBy("depth")
-    starts = starts.select("doc", F.col("depth").alias("from"), F.col("step").alias("first"), F.row_number().over(order).cast("long").alias("page"), F.lead("depth").over(order).alias("until"))
-    band = F.floor(F.col("from") / height)
-    starts = starts.withColumn("band", F.explode(F.array(band, band + 1)))
-    here = lines.withColumn("band", F.floor(F.col("depth") / height)).join(starts, ["doc", "band"])
-    here = here.filter((F.col("depth") >= F.col("from")) & (F.col("until").isNull() | (F.col("depth") < F.col("until"))))
-    y = (F.lit(top) - (F.col("depth") - F.col("from") + F.col("first"))) / F.lit(1000.0)
+    paragraphs = store(rows.select("_id", "doc", "seq", "step", "before", "after", wrap(F.col("item"), F.col("first").cast("int"), F.col("full").cast("int")).alias("lines")).withColumn("n", F.size("lines")), "paragraphs")
+    total = F.col("before") + F.col("step") * F.col("n") + F.col("after")
+    tall = store(paragraphs.groupBy("doc").agg(F.sum(total).alias("height")).filter(F.col("height") > PAGES_A_SEGMENT * max(height, gap)).select("doc"), "tall")
+    if tall.isEmpty():
+        here = _in_one_pass(paragraphs, height)
+    else:
+        here = _in_one_pass(paragraphs.join(tall, "doc", "left_anti"), height).unionByName(_by_pointers(paragraphs.join(tall, "doc", "left_semi"), height, gap))
+    y = (F.lit(top) - F.col("down")) / F.lit(1000.0)
     return here.select(F.col("_id").alias("doc"), "page", "seq", F.col("line_no").cast("long").alias("line_no"), y.alias("y"), "line")
