@@ -23,6 +23,9 @@ from quirefold.sources.shared import store
 PAGE_KEYS = ("prunedResult", "pruned_result", "parsing_res_list", "page_size", "pageSize", "page_width", "pageWidth")
 LIST_KEYS = ("layoutParsingResults", "layout_parsing_results")
 SETTINGS_KEYS = ("modelSettings", "model_settings")
+#: Keys of a block that are read, in both spellings; fixed values.
+BLOCK_KEYS = ("block_label", "blockLabel", "block_content", "blockContent", "block_bbox", "blockBbox", "block_order", "blockOrder", "block_polygon_points", "blockPolygonPoints", "block_image", "blockImage")
+BLOCK = "struct<" + ",".join(f"{k}:variant" for k in BLOCK_KEYS) + ",markdown:struct<text:variant>>"
 MAX_ORDER = 4_294_967_295
 BETWEEN = "\t"  # a file's name and its line, in a bundle
 
@@ -265,16 +268,17 @@ def blocks(pages: DataFrame) -> DataFrame:
     v = F.col("v")
     listed = F.coalesce(_list(F.coalesce(_at(_pruned(v), "$.parsing_res_list"), _at(v, "$.parsing_res_list"))), _layout_results(v))
     rows = pages.select("doc_id", "page", F.posexplode_outer(listed).alias("p", "b")).filter("p is not null")
-    b = F.col("b")
-    written = _text(_at(b, "$.markdown.text"))
-    label = F.coalesce(_text(_first(b, "$.block_label", "$.blockLabel")), F.when(written.isNotNull(), "text"), F.lit(""))
-    text = F.coalesce(_text(_first(b, "$.block_content", "$.blockContent")), written, F.lit(""))
+    # An object is gone through once for all its keys. Generated columns, so that nothing below repeats them.
+    rows = rows.select("doc_id", "page", "p", F.explode(F.array(_at(F.col("b"), "$", BLOCK))).alias("b")).filter("b is not null")
+    first = lambda *keys: F.coalesce(*[F.col("b")[k] for k in keys])
+    written = _text(F.col("b.markdown.text"))
+    label = F.coalesce(_text(first("block_label", "blockLabel")), F.when(written.isNotNull(), "text"), F.lit(""))
+    text = F.coalesce(_text(first("block_content", "blockContent")), written, F.lit(""))
     said = F.struct(
-        label.alias("label"), text.alias("text"), F.coalesce(_bbox(_first(b, "$.block_bbox", "$.blockBbox")), F.array(*[F.lit(0.0)] * 4)).alias("bbox"),
-        _order(_first(b, "$.block_order", "$.blockOrder")).alias("ord"), _polygon(_first(b, "$.block_polygon_points", "$.blockPolygonPoints")).alias("polygon"), _text(_first(b, "$.block_image", "$.blockImage")).alias("image"),
+        label.alias("label"), text.alias("text"), F.coalesce(_bbox(first("block_bbox", "blockBbox")), F.array(*[F.lit(0.0)] * 4)).alias("bbox"),
+        _order(first("block_order", "blockOrder")).alias("ord"), _polygon(first("block_polygon_points", "blockPolygonPoints")).alias("polygon"), _text(first("block_image", "blockImage")).alias("image"),
     )
-    # A generated column, so that the filters for objects and for empty blocks don't repeat it.
-    rows = rows.select("doc_id", "page", "p", F.explode(F.array(F.when(_object(b).isNotNull(), said))).alias("s")).filter("s is not null")
+    rows = rows.select("doc_id", "page", "p", F.explode(F.array(said)).alias("s"))
     rows = rows.select("doc_id", "page", "p", "s.*")
     empty = (F.col("label") == "") & ~X.not_blank(F.col("text")) & ~F.exists("bbox", lambda x: x != 0) & F.col("polygon").isNull()
     pos = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.col("ord").asc_nulls_last(), "p")) - 1
